@@ -57,3 +57,43 @@ S1 = """s1 AS (
 
 def ctes(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
+
+
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+TOKEN_RE = r"[\p{L}\p{N}_]+|[{}();,=+\-*/]"
+WORD_RE = r"[\p{L}\p{N}_]+"
+
+
+def clean_code(x: str) -> str:
+    return strip(f"regexp_replace({x}, '(?i)^(cpp|python|java|c\\+\\+)\\s*\\n', '')")
+
+
+def tokens(x: str) -> str:
+    return f"regexp_extract_all({x}, '{TOKEN_RE}')"
+
+
+def count_tests(x: str) -> str:
+    return f"CAST(len(regexp_extract_all({x}, 'Unittest\\s+\\d+:')) AS INTEGER)"
+
+
+STUDENT = """student AS (
+  SELECT 2 AS scenario, student_id, question_id, pass, question_unittests, response FROM latest
+  UNION ALL SELECT 3, student_id, question_id, pass, question_unittests, response FROM final WHERE response = response_mistake
+  UNION ALL SELECT 4, student_id, question_id, pass, question_unittests, response FROM final WHERE response = response_correct)"""
+
+GRADED = f"""graded AS (
+  SELECT unnest([1, 2, 3, 4]) AS scenario, e.*,
+         CASE WHEN coalesce({strip('e.stdout')} = e.expected_output, false) THEN 1 ELSE 0 END AS correctness
+  FROM executions e WHERE e.model <> 'R')"""
+
+DIGITS = f"""digits AS (
+  SELECT scenario, student_id, question_id, CAST(i AS INTEGER) AS test_case_id,
+         CAST(substr(pp, CAST(i AS INTEGER) + 1, 1) AS INTEGER) AS real_student_correctness
+  FROM (SELECT *, unnest(range(length(pp))) AS i
+        FROM (SELECT *, pass || repeat('0', greatest({count_tests('question_unittests')} - length(pass), 0)) AS pp FROM student)))"""
+
+JOINED = """joined AS (SELECT * FROM graded JOIN digits USING (scenario, student_id, question_id, test_case_id)),
+valid AS (SELECT * FROM joined WHERE correctness IN (0, 1) AND real_student_correctness IN (0, 1))"""

@@ -26,6 +26,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app_name: str = "attemptlab") -> SparkSession:
     """Local session for tests and the benchmark (UI off, no server)."""
     builder = (SparkSession.builder.master(master).appName(app_name)
+               .config("spark.ui.showConsoleProgress", "false")
                .config("spark.ui.enabled", "false")
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
                .config("spark.driver.memory", os.environ.get("ATTEMPTLAB_DRIVER_MEM", "16g")))
