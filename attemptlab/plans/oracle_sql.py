@@ -97,3 +97,45 @@ DIGITS = f"""digits AS (
 
 JOINED = """joined AS (SELECT * FROM graded JOIN digits USING (scenario, student_id, question_id, test_case_id)),
 valid AS (SELECT * FROM joined WHERE correctness IN (0, 1) AND real_student_correctness IN (0, 1))"""
+
+
+def labels(x: str) -> str:
+    return f"list_transform({tokens(clean_code(x))}[1:15], lambda t: regexp_replace(t, '[^a-zA-Z0-9_]', '_', 'g'))"
+
+
+def words(x: str) -> str:
+    return f"len(regexp_extract_all({clean_code(x)}, '{WORD_RE}'))"
+
+
+def tree_distance_cte(src: str, a: str, b: str, keep: str) -> str:
+    """SELECT producing ``ast_edit_distance`` for columns a, b of relation src (keep: passthrough cols)."""
+    return f"""SELECT {keep}, CASE WHEN (wa + wb) / 2.0 = 0 THEN 0.0
+      ELSE least(1.0, CAST(d AS DOUBLE) / greatest((wa + wb) / 2.0, 1.0)) END AS ast_edit_distance
+FROM (SELECT {keep}, wa, wb,
+        CASE WHEN len(la) = 0 AND len(lb) = 0 THEN 0
+             WHEN len(la) = 0 THEN CASE WHEN list_contains(lb, 'empty') THEN len(lb) ELSE len(lb) + 1 END
+             WHEN len(lb) = 0 THEN CASE WHEN list_contains(la, 'empty') THEN len(la) ELSE len(la) + 1 END
+             ELSE levenshtein(array_to_string(list_transform(la, lambda t: chr(CAST(list_position(alpha, t) + 64 AS INTEGER))), ''),
+                              array_to_string(list_transform(lb, lambda t: chr(CAST(list_position(alpha, t) + 64 AS INTEGER))), '')) END AS d
+      FROM (SELECT {keep}, la, lb, list_distinct(list_concat(la, lb)) AS alpha, wa, wb
+            FROM (SELECT {keep}, {labels(a)} AS la, {labels(b)} AS lb, {words(a)} AS wa, {words(b)} AS wb FROM {src})))"""
+
+
+def jaccard(a: str, b: str) -> str:
+    ta = f"list_distinct({tokens(clean_code(a))})"
+    tb = f"list_distinct({tokens(clean_code(b))})"
+    return f"""CASE WHEN len({ta}) = 0 AND len({tb}) = 0 THEN 0.0
+  WHEN len({ta}) = 0 OR len({tb}) = 0 THEN 1.0
+  ELSE 1.0 - CAST(len(list_intersect({ta}, {tb})) AS DOUBLE) / CAST(len(list_distinct(list_concat({ta}, {tb}))) AS DOUBLE) END"""
+
+
+def tf_cosine_ctes(src: str, keys: str, a: str, b: str) -> str:
+    """CTEs ending in ``cos`` with columns keys, a, b, codebert_cosine_similarity."""
+    return f"""pk AS (SELECT DISTINCT {keys}, {a}, {b} FROM {src}),
+toks AS (SELECT {keys}, {a}, {b}, 0 AS side, unnest({tokens(clean_code(a))}) AS token FROM pk
+         UNION ALL SELECT {keys}, {a}, {b}, 1 AS side, unnest({tokens(clean_code(b))}) AS token FROM pk),
+cnt AS (SELECT {keys}, {a}, {b}, token, CAST(count(*) FILTER (WHERE side = 0) AS DOUBLE) AS l,
+               CAST(count(*) FILTER (WHERE side = 1) AS DOUBLE) AS r FROM toks GROUP BY ALL),
+sums AS (SELECT {keys}, {a}, {b}, sum(l * r) AS xy, sum(l * l) AS xx, sum(r * r) AS yy FROM cnt GROUP BY ALL),
+cos AS (SELECT pk.*, coalesce(CASE WHEN xx > 0 AND yy > 0 THEN xy / (sqrt(xx) * sqrt(yy)) END, 0.0) AS codebert_cosine_similarity
+        FROM pk LEFT JOIN sums USING ({keys}, {a}, {b}))"""
