@@ -15,6 +15,9 @@ from attemptlab.functions import text as X
 KEYS3 = ["student_id", "question_id", "test_case_id"]
 ANSWER_SLOT = r"\{\{\s*STUDENT_ANSWER\s*\}\}"
 TESTCODE_SLOT = r"\{\{\s*TESTCASE\.testcode\s*\}\}"
+# Template placeholders for the answer and the test code.
+ANSWER_TOKEN = "{{ STUDENT_ANSWER }}"
+TESTCODE_TOKEN = "{{ TESTCASE.testcode }}"
 
 
 def execution_status(df: DataFrame) -> DataFrame:
@@ -89,12 +92,14 @@ def lookup_template(completions: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def render_submission(rows: DataFrame, answer_col: str = "answer") -> DataFrame:
-    """Source text per test: the answer and the test code put into the template.
+    """Source text per test: the test code and the answer put into the template.
 
-    Literal split/join (no regex replacement strings), so ``$`` and ``\\`` in
-    code are kept as is.
+    Placeholders are first normalised (any inner spacing), then replaced
+    literally, so ``$`` and ``\\`` in code are kept as they are.
     """
     answer = X.strip_cpp_fence(F.col(answer_col))
-    with_answer = F.array_join(F.split(F.col("question_template"), ANSWER_SLOT), answer)
-    code = F.array_join(F.split(with_answer, TESTCODE_SLOT), F.coalesce(F.col("testcode"), F.lit("")))
+    tpl = F.regexp_replace(F.regexp_replace(F.col("question_template"), TESTCODE_SLOT, TESTCODE_TOKEN),
+                           ANSWER_SLOT, ANSWER_TOKEN)
+    code = F.replace(F.replace(tpl, F.lit(TESTCODE_TOKEN), F.coalesce(F.col("testcode"), F.lit(""))),
+                     F.lit(ANSWER_TOKEN), answer)
     return rows.withColumn("cpp_code", F.when(F.col("question_template").isNotNull(), code))
