@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attemptlab.session import cut_lineage
+
 
 def _parts(df: DataFrame, n: int | None) -> int:
     return n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -24,7 +26,10 @@ def ordered_sums(df: DataFrame, group: list[str], value: str, measures: dict[str
     """Per distinct (group, value): ``<m>`` at the value and ``<m>_before`` over strictly smaller values."""
     names = list(measures)
     agg = df.groupBy(*group, value).agg(*[F.sum(c).alias(n) for n, c in measures.items()])
-    ranged = agg.repartitionByRange(_parts(df, partitions), *group, value).withColumn("_slice", F.spark_partition_id())
+    # slice ids come from sampled range bounds: materialise them once so that the
+    # totals and the running sums below see the same slices (also after a lost executor)
+    ranged = cut_lineage(agg.repartitionByRange(_parts(df, partitions), *group, value)
+                         .withColumn("_slice", F.spark_partition_id()))
     totals = ranged.groupBy("_slice", *group).agg(*[F.sum(n).alias(f"_tot_{n}") for n in names])
     earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_slice", *group, *[F.coalesce(F.sum(f"_tot_{n}").over(earlier), F.lit(0)).alias(f"_off_{n}")

@@ -91,12 +91,13 @@ def train_test_label(df: DataFrame, key_cols: list[str], fraction: float = TEST_
 # --- effects-based operators -----------------------------------------------------------------
 
 def testlet_predict(rows: DataFrame, student: DataFrame, item: DataFrame, testlet: DataFrame,
-                    intercept: Column = F.lit(0.0)) -> DataFrame:
+                    intercept: Column | float = 0.0) -> DataFrame:
     """p_hat = logistic(b + u_s + u_i + u_t); levels without an effect use 0."""
     j = (rows.join(student.select(S, F.col("Estimate").alias("_us")), S, "left")
          .join(item.select(I, F.col("Estimate").alias("_ui")), I, "left")
          .join(testlet.select(TT, F.col("Estimate").alias("_ut")), TT, "left"))
-    eta = intercept + F.coalesce("_us", F.lit(0.0)) + F.coalesce("_ui", F.lit(0.0)) + F.coalesce("_ut", F.lit(0.0))
+    b = intercept if isinstance(intercept, Column) else F.lit(float(intercept))
+    eta = b + F.coalesce("_us", F.lit(0.0)) + F.coalesce("_ui", F.lit(0.0)) + F.coalesce("_ut", F.lit(0.0))
     return j.withColumn("p_hat", F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))).drop("_us", "_ui", "_ut")
 
 
