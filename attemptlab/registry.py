@@ -38,4 +38,4 @@ def fixtures(spark: SparkSession, sf_dir: str) -> Fixtures:
 
 
 # import the query modules so that they register themselves
-from attemptlab.plans import queries_attempts, queries_grading, queries_prompts, queries_ratings, queries_similarity, queries_testlet  # noqa: E402,F401
+from attemptlab.plans import queries_attempts, queries_grading, queries_prompts, queries_io, queries_ratings, queries_similarity, queries_testlet  # noqa: E402,F401
