@@ -193,37 +193,38 @@ def fit_testlet_model(train: DataFrame, tau2: dict | None = None, max_passes: in
         return j.withColumn("p", F.lit(1.0) / (F.lit(1.0) + F.exp(-eta)))
 
     for _ in range(max_passes):
-        change = 0.0
+        deltas = []
         for k, c in keys.items():
             p = with_eta(b)
             g = p.groupBy(c).agg(F.sum(F.col("y") - F.col("p")).alias("_g"),
                                  F.sum(F.col("p") * (1 - F.col("p"))).alias("_h"))
-            new = (eff[k].join(g, c, "left")
-                   .withColumn("_step", (F.coalesce("_g", F.lit(0.0)) - F.col("u") / tau2[k])
-                               / (F.coalesce("_h", F.lit(0.0)) + 1.0 / tau2[k]))
-                   .select(c, (F.col("u") + F.col("_step")).alias("u"), F.abs("_step").alias("_d")))
-            new = cut_lineage(new)
-            change = max(change, new.agg(F.max("_d")).first()[0] or 0.0)
-            eff[k] = new.drop("_d")
-        # re-centre: items are nested in testlets
+            new = cut_lineage(eff[k].join(g, c, "left")
+                              .withColumn("_step", (F.coalesce("_g", F.lit(0.0)) - F.col("u") / tau2[k])
+                                          / (F.coalesce("_h", F.lit(0.0)) + 1.0 / tau2[k]))
+                              .select(c, (F.col("u") + F.col("_step")).alias("u"), F.abs("_step").alias("_d")))
+            deltas.append(new.select("_d"))
+            eff[k] = new.select(c, "u")
+        # re-centre: items are nested in testlets, so a shared shift moves from items to their testlet
         itm = split_testlet_item(eff["item"].withColumnRenamed("u", "u_item"))
         w = itm.join(eff["testlet"].withColumnRenamed("u", "u_t"), TT, "left").withColumn(
             "w", F.col("u_item") + F.coalesce("u_t", F.lit(0.0)))
-        c_t = w.groupBy(TT).agg(F.sum("w").alias("_sw"), F.count(F.lit(1)).alias("_n")).select(
-            TT, ((F.col("_sw") / tau2["item"]) / (F.col("_n") / tau2["item"] + 1.0 / tau2["testlet"])).alias("u"))
-        c_t = cut_lineage(c_t)
+        c_t = cut_lineage(w.groupBy(TT).agg(F.sum("w").alias("_sw"), F.count(F.lit(1)).alias("_n")).select(
+            TT, ((F.col("_sw") / tau2["item"]) / (F.col("_n") / tau2["item"] + 1.0 / tau2["testlet"])).alias("u")))
         eff["item"] = cut_lineage(w.join(c_t.withColumnRenamed("u", "c"), TT, "left")
                                   .select(I, (F.col("w") - F.coalesce("c", F.lit(0.0))).alias("u")))
         eff["testlet"] = c_t
+        # move the block means into the intercept (one small job for both)
+        means = {r["k"]: r["m"] for r in eff["student"].select(F.lit("student").alias("k"), "u")
+                 .unionByName(c_t.select(F.lit("testlet").alias("k"), "u")).groupBy("k").agg(F.avg("u").alias("m")).collect()}
         for k in ("student", "testlet"):
-            m = eff[k].agg(F.avg("u")).first()[0] or 0.0
-            eff[k] = cut_lineage(eff[k].withColumn("u", F.col("u") - F.lit(m)))
+            m = means.get(k) or 0.0
+            eff[k] = eff[k].withColumn("u", F.col("u") - F.lit(m))
             b += m
         p = with_eta(b)
         gb = p.agg(F.sum(F.col("y") - F.col("p")).alias("g"), F.sum(F.col("p") * (1 - F.col("p"))).alias("h")).first()
         step = gb["g"] / gb["h"] if gb["h"] else 0.0
         b += step
-        change = max(change, abs(step))
+        change = max(deltas[0].unionByName(deltas[1]).unionByName(deltas[2]).agg(F.max("_d")).first()[0] or 0.0, abs(step))
         if change < tol:
             break
     p = with_eta(b)

@@ -149,10 +149,12 @@ cum AS (SELECT score, pos, neg, coalesce(sum(neg) OVER (ORDER BY score ROWS BETW
 """
 
 
-@register("roc_auc", _ROC + """SELECT round(sum(pos * (neg_before + neg / 2.0)) / (sum(pos) * sum(neg)), 6) AS auc,
+# scores rounded to 9 places (as for the curve) so that both engines see the same ties
+@register("roc_auc", _ROC.replace("SELECT p_hat AS score", "SELECT round(p_hat, 9) AS score").replace("GROUP BY p_hat", "GROUP BY round(p_hat, 9)")
+          + """SELECT round(sum(pos * (neg_before + neg / 2.0)) / (sum(pos) * sum(neg)), 6) AS auc,
   CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg FROM cum""", EV)
 def roc_auc(spark, sf):
-    a = ST.roc_auc(TFlow(spark, sf).pred, "p_hat", Y)
+    a = ST.roc_auc(TFlow(spark, sf).pred.withColumn("score", F.round("p_hat", 9)), "score", Y)
     return a.select(r6("auc").alias("auc"), "n_pos", "n_neg")
 
 
