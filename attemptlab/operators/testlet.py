@@ -73,8 +73,9 @@ def id_subset_groups(df: DataFrame, id_col: str, n_groups: int, seed: int = SEED
     ids = df.select(F.col(id_col).alias("_id")).distinct().withColumn("_h", _hash_key(F.col("_id"), seed))
     ranks = ST.value_ranks(ids, [], "_h")
     total = ids.agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.lit(0))
-    # first interval of cut(seq_along(ids), breaks = n_groups): positions <= 1 - d/1000 + d * 1.002 / n_groups
-    bound = F.lit(1.0) - (F.col("_n") - 1) / 1000.0 + (F.col("_n") - 1) * 1.002 / n_groups
+    # cut(seq_along(ids), breaks = n_groups) splits [1, N] into equal-width, right-closed intervals
+    # (only the outer ends are widened), so the first one holds positions <= 1 + (N - 1) / n_groups
+    bound = F.lit(1.0) + (F.col("_n") - 1) / float(n_groups)
     first = (ids.join(ranks, "_h").withColumn("_k", F.lit(0))
              .join(total, "_k")            # one-row table, equi-join on a constant key
              .filter(F.col("avg_rank") <= bound).select(F.col("_id").alias(id_col)))

@@ -81,7 +81,7 @@ def response_matrix(spark, sf):
 def _subset_sql(src: str, col: str, n: int, name: str, key: str) -> str:
     return f"""{name}_ids AS (SELECT {col} AS id, row_number() OVER (ORDER BY md5({key} || '|123')) AS pos, count(*) OVER () AS n
   FROM (SELECT DISTINCT {col} FROM {src})),
-{name} AS (SELECT * FROM {src} WHERE {col} IN (SELECT id FROM {name}_ids WHERE pos <= 1 - (n - 1) / 1000.0 + (n - 1) * 1.002 / {n}))"""
+{name} AS (SELECT * FROM {src} WHERE {col} IN (SELECT id FROM {name}_ids WHERE pos <= 1 + (n - 1) / {n}.0))"""
 
 
 _SUB = W.rstrip() + ",\n" + _subset_sql("resp", "Testlet_ID", 3, "sub_t", "Testlet_ID") + ",\n" + \
