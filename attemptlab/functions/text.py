@@ -72,13 +72,12 @@ def pass_digits(pass_str) -> Column:
 def parse_tests_lenient(spec) -> Column:
     """``array<struct<unittest,input,output>>`` by regex; ``STD input:`` stays inside ``input``."""
     s = _c(spec)
-    nums = F.regexp_extract_all(s, F.lit(LENIENT_TEST), 1)
-    ins = F.regexp_extract_all(s, F.lit(LENIENT_TEST), 2)
-    outs = F.regexp_extract_all(s, F.lit(LENIENT_TEST), 3)
-    return F.transform(nums, lambda n, i: F.struct(
-        strip(n).alias("unittest"),
-        strip(F.element_at(ins, i + 1)).alias("input"),
-        strip(F.element_at(outs, i + 1)).alias("output")))
+    nums = F.regexp_extract_all(s, F.lit(LENIENT_TEST), 1).alias("unittest")
+    ins = F.regexp_extract_all(s, F.lit(LENIENT_TEST), 2).alias("input")
+    outs = F.regexp_extract_all(s, F.lit(LENIENT_TEST), 3).alias("output")
+    # zip first: a lambda body is evaluated per element, so it must not hold the regex scans
+    return F.transform(F.arrays_zip(nums, ins, outs), lambda t: F.struct(
+        strip(t["unittest"]).alias("unittest"), strip(t["input"]).alias("input"), strip(t["output"]).alias("output")))
 
 
 def _strict_block(block: Column) -> Column:

@@ -28,8 +28,11 @@ def _c(x) -> Column:
 
 
 def token_jaccard_distance(a, b) -> Column:
-    ta = F.array_distinct(X.tokens(X.clean_code(_c(a))))
-    tb = F.array_distinct(X.tokens(X.clean_code(_c(b))))
+    """Jaccard distance of the token sets (use ``add_jaccard_distance`` on large frames)."""
+    return _jaccard(F.array_distinct(X.tokens(X.clean_code(_c(a)))), F.array_distinct(X.tokens(X.clean_code(_c(b)))))
+
+
+def _jaccard(ta: Column, tb: Column) -> Column:
     inter = F.size(F.array_intersect(ta, tb))
     union = F.size(F.array_union(ta, tb))
     return (F.when((F.size(ta) == 0) & (F.size(tb) == 0), F.lit(0.0))
@@ -37,6 +40,13 @@ def token_jaccard_distance(a, b) -> Column:
             .otherwise(F.lit(1.0) - inter.cast("double") / union.cast("double")))
 
 
+def add_jaccard_distance(df: DataFrame, a: str, b: str, out: str = "jaccard_distance") -> DataFrame:
+    """Token sets are computed once per row in their own projection, then compared."""
+    staged = df.withColumn("_ta", F.array_distinct(X.tokens(X.clean_code(F.col(a))))) \
+               .withColumn("_tb", F.array_distinct(X.tokens(X.clean_code(F.col(b)))))
+    return staged.withColumn(out, _jaccard(F.col("_ta"), F.col("_tb"))).drop("_ta", "_tb")
+
+
 def tree_labels(code, cap: int = TREE_TOKENS) -> Column:
     toks = F.slice(X.tokens(X.clean_code(_c(code))), 1, cap)
     return F.transform(toks, lambda t: F.regexp_replace(t, "[^a-zA-Z0-9_]", "_"))
@@ -46,9 +56,9 @@ def _encode(labels: Column, alphabet: Column) -> Column:
     return F.array_join(F.transform(labels, lambda t: F.char(F.array_position(alphabet, t) + 64)), "")
 
 
-def tree_edit_distance(la: Column, lb: Column) -> Column:
+def tree_edit_distance(la: Column, lb: Column, alphabet: Column | None = None) -> Column:
     """Unit-cost edit distance between two flat token trees given their child labels."""
-    alphabet = F.array_distinct(F.concat(la, lb))
+    alphabet = alphabet if alphabet is not None else F.array_distinct(F.concat(la, lb))
     na, nb = F.size(la), F.size(lb)
     vs_empty = lambda n, other: F.when(F.array_contains(other, EMPTY_TREE), n).otherwise(n + 1)
     return (F.when((na == 0) & (nb == 0), F.lit(0))
@@ -57,11 +67,27 @@ def tree_edit_distance(la: Column, lb: Column) -> Column:
             .otherwise(F.levenshtein(_encode(la, alphabet), _encode(lb, alphabet))))
 
 
+def _normalise(dist: Column, wa: Column, wb: Column) -> Column:
+    avg_words = (wa + wb).cast("double") / 2.0
+    return F.when(avg_words == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), dist.cast("double") / F.greatest(avg_words, F.lit(1.0))))
+
+
 def token_tree_distance(a, b, cap: int = TREE_TOKENS) -> Column:
-    """Tree edit distance / mean word count, capped at 1; 0 when neither text has a word."""
-    dist = tree_edit_distance(tree_labels(a, cap), tree_labels(b, cap)).cast("double")
-    avg_words = (X.word_count(X.clean_code(_c(a))) + X.word_count(X.clean_code(_c(b)))).cast("double") / 2.0
-    return F.when(avg_words == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), dist / F.greatest(avg_words, F.lit(1.0))))
+    """Tree edit distance / mean word count, capped at 1 (use ``add_tree_distance`` on large frames)."""
+    return _normalise(tree_edit_distance(tree_labels(a, cap), tree_labels(b, cap)),
+                      X.word_count(X.clean_code(_c(a))), X.word_count(X.clean_code(_c(b))))
+
+
+def add_tree_distance(df: DataFrame, a: str, b: str, out: str = "ast_edit_distance", cap: int = TREE_TOKENS) -> DataFrame:
+    """Staged form: each text is cleaned and scanned once; labels and alphabet are columns
+    (a lambda body is not shared between elements, so it must only read columns)."""
+    staged = (df.withColumn("_ca", X.clean_code(F.col(a))).withColumn("_cb", X.clean_code(F.col(b)))
+              .withColumn("_la", tree_labels(F.col("_ca"), cap)).withColumn("_lb", tree_labels(F.col("_cb"), cap))
+              .withColumn("_wa", X.word_count(F.col("_ca"))).withColumn("_wb", X.word_count(F.col("_cb")))
+              .drop("_ca", "_cb")
+              .withColumn("_alpha", F.array_distinct(F.concat("_la", "_lb"))))
+    dist = tree_edit_distance(F.col("_la"), F.col("_lb"), F.col("_alpha"))
+    return staged.withColumn(out, _normalise(dist, F.col("_wa"), F.col("_wb"))).drop("_la", "_lb", "_wa", "_wb", "_alpha")
 
 
 def char_levenshtein(a, b) -> Column:
@@ -69,35 +95,47 @@ def char_levenshtein(a, b) -> Column:
 
 
 def token_tf_cosine(pairs: DataFrame, id_cols: list[str], left: str, right: str,
-                    out: str = "codebert_cosine_similarity") -> DataFrame:
+                    out: str = "codebert_cosine_similarity", carry: list[str] = ()) -> DataFrame:
     """Cosine of the token-count vectors of two texts, per pair; 0.0 if either has no token.
 
-    Tokens are exploded once per distinct pair; counts per (pair, token) are
-    combined map-side before the shuffle, so a long text costs its distinct
-    tokens.  Pairs are keyed by ``id_cols`` plus a hash of both texts, so
-    repeated keys with different texts stay apart.
+    One pass: each pair row becomes one row per token (side, token) – the
+    texts themselves never cross a shuffle – and counts per (pair, token)
+    are combined map-side before the exchange.  Pairs are keyed by
+    ``id_cols`` plus a hash of both texts; a repeated pair only scales both
+    count vectors by the same factor, which leaves the cosine unchanged.
+    ``carry`` columns (constant per pair) are kept through the aggregation;
+    ``pair_rows`` tells how many input rows held the pair.
     """
     key = [*id_cols, "_pk"]
-    keyed = pairs.withColumn("_pk", F.xxhash64(F.col(left), F.col(right)))
-    distinct = keyed.select(*key, left, right).dropDuplicates(key)
-    side = lambda col, tag: distinct.select(*key, F.lit(tag).alias("side"),
-                                            F.explode(X.tokens(X.clean_code(F.col(col)))).alias("token"))
-    toks = side(left, 0).unionByName(side(right, 1))
-    counts = toks.groupBy(*key, "token").agg(
-        F.count_if(F.col("side") == 0).cast("double").alias("l"),
-        F.count_if(F.col("side") == 1).cast("double").alias("r"))
-    sums = counts.groupBy(*key).agg(F.sum(F.col("l") * F.col("r")).alias("xy"),
+    carry = list(carry)
+    tl = X.tokens(X.clean_code(F.col(left)))
+    tr = X.tokens(X.clean_code(F.col(right)))
+    both = F.concat(F.transform(tl, lambda t: F.struct(F.lit(0).alias("side"), t.alias("token"))),
+                    F.transform(tr, lambda t: F.struct(F.lit(1).alias("side"), t.alias("token"))))
+    toks = (pairs.select(*id_cols, F.xxhash64(F.col(left), F.col(right)).alias("_pk"), *carry, both.alias("_b"))
+            .select(*key, *carry, F.greatest(F.size("_b"), F.lit(1)).alias("_ntok"), F.explode_outer("_b").alias("_t")))
+    counts = toks.groupBy(*key, F.col("_t")["token"].alias("token")).agg(
+        *[F.first(c).alias(c) for c in [*carry, "_ntok"]], F.count(F.lit(1)).alias("_c"),
+        F.count_if(F.col("_t")["side"] == 0).cast("double").alias("l"),
+        F.count_if(F.col("_t")["side"] == 1).cast("double").alias("r"))
+    sums = counts.groupBy(*key).agg(*[F.first(c).alias(c) for c in carry],
+                                    (F.sum("_c") / F.first("_ntok")).cast("long").alias("pair_rows"),
+                                    F.sum(F.col("l") * F.col("r")).alias("xy"),
                                     F.sum(F.col("l") * F.col("l")).alias("xx"),
                                     F.sum(F.col("r") * F.col("r")).alias("yy"))
     cos = F.try_divide(F.col("xy"), F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.sqrt("xx") * F.sqrt("yy")))
-    return (keyed.join(sums, key, "left")
-            .withColumn(out, F.coalesce(cos, F.lit(0.0))).drop("xy", "xx", "yy", "_pk"))
+    return sums.select(*id_cols, *carry, "pair_rows", F.coalesce(cos, F.lit(0.0)).alias(out))
 
 
 def code_similarity_table(pairs: DataFrame, id_cols: list[str], left: str = "LLM_response",
                           right: str = "student_response") -> DataFrame:
-    """Adds ``ast_edit_distance`` and ``codebert_cosine_similarity``; null texts read as ``nan``."""
+    """One row per input pair: ids, ``ast_edit_distance`` and ``codebert_cosine_similarity``.
+
+    Null texts read as ``nan``.  Each distinct pair is scored once.
+    """
     p = pairs.withColumn(left, F.coalesce(F.col(left), F.lit("nan"))) \
              .withColumn(right, F.coalesce(F.col(right), F.lit("nan")))
-    p = p.withColumn("ast_edit_distance", token_tree_distance(left, right))
-    return token_tf_cosine(p, id_cols, left, right)
+    p = add_tree_distance(p, left, right)
+    t = token_tf_cosine(p, id_cols, left, right, carry=["ast_edit_distance"])
+    # back to one row per input pair row (means over pairs count repeated pairs, as the source does)
+    return t.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.col("pair_rows")))).drop("_rep", "pair_rows")

@@ -68,7 +68,8 @@ def token_set_ops(spark, sf):
 
 @register("token_jaccard_distance", f"SELECT pair_id, round({O.jaccard('left_text', 'right_text')}, 6) AS jaccard_distance FROM text_pairs", TP)
 def token_jaccard_distance(spark, sf):
-    return _pairs(spark, sf).select("pair_id", r6(S.token_jaccard_distance("left_text", "right_text")).alias("jaccard_distance"))
+    j = S.add_jaccard_distance(_pairs(spark, sf), "left_text", "right_text")
+    return j.select("pair_id", r6("jaccard_distance").alias("jaccard_distance"))
 
 
 # DuckDB's levenshtein counts UTF-8 bytes, Spark's and the reference's count characters:
@@ -81,7 +82,8 @@ def char_levenshtein(spark, sf):
 @register("token_tree_distance", "SELECT pair_id, round(ast_edit_distance, 6) AS ast_edit_distance FROM ("
           + O.tree_distance_cte("text_pairs", "left_text", "right_text", "pair_id") + ")", TP)
 def token_tree_distance(spark, sf):
-    return _pairs(spark, sf).select("pair_id", r6(S.token_tree_distance("left_text", "right_text")).alias("ast_edit_distance"))
+    t = S.add_tree_distance(_pairs(spark, sf), "left_text", "right_text")
+    return t.select("pair_id", r6("ast_edit_distance").alias("ast_edit_distance"))
 
 
 @register("token_tf_cosine", "WITH " + O.tf_cosine_ctes("text_pairs", "pair_id", "left_text", "right_text")

@@ -37,5 +37,17 @@ def fixtures(spark: SparkSession, sf_dir: str) -> Fixtures:
     return Fixtures(spark, sf_dir)
 
 
-# import the query modules so that they register themselves
-from attemptlab.plans import queries_attempts, queries_grading, queries_prompts, queries_io, queries_ratings, queries_similarity, queries_testlet  # noqa: E402,F401
+def _load() -> None:
+    """Import the query modules; each registers its queries on import."""
+    from attemptlab.plans import (queries_attempts, queries_grading, queries_io, queries_prompts,  # noqa: F401
+                                  queries_ratings, queries_similarity, queries_testlet)
+
+
+def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    return dict(QUERIES)
+
+
+def all_oracles() -> dict[str, str]:
+    _load()
+    return dict(ORACLES)
