@@ -77,7 +77,11 @@ def first_mistake_and_fix(clean: DataFrame) -> DataFrame:
 
 
 def pair_first_responses(mf: DataFrame) -> DataFrame:
-    """Per (student, question): first mistake text and first correct text."""
+    """Per (student, question): first mistake text and first correct text (mixed groups only).
+
+    Works on the first-mistake/fix rows or on all attempts alike: ``min_by``
+    keeps the earliest text of each kind, partially aggregated map-side.
+    """
     key = F.struct("ts", "submission_id")
     return (mf.groupBy(*PAIR).agg(
         F.min_by("response", F.when(~F.col("is_perfect"), key)).alias("response_mistake"),
@@ -114,8 +118,10 @@ def derive_scenarios(submissions: DataFrame, questions: DataFrame) -> dict[str,
     """All scenario tables from a raw log and the catalogue (one DAG)."""
     clean = clean_submissions(submissions)
     merged = join_questions(clean, questions)
-    mf = join_questions(first_mistake_and_fix(clean), questions)
-    alignment = pair_first_responses(mf)
+    # the first mistake / first fix texts come straight from one partial aggregation over the
+    # merged rows: a group is mixed exactly when both texts exist (same result as going through
+    # first_mistake_and_fix, without its semi join and window)
+    alignment = pair_first_responses(merged)
     final = join_alignment(merged, alignment)
     latest = latest_per_pair(merged)
     return {

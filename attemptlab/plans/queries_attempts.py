@@ -21,7 +21,7 @@ class Flow:
         self.clean = A.clean_submissions(self.subs)
         self.merged = A.join_questions(self.clean, self.qs)
         self.mf = A.first_mistake_and_fix(self.clean)
-        self.alignment = A.pair_first_responses(A.join_questions(self.mf, self.qs))
+        self.alignment = A.pair_first_responses(self.merged)
         self.final = A.join_alignment(self.merged, self.alignment)
         self.latest = A.latest_per_pair(self.merged)
         self.s1 = A.first_per_question(self.latest)

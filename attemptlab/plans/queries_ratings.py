@@ -67,13 +67,15 @@ def rasch_update(spark, sf):
     return j.select("model", "student_id", "item_id", r6(th).alias("theta_new"), r6(z).alias("z_new"))
 
 
-@register("default_rating", _W + """SELECT r.model, r.student_id, r.item_id, round(coalesce(a.ability, 0.0), 6) AS theta
-FROM rows r LEFT JOIN (SELECT student_id, ability FROM ab WHERE model = 'A' AND student_id NOT LIKE '%7') a USING (student_id)""", EV)
+@register("default_rating", _W + """SELECT r.model, r.student_id, r.item_id, r.batch, round(coalesce(a.ability, 0.0), 6) AS theta
+FROM rows r LEFT JOIN (SELECT model, student_id, avg(y) AS ability FROM rows WHERE batch = 0 GROUP BY model, student_id) a
+  USING (model, student_id)""", EV)
 def default_rating(spark, sf):
+    # ratings known after the first batch; a student without first-batch rows starts at the default
     s = _stream(spark, sf)
-    ab, _ = _long(spark, sf)
-    known = ab.filter((F.col("model") == "A") & ~F.col("student_id").endswith("7")).select("student_id", "ability")
-    return s.join(known, "student_id", "left").select("model", "student_id", "item_id", r6(R.default_rating(F.col("ability"))).alias("theta"))
+    known = s.filter(F.col("batch") == 0).groupBy("model", "student_id").agg(F.avg("y").alias("ability"))
+    j = s.join(known, ["model", "student_id"], "left")
+    return j.select("model", "student_id", "item_id", "batch", r6(R.default_rating(F.col("ability"))).alias("theta"))
 
 
 def _elo_sql(n_batches: int) -> str:
