@@ -6,27 +6,68 @@ from pyspark.sql import functions as F
 
 from attemptlab.operators import attempts as A
 from attemptlab.plans.oracle_sql import ALIGN, CLEAN, LATEST, MERGED, MIXED, QS, S1, SUBS, ctes
-from attemptlab.registry import fixtures, register
+from functools import cached_property
+
+from attemptlab.registry import cached_flow, fixtures, register
 
 SV = ("submissions", "questions")
 
 
 class Flow:
-    """The scenario DAG over one fixture set (built lazily, shared by queries)."""
+    """The scenario DAG over one fixture set; each table is built on first use."""
+
+    def __new__(cls, spark, sf_dir):
+        return cached_flow(_Flow, spark, sf_dir)
 
+
+class _Flow:
     def __init__(self, spark, sf_dir):
-        fx = fixtures(spark, sf_dir)
-        self.subs = A.normalise_na(fx.submissions)
-        self.qs = A.normalise_na(fx.questions)
-        self.clean = A.clean_submissions(self.subs)
-        self.merged = A.join_questions(self.clean, self.qs)
-        self.mf = A.first_mistake_and_fix(self.clean)
-        self.alignment = A.pair_first_responses(self.merged)
-        self.final = A.join_alignment(self.merged, self.alignment)
-        self.latest = A.latest_per_pair(self.merged)
-        self.s1 = A.first_per_question(self.latest)
-        self.s3 = A.scenario3_filter(self.final)
-        self.s4 = A.scenario4_filter(self.final)
+        self.spark, self.sf_dir = spark, sf_dir
+        self.fx = fixtures(spark, sf_dir)
+
+    @cached_property
+    def subs(self):
+        return A.normalise_na(self.fx.submissions)
+
+    @cached_property
+    def qs(self):
+        return A.normalise_na(self.fx.questions)
+
+    @cached_property
+    def clean(self):
+        return A.clean_submissions(self.subs)
+
+    @cached_property
+    def merged(self):
+        return A.join_questions(self.clean, self.qs)
+
+    @cached_property
+    def mf(self):
+        return A.first_mistake_and_fix(self.clean)
+
+    @cached_property
+    def alignment(self):
+        return A.pair_first_responses(self.merged)
+
+    @cached_property
+    def final(self):
+        return A.join_alignment(self.merged, self.alignment)
+
+    @cached_property
+    def latest(self):
+        return A.latest_per_pair(self.merged)
+
+    @cached_property
+    def s1(self):
+        return A.first_per_question(self.latest)
+
+    @cached_property
+    def s3(self):
+        return A.scenario3_filter(self.final)
+
+    @cached_property
+    def s4(self):
+        return A.scenario4_filter(self.final)
 
 
 SUB_COLS = "submission_id, student_id, question_unittest_id, response_type, pass, response"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from attemptlab.operators import grading as G
 from attemptlab.operators import metrics as M
 from attemptlab.plans import oracle_sql as O
 from attemptlab.plans.queries_attempts import Flow
-from attemptlab.registry import fixtures, r6, register
+from attemptlab.registry import cached_flow, fixtures, r6, register
 
 SV = ("submissions", "questions")
 EV = ("submissions", "questions", "executions")
@@ -20,22 +20,58 @@ _SCEN = O.ctes(O.SUBS, O.QS, O.CLEAN, O.MERGED, O.MIXED, O.ALIGN, O.LATEST)
 _GRADE = _SCEN.rstrip() + ",\n" + ",\n".join([O.STUDENT, O.GRADED, O.DIGITS, O.JOINED]) + "\n"
 
 
-class MetricFlow(Flow):
-    """Scenario tables plus graded model results for scenarios 1-4."""
+class MetricFlow:
+    """Scenario tables plus graded model results for scenarios 1-4 (built on first use)."""
 
+    def __new__(cls, spark, sf_dir):
+        return cached_flow(_MetricFlow, spark, sf_dir)
+
+
+class _MetricFlow:
     def __init__(self, spark, sf_dir):
-        super().__init__(spark, sf_dir)
-        fx = fixtures(spark, sf_dir)
-        ex = fx.executions
+        self.base = Flow(spark, sf_dir)
+        self.fx = fixtures(spark, sf_dir)
+
+    def __getattr__(self, name):
+        return getattr(self.base, name)
+
+    @cached_property
+    def student(self):
         cols = ["student_id", "question_id", "pass", "question_unittests", "response"]
-        self.student = reduce(DataFrame.unionByName, [
-            t.select(F.lit(n).alias("scenario"), *cols) for n, t in ((2, self.latest), (3, self.s3), (4, self.s4))])
+        b = self.base
+        return reduce(DataFrame.unionByName, [
+            t.select(F.lit(n).alias("scenario"), *cols) for n, t in ((2, b.latest), (3, b.s3), (4, b.s4))])
+
+    @cached_property
+    def results(self):
+        ex = self.fx.executions
         models = ex.filter(F.col("model") != "R")
-        self.results = models.select(F.explode(F.array(*[F.lit(i) for i in (1, 2, 3, 4)])).alias("scenario"), *ex.columns)
-        self.graded = G.grade_exact_match(self.results)
-        self.student_results = ex.filter(F.col("model") == "R").select(F.lit(4).alias("scenario"), *ex.columns)
-        self.joined, self.valid = G.verify_results(self.graded, self.student)
-        self.completions = fx.completions
+        return models.select(F.explode(F.array(*[F.lit(i) for i in (1, 2, 3, 4)])).alias("scenario"), *ex.columns)
+
+    @cached_property
+    def graded(self):
+        return G.grade_exact_match(self.results)
+
+    @cached_property
+    def student_results(self):
+        ex = self.fx.executions
+        return ex.filter(F.col("model") == "R").select(F.lit(4).alias("scenario"), *ex.columns)
+
+    @cached_property
+    def _verified(self):
+        return G.verify_results(self.graded, self.student)
+
+    @property
+    def joined(self):
+        return self._verified[0]
+
+    @property
+    def valid(self):
+        return self._verified[1]
+
+    @property
+    def completions(self):
+        return self.fx.completions
 
 
 # --- text parsing -----------------------------------------------------------------

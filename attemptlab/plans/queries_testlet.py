@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from attemptlab.functions.vectors import fit_residuals
 from attemptlab.operators import stats as ST
 from attemptlab.operators import testlet as TL
-from attemptlab.registry import fixtures, r6, register
+from attemptlab.registry import cached_flow, fixtures, r6, register
 
 RV = ("responses",)
 EV = ("responses", "effects")
@@ -28,17 +30,44 @@ WE = "WITH " + _RESP + ",\n" + _EFF + "\n"
 
 
 class TFlow:
+    """Response-log tables and stand-in effects (built on first use)."""
+
+    def __new__(cls, spark, sf_dir):
+        return cached_flow(_TFlow, spark, sf_dir)
+
+
+class _TFlow:
     def __init__(self, spark, sf):
-        fx = fixtures(spark, sf)
-        self.resp = TL.split_testlet_item(fx.responses)
-        self.first = TL.first_attempt_only(self.resp)
-        self.latest = TL.latest_attempt_ties(self.resp)
-        e = fx.effects
-        self.eff_s = e.filter(F.col("level") == "student").select(F.col("id").cast("long").alias(S), "Estimate")
-        self.eff_i = e.filter(F.col("level") == "item").select(F.col("id").alias(I), "Estimate")
-        self.eff_t = e.filter(F.col("level") == "testlet").select(F.col("id").alias(TT), "Estimate")
-
-    @property
+        self.fx = fixtures(spark, sf)
+
+    @cached_property
+    def resp(self):
+        return TL.split_testlet_item(self.fx.responses)
+
+    @cached_property
+    def first(self):
+        return TL.first_attempt_only(self.resp)
+
+    @cached_property
+    def latest(self):
+        return TL.latest_attempt_ties(self.resp)
+
+    def _level(self, level):
+        return self.fx.effects.filter(F.col("level") == level)
+
+    @cached_property
+    def eff_s(self):
+        return self._level("student").select(F.col("id").cast("long").alias(S), "Estimate")
+
+    @cached_property
+    def eff_i(self):
+        return self._level("item").select(F.col("id").alias(I), "Estimate")
+
+    @cached_property
+    def eff_t(self):
+        return self._level("testlet").select(F.col("id").alias(TT), "Estimate")
+
+    @cached_property
     def pred(self):
         return TL.testlet_predict(self.first, self.eff_s, self.eff_i, self.eff_t)
 

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attemptlab.sources.fixtures import Fixtures, with_views
+from attemptlab.sources.fixtures import Fixtures, get_fixtures, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,7 +34,18 @@ def r6(c):
 
 
 def fixtures(spark: SparkSession, sf_dir: str) -> Fixtures:
-    return Fixtures(spark, sf_dir)
+    return get_fixtures(spark, sf_dir)
+
+
+_FLOWS: dict = {}
+
+
+def cached_flow(cls, spark: SparkSession, sf_dir: str):
+    """One lazily built flow object (DataFrame plans only, no data) per class, session and folder."""
+    key = (cls.__name__, id(spark._jsparkSession), sf_dir)
+    if key not in _FLOWS:
+        _FLOWS[key] = cls(spark, sf_dir)
+    return _FLOWS[key]
 
 
 def _load() -> None:

@@ -114,10 +114,36 @@ VIEWS = {
 VIEW_DEPS = {"effects": ["responses"]}
 
 
+_REGISTERED: dict[int, tuple[SparkSession, str]] = {}   # holds the session, so its id stays unique
+_BASE: dict[tuple[int, str, str], DataFrame] = {}
+
+
+def _sid(spark: SparkSession) -> int:
+    return id(spark._jsparkSession)
+
+
 def register_base_tables(spark: SparkSession, sf_dir: str) -> None:
-    """Register the driver's parquet tables as temp views (lazy scans)."""
+    """Register the driver's parquet tables as temp views (lazy scans), once per folder in a row."""
+    seen = _REGISTERED.get(_sid(spark))
+    if seen is not None and seen[0] is spark and seen[1] == sf_dir:
+        return
     for name in BASE_TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        key = (_sid(spark), sf_dir, name)
+        if key not in _BASE:
+            _BASE[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        _BASE[key].createOrReplaceTempView(name)
+    _REGISTERED[_sid(spark)] = (spark, sf_dir)
+
+
+_FIXTURES: dict[tuple[int, str], "Fixtures"] = {}
+
+
+def get_fixtures(spark: SparkSession, sf_dir: str) -> "Fixtures":
+    """One (plan-only) fixture set per session and folder."""
+    key = (_sid(spark), sf_dir)
+    if key not in _FIXTURES:
+        _FIXTURES[key] = Fixtures(spark, sf_dir)
+    return _FIXTURES[key]
 
 
 class Fixtures:
@@ -133,10 +159,11 @@ class Fixtures:
 
     def view(self, name: str) -> DataFrame:
         if name not in self._cache:
+            deps = {d: self.view(d) for d in VIEW_DEPS.get(name, [])}
             register_base_tables(self.spark, self.sf_dir)
-            for dep in VIEW_DEPS.get(name, []):
-                self.view(dep).createOrReplaceTempView(dep)
-            self._cache[name] = self.spark.sql(VIEWS[name])
+            for d, df in deps.items():
+                df.createOrReplaceTempView(d)
+            self._cache[name] = self.spark.sql(VIEWS[name])   # analysed now: later view swaps do not touch it
         return self._cache[name]
 
     def __getattr__(self, name: str) -> DataFrame:
