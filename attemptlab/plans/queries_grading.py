@@ -39,8 +39,13 @@ class _MetricFlow:
     def student(self):
         cols = ["student_id", "question_id", "pass", "question_unittests", "response"]
         b = self.base
-        return reduce(DataFrame.unionByName, [
-            t.select(F.lit(n).alias("scenario"), *cols) for n, t in ((2, b.latest), (3, b.s3), (4, b.s4))])
+        # scenarios 3 and 4 are two filters of the same aligned rows: one pass tags each row with
+        # the scenarios it belongs to (a row may be in both when mistake and fix texts are equal)
+        tags = F.filter(F.array(F.when(F.col("response") == F.col("response_mistake"), F.lit(3)),
+                                F.when(F.col("response") == F.col("response_correct"), F.lit(4))),
+                        lambda x: x.isNotNull())
+        s34 = b.final.select(F.explode(tags).alias("scenario"), *cols)
+        return b.latest.select(F.lit(2).alias("scenario"), *cols).unionByName(s34)
 
     @cached_property
     def results(self):
