@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from attemptlab.llm import exact_dedup, packing, url_filter
+from attemptlab.llm import (decontaminate, exact_dedup, language, minhash, packing, pii, toxicity, url_filter)
+from attemptlab.llm.common import held_fold
 from attemptlab.session import ensure_checkpoint_dir
 
 
@@ -19,6 +21,18 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated_pairs(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicate_groups(_table(spark, sf_dir, "documents"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_held_out(_table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"))
 
@@ -30,10 +44,27 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   public_tokenizers.PATTERN)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(held_fold("doc_id") != 0)
+    scored = toxicity.score_documents(docs, toxicity.fit(docs, labels))
+    return scored.select("doc_id", (held_fold("doc_id") == 0).alias("held_out"), F.col("toxic_score").alias("score"),
+                         (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_spans(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_decontamination": op2_decontamination,
+    "op3_minhash": op3_minhash,
+    "op4_language": op4_language,
     "op5_url_filter": op5_url_filter,
     "op6_packing": op6_packing,
+    "op8_toxicity": op8_toxicity,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {
