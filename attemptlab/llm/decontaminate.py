@@ -126,9 +126,9 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, least_tokens: int = 5,
     spot = F.explode(F.array(F.col("h").bitwiseAND(F.lit(low)), F.shiftright("h", 32).bitwiseAND(F.lit(low)))).alias("p")
     # at most 2 ** (_BITS - 6) rows of one 64-bit word
     filled = (seeds.select(spot).groupBy(F.shiftright("p", 6).alias("w"))
-              .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toPandas())
+              .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow())
     bitmap = np.zeros(1 << (_BITS - 6), np.uint64)
-    bitmap[filled["w"].to_numpy(np.int64)] = filled["bits"].to_numpy(np.int64).view(np.uint64)
+    bitmap[filled["w"].to_numpy()] = filled["bits"].to_numpy().view(np.uint64)
     shared = spark.sparkContext.broadcast(bitmap)
 
     def possible(h: np.ndarray) -> np.ndarray:

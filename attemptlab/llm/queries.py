@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attemptlab.llm import (decontaminate, exact_dedup, language, minhash, packing, pii, toxicity, url_filter)
+from attemptlab.llm import (decontaminate, exact_dedup, language, lm, minhash, packing, pii, substring, toxicity,
+                            url_filter)
 from attemptlab.llm.common import held_fold
 from attemptlab.session import ensure_checkpoint_dir
 
@@ -44,6 +45,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   public_tokenizers.PATTERN)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(substring.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").where(held_fold("doc_id") != 0)
@@ -52,6 +57,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_spans(_table(spark, sf_dir, "documents")))
 
@@ -63,7 +72,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language": op4_language,
     "op5_url_filter": op5_url_filter,
     "op6_packing": op6_packing,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_toxicity": op8_toxicity,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_pii": op10_pii,
 }
 

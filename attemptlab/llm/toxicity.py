@@ -28,6 +28,7 @@ WINDOW, STRIDE = 24, 12
 
 
 def split(text: str | None) -> list[str]:
+    """Lower-cased runs of word characters."""
     return _WORD.findall((text or "").lower())
 
 
@@ -334,14 +335,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 6000, sample_wind
     return net, slope, shift
 
 
-def score_documents(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``toxic_score`` (0 to 1, six places) for every row, in one pass.
+def score_documents(docs: DataFrame, model, text_col: str = "text", score_col: str = "toxic_score") -> DataFrame:
+    """All columns of ``docs`` and ``score_col`` (0 to 1, six places) for every row, in one pass.
 
     A null or empty text is one window of padding.  Repeated rows are scored one by one.
     """
     net, slope, shift = model
     if net is None:
-        return docs.withColumn("toxic_score", F.lit(round(float(_sigmoid(np.array(shift))), 6)))
+        return docs.withColumn(score_col, F.lit(round(float(_sigmoid(np.array(shift))), 6)))
     holder: dict = {}
 
     @F.pandas_udf("double")
@@ -351,7 +352,7 @@ def score_documents(docs: DataFrame, model, id_col: str = "doc_id", text_col: st
         reader = holder.setdefault("reader", Reader(net))
         if not len(texts):
             return pd.Series([], dtype="float64")
-        logit = np.concatenate([reader.logits(b) for b in _batches([None if t is None else t for t in texts.tolist()])])
+        logit = np.concatenate([reader.logits(b) for b in _batches(texts.tolist())])
         return pd.Series(np.round(_sigmoid(slope * logit + shift), 6))
 
-    return docs.withColumn("toxic_score", score(F.col(text_col)))
+    return docs.withColumn(score_col, score(F.col(text_col)))
