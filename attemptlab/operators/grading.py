@@ -68,8 +68,14 @@ def verify_results(graded: DataFrame, student: DataFrame) -> tuple[DataFrame, Da
     return joined, valid
 
 
-def question_tests(questions: DataFrame) -> DataFrame:
-    """question_id -> lenient-parsed tests; a later catalogue row wins (max_by on row order key)."""
+def question_tests(questions: DataFrame, order_col: str | None = None) -> DataFrame:
+    """question_id -> lenient-parsed tests, one row per id.
+
+    Of several catalogue rows with one id the last in the order of ``order_col`` wins; without an order column the
+    ids must be unique.
+    """
+    if order_col is not None:
+        questions = questions.groupBy("question_id").agg(F.max_by("question_unittests", order_col).alias("question_unittests"))
     return questions.select("question_id", X.parse_tests_lenient("question_unittests").alias("tests"))
 
 
@@ -84,10 +90,14 @@ def lookup_tests(completions: DataFrame, tests: DataFrame) -> DataFrame:
                     F.when(F.col("test_case_id").isNull(), "missing_tests").otherwise("ok").alias("lookup_status")))
 
 
-def lookup_template(completions: DataFrame, questions: DataFrame) -> DataFrame:
-    """Attach the question template (one per question id); missing -> ``missing_template``."""
-    t = questions.groupBy("question_id").agg(F.min("question_template").alias("question_template"))
-    return (completions.join(t, "question_id", "left")
+def question_templates(questions: DataFrame, order_col: str) -> DataFrame:
+    """question_id -> template of the first catalogue row in the order of ``order_col``."""
+    return questions.groupBy("question_id").agg(F.min_by("question_template", order_col).alias("question_template"))
+
+
+def lookup_template(completions: DataFrame, questions: DataFrame, order_col: str) -> DataFrame:
+    """Attach the template of the first catalogue row of the question; missing -> ``missing_template``."""
+    return (completions.join(question_templates(questions, order_col), "question_id", "left")
             .withColumn("template_status", F.when(F.col("question_template").isNull(), "missing_template").otherwise("ok")))
 
 

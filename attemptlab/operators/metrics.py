@@ -59,6 +59,26 @@ def mistake_alignment_rmse(joined: DataFrame) -> DataFrame:
     return question_mistake_rates(joined).groupBy(*GROUP).agg(F.sqrt(F.avg(d * d)).alias("value"))
 
 
+def verified_metrics(joined: DataFrame) -> DataFrame:
+    """Correctness alignment (scenarios from 2 on) and mistake RMSE (scenario 3), long, from one pass.
+
+    The joined rows are summed per question once; both metrics roll these few rows up.
+    """
+    zero = lambda c: F.count_if(F.col(c) == 0).cast("double")
+    both = F.col("correctness").isin(0, 1) & F.col("real_student_correctness").isin(0, 1)
+    each = joined.filter(F.col("scenario") >= 2).groupBy(*GROUP, "question_id").agg(
+        F.count(F.lit(1)).alias("_n"), zero("correctness").alias("_m0"), zero("real_student_correctness").alias("_s0"),
+        F.count_if(both).alias("_valid"),
+        F.count_if(both & (F.col("correctness") == F.col("real_student_correctness"))).alias("_same"))
+    gap = (F.col("_m0") - F.col("_s0")) / F.col("_n")
+    rolled = each.groupBy(*GROUP).agg(
+        F.try_divide(F.sum("_same").cast("double"), F.sum("_valid")).alias("_align"),
+        F.when(F.col("scenario") == 3, F.sqrt(F.avg(gap * gap))).alias("_rmse"))
+    return (rolled.select(*GROUP, F.stack(F.lit(2), F.lit(CORRECTNESS_ALIGNMENT), F.col("_align"),
+                                          F.lit(MISTAKE_ALIGNMENT), F.col("_rmse")).alias("metric", "value"))
+            .filter(F.col("value").isNotNull()))
+
+
 def efficiency_alignment(model_results: DataFrame, student_results: DataFrame) -> DataFrame:
     """Mean of student_time / model_time where both parse as numbers (a zero model time gives null)."""
     keys = [k for k in ["scenario"] if k in model_results.columns and k in student_results.columns] + G.KEYS3
@@ -86,10 +106,8 @@ def scenario_metrics(graded: DataFrame, student: DataFrame, pair_metrics: DataFr
     ``student_results``: optional student execution rows (scenario 4 efficiency).
     A scenario outside 1-4 raises, as in the reference.
     """
-    joined, valid = G.verify_results(graded, student)
-    parts = [_long(functional_correctness(graded), FUNCTIONAL_CORRECTNESS),
-             _long(correctness_alignment(valid.filter(F.col("scenario") >= 2)), CORRECTNESS_ALIGNMENT),
-             _long(mistake_alignment_rmse(joined.filter(F.col("scenario") == 3)), MISTAKE_ALIGNMENT)]
+    joined, _ = G.verify_results(graded, student)
+    parts = [_long(functional_correctness(graded), FUNCTIONAL_CORRECTNESS), verified_metrics(joined)]
     if student_results is not None:
         parts.append(_long(efficiency_alignment(graded.filter(F.col("scenario") == 4), student_results),
                            EFFICIENCY_ALIGNMENT))

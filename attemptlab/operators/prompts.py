@@ -27,9 +27,6 @@ BASE_INSTRUCTIONS = (
     "2. The last line of your output must be: ``` "
     "3. No extra characters, whitespace, or text may appear before the opening ```cpp or after the closing ```."
 )
-PROFILE_HEADER = "Student {sid} has the following performance across topics:\n"
-PROFILE_LINE = ("- For topic '{topic}', the unit test pass rate is {pass_rate}, "
-                "and the rate of passing all tests is {perfect}.\n")
 S2_INSTRUCTIONS = (
     "Provide ONLY your C++ implementation that will replace the {{ STUDENT_ANSWER }} block in the template. "
     "– Do NOT reproduce any part of the template "
@@ -93,10 +90,13 @@ def base_prompt(r=None) -> Column:
 
 
 def profile_prompt(student_id: Column, profile: Column) -> Column:
-    """Header plus one line per topic; rates printed with two decimals (half-even, like Python)."""
+    """Header plus one line per topic; rates printed with two decimals (half-even, like Python), unknown ones as nan."""
+    def rate(c):
+        return F.coalesce(F.format_number(c, 2), F.lit("nan"))
+
     lines = F.transform(profile, lambda t: cat(
-        "- For topic '", t["topic"], "', the unit test pass rate is ", F.format_number(t["pass_rate"], 2),
-        ", and the rate of passing all tests is ", F.format_number(t["perfect"], 2), ".\n"))
+        "- For topic '", t["topic"], "', the unit test pass rate is ", rate(t["pass_rate"]),
+        ", and the rate of passing all tests is ", rate(t["perfect"]), ".\n"))
     return cat("Student ", student_id.cast("string"), " has the following performance across topics:\n",
                F.coalesce(F.array_join(lines, ""), F.lit("")))
 

@@ -3,22 +3,17 @@
 Two forms of the rating fold (theta += K(y - p), z -= K(y - p), p logistic):
 
 * ``elo_minibatch`` – every row of a batch reads the ratings at the start of
-  the batch; deltas are summed per student and per item with two grouped
+  the batch; damped steps per student and per item come from two grouped
   aggregations.  Fully parallel; equals the sequential fold when no id
   repeats inside a batch.
-* ``elo_sequential`` – the exact ordered fold.  Rows are range-partitioned
-  into ordered chunks of bounded size and written once, partitioned by
-  chunk, to the shared checkpoint folder.  Chunks are folded one after the
-  other; each chunk is folded per model inside one Python task that only
-  receives that chunk's rows plus the current ratings of the ids it
-  touches, so no task holds more than one chunk.  Ratings live in a
-  distributed table that is checkpointed after every chunk.
+* ``elo_sequential`` – the exact ordered fold, for small data and as a check
+  of the other form only: an ordered fold cannot be spread over tasks, each
+  model's rows pass through one Python task, chunk after chunk.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 from functools import reduce
 
 import pandas as pd
@@ -28,7 +23,7 @@ from pyspark.sql import types as T
 
 from attemptlab.functions.vectors import logistic_p
 from attemptlab.operators import stats as ST
-from attemptlab.session import cut_lineage, ensure_checkpoint_dir
+from attemptlab.session import cut_lineage, drop_folder, scratch_folder
 
 # Learning rate and starting rating of the reference's update.
 K_DEFAULT = 0.4
@@ -45,10 +40,6 @@ def default_rating(c):
     return F.coalesce(c, F.lit(START_RATING))
 
 
-def _scratch(spark) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/attemptlab-{uuid.uuid4().hex}"
-
-
 def rating_stream(graded: DataFrame) -> DataFrame:
     """Graded rows -> (model, student_id, item_id, y) with item = question_test (rows without a test dropped)."""
     return graded.filter(F.col("test_case_id").isNotNull() & F.col("correctness").isNotNull()).select(
@@ -56,33 +47,47 @@ def rating_stream(graded: DataFrame) -> DataFrame:
         F.col("correctness").alias("y"))
 
 
-def elo_minibatch(stream: DataFrame, batch_col: str, group=("model",), K: float = K_DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """Batch-synchronous rating fold; returns (ability, difficulty) tables."""
+def elo_minibatch(stream: DataFrame, batch_col: str, batches: list, group=("model",), K: float = K_DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """Batch-synchronous rating fold over ``batches`` in the given order; returns (ability, difficulty) tables.
+
+    Every row of a batch reads the ratings at the start of the batch.  An id with n rows in the batch moves by
+    K * sum(y - p) / (1 + K * sum(p (1 - p)) (n - 1) / n): its single steps for n = 1, and for many rows a
+    step that is damped by the curvature, as the steps of an ordered fold damp each other; it cannot overshoot
+    however many rows a batch holds.  Choose the batches along the order of the fold (scenario, then time): more
+    of them come closer to it.  Rows of other batches than the listed ones are refused.
+    """
     spark = stream.sparkSession
     group = list(group)
     rows = stream.select(*group, batch_col, F.col("student_id").cast("string").alias("student_id"),
                          F.col("item_id").cast("string").alias("item_id"), F.col("y").cast("double").alias("y"))
-    # the batch ids are a small parameter-sized list
-    batches = [r[0] for r in rows.select(batch_col).distinct().orderBy(batch_col).collect()]
-    if len(batches) > 1:
-        path = _scratch(spark)
-        rows.write.partitionBy(batch_col).parquet(path)       # one folder per batch: each pass prunes to it
-        rows = spark.read.parquet(path)
+    known = F.col(batch_col).isin(list(batches))
+    rows = rows.filter(F.when(F.coalesce(known, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.concat(
+        F.lit("row of a batch that is not listed: "), F.coalesce(F.col(batch_col).cast("string"), F.lit("null")))).cast("boolean")))
+    path = scratch_folder(spark, "rating-batches")
+    rows.write.partitionBy(batch_col).parquet(path)       # one folder per batch: each pass prunes to it
+    kinds = rows.schema[batch_col].dataType.simpleString()
+    stored = spark.read.schema(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != batch_col)
+                               + f", {batch_col} {kinds}").parquet(path)
     ab_schema = ", ".join(f"{g} string" for g in group)
     ability = spark.createDataFrame([], f"{ab_schema}, student_id string, ability double")
     difficulty = spark.createDataFrame([], f"{ab_schema}, item_id string, difficulty double")
+
+    def steps(j: DataFrame, id_col: str) -> DataFrame:
+        damping = F.lit(1.0) + F.lit(K) * F.sum("_w") * (F.count(F.lit(1)) - 1) / F.count(F.lit(1))
+        return j.groupBy(*group, id_col).agg((F.lit(K) * F.sum("_e") / damping).alias("_d"))
+
     for b in batches:
-        cur = rows.filter(F.col(batch_col) == F.lit(b))
-        j = (cur.join(ability, [*group, "student_id"], "left").join(difficulty, [*group, "item_id"], "left"))
-        delta = F.lit(K) * (F.col("y") - logistic_p(default_rating(F.col("ability")), default_rating(F.col("difficulty"))))
-        j = j.withColumn("_d", delta)
-        ds = j.groupBy(*group, "student_id").agg(F.sum("_d").alias("_d"))
-        di = j.groupBy(*group, "item_id").agg(F.sum("_d").alias("_d"))
-        ability = (ability.join(ds, [*group, "student_id"], "full_outer")
-                   .select(*group, "student_id", (default_rating(F.col("ability")) + F.coalesce("_d", F.lit(0.0))).alias("ability")))
-        difficulty = (difficulty.join(di, [*group, "item_id"], "full_outer")
-                      .select(*group, "item_id", (default_rating(F.col("difficulty")) - F.coalesce("_d", F.lit(0.0))).alias("difficulty")))
-        ability, difficulty = cut_lineage(ability), cut_lineage(difficulty)
+        p = logistic_p(default_rating(F.col("ability")), default_rating(F.col("difficulty")))
+        j = (stored.filter(F.col(batch_col) == F.lit(b)).join(ability, [*group, "student_id"], "left")
+             .join(difficulty, [*group, "item_id"], "left")
+             .withColumn("_p", p).withColumn("_e", F.col("y") - F.col("_p")).withColumn("_w", F.col("_p") * (1 - F.col("_p"))))
+        ability = cut_lineage(
+            ability.join(steps(j, "student_id"), [*group, "student_id"], "full_outer")
+            .select(*group, "student_id", (default_rating(F.col("ability")) + F.coalesce("_d", F.lit(0.0))).alias("ability")))
+        difficulty = cut_lineage(
+            difficulty.join(steps(j, "item_id"), [*group, "item_id"], "full_outer")
+            .select(*group, "item_id", (default_rating(F.col("difficulty")) - F.coalesce("_d", F.lit(0.0))).alias("difficulty")))
+    drop_folder(spark, path)
     return ability, difficulty
 
 
@@ -121,7 +126,7 @@ def _fold_chunk(K: float):
 
 def elo_sequential(stream: DataFrame, order_cols: list[str], K: float = K_DEFAULT,
                    chunk_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
-    """Exact ordered fold per model over rows sorted by ``order_cols``; returns (ability, difficulty)."""
+    """Exact ordered fold per model over rows sorted by ``order_cols``, for small data; returns (ability, difficulty)."""
     spark = stream.sparkSession
     base = ["model", "student_id", "item_id", "y"]
     rows = stream.select(F.col("model").cast("string").alias("model"),
@@ -131,7 +136,7 @@ def elo_sequential(stream: DataFrame, order_cols: list[str], K: float = K_DEFAUL
     order = list(dict.fromkeys([*order_cols, "model", "student_id", "item_id"]))   # total order: ties broken by ids
     n = rows.count()
     n_chunks = max(1, math.ceil(n / chunk_rows))
-    path = _scratch(spark)
+    path = scratch_folder(spark, "rating-chunks")
     (rows.repartitionByRange(n_chunks, *order)
          .sortWithinPartitions(*order)
          .withColumn("_pos", F.monotonically_increasing_id())
@@ -151,7 +156,7 @@ def elo_sequential(stream: DataFrame, order_cols: list[str], K: float = K_DEFAUL
                                             F.lit(None).cast("string").alias("student_id"),
                                             F.lit(None).cast("string").alias("item_id"),
                                             F.lit(None).cast("double").alias("y"), "key", "rating")))
-        updated = recs.groupBy("model").applyInPandas(_fold_chunk(K), schema=_STATE_SCHEMA)
+        updated = cut_lineage(recs.groupBy("model").applyInPandas(_fold_chunk(K), schema=_STATE_SCHEMA))
         state = cut_lineage(state.join(updated, ["model", "rec", "key"], "left_anti").unionByName(updated))
     ability = state.filter(F.col("rec") == REC_STUDENT).select("model", F.col("key").alias("student_id"), F.col("rating").alias("ability"))
     difficulty = state.filter(F.col("rec") == REC_ITEM).select("model", F.col("key").alias("item_id"), F.col("rating").alias("difficulty"))

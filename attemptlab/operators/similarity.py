@@ -1,11 +1,13 @@
 """Code-pair distances and similarities, all as Spark expressions.
 
 * ``token_jaccard_distance`` – 1 - |A∩B| / |A∪B| over token sets.
-* ``token_tree_distance`` – the flat token tree (root ``program`` over the
-  first tokens) compared by unit-cost tree edit distance.  For two depth-1
-  trees with equal roots that distance is the edit distance of the child
-  label sequences, so each pair's labels are encoded as one character per
-  distinct label and compared with ``levenshtein``.
+* ``token_tree_distance`` – the flat token tree (root ``program`` over all
+  tokens of the text) compared by unit-cost tree edit distance.  For two
+  depth-1 trees with equal roots that distance is the edit distance of the
+  child label sequences, so each pair's labels are encoded as characters and
+  compared with ``levenshtein``.  Only equality across the two sides counts:
+  each label that both sides have gets a character of its own, all others of
+  a side share one.  (The source cuts the tree after 15 tokens; this does not.)
 * ``token_tf_cosine`` – cosine of token-count vectors, computed with
   explode + two aggregations (partial, map-side) instead of per-row loops.
 """
@@ -17,8 +19,6 @@ from pyspark.sql import functions as F
 
 from attemptlab.functions import text as X
 
-# Fixed value: the flat token tree keeps the first 15 tokens (reference setting).
-TREE_TOKENS = 15
 # Fixed value: label of the single node of an empty token tree.
 EMPTY_TREE = "empty"
 
@@ -47,47 +47,63 @@ def add_jaccard_distance(df: DataFrame, a: str, b: str, out: str = "jaccard_dist
     return staged.withColumn(out, _jaccard(F.col("_ta"), F.col("_tb"))).drop("_ta", "_tb")
 
 
-def tree_labels(code, cap: int = TREE_TOKENS) -> Column:
-    toks = F.slice(X.tokens(X.clean_code(_c(code))), 1, cap)
-    return F.transform(toks, lambda t: F.regexp_replace(t, "[^a-zA-Z0-9_]", "_"))
+def tree_labels(code) -> Column:
+    return F.transform(X.tokens(X.clean_code(_c(code))), lambda t: F.regexp_replace(t, "[^a-zA-Z0-9_]", "_"))
 
 
-def _encode(labels: Column, alphabet: Column) -> Column:
-    return F.array_join(F.transform(labels, lambda t: F.char(F.array_position(alphabet, t) + 64)), "")
+# characters that stand for a label which the other side does not have
+_ONLY_LEFT, _ONLY_RIGHT = "\u0001", "\u0002"
 
 
-def tree_edit_distance(la: Column, lb: Column, alphabet: Column | None = None) -> Column:
-    """Unit-cost edit distance between two flat token trees given their child labels."""
-    alphabet = alphabet if alphabet is not None else F.array_distinct(F.concat(la, lb))
+def _character(n: Column) -> Column:
+    """The n-th character from U+0101 on, leaving out the surrogate range: over a million distinct ones."""
+    code = n + F.lit(0x100) + F.when(n >= 0xD700, F.lit(0x800)).otherwise(F.lit(0))
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+
+def label_characters(common: Column, missing: str) -> Column:
+    """Character per position in ``common``, after the one for labels that are not in it."""
+    each = F.when(F.size(common) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(common), F.lit(1))), _character)) \
+        .otherwise(F.array().cast("array<string>"))
+    return F.concat(F.array(F.lit(missing)), each)
+
+
+def _encode(labels: Column, common: Column, characters: Column) -> Column:
+    return F.array_join(F.transform(labels, lambda t: F.element_at(characters, (F.array_position(common, t) + 1).cast("int"))), "")
+
+
+def _tree_edit(la: Column, lb: Column, ea: Column, eb: Column, most: Column) -> Column:
+    """Unit-cost edit distance of two flat token trees; null stands for more than ``most``."""
     na, nb = F.size(la), F.size(lb)
     vs_empty = lambda n, other: F.when(F.array_contains(other, EMPTY_TREE), n).otherwise(n + 1)
+    within = F.call_function("levenshtein", ea, eb, most)
     return (F.when((na == 0) & (nb == 0), F.lit(0))
             .when(na == 0, vs_empty(nb, lb))
             .when(nb == 0, vs_empty(na, la))
-            .otherwise(F.levenshtein(_encode(la, alphabet), _encode(lb, alphabet))))
-
-
-def _normalise(dist: Column, wa: Column, wb: Column) -> Column:
-    avg_words = (wa + wb).cast("double") / 2.0
-    return F.when(avg_words == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), dist.cast("double") / F.greatest(avg_words, F.lit(1.0))))
+            .when(within >= 0, within))
 
 
-def token_tree_distance(a, b, cap: int = TREE_TOKENS) -> Column:
-    """Tree edit distance / mean word count, capped at 1 (use ``add_tree_distance`` on large frames)."""
-    return _normalise(tree_edit_distance(tree_labels(a, cap), tree_labels(b, cap)),
-                      X.word_count(X.clean_code(_c(a))), X.word_count(X.clean_code(_c(b))))
+def add_tree_distance(df: DataFrame, a: str, b: str, out: str = "ast_edit_distance") -> DataFrame:
+    """Tree edit distance / mean word count, capped at 1.
 
-
-def add_tree_distance(df: DataFrame, a: str, b: str, out: str = "ast_edit_distance", cap: int = TREE_TOKENS) -> DataFrame:
-    """Staged form: each text is cleaned and scanned once; labels and alphabet are columns
-    (a lambda body is not shared between elements, so it must only read columns)."""
+    Each text is cleaned and scanned once; labels, common labels and their characters are columns (a lambda body
+    is evaluated per element, so it must only read columns).  Because the result is capped at 1, the edit distance
+    is only followed up to the mean word count.
+    """
     staged = (df.withColumn("_ca", X.clean_code(F.col(a))).withColumn("_cb", X.clean_code(F.col(b)))
-              .withColumn("_la", tree_labels(F.col("_ca"), cap)).withColumn("_lb", tree_labels(F.col("_cb"), cap))
-              .withColumn("_wa", X.word_count(F.col("_ca"))).withColumn("_wb", X.word_count(F.col("_cb")))
+              .withColumn("_la", tree_labels(F.col("_ca"))).withColumn("_lb", tree_labels(F.col("_cb")))
+              .withColumn("_avg", (X.word_count(F.col("_ca")) + X.word_count(F.col("_cb"))).cast("double") / 2.0)
               .drop("_ca", "_cb")
-              .withColumn("_alpha", F.array_distinct(F.concat("_la", "_lb"))))
-    dist = tree_edit_distance(F.col("_la"), F.col("_lb"), F.col("_alpha"))
-    return staged.withColumn(out, _normalise(dist, F.col("_wa"), F.col("_wb"))).drop("_la", "_lb", "_wa", "_wb", "_alpha")
+              .withColumn("_both", F.array_intersect("_la", "_lb"))
+              .withColumn("_xa", label_characters(F.col("_both"), _ONLY_LEFT))
+              .withColumn("_xb", label_characters(F.col("_both"), _ONLY_RIGHT))
+              .withColumn("_ea", _encode(F.col("_la"), F.col("_both"), F.col("_xa")))
+              .withColumn("_eb", _encode(F.col("_lb"), F.col("_both"), F.col("_xb"))))
+    scale = F.greatest(F.col("_avg"), F.lit(1.0))
+    dist = _tree_edit(F.col("_la"), F.col("_lb"), F.col("_ea"), F.col("_eb"), F.floor(scale).cast("int"))
+    value = F.when(F.col("_avg") == 0, F.lit(0.0)).otherwise(
+        F.coalesce(F.least(F.lit(1.0), dist.cast("double") / scale), F.lit(1.0)))
+    return staged.withColumn(out, value).drop("_la", "_lb", "_avg", "_both", "_xa", "_xb", "_ea", "_eb")
 
 
 def char_levenshtein(a, b) -> Column:

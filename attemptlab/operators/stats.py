@@ -5,7 +5,8 @@
 2. range-partition those rows by (group, value) so every task holds one
    contiguous slice of the order;
 3. running sums inside each slice plus the totals of all earlier slices
-   (a table of at most ``partitions x groups`` rows, broadcast).
+   (one row per slice and group it holds; joined, and broadcast only if its
+   measured size allows).
 No task ever sees more than one slice, however large a group is.
 """
 
@@ -37,8 +38,7 @@ def ordered_sums(df: DataFrame, group: list[str], value: str, measures: dict[str
     inside = Window.partitionBy("_slice", *group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.select("_slice", *group, value, *names,
                           *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"_in_{n}") for n in names])
-    # offsets has at most (#slices x #groups) rows: a proven bound, so it is broadcast
-    out = local.join(F.broadcast(offsets), ["_slice", *group], "inner")
+    out = local.join(offsets, ["_slice", *group], "inner")
     return out.select(*group, value, *names, *[(F.col(f"_in_{n}") + F.col(f"_off_{n}")).alias(f"{n}_before") for n in names])
 
 
@@ -59,11 +59,23 @@ def pearson_by(df: DataFrame, group: list[str], x: str, y: str, out: str) -> Dat
 
 
 def spearman_by(df: DataFrame, group: list[str], x: str, y: str, out: str, partitions: int | None = None) -> DataFrame:
-    """Pearson of tie-averaged ranks per group."""
+    """Pearson of tie-averaged ranks per group.
+
+    Rows are first combined to distinct value pairs with their counts, so a frequent value is no hot key.
+    """
+    pairs = df.groupBy(*group, x, y).agg(F.count(F.lit(1)).alias("_n"))
     rx = value_ranks(df, group, x, partitions).withColumnRenamed("avg_rank", "_rx")
     ry = value_ranks(df, group, y, partitions).withColumnRenamed("avg_rank", "_ry")
-    ranked = df.select(*group, x, y).join(rx, [*group, x]).join(ry, [*group, y])
-    return ranked.groupBy(*group).agg(pearson("_rx", "_ry").alias(out))
+    ranked = pairs.join(rx, [*group, x]).join(ry, [*group, y])
+    n, sx, sy = F.sum("_n"), F.sum(F.col("_n") * F.col("_rx")), F.sum(F.col("_n") * F.col("_ry"))
+    sums = ranked.groupBy(*group).agg(n.alias("n"), (sx / n).alias("mx"), (sy / n).alias("my"))
+    around = ranked.join(sums, group) if group else ranked.withColumns(
+        {c: sums.select(c).scalar() for c in ("mx", "my")})
+    dx, dy = F.col("_rx") - F.col("mx"), F.col("_ry") - F.col("my")
+    moments = around.groupBy(*group).agg(F.sum(F.col("_n") * dx * dx).alias("xx"), F.sum(F.col("_n") * dy * dy).alias("yy"),
+                                         F.sum(F.col("_n") * dx * dy).alias("xy"))
+    return moments.select(*group, F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.try_divide(
+        F.col("xy"), F.sqrt("xx") * F.sqrt("yy"))).alias(out))
 
 
 def roc_auc(df: DataFrame, score: str, label: str, group: list[str] = (), auto_direction: bool = False,
@@ -89,7 +101,10 @@ def roc_curve(df: DataFrame, score: str, label: str, group: list[str] = (), part
     s = ordered_sums(neg_score, group, "_neg_score", {"pos": (F.col(label) == 1).cast("long"),
                                                        "neg": (F.col(label) == 0).cast("long")}, partitions)
     tot = s.groupBy(*group).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    j = s.join(tot, group, "inner")
+    if extra:           # one group: its totals are scalars
+        j = s.withColumns({c: tot.select(c).scalar() for c in ("_P", "_N")})
+    else:
+        j = s.join(tot, group, "inner")
     keep = [g for g in group if g not in extra]
     return j.select(*keep, (-F.col("_neg_score")).alias("threshold"),
                     F.try_divide((F.col("neg_before") + F.col("neg")).cast("double"), F.col("_N")).alias("fpr"),
@@ -97,7 +112,7 @@ def roc_curve(df: DataFrame, score: str, label: str, group: list[str] = (), part
 
 
 def _grouped(df: DataFrame, group) -> tuple[DataFrame, list[str], list[str]]:
-    """Ungrouped statistics use one constant group key, so totals join on a key (never a cross join)."""
+    """Ungrouped statistics use one constant group key for the slices; their totals are scalars."""
     group = list(group)
     if group:
         return df, group, []

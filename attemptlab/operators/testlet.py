@@ -13,6 +13,7 @@ Item effects are logits of success: larger means easier, as in the source.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,10 +55,20 @@ def varying_items(latest: DataFrame) -> DataFrame:
             .filter(F.col("n_distinct_scores") >= 2))
 
 
-def response_matrix(latest: DataFrame, items: list[str] | None = None) -> DataFrame:
-    """Wide student x item score table over varying items (ties on T collapse by max)."""
+def response_matrix(latest: DataFrame) -> DataFrame:
+    """Student x item scores over varying items as sparse rows: ``scores`` = array of (item, score) by item.
+
+    Ties on T collapse by max.  One row per student whatever the number of items; nothing is collected.
+    """
     kept = latest.join(varying_items(latest).select(I), I, "left_semi")
-    return kept.groupBy(S).pivot(I, items).agg(F.max(Y))
+    return (kept.groupBy(S, I).agg(F.max(Y).alias("score")).groupBy(S)
+            .agg(F.array_sort(F.collect_list(F.struct(F.col(I).alias("item"), "score"))).alias("scores")))
+
+
+def response_matrix_wide(matrix: DataFrame, items: list[str]) -> DataFrame:
+    """One column per item of the given list, null where a student has no score."""
+    by_item = F.map_from_entries("scores")
+    return matrix.select(S, *[F.element_at(by_item, F.lit(i)).alias(i) for i in items])
 
 
 def _hash_key(c: Column, seed: int) -> Column:
@@ -72,12 +83,11 @@ def id_subset_groups(df: DataFrame, id_col: str, n_groups: int, seed: int = SEED
     """
     ids = df.select(F.col(id_col).alias("_id")).distinct().withColumn("_h", _hash_key(F.col("_id"), seed))
     ranks = ST.value_ranks(ids, [], "_h")
-    total = ids.agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.lit(0))
+    total = ids.agg(F.count(F.lit(1)).alias("_n")).scalar()
     # cut(seq_along(ids), breaks = n_groups) splits [1, N] into equal-width, right-closed intervals
     # (only the outer ends are widened), so the first one holds positions <= 1 + (N - 1) / n_groups
     bound = F.lit(1.0) + (F.col("_n") - 1) / float(n_groups)
-    first = (ids.join(ranks, "_h").withColumn("_k", F.lit(0))
-             .join(total, "_k")            # one-row table, equi-join on a constant key
+    first = (ids.join(ranks, "_h").withColumn("_n", total)
              .filter(F.col("avg_rank") <= bound).select(F.col("_id").alias(id_col)))
     return df.join(first, id_col, "left_semi")
 
@@ -168,16 +178,29 @@ def random_effects(u: DataFrame, info_col: str = "info", tau2: float = 1.0) -> D
             .withColumn("Q97.5", F.col("Estimate") + Z_95 * se))
 
 
+def level_slopes(rows: DataFrame, intercept: float, eff: dict[str, DataFrame], tau2: dict | None = None) -> DataFrame:
+    """(level, id, n, slope): derivative of the penalised log-likelihood at each effect, per row of that level."""
+    tau2 = {"student": 1.0, "item": 1.0, "testlet": 1.0, **(tau2 or {})}
+    p = testlet_predict(rows, eff["student"], eff["item"], eff["testlet"], intercept)
+    parts = []
+    for level, c in (("student", S), ("item", I), ("testlet", TT)):
+        g = p.groupBy(c).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(Y) - F.col("p_hat")).alias("_g"))
+        parts.append(eff[level].join(g, c).select(
+            F.lit(level).alias("level"), F.col(c).cast("string").alias("id"), "n",
+            ((F.col("_g") - F.col("Estimate") / tau2[level]) / F.col("n")).alias("slope")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --- model fit --------------------------------------------------------------------------
 
-def fit_testlet_model(train: DataFrame, tau2: dict | None = None, max_passes: int = 15, tol: float = 1e-4):
+def fit_testlet_model(train: DataFrame, tau2: dict | None = None, max_passes: int = 200, tol: float = 1e-4):
     """Penalised ML fit of intercept + student/item/testlet random intercepts.
 
-    Returns (intercept, {"student": df, "item": df, "testlet": df}) where each
+    Passes go on until no effect changes by ``tol`` or more; a fit that has not settled after ``max_passes``
+    raises instead of returning unfinished effects.  Returns (intercept, {"student": df, "item": df, "testlet": df}) where each
     effect table has (level id, Estimate, info, Est.Error, Q2.5, Q97.5).
     """
     tau2 = {"student": 1.0, "item": 1.0, "testlet": 1.0, **(tau2 or {})}
-    spark = train.sparkSession
     rows = split_testlet_item(train).select(S, I, TT, F.col(Y).cast("double").alias("y"))
     rows = cut_lineage(rows)
     keys = {"student": S, "item": I, "testlet": TT}
@@ -228,11 +251,12 @@ def fit_testlet_model(train: DataFrame, tau2: dict | None = None, max_passes: in
         change = max(deltas[0].unionByName(deltas[1]).unionByName(deltas[2]).agg(F.max("_d")).first()[0] or 0.0, abs(step))
         if change < tol:
             break
+    else:
+        raise RuntimeError(f"no convergence after {max_passes} passes: the last change was {change}")
     p = with_eta(b)
     out = {}
     for k, c in keys.items():
         info = p.groupBy(c).agg(F.sum(F.col("p") * (1 - F.col("p"))).alias("info"))
         out[k] = random_effects(eff[k].join(info, c, "left").withColumnRenamed("u", "Estimate")
                                 .withColumn("info", F.coalesce("info", F.lit(0.0))), tau2=tau2[k])
-    del spark
     return b, out

@@ -100,7 +100,18 @@ valid AS (SELECT * FROM joined WHERE correctness IN (0, 1) AND real_student_corr
 
 
 def labels(x: str) -> str:
-    return f"list_transform({tokens(clean_code(x))}[1:15], lambda t: regexp_replace(t, '[^a-zA-Z0-9_]', '_', 'g'))"
+    return f"list_transform({tokens(clean_code(x))}, lambda t: regexp_replace(t, '[^a-zA-Z0-9_]', '_', 'g'))"
+
+
+def list_levenshtein(a: str, b: str, common: str) -> str:
+    """Edit distance of two lists.  DuckDB's function compares bytes: every common element becomes one byte of its
+    own, the others of a side share one; more than 120 common elements are refused."""
+    def bytes_of(x, missing):
+        return (f"array_to_string(list_transform({x}, lambda t: chr(CAST(CASE WHEN list_position({common}, t) > 0 "
+                f"THEN list_position({common}, t) + 3 ELSE {missing} END AS INTEGER))), '')")
+
+    return (f"CASE WHEN len({common}) > 120 THEN CAST(error('more than 120 common elements') AS BIGINT) "
+            f"ELSE levenshtein({bytes_of(a, 1)}, {bytes_of(b, 2)}) END")
 
 
 def words(x: str) -> str:
@@ -115,9 +126,8 @@ FROM (SELECT {keep}, wa, wb,
         CASE WHEN len(la) = 0 AND len(lb) = 0 THEN 0
              WHEN len(la) = 0 THEN CASE WHEN list_contains(lb, 'empty') THEN len(lb) ELSE len(lb) + 1 END
              WHEN len(lb) = 0 THEN CASE WHEN list_contains(la, 'empty') THEN len(la) ELSE len(la) + 1 END
-             ELSE levenshtein(array_to_string(list_transform(la, lambda t: chr(CAST(list_position(alpha, t) + 64 AS INTEGER))), ''),
-                              array_to_string(list_transform(lb, lambda t: chr(CAST(list_position(alpha, t) + 64 AS INTEGER))), '')) END AS d
-      FROM (SELECT {keep}, la, lb, list_distinct(list_concat(la, lb)) AS alpha, wa, wb
+             ELSE {list_levenshtein('la', 'lb', 'common')} END AS d
+      FROM (SELECT {keep}, la, lb, list_intersect(list_distinct(la), list_distinct(lb)) AS common, wa, wb
             FROM (SELECT {keep}, {labels(a)} AS la, {labels(b)} AS lb, {words(a)} AS wa, {words(b)} AS wb FROM {src})))"""
 
 

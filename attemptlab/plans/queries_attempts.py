@@ -9,6 +9,8 @@ from attemptlab.plans.oracle_sql import ALIGN, CLEAN, LATEST, MERGED, MIXED, QS,
 from functools import cached_property
 
 from attemptlab.registry import cached_flow, fixtures, register
+from attemptlab.session import scratch_folder
+from attemptlab.sources import files
 
 SV = ("submissions", "questions")
 
@@ -73,14 +75,20 @@ class _Flow:
 SUB_COLS = "submission_id, student_id, question_unittest_id, response_type, pass, response"
 
 
-@register("scan_submissions", ctes(SUBS) + f"SELECT {SUB_COLS} FROM subs", SV)
+@register("scan_submissions", ctes(SUBS) + f"SELECT {SUB_COLS}, epoch_us(ts) AS ts_us FROM subs", SV)
 def scan_submissions(spark, sf):
-    return Flow(spark, sf).subs.select(*SUB_COLS.split(", "))
+    """Written as JSON lines (read in splits) and read back through the file reader."""
+    path = scratch_folder(spark, "submissions")
+    files.write_table(fixtures(spark, sf).submissions.withColumnRenamed("ts", "timestamp"), path, fmt="json")
+    return files.read_submissions(spark, path, fmt="json").select(*SUB_COLS.split(", "), F.unix_micros("ts").alias("ts_us"))
 
 
 @register("scan_questions", ctes(QS) + "SELECT * FROM qs", SV)
 def scan_questions(spark, sf):
-    return Flow(spark, sf).qs
+    """Written as CSV with quoted line breaks and read back through the file reader."""
+    path = scratch_folder(spark, "questions")
+    files.write_table(fixtures(spark, sf).questions, path, fmt="csv")
+    return files.read_questions(spark, path)
 
 
 @register("drop_incomplete", ctes(SUBS) + f"""SELECT {SUB_COLS} FROM subs

@@ -103,9 +103,10 @@ def parse_tests_lenient(spark, sf):
             .select("question_id", "pos", "t.unittest", "t.input", "t.output"))
 
 
-@register("question_tests", _LEN_BLOCKS, SV)
+@register("question_tests", _LEN_BLOCKS.replace(O.ctes(O.QS), "WITH qs AS (SELECT question_id, arg_max(question_unittests, row_no) "
+          "AS question_unittests FROM catalogue GROUP BY question_id)"), ("catalogue",))
 def question_tests(spark, sf):
-    t = G.question_tests(Flow(spark, sf).qs)
+    t = G.question_tests(fixtures(spark, sf).catalogue, "row_no")
     return (t.select("question_id", F.posexplode("tests").alias("pos", "t"))
             .select("question_id", "pos", "t.unittest", "t.input", "t.output"))
 

@@ -8,9 +8,9 @@ compares the persisted table with the oracle.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark import StorageLevel
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attemptlab.operators import grading as G
@@ -21,7 +21,7 @@ from attemptlab.plans.queries_grading import _GRADE, MetricFlow
 from attemptlab.plans.queries_ratings import _W, _long
 from attemptlab.plans.queries_similarity import _LONG, _metrics_long
 from attemptlab.registry import fixtures, r6, register
-from attemptlab.session import ensure_checkpoint_dir
+from attemptlab.session import cut_lineage, ensure_checkpoint_dir
 from attemptlab.sources import files
 
 SV = ("submissions", "questions")
@@ -38,34 +38,45 @@ def _scenarios(f: Flow) -> dict:
     return {"Scenario1": f.s1, "Scenario2": f.latest, "Scenario3": f.s3, "Scenario4": f.s4, "Questions": f.qs}
 
 
-@register("sink_scenarios", _SCEN + """SELECT 'Scenario1' AS name, count(*) AS n FROM s1 UNION ALL SELECT 'Scenario2', count(*) FROM latest
-UNION ALL SELECT 'Scenario3', count(*) FROM final WHERE response = response_mistake
-UNION ALL SELECT 'Scenario4', count(*) FROM final WHERE response = response_correct UNION ALL SELECT 'Questions', count(*) FROM qs""", SV)
+# every table with its row count and the sums of its numbers and text lengths
+_CONTENT = "SELECT '{name}' AS name, count(*) AS n, CAST(sum({id}) AS BIGINT) AS id_sum, CAST(sum(length({text})) AS BIGINT) AS chars FROM {src}"
+
+
+@register("sink_scenarios", _SCEN + " UNION ALL ".join(_CONTENT.format(name=n, id=i, text=t, src=src) for n, i, t, src in (
+    ("Scenario1", "submission_id", "response", "s1"), ("Scenario2", "submission_id", "response", "latest"),
+    ("Scenario3", "submission_id", "response || response_mistake", "final WHERE response = response_mistake"),
+    ("Scenario4", "submission_id", "response || response_correct", "final WHERE response = response_correct"),
+    ("Questions", "question_id", "question_template || question_unittests", "qs"))), SV)
 def sink_scenarios(spark, sf):
     root = _folder(spark)
     tables = _scenarios(Flow(spark, sf))
     files.sink_scenarios(tables, root)
-    parts = [spark.read.parquet(f"{root}/{n}_full_data").groupBy().count().select(F.lit(n).alias("name"), F.col("count").alias("n"))
-             for n in tables]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    text = {"Scenario3": ("submission_id", F.concat("response", "response_mistake")),
+            "Scenario4": ("submission_id", F.concat("response", "response_correct")),
+            "Questions": ("question_id", F.concat("question_template", "question_unittests"))}
+
+    def content(n):
+        i, t = text.get(n, ("submission_id", F.col("response")))
+        return spark.read.parquet(f"{root}/{n}_full_data").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(i).alias("id_sum"), F.sum(F.length(t)).cast("long").alias("chars")) \
+            .select(F.lit(n).alias("name"), "n", "id_sum", "chars")
+
+    return reduce(DataFrame.unionByName, [content(n) for n in tables])
 
 
-@register("scan_scenario", _SCEN + "SELECT submission_id, student_id, question_unittest_id, pass FROM final WHERE response = response_mistake", SV)
+@register("scan_scenario", _SCEN + "SELECT submission_id, student_id, question_unittest_id, pass, epoch_us(ts) AS ts_us, response FROM final WHERE response = response_mistake", SV)
 def scan_scenario(spark, sf):
     root = _folder(spark)
     f = Flow(spark, sf)
-    files.write_table(f.s3.drop("ts"), f"{root}/Scenario3_full_data", fmt="csv")
-    schema = f.s3.drop("ts").schema
-    back = files.read_table(spark, f"{root}/Scenario3_full_data", schema, fmt="csv")
-    return back.select("submission_id", "student_id", "question_unittest_id", "pass")
+    files.write_table(f.s3, f"{root}/Scenario3_full_data", fmt="csv")
+    back = files.read_table(spark, f"{root}/Scenario3_full_data", f.s3.schema, fmt="csv")
+    return back.select("submission_id", "student_id", "question_unittest_id", "pass", F.unix_micros("ts").alias("ts_us"), "response")
 
 
 @register("scan_cached", _SCEN + "SELECT submission_id, question_id, topic FROM merged", SV)
 def scan_cached(spark, sf):
-    m = Flow(spark, sf).merged.persist(StorageLevel.MEMORY_AND_DISK)
+    # held for reuse as files in the shared folder: no memory stays taken, no later query sees a cache
+    m = cut_lineage(Flow(spark, sf).merged.select("submission_id", "question_id", "topic"))
     return m.select("submission_id", "question_id", "topic")
 
 

@@ -11,6 +11,8 @@ from attemptlab.operators import prompts as P
 from attemptlab.plans import oracle_sql as O
 from attemptlab.plans.queries_attempts import Flow
 from attemptlab.registry import fixtures, register
+from attemptlab.session import scratch_folder
+from attemptlab.sources import files
 
 SV = ("submissions", "questions")
 
@@ -24,8 +26,8 @@ _PROF = """prof AS (SELECT student_id, topic,
   avg(CAST(length(pass) - length(replace(pass, '1', '')) AS DOUBLE)
       / nullif(CAST(len(regexp_extract_all(question_unittests, 'Unittest\\s+\\d+:')) AS DOUBLE), 0)) AS pass_rate,
   avg(CAST(is_perfect AS DOUBLE)) AS perfect FROM merged GROUP BY student_id, topic),
-proftext AS (SELECT student_id, string_agg('- For topic ''' || topic || ''', the unit test pass rate is ' || format('{:.2f}', pass_rate)
-  || ', and the rate of passing all tests is ' || format('{:.2f}', perfect) || '.' || chr(10), '' ORDER BY topic) AS lines
+proftext AS (SELECT student_id, string_agg('- For topic ''' || topic || ''', the unit test pass rate is ' || coalesce(format('{:.2f}', pass_rate), 'nan')
+  || ', and the rate of passing all tests is ' || coalesce(format('{:.2f}', perfect), 'nan') || '.' || chr(10), '' ORDER BY topic) AS lines
   FROM prof GROUP BY student_id),
 parsable AS (SELECT question_id FROM (
   SELECT question_id, unnest(string_split(question_unittests, 'Unittest')[2:]) AS block FROM qs)
@@ -190,15 +192,22 @@ def composite_id_only(spark, sf):
     return c.filter((F.instr("instance_id", "_") > 0) & (F.size(F.split("instance_id", "_")) == 2)).select("instance_id")
 
 
-@register("scan_completions_json", O.ctes(_COMP) + "SELECT student_id, question_id, model, text FROM comp", ("completions",))
+@register("scan_completions_json", O.ctes(_COMP) + "SELECT student_id, question_id, text FROM comp", ("completions",))
 def scan_completions_json(spark, sf):
-    from attemptlab.sources import files
+    """Written as completion documents (both shapes) and as one state per line, read back through the file reader."""
     c = fixtures(spark, sf).completions
-    # completion documents shaped like the JSON sink: one state per instance
-    states = c.select("model", F.struct(F.struct(F.col("instance_id").alias("id")).alias("instance"),
-                                        F.struct(F.array(F.struct(F.col("text").alias("text"))).alias("completions")).alias("result"))
-                      .alias("state"))
-    return files.explode_states(states, extra=["model"]).select("student_id", "question_id", "model", "text")
+    state = F.struct(F.struct(F.col("instance_id").alias("id")).alias("instance"),
+                     F.struct(F.array(F.struct(F.col("text").alias("text"))).alias("completions")).alias("result"))
+    docs, lines = scratch_folder(spark, "completion-documents"), scratch_folder(spark, "completion-states")
+    # one document per conversation group, of either shape
+    grouped = (c.filter(F.col("conv_id") % 2 == 0).withColumn("state", state)
+               .groupBy(F.floor(F.col("conv_id") / 20).alias("part")).agg(F.collect_list("state").alias("states"))
+               .select("part", F.when(F.col("part") % 2 == 0, F.to_json("states"))
+                       .otherwise(F.to_json(F.struct(F.col("states").alias("request_states")))).alias("value")))
+    grouped.write.partitionBy("part").text(docs)
+    c.filter(F.col("conv_id") % 2 != 0).select(state.alias("s")).select("s.*").write.json(lines)
+    read = files.read_completions_json(spark, f"{docs}/part=*").unionByName(files.read_completions_json(spark, lines, lines=True))
+    return read.select("student_id", "question_id", "text")
 
 
 @register("normalise_model_name", "SELECT DISTINCT model, regexp_replace(model, '^[^_]*_', '') AS model_name FROM completions", ("completions",))
@@ -225,7 +234,7 @@ def _extract_sql(t: str) -> str:
     blank = (f"list_transform({lines}, lambda l: CASE WHEN starts_with({O.strip('l')}, '#include') "
              f"OR starts_with({O.strip('l')}, 'using namespace') THEN '' ELSE l END)")
     joined = O.strip(f"array_to_string({blank}, chr(10))")
-    return f"CASE WHEN instr({joined}, 'int main') > 0 THEN {O.strip(f'split_part({joined}, {lit(chr(105) + 'nt main')}, 1)')} ELSE {joined} END"
+    return f"CASE WHEN instr({joined}, 'int main') > 0 THEN {O.strip(f'split_part({joined}, 'int main', 1)')} ELSE {joined} END"
 
 
 @register("extract_code", f"SELECT conv_id, turn, {_extract_sql('text')} AS code FROM completions", ("completions",))
@@ -248,51 +257,54 @@ def strip_cpp_fence(spark, sf):
 
 # --- test lookup and rendering ------------------------------------------------------------
 
-_LOOK = O.ctes(O.QS, _COMP) + r""", tests AS (
+_LOOK = O.ctes(_COMP) + r""", last_row AS (
+  SELECT question_id, arg_max(question_unittests, row_no) AS question_unittests FROM catalogue GROUP BY question_id),
+first_row AS (SELECT question_id, arg_min(question_template, row_no) AS question_template FROM catalogue GROUP BY question_id),
+tests AS (
 SELECT question_id, CAST(idx - 1 AS INTEGER) AS test_case_id,
   regexp_replace(replace(regexp_replace(regexp_extract(body, '(?s)^\s*Input:\s*(.*?)\s*Output:\s*(.*)$', 1), '^\s+|\s+$', '', 'g'), 'STD input:', ''), '^\s+|\s+$', '', 'g') AS testcode,
   regexp_replace(regexp_extract(body, '(?s)^\s*Input:\s*(.*?)\s*Output:\s*(.*)$', 2), '^\s+|\s+$', '', 'g') AS expected_output
 FROM (SELECT question_id, unnest(bodies) AS body, generate_subscripts(bodies, 1) AS idx
-      FROM (SELECT question_id, string_split_regex(question_unittests, 'Unittest\s*\d+:')[2:] AS bodies FROM qs)))
+      FROM (SELECT question_id, string_split_regex(question_unittests, 'Unittest\s*\d+:')[2:] AS bodies FROM last_row)))
 """
+LV = ("catalogue", "completions")
 
 
-def _lookup(spark, sf):
-    f = Flow(spark, sf)
-    return G.lookup_tests(_comp(spark, sf), G.question_tests(f.qs))
+def _lookup(spark, sf, comp=None):
+    cat = fixtures(spark, sf).catalogue
+    return G.lookup_tests(comp if comp is not None else _comp(spark, sf), G.question_tests(cat, "row_no"))
 
 
 @register("lookup_tests", _LOOK + """SELECT c.student_id, c.question_id, c.model, t.test_case_id, t.testcode, t.expected_output,
   CASE WHEN t.test_case_id IS NULL THEN 'missing_tests' ELSE 'ok' END AS lookup_status
-FROM comp c LEFT JOIN tests t USING (question_id)""", ("questions", "completions"))
+FROM comp c LEFT JOIN tests t USING (question_id)""", LV)
 def lookup_tests(spark, sf):
     return _lookup(spark, sf).select("student_id", "question_id", "model", "test_case_id", "testcode", "expected_output", "lookup_status")
 
 
 @register("failure_placeholder", _LOOK + """SELECT c.student_id, c.question_id, c.model FROM comp c
-WHERE c.question_id NOT IN (SELECT question_id FROM tests)""", ("questions", "completions"))
+WHERE c.question_id NOT IN (SELECT question_id FROM tests)""", LV)
 def failure_placeholder(spark, sf):
     return _lookup(spark, sf).filter(F.col("test_case_id").isNull()).select("student_id", "question_id", "model")
 
 
-@register("lookup_template", O.ctes(O.QS, _COMP) + """SELECT c.student_id, c.question_id, c.model, t.question_template,
+@register("lookup_template", _LOOK + """SELECT c.student_id, c.question_id, c.model, t.question_template,
   CASE WHEN t.question_template IS NULL THEN 'missing_template' ELSE 'ok' END AS template_status
-FROM comp c LEFT JOIN (SELECT question_id, min(question_template) AS question_template FROM qs GROUP BY question_id) t USING (question_id)""",
-          ("questions", "completions"))
+FROM comp c LEFT JOIN first_row t USING (question_id)""", LV)
 def lookup_template(spark, sf):
-    t = G.lookup_template(_comp(spark, sf), Flow(spark, sf).qs)
+    t = G.lookup_template(_comp(spark, sf), fixtures(spark, sf).catalogue, "row_no")
     return t.select("student_id", "question_id", "model", "question_template", "template_status")
 
 
-@register("render_submission", _LOOK + f""", tpl AS (SELECT question_id, min(question_template) AS question_template FROM qs GROUP BY question_id)
-SELECT c.student_id, c.question_id, c.model, t.test_case_id,
+@register("render_submission", _LOOK + f"""SELECT c.student_id, c.question_id, c.model, t.test_case_id,
   replace(replace(regexp_replace(regexp_replace(p.question_template, '\\{{\\{{\\s*TESTCASE\\.testcode\\s*\\}}\\}}', '{{{{ TESTCASE.testcode }}}}', 'g'),
                                  '\\{{\\{{\\s*STUDENT_ANSWER\\s*\\}}\\}}', '{{{{ STUDENT_ANSWER }}}}', 'g'),
                   '{{{{ TESTCASE.testcode }}}}', t.testcode),
           '{{{{ STUDENT_ANSWER }}}}', regexp_replace({_extract_sql("c.text")}, '^```cpp\\s*|\\s*```$', '', 'g')) AS cpp_code
-FROM comp c JOIN tests t USING (question_id) JOIN tpl p USING (question_id)""", ("questions", "completions"))
+FROM comp c JOIN tests t USING (question_id) JOIN first_row p USING (question_id)""", LV)
 def render_submission(spark, sf):
-    look = _lookup(spark, sf).filter(F.col("test_case_id").isNotNull())
-    tpl = Flow(spark, sf).qs.groupBy("question_id").agg(F.min("question_template").alias("question_template"))
-    rows = look.join(tpl, "question_id").withColumn("answer", X.extract_code("text"))
+    # the code is taken out of each completion once, before the tests multiply the rows
+    comp = _comp(spark, sf).withColumn("answer", X.extract_code("text")).drop("text")
+    look = _lookup(spark, sf, comp).filter(F.col("test_case_id").isNotNull())
+    rows = look.join(G.question_templates(fixtures(spark, sf).catalogue, "row_no"), "question_id")
     return G.render_submission(rows).select("student_id", "question_id", "model", "test_case_id", "cpp_code")

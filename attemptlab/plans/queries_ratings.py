@@ -13,11 +13,12 @@ from attemptlab.registry import fixtures, r6, register
 EV = ("executions",)
 MODELS = ["A", "N", "R"]
 TRUTH = "R"
+BATCHES = [0, 1, 2, 3]      # question groups, in the order in which they are rated
 
 _ROWS = """g AS (SELECT model, student_id, question_id, test_case_id,
   CASE WHEN coalesce(regexp_replace(stdout, '^\\s+|\\s+$', '', 'g') = expected_output, false) THEN 1 ELSE 0 END AS y FROM executions),
 rows AS (SELECT model, CAST(student_id AS VARCHAR) AS student_id, CAST(question_id AS VARCHAR) || '_' || CAST(test_case_id AS VARCHAR) AS item_id,
-  CAST(y AS DOUBLE) AS y, test_case_id AS batch, question_id, test_case_id FROM g),
+  CAST(y AS DOUBLE) AS y, question_id % 4 AS batch, question_id, test_case_id FROM g WHERE test_case_id IS NOT NULL),
 ab AS (SELECT model, student_id, avg(y) AS ability FROM rows GROUP BY model, student_id),
 di AS (SELECT model, item_id, 1 - avg(y) AS difficulty FROM rows GROUP BY model, item_id)"""
 _W = "WITH " + _ROWS + "\n"
@@ -27,7 +28,7 @@ def _stream(spark, sf):
     g = G.grade_exact_match(fixtures(spark, sf).executions)
     s = R.rating_stream(g)
     return s.select("model", F.col("student_id").cast("string").alias("student_id"), "item_id",
-                    F.col("y").cast("double").alias("y"), F.col("test_case_id").alias("batch"), "question_id", "test_case_id")
+                    F.col("y").cast("double").alias("y"), (F.col("question_id") % 4).alias("batch"), "question_id", "test_case_id")
 
 
 def _long(spark, sf):
@@ -82,14 +83,16 @@ def _elo_sql(n_batches: int) -> str:
     parts = [_ROWS,
              "ab0 AS (SELECT NULL::VARCHAR AS model, NULL::VARCHAR AS student_id, NULL::DOUBLE AS ability WHERE false)",
              "di0 AS (SELECT NULL::VARCHAR AS model, NULL::VARCHAR AS item_id, NULL::DOUBLE AS difficulty WHERE false)"]
+    step = "0.4 * sum(e) / (1 + 0.4 * sum(p * (1 - p)) * (count(*) - 1) / count(*))"
     for b in range(n_batches):
         parts.append(f"""j{b} AS (SELECT r.model, r.student_id, r.item_id,
-  0.4 * (r.y - 1 / (1 + exp(-(coalesce(a.ability, 0.0) - coalesce(d.difficulty, 0.0))))) AS d
+  r.y - 1 / (1 + exp(-(coalesce(a.ability, 0.0) - coalesce(d.difficulty, 0.0)))) AS e,
+  1 / (1 + exp(-(coalesce(a.ability, 0.0) - coalesce(d.difficulty, 0.0)))) AS p
   FROM rows r LEFT JOIN ab{b} a USING (model, student_id) LEFT JOIN di{b} d USING (model, item_id) WHERE r.batch = {b})""")
         parts.append(f"""ab{b + 1} AS (SELECT model, student_id, coalesce(a.ability, 0.0) + coalesce(s.d, 0.0) AS ability
-  FROM ab{b} a FULL OUTER JOIN (SELECT model, student_id, sum(d) AS d FROM j{b} GROUP BY model, student_id) s USING (model, student_id))""")
+  FROM ab{b} a FULL OUTER JOIN (SELECT model, student_id, {step} AS d FROM j{b} GROUP BY model, student_id) s USING (model, student_id))""")
         parts.append(f"""di{b + 1} AS (SELECT model, item_id, coalesce(a.difficulty, 0.0) - coalesce(s.d, 0.0) AS difficulty
-  FROM di{b} a FULL OUTER JOIN (SELECT model, item_id, sum(d) AS d FROM j{b} GROUP BY model, item_id) s USING (model, item_id))""")
+  FROM di{b} a FULL OUTER JOIN (SELECT model, item_id, {step} AS d FROM j{b} GROUP BY model, item_id) s USING (model, item_id))""")
     n = n_batches
     return ("WITH " + ",\n".join(parts) + f"""
 SELECT model, 'student' AS kind, student_id AS id, round(ability, 6) AS rating FROM ab{n}
@@ -103,14 +106,7 @@ def _ratings_long(ab, di):
 
 @register("elo_minibatch", _elo_sql(4), EV)
 def elo_minibatch(spark, sf):
-    ab, di = R.elo_minibatch(_stream(spark, sf), "batch")
-    return _ratings_long(ab, di)
-
-
-# exact ordered fold: no SQL form; tests/test_ratings.py compares it with a plain Python fold
-@register("elo_sequential")
-def elo_sequential(spark, sf):
-    ab, di = R.elo_sequential(_stream(spark, sf), ["batch", "question_id", "student_id"], chunk_rows=20_000)
+    ab, di = R.elo_minibatch(_stream(spark, sf), "batch", BATCHES)
     return _ratings_long(ab, di)
 
 

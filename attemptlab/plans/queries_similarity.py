@@ -72,9 +72,9 @@ def token_jaccard_distance(spark, sf):
     return j.select("pair_id", r6("jaccard_distance").alias("jaccard_distance"))
 
 
-# DuckDB's levenshtein counts UTF-8 bytes, Spark's and the reference's count characters:
-# no SQL oracle; tests/test_similarity.py checks it against a plain dynamic programme.
-@register("char_levenshtein")
+@register("char_levenshtein", f"""SELECT pair_id, CAST({O.list_levenshtein('a', 'b', 'common')} AS INTEGER) AS levenshtein
+FROM (SELECT pair_id, a, b, list_intersect(list_distinct(a), list_distinct(b)) AS common
+      FROM (SELECT pair_id, regexp_extract_all(left_text, '(?s).') AS a, regexp_extract_all(right_text, '(?s).') AS b FROM text_pairs))""", TP)
 def char_levenshtein(spark, sf):
     return _pairs(spark, sf).select("pair_id", S.char_levenshtein("left_text", "right_text").alias("levenshtein"))
 
@@ -109,7 +109,7 @@ _CODE_PAIRS = r"""comp AS (
          model, text FROM completions WHERE len(string_split(instance_id, '_')) = 2),
 code_pairs AS (
   SELECT s.scenario, c.model, c.student_id, c.question_id, c.text AS LLM_response, s.response AS student_response
-  FROM comp c JOIN student s ON c.student_id = s.question_id * 0 + s.student_id AND c.question_id = s.question_id)"""
+  FROM comp c JOIN student s ON c.student_id = s.student_id AND c.question_id = s.question_id)"""
 
 
 def _code_pairs(f: MetricFlow) -> DataFrame:

@@ -51,27 +51,36 @@ _STATE = T.StructType([
 ])
 STATES_DOC = T.StructType([T.StructField("request_states", T.ArrayType(_STATE))])
 STATES_LIST = T.ArrayType(_STATE)
+TIMESTAMP = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]"
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv") -> DataFrame:
-    """CSV (header, quoted multi-line fields) or Parquet with a fixed schema; NA tokens become null."""
+def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv", multi_line: bool = True) -> DataFrame:
+    """CSV with a header, JSON lines or Parquet with a fixed schema; NA tokens become null in every format.
+
+    Quoted CSV fields may hold line breaks, which makes a file one task; ``multi_line=False`` reads files without
+    such fields in splits.  JSON lines and Parquet are always read in splits: prefer them for large tables.
+    """
+    reader = spark.read.schema(schema)
     if fmt == "parquet":
-        return spark.read.schema(schema).parquet(path)
-    df = (spark.read.schema(schema).option("header", True).option("multiLine", True)
-          .option("quote", '"').option("escape", '"').option("nullValue", None).csv(path))
+        df = reader.parquet(path)
+    elif fmt == "json":
+        df = reader.option("timestampFormat", TIMESTAMP).json(path)
+    else:
+        df = (reader.option("header", True).option("multiLine", multi_line).option("timestampFormat", TIMESTAMP)
+              .option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path))
     return normalise_na(df)
 
 
-def read_submissions(spark, path, fmt="csv"):
-    return read_table(spark, path, SUBMISSION_SCHEMA, fmt).withColumnRenamed("timestamp", "ts")
+def read_submissions(spark, path, fmt="csv", multi_line=True):
+    return read_table(spark, path, SUBMISSION_SCHEMA, fmt, multi_line).withColumnRenamed("timestamp", "ts")
 
 
-def read_questions(spark, path, fmt="csv"):
-    return read_table(spark, path, QUESTION_SCHEMA, fmt)
+def read_questions(spark, path, fmt="csv", multi_line=True):
+    return read_table(spark, path, QUESTION_SCHEMA, fmt, multi_line)
 
 
-def read_responses(spark, path, fmt="csv"):
-    return read_table(spark, path, RESPONSE_LOG_SCHEMA, fmt)
+def read_responses(spark, path, fmt="csv", multi_line=False):
+    return read_table(spark, path, RESPONSE_LOG_SCHEMA, fmt, multi_line)
 
 
 def read_scenario_results(spark, root: str, fmt="parquet") -> DataFrame:
@@ -82,12 +91,20 @@ def read_scenario_results(spark, root: str, fmt="parquet") -> DataFrame:
     return normalise_na(reader.schema(EXECUTION_SCHEMA).option("header", True).csv(root))
 
 
-def read_completions_json(spark: SparkSession, path: str, scenario: int | None = None) -> DataFrame:
-    """Completion documents: ``{request_states: [...]}`` or a bare list of states, one file per document."""
-    raw = spark.read.text(path, wholetext=True)
-    states = F.coalesce(F.from_json("value", STATES_DOC)["request_states"], F.from_json("value", STATES_LIST))
-    doc = raw.select(F.input_file_name().alias("source"), F.explode(states).alias("state"))
-    return explode_states(doc, extra=["source"], scenario=scenario)
+def read_completions_json(spark: SparkSession, path: str, scenario: int | None = None, lines: bool = False) -> DataFrame:
+    """Completion documents: ``{request_states: [...]}`` or a bare list of states, one document per file.
+
+    A document that is neither fails the read and names its file.  ``lines=True`` reads one state per line, in
+    splits: the form for outputs too large for one document.
+    """
+    if lines:
+        doc = (spark.read.schema(_STATE).json(path)
+               .select(F.input_file_name().alias("source"), F.struct("instance", "result").alias("state")))
+        return explode_states(doc, extra=["source"], scenario=scenario)
+    raw = spark.read.text(path, wholetext=True).withColumn("source", F.input_file_name())
+    states = F.coalesce(F.from_json("value", STATES_DOC)["request_states"], F.from_json("value", STATES_LIST),
+                        F.raise_error(F.concat(F.lit("neither a document nor a list of states: "), "source")))
+    return explode_states(raw.select("source", F.explode(states).alias("state")), extra=["source"], scenario=scenario)
 
 
 def explode_states(df: DataFrame, extra: list[str] = (), scenario: int | None = None) -> DataFrame:
@@ -109,9 +126,10 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+        w.option("header", True).option("quote", '"').option("escape", '"').option("timestampFormat", TIMESTAMP) \
+            .option("quoteAll", True).csv(path)
     elif fmt == "json":
-        w.json(path)
+        w.option("timestampFormat", TIMESTAMP).json(path)
     else:
         w.parquet(path)
 

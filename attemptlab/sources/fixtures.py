@@ -3,7 +3,8 @@
 Each view is plain SQL that runs unchanged in Spark SQL and in DuckDB, so a
 query and its oracle start from identical inputs.  Every view reads whole
 tables; keys are spread with modular arithmetic so the derived tables keep
-realistic group sizes while growing with the scale factor.
+realistic group sizes while the numbers of students, attempts and results
+grow with the scale factor (one student per event user).
 """
 
 from __future__ import annotations
@@ -41,9 +42,24 @@ SELECT p_partkey AS question_id, p_size % 12 + 1 AS week, p_type AS topic, p_nam
 FROM part
 """
 
+# Catalogue as a file may hold it: rows in an order (row_no), some question ids twice with another template and
+# other tests, some not at all.
+CATALOGUE = """
+SELECT question_id AS row_no, question_id, question_template, question_unittests FROM questions WHERE question_id % 9 <> 4
+UNION ALL
+SELECT question_id + 1000000000 AS row_no, question_id, concat('// again', chr(10), question_template) AS question_template,
+  concat('Unittest 1: Input: again(', CAST(question_id AS STRING), ') Output: ', CAST(question_id AS STRING), chr(10),
+         'Unittest 2: Input: STD input: x Output: y') AS question_unittests
+FROM questions WHERE question_id % 9 <> 4 AND question_id % 5 = 2
+UNION ALL
+SELECT question_id - 1000000000 AS row_no, question_id, concat('zz ', question_template) AS question_template,
+  'Unittest 1: Input: old Output: old' AS question_unittests
+FROM questions WHERE question_id % 9 <> 4 AND question_id % 5 = 3
+"""
+
 # Response log of the testlet model (student, "testlet_item", 0/1 score, attempt order T).
 RESPONSES = """
-SELECT o.o_custkey % 200 AS StudentID_SF,
+SELECT o.o_custkey % (SELECT max(user_id) + 1 FROM events) AS StudentID_SF,
   concat(CAST(l.l_partkey % 30 AS STRING), '_', CAST(l.l_linenumber AS STRING)) AS ItemID_SF,
   CASE WHEN l.l_linenumber = 7 AND l.l_partkey % 30 = 0 THEN 1
        WHEN (o.o_custkey % 200) * 3 + (l.l_partkey % 30) * 5 + l.l_quantity * 20 > 900 THEN 1 ELSE 0 END AS ItemScore,
@@ -51,24 +67,36 @@ SELECT o.o_custkey % 200 AS StudentID_SF,
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 """
 
-# Execution results of three models, one row per (model, student, question, test case).
+# Execution results of three models, one row per (model, student, question, test case); some rows have no test
+# case, no output, a failed or no run time.
 EXECUTIONS = """
 SELECT model, student_id, question_id, CAST(test_case_id AS INTEGER) AS test_case_id,
   CAST(test_case_id + 1 AS STRING) AS expected_output,
-  CASE WHEN q % 10 = 0 THEN NULL WHEN q % 3 = 0 THEN 'x'
+  CASE WHEN q % 10 = 0 OR q % 13 = 0 THEN NULL WHEN q % 3 = 0 THEN 'x'
        ELSE concat(' ', CAST(test_case_id + 1 AS STRING), chr(10)) END AS stdout,
   CASE WHEN q % 20 = 0 THEN NULL WHEN q % 10 = 0 THEN 'fail' WHEN q % 17 = 0 THEN '0'
        ELSE concat(CAST(q AS STRING), '.25') END AS run_time
-FROM (SELECT l_returnflag AS model, l_suppkey % 150 AS student_id, l_partkey % 20 AS question_id,
-        l_linenumber % 4 AS test_case_id, CAST(max(l_quantity) AS BIGINT) AS q
-      FROM lineitem GROUP BY l_returnflag, l_suppkey % 150, l_partkey % 20, l_linenumber % 4) t
+FROM (SELECT model, student_id, question_id,
+        CASE WHEN question_id = 19 AND t4 = 3 THEN NULL ELSE t4 END AS test_case_id, q
+      FROM (SELECT l_returnflag AS model, l_orderkey % (SELECT max(user_id) + 1 FROM events) AS student_id,
+              l_partkey % 20 AS question_id, l_linenumber % 4 AS t4, CAST(max(l_quantity) AS BIGINT) AS q
+            FROM lineitem GROUP BY 1, 2, 3, 4) g) t
 """
 
-# Model completions keyed by "student_question" instance ids.
+# Model completions keyed by "student_question" instance ids: fenced (tagged or not), with headers, with a main
+# function, plain, or failed.
 COMPLETIONS = """
-SELECT concat(CAST(conv_id % 150 AS STRING), '_', CAST(turn % 20 AS STRING)) AS instance_id, conv_id, turn,
+SELECT concat(CAST(conv_id % (SELECT max(user_id) + 1 FROM events) AS STRING), '_', CAST(turn % 20 AS STRING)) AS instance_id,
+  conv_id, turn,
   CASE WHEN conv_id % 3 = 0 THEN 'acme_model-a' WHEN conv_id % 3 = 1 THEN 'acme_model-b' ELSE 'other_model_c' END AS model,
-  CASE WHEN conv_id % 11 = 5 THEN concat('ERROR: ', text) ELSE text END AS text
+  CASE WHEN conv_id % 11 = 5 THEN concat('ERROR: ', text)
+       WHEN conv_id % 9 = 1 THEN concat('```cpp', chr(10), text, chr(10), '```')
+       WHEN conv_id % 9 = 2 THEN concat('Answer:', chr(10), '```c++', chr(10), '#include <vector>', chr(10), '  using namespace std;',
+                                        chr(10), text, chr(10), 'print(1);', chr(10), '```', chr(10), 'Done.')
+       WHEN conv_id % 9 = 3 THEN concat('```', chr(10), text, chr(10), 'int main() { return 0; }', chr(10), '```')
+       WHEN conv_id % 9 = 4 THEN concat('void print() {}', chr(10), text, ' print(2)')
+       WHEN conv_id % 9 = 5 THEN concat('#include <map>', chr(10), text, chr(10), 'int main(){}')
+       ELSE text END AS text
 FROM conversations WHERE role = 'assistant'
 """
 
@@ -80,7 +108,10 @@ FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1
 
 # Conversation turn pairs (user prompt, assistant answer) as text pairs.
 TEXT_PAIRS = """
-SELECT u.conv_id AS pair_id, u.text AS left_text, a.text AS right_text
+SELECT u.conv_id AS pair_id, u.text AS left_text,
+  CASE WHEN u.conv_id % 6 = 1 THEN concat('cpp', chr(10), a.text) WHEN u.conv_id % 6 = 2 THEN concat('C++  ', chr(10), a.text)
+       WHEN u.conv_id % 6 = 3 THEN concat('#include <map>', chr(10), a.text) WHEN u.conv_id % 6 = 4 THEN concat(a.text, ' std::move(x);')
+       ELSE a.text END AS right_text
 FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
 WHERE u.role = 'user' AND a.role = 'assistant'
 """
@@ -103,6 +134,7 @@ FROM responses GROUP BY split_part(ItemID_SF, '_', 1)
 VIEWS = {
     "submissions": SUBMISSIONS,
     "questions": QUESTIONS,
+    "catalogue": CATALOGUE,
     "responses": RESPONSES,
     "executions": EXECUTIONS,
     "completions": COMPLETIONS,
@@ -111,7 +143,7 @@ VIEWS = {
     "effects": EFFECTS,
 }
 # views that read other views
-VIEW_DEPS = {"effects": ["responses"]}
+VIEW_DEPS = {"effects": ["responses"], "catalogue": ["questions"]}
 
 
 _REGISTERED: dict[int, tuple[SparkSession, str]] = {}   # holds the session, so its id stays unique

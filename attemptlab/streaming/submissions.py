@@ -3,15 +3,19 @@
 The reference reads its log once; a live course keeps appending attempts.
 This module applies the same batch operators to each new micro-batch of
 files (``readStream`` with the fixed schema, ``foreachBatch`` sink): every
-batch is cleaned, joined with the question catalogue and appended to a
-Parquet table partitioned by question, with the stream's progress kept in
-a checkpoint location under the shared folder.  The scenario tables are
+batch is cleaned, joined with the question catalogue and written to its own
+folder ``batch_id=N`` of a Parquet table, so a batch that is retried replaces
+what it wrote before.  The stream's progress is kept in a checkpoint location
+under the shared folder whose name depends on the sink only, so a restart
+goes on where it stopped.  The scenario tables are
 then derived from the accumulated table with the batch operators, because
 keep-first/keep-last over all history is not an append-only result.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 from attemptlab.operators import attempts as A
@@ -31,11 +35,11 @@ def start_ingest(spark: SparkSession, source_dir: str, questions: DataFrame, sin
     reader = spark.readStream.schema(SUBMISSION_SCHEMA)
     stream = (reader.option("header", True).option("multiLine", True).option("escape", '"').csv(source_dir)
               if fmt == "csv" else reader.parquet(source_dir))
-    ckpt = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/ingest-{abs(hash(sink_dir))}"
+    digest = hashlib.sha256(sink_dir.encode()).hexdigest()[:16]
+    ckpt = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/ingest-{digest}"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        (clean_batch(batch, questions).write.mode("append")
-         .partitionBy("question_unittest_id").parquet(sink_dir))
+        clean_batch(batch, questions).write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}")
 
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime="1 minute")
@@ -44,7 +48,7 @@ def start_ingest(spark: SparkSession, source_dir: str, questions: DataFrame, sin
 
 def scenarios_from_sink(spark: SparkSession, sink_dir: str, questions: DataFrame) -> dict[str, DataFrame]:
     """Scenario tables over everything ingested so far."""
-    merged = spark.read.parquet(sink_dir)
+    merged = spark.read.parquet(sink_dir).drop("batch_id")
     latest = A.latest_per_pair(merged)
     clean_cols = [c for c in merged.columns if c not in A.QUESTION_COLS or c == "question_id"]
     clean = merged.select(*[c for c in clean_cols if c != "question_id"])

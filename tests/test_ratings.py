@@ -3,6 +3,9 @@
 import math
 import random
 
+import numpy as np
+import pytest
+
 from attemptlab.operators import ratings as R
 
 K = 0.4
@@ -37,8 +40,31 @@ def test_sequential_equals_python(spark):
 
 def test_minibatch_size_one_equals_sequential(spark):
     rows, df = stream(spark, n=15, seed=3)
-    ab, di = R.elo_minibatch(df.filter("model = 'a'"), "seq")
+    ab, di = R.elo_minibatch(df.filter("model = 'a'"), "seq", list(range(15)))
     want_ab, want_di = python_fold([(m, s, i, y) for m, s, i, y, _ in sorted(rows, key=lambda r: r[4]) if m == "a"])
     got_ab = {(r.model, r.student_id): r.ability for r in ab.collect()}
     assert all(abs(got_ab[k] - v) < 1e-9 for k, v in want_ab.items())
     assert abs(sum(r.ability for r in ab.collect()) + sum(r.difficulty for r in di.collect())) < 1e-9
+
+
+def test_unlisted_batch_is_refused(spark):
+    _, df = stream(spark, n=5)
+    with pytest.raises(Exception, match="not listed"):
+        R.elo_minibatch(df, "seq", [0, 1])
+
+
+def test_minibatch_follows_the_ordered_fold(spark):
+    """Four batches on the fixture: no wider than the exact ratings, abilities in nearly the same order."""
+    from attemptlab.plans import queries_ratings as Q
+
+    rows = Q._stream(spark, "/root/testdata/sf0.01")
+    plain = sorted((r.batch, r.question_id, r.student_id, r.model, r.item_id, r.y) for r in rows.collect())
+    want_ab, want_di = python_fold([(m, s, i, y) for _, _, s, m, i, y in plain])
+    ab, di = R.elo_minibatch(rows, "batch", Q.BATCHES)
+    got_ab = {(r.model, r.student_id): r.ability for r in ab.collect()}
+    got_di = {(r.model, r.item_id): r.difficulty for r in di.collect()}
+    assert got_ab.keys() == want_ab.keys() and got_di.keys() == want_di.keys()
+    for got, want in ((got_ab, want_ab), (got_di, want_di)):
+        assert min(want.values()) <= min(got.values()) and max(got.values()) <= max(want.values())
+    keys = sorted(want_ab)
+    assert np.corrcoef([got_ab[k] for k in keys], [want_ab[k] for k in keys])[0, 1] >= 0.85
