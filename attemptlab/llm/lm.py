@@ -1,15 +1,17 @@
 """Language-model scores by a probabilistic suffix tree, next to a word unigram score.
 
-The tree predicts the bytes of a text: its words (A-Z lower-cased) joined by one space, then an end symbol, with
-start symbols before.  A context of up to ``DEPTH`` bytes becomes a state when its next-byte distribution
-diverges from that of the context without its oldest byte (likelihood-ratio test); the suffixes of a state are
-states too.  Distributions are smoothed by interpolation with the shorter state (Witten-Bell), and the longest
-state that is a suffix of the history scores the next byte.
-
-All counts are taken over all training documents by one pass with combining in the tasks and one aggregation.
-Divergences are computed by joins of adjacent levels.  Only the states that pass come to the driver, at most
-``most_states``, those with the largest divergence.  Word counts stay distributed: at most ``common_words``
-frequent words are broadcast, every other word of a text is joined with its count by hash.
+Symbols are tokens: the lower-cased words of a text and one end.  The root of the tree is the unigram
+distribution (unseen words are one symbol).  A context of one or two preceding words becomes a state when it is
+frequent enough and its next-token distribution diverges from that of the context without its oldest word
+(log-likelihood gain against a penalty per stored symbol); the shorter suffix of a state is a state too.
+Distributions are smoothed by absolute discounting: what is taken from the stored symbols goes to all others in
+proportion to the shorter state.  Each token is scored by the longest state that is a suffix of its history.
+
+Word counts are taken over all training documents and stay distributed: at most ``common_words`` frequent words
+are broadcast, every other word of a text is joined with its count by hash.  The next-token counts of each
+candidate context come from one more pass per context length, combined in the tasks before one aggregation.
+Only the model reaches the driver: at most ``most_contexts`` contexts per length and ``most_entries`` stored
+symbols, the most frequent ones (the counting itself covers all data).
 """
 
 from __future__ import annotations
@@ -17,230 +19,237 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attemptlab.llm.common import WordHash, held_fold, word_hashes, words
-from attemptlab.session import ensure_checkpoint_dir
+from attemptlab.llm.common import WordHash, held_fold, mix, word_hashes, words
+from attemptlab.session import scratch_folder
 
-DEPTH = 5
-_EDGE = 10          # start and end symbol: a line feed, which no word contains
-_CHUNK = 4_000_000
+_END = np.int64(-0x61C8864680B583EB)      # hash of the end token and, as a context, of the start of a text
+_CHUNK = 1_000_000
+_SHIFT = 20                               # packed (context number, symbol number)
+DISCOUNT = 0.75
 
 
-def symbols(text: str | None) -> np.ndarray:
-    """Bytes of the lower-cased words joined by spaces, between ``DEPTH`` start symbols and one end symbol."""
-    edge = bytes([_EDGE])
-    return np.frombuffer(edge * DEPTH + b" ".join(words(text, lower=True)) + edge, np.uint8)
+def tokens(held: WordHash, text: str | None) -> np.ndarray:
+    """Hashes of the lower-cased words and of the end."""
+    return np.append(word_hashes(held, words(text, lower=True)).view(np.int64), _END)
 
 
-def codes(data: np.ndarray) -> np.ndarray:
-    """For each symbol after the start: its ``DEPTH`` predecessors and itself, packed into one integer."""
-    n = len(data) - DEPTH
-    out = data[:n].astype(np.int64)
-    for j in range(1, DEPTH + 1):
-        out <<= 8
-        out |= data[j:j + n]
-    return out
+def contexts(hashes: np.ndarray, depth: int) -> np.ndarray:
+    """For each token the hash of the ``depth`` tokens before it; the start of the text stands before the first."""
+    before = np.concatenate([np.full(depth, _END), hashes[:-1]]).view(np.uint64)
+    key = before[depth - 1:].copy()
+    for k in range(1, depth):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + before[depth - 1 - k:len(before) - k])
+    return key.view(np.int64)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = WordHash()
-    tally: Counter = Counter()
-    grams: list[np.ndarray] = []
-    size = n_docs = 0
+def pair_context(older: np.ndarray, newer: np.ndarray) -> np.ndarray:
+    """Hash of a context of two words, as ``contexts`` makes it."""
+    with np.errstate(over="ignore"):
+        return mix(newer.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + older.view(np.uint64)).view(np.int64)
 
-    def rows(kind: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.astype(np.int64)),
-                                           pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
 
-    def flush_words() -> pa.RecordBatch:
-        out = rows(0, word_hashes(held, list(tally)).view(np.int64), np.fromiter(tally.values(), np.int64, len(tally)))
+def find(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Place of each value in the sorted keys, -1 if it is not there."""
+    if not len(keys):
+        return np.full(len(values), -1)
+    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+    return np.where(keys[at] == values, at, -1)
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, tally, n_docs = WordHash(), Counter(), 0
+
+    def rows() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(word_hashes(held, list(tally)).view(np.int64)),
+                                          pa.array(np.fromiter(tally.values(), np.int64, len(tally)))], names=["h", "n"])
         tally.clear()
         return out
 
     for batch in batches:
         for text in batch.column(0):
-            t = text.as_py()
+            tally.update(words(text.as_py(), lower=True))
             n_docs += 1
-            tally.update(words(t, lower=True))
-            grams.append(codes(symbols(t)))
-            size += len(grams[-1])
-            if size >= _CHUNK:
-                yield rows(1, *np.unique(np.concatenate(grams), return_counts=True))
-                grams, size = [], 0
             if len(tally) >= 400_000:
-                yield flush_words()
-    if grams:
-        yield rows(1, *np.unique(np.concatenate(grams), return_counts=True))
+                yield rows()
     if tally:
-        yield flush_words()
+        yield rows()
     if n_docs:
-        yield rows(2, np.zeros(1), np.array([n_docs]))
+        yield pa.RecordBatch.from_arrays([pa.array([int(_END)]), pa.array([n_docs])], names=["h", "n"])
 
 
-def count_corpus(train: DataFrame) -> tuple[DataFrame, str]:
-    """(kind, key, n): 0 words by hash, 1 byte contexts with next byte, 2 documents; written to the shared folder."""
-    spark = train.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/corpus-counts-{uuid4().hex}"
-    counted = train.select("text").mapInArrow(_count, "kind int, key long, n long") \
-        .groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    counted.write.parquet(path)
-    return spark.read.parquet(path), path
+@dataclass
+class Level:
+    """States of one context length: context hashes, back-off weights, stored (context, symbol) with log10 lift over the root."""
+    keys: np.ndarray
+    weight: np.ndarray
+    entries: np.ndarray
+    lift: np.ndarray
 
 
 @dataclass
 class Tree:
-    """States by context length: packed (context, next byte) with log10 probability, contexts with back-off weight."""
-    entries: list[np.ndarray]
-    logp: list[np.ndarray]
-    states: list[np.ndarray]
-    backoff: list[np.ndarray]
-
-    def score(self, code: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each code after its longest state."""
-        out = np.zeros(len(code))
-        todo = np.arange(len(code))
-        for depth in range(len(self.entries) - 1, 0, -1):
-            if not len(self.states[depth]) or not len(todo):
+    symbols: np.ndarray            # sorted hashes of the symbols that states may store
+    levels: list[Level]            # by context length, from one word on
+
+    def lift(self, hashes: np.ndarray, symbol: np.ndarray | None = None) -> np.ndarray:
+        """log10 of each token's probability after its longest state, less that of the root."""
+        symbol = find(self.symbols, hashes) if symbol is None else symbol
+        out = np.zeros(len(hashes))
+        for depth, level in enumerate(self.levels, 1):      # a longer state overrides, or passes on what is below
+            state = find(level.keys, contexts(hashes, depth))
+            at = np.flatnonzero(state >= 0)
+            if not len(at):
                 continue
-            c = code[todo] & ((1 << 8 * (depth + 1)) - 1)
-            at = np.minimum(np.searchsorted(self.entries[depth], c), len(self.entries[depth]) - 1)
-            seen = self.entries[depth][at] == c
-            out[todo[seen]] += self.logp[depth][at[seen]]
-            todo, c = todo[~seen], c[~seen] >> 8
-            at = np.minimum(np.searchsorted(self.states[depth], c), len(self.states[depth]) - 1)
-            out[todo] += np.where(self.states[depth][at] == c, self.backoff[depth][at], 0.0)
-        out[todo] += self.logp[0][code[todo] & 255]
+            place = find(level.entries, (state[at] << _SHIFT) | symbol[at])
+            place[symbol[at] < 0] = -1
+            out[at] = np.where(place >= 0, level.lift[place] if len(level.lift) else 0.0, out[at] + level.weight[state[at]])
         return out
 
 
-def build_tree(levels: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
-    """Tree from (packed context and next byte, count) per context length; contexts are closed under suffixes."""
-    tree = Tree([], [], [], [])
-    for depth, (code, n) in enumerate(levels):
-        order = np.argsort(code, kind="stable")
-        code, n = code[order].astype(np.int64), n[order].astype(float)
-        if depth == 0:
-            full = np.zeros(256)
-            full[code] = n
-            tree.entries.append(np.arange(256))
-            tree.logp.append(np.log10((full + 0.5) / (full.sum() + 128.0)))
-            tree.states.append(np.zeros(1, np.int64))
-            tree.backoff.append(np.zeros(1))
-            continue
-        states, place, kinds = np.unique(code >> 8, return_inverse=True, return_counts=True)
-        total = np.bincount(place, n, len(states))
-        shorter = 10 ** tree.score(code & ((1 << 8 * depth) - 1)) if len(code) else np.zeros(0)
-        tree.entries.append(code)
-        tree.logp.append(np.log10((n + kinds[place] * shorter) / (total + kinds)[place]))
-        tree.states.append(states)
-        tree.backoff.append(np.log10(kinds / (total + kinds)))
-    return tree
+def _count_next(tree, keys, depth: int):
+    """(packed context and symbol, n): tokens after each candidate context; symbol 0 stands for all untracked ones."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, parts, size = WordHash(), [], 0
+        symbols, wanted = tree.value.symbols, keys.value
 
+        def rows() -> pa.RecordBatch:
+            key, n = np.unique(np.concatenate(parts), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                h = tokens(held, text.as_py())
+                state = find(wanted, contexts(h, depth))
+                at = np.flatnonzero(state >= 0)
+                parts.append((state[at] << _SHIFT) | (find(symbols, h[at]) + 1))
+                size += len(at)
+                if size >= _CHUNK:
+                    yield rows()
+                    parts, size = [], 0
+        if size:
+            yield rows()
+
+    return run
+
+
+def _most(df: DataFrame, col: str, most: int, least: int = 1) -> int:
+    """Smallest power-of-two bound (``least`` or more) from which on ``col`` leaves at most ``most`` rows."""
+    steps = {r["p"]: r["v"] for r in df.where(F.col(col) >= least).groupBy(F.floor(F.log2(col) + 1e-9).cast("int").alias("p"))
+             .agg(F.count(F.lit(1)).alias("v")).collect()}
+    taken, bound = 0, 1 << 62
+    for p in sorted(steps, reverse=True):
+        if taken + steps[p] > most:
+            break
+        taken, bound = taken + steps[p], 1 << p
+    return max(bound, least)
 
-def fit_tree(grams: DataFrame, most_states: int = 1 << 16, per_kind: float = 1.5, least: float = 4.0) -> Tree:
-    """Tree of the contexts whose divergence from the shorter context passes the test.
 
-    ``grams`` has key (packed context and next byte) and n.  A context with k next bytes passes when the
-    log-likelihood gain over the shorter context is at least ``per_kind`` * k + ``least``.
+def _level(tree: Tree, keys: np.ndarray, entries: np.ndarray, counts: np.ndarray, totals: np.ndarray, parent: np.ndarray,
+           log_root: np.ndarray, per_symbol: float, least: float) -> Level:
+    """States among candidate contexts: discounted distributions and the divergence test.
+
+    ``entries`` are packed (context, symbol + 1) by context; ``parent`` is each candidate's state one level up
+    (-1 is the root); ``log_root`` the symbols' natural log probability at the root.
     """
-    spark = grams.sparkSession
-    ensure_checkpoint_dir(spark)
-    levels: list[DataFrame] = [grams.select(F.col("key").alias("code"), "n")]
-    for depth in range(DEPTH - 1, -1, -1):
-        mask = F.lit((1 << 8 * (depth + 1)) - 1)
-        shorter = levels[0].groupBy(F.col("code").bitwiseAND(mask).alias("code")).agg(F.sum("n").alias("n"))
-        levels.insert(0, shorter.checkpoint())
-    passed = None
-    for depth in range(1, DEPTH + 1):
-        totals = levels[depth - 1].groupBy(F.shiftright("code", 8).alias("parent")).agg(F.sum("n").alias("parent_total"))
-        parents = levels[depth - 1].select(F.col("code").alias("short"), F.col("n").alias("parent_n"),
-                                           F.shiftright("code", 8).alias("parent")).join(totals, "parent")
-        tested = (levels[depth].withColumn("short", F.col("code").bitwiseAND(F.lit((1 << 8 * depth) - 1)))
-                  .join(parents, "short").groupBy(F.shiftright("code", 8).alias("context"))
-                  .agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"),
-                       F.sum(F.col("n") * (F.log("n") - F.log("parent_n") + F.log("parent_total"))).alias("gain")))
-        ok = (tested.withColumn("gain", F.col("gain") - F.col("total") * F.log("total"))
-              .where(F.col("gain") >= per_kind * F.col("kinds") + least)
-              .select(F.lit(depth).alias("depth"), "context", "gain"))
-        passed = ok if passed is None else passed.union(ok)
-    got = passed.orderBy(F.desc("gain"), "depth", "context").limit(most_states).collect()
-    states: list[set[int]] = [set() for _ in range(DEPTH + 1)]
-    for r in got:
-        context = r["context"]
-        for depth in range(r["depth"], 0, -1):
-            states[depth].add(context & ((1 << 8 * depth) - 1))
-    found = []
-    for depth in range(DEPTH + 1):
-        rows = levels[depth]
-        if depth:
-            # at most most_states contexts of one length
-            own = spark.createDataFrame([(c,) for c in sorted(states[depth])], "context long")
-            rows = rows.join(F.broadcast(own), F.shiftright("code", 8) == own["context"], "left_semi")
-        table = rows.select("code", "n").toArrow()
-        found.append((table["code"].to_numpy(), table["n"].to_numpy()))
-    return build_tree(found)
-
-
-class Scorer:
-    """Scores codes through a table of recent ones (repeated text makes most lookups hits)."""
-
-    def __init__(self, tree: Tree, bits: int = 20):
-        self.tree, self.shift = tree, np.uint64(64 - bits)
-        self.key = np.full(1 << bits, -1, np.int64)
-        self.value = np.zeros(1 << bits)
-
-    def __call__(self, code: np.ndarray) -> np.ndarray:
-        slot = ((code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-        out = self.value[slot]
-        miss = np.flatnonzero(self.key[slot] != code)
-        if len(miss):
-            fresh, back = np.unique(code[miss], return_inverse=True)
-            value = self.tree.score(fresh)
-            out[miss] = value[back]
-            # one writer per slot: of codes that share it the last one stays, key and value together
-            where = slot[miss]
-            self.key[where] = code[miss]
-            self.value[where] = out[miss]
-        return out
+    owner, symbol = entries >> _SHIFT, (entries & ((1 << _SHIFT) - 1)) - 1
+    below = log_root[symbol]
+    if tree.levels:
+        up = tree.levels[-1]
+        place = find(up.entries, (parent[owner] << _SHIFT) | symbol)
+        lifted = np.where(place >= 0, up.lift[place] if len(up.lift) else 0.0, up.weight[np.maximum(parent[owner], 0)])
+        below = below + np.where(parent[owner] >= 0, lifted, 0.0) * np.log(10)
+    own = np.log((counts - DISCOUNT) / totals[owner])
+    kinds = np.bincount(owner, minlength=len(keys))
+    held = np.bincount(owner, counts, len(keys))
+    free = 1 - (held - DISCOUNT * kinds) / np.maximum(totals, 1)
+    rest = 1 - np.bincount(owner, np.exp(below), len(keys))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        weight = np.log(free) - np.log(np.maximum(rest, 1e-12))
+    gain = np.bincount(owner, counts * (own - below), len(keys)) + (totals - held) * weight
+    keep = (kinds > 0) & (totals > 0) & np.isfinite(gain) & (gain >= per_symbol * kinds + least)
+    number = np.cumsum(keep) - 1
+    mine = keep[owner]
+    return Level(keys[keep], weight[keep] / np.log(10), (number[owner[mine]] << _SHIFT) | symbol[mine],
+                 (own[mine] - log_root[symbol[mine]]) / np.log(10))
+
+
+def fit_tree(train: DataFrame, counts: DataFrame, n_train: int, scale: float, depth: int = 2, least_share: float = 1e-5,
+             most_contexts: int = 1 << 13, most_symbols: int = 1 << 16, most_entries: int = 1 << 19, least_count: int = 4,
+             per_symbol: float = 1.0, least: float = 8.0) -> Tree:
+    """Tree over contexts of up to ``depth`` words that occur in ``least_share`` of the training tokens or more.
+
+    ``counts`` has h, n (words and the end); the root gives a token the probability (n + 0.5) / ``scale``.  The
+    numbers of contexts per length, of symbols and of stored entries are bounded, the most frequent ones are kept.
+    """
+    sc = train.sparkSession.sparkContext
+    floor = max(least_count, int(least_share * n_train))
+    table = counts.where(F.col("n") >= _most(counts, "n", most_symbols, least_count)).toArrow().sort_by("h")
+    symbols, times = table["h"].to_numpy(), table["n"].to_numpy()
+    tree = Tree(symbols, [])
+    log_root = np.log((times + 0.5) / scale)
+    frequent = np.sort(np.argsort(-times, kind="stable")[:most_contexts])
+    keys, parent = symbols[frequent[times[frequent] >= floor]], None
+    for length in range(1, depth + 1):
+        if not len(keys):
+            break
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        parent = parent[order] if parent is not None else np.full(len(keys), -1)
+        shared, wanted = sc.broadcast(tree), sc.broadcast(keys)
+        path = scratch_folder(train.sparkSession, "next-counts")
+        (train.select("text").mapInArrow(_count_next(shared, wanted, length), "key long, n long")
+         .groupBy("key").agg(F.sum("n").alias("n")).write.parquet(path))
+        found = train.sparkSession.read.parquet(path)
+        sums = found.groupBy(F.shiftright("key", _SHIFT).alias("c")).agg(F.sum("n").alias("n")).toArrow()
+        totals = np.zeros(len(keys))
+        totals[sums["c"].to_numpy()] = sums["n"].to_numpy()
+        stored = found.where(F.col("key").bitwiseAND(F.lit((1 << _SHIFT) - 1)) > 0)
+        stored = stored.where(F.col("n") >= _most(stored, "n", most_entries, least_count)).toArrow().sort_by("key")
+        entries, n = stored["key"].to_numpy(), stored["n"].to_numpy().astype(float)
+        level = _level(tree, keys, entries, n, totals, parent, log_root, per_symbol, least)
+        # longer candidates: (older, newer) where the newer word is a state and the pair is frequent enough
+        kept = find(level.keys, keys)
+        older, newer = keys[entries >> _SHIFT], symbols[(entries & ((1 << _SHIFT) - 1)) - 1]
+        ahead = find(level.keys, newer)
+        good = np.flatnonzero((n >= floor) & (ahead >= 0) & (kept[entries >> _SHIFT] >= 0))
+        good = good[np.argsort(-n[good], kind="stable")[:most_contexts]]
+        keys, parent = pair_context(older[good], newer[good]), ahead[good]
+        tree.levels.append(level)
+        if length == 1 and depth > 2:
+            raise ValueError("contexts of more than two words are not supported")
+    return tree
 
 
-def _score(tree, common, scale: float):
+def _score(tree, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, scorer = WordHash(), Scorer(tree.value)
+        held = WordHash()
         keys, logs = common.value
         for batch in batches:
-            rids = batch.column(0).to_pylist()
+            rids = batch.column(0).to_numpy()
             at = 0
             while at < batch.num_rows:
-                parts, hashes, size = [], [], 0
-                first = at
-                while at < batch.num_rows and size < _CHUNK // 2:
-                    t = batch.column(2)[at].as_py()
-                    parts.append(codes(symbols(t)))
-                    hashes.append(word_hashes(held, words(t, lower=True)).view(np.int64))
-                    size += len(parts[-1])
+                first, parts, lifts, size = at, [], [], 0
+                while at < batch.num_rows and size < _CHUNK // 4:
+                    h = tokens(held, batch.column(2)[at].as_py())
+                    lifts.append(float(tree.value.lift(h).sum()))
+                    parts.append(h[:-1])
+                    size += len(h)
                     at += 1
                 rows = at - first
-                starts = np.cumsum([0, *map(len, parts)])[:-1]
-                score = np.add.reduceat(scorer(np.concatenate(parts)), starts)
-                n_words = np.fromiter(map(len, hashes), np.int64, rows)
-                flat = np.concatenate(hashes)
-                owner = np.repeat(np.arange(rows), n_words)
-                if len(keys):
-                    spot = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
-                    hit = keys[spot] == flat
-                else:
-                    spot, hit = np.zeros(len(flat), np.int64), np.zeros(len(flat), bool)
+                n_words = np.fromiter(map(len, parts), np.int64, rows)
+                flat, owner = np.concatenate(parts), np.repeat(np.arange(rows), n_words)
+                spot = find(keys, flat)
+                hit = spot >= 0
                 known = np.bincount(owner[hit], minlength=rows).astype(np.int64)
                 base = np.bincount(owner[hit], logs[spot[hit]], rows) if hit.any() else np.zeros(rows)
-                own = np.array(rids[first:at], np.int64)
-                yield _rows(1, own, own, n_words + 1, known, base, score)
+                own = rids[first:at]
+                yield _rows(1, own, own, n_words + 1, known, base, np.array(lifts), batch.column(1).slice(first, rows))
                 rare_owner, rare = owner[~hit], flat[~hit]
                 if len(rare):
                     order = np.lexsort((rare, rare_owner))
@@ -248,80 +257,61 @@ def _score(tree, common, scale: float):
                     new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
                     times = np.diff(np.append(np.flatnonzero(new), len(a)))
                     k = len(times)
-                    yield _rows(0, own[a[new]], b[new], times, np.zeros(k, np.int64), np.zeros(k), np.zeros(k))
+                    yield _rows(0, own[a[new]], b[new], times, np.zeros(k, np.int64), np.zeros(k), np.zeros(k),
+                                pa.nulls(k, batch.schema.field(1).type))
 
     return run
 
 
-def _rows(tag: int, rid, h, n, known, base, score) -> pa.RecordBatch:
+def _rows(tag: int, rid, h, n, known, base, lift, ids) -> pa.RecordBatch:
+    """Tag 1 is a document, tag 0 one of its words outside the broadcast table (without the document's id)."""
     return pa.RecordBatch.from_arrays(
         [pa.array(np.full(len(rid), tag, np.int32)), pa.array(rid), pa.array(h), pa.array(n), pa.array(known),
-         pa.array(base), pa.array(score)], names=["tag", "rid", "h", "n", "known", "base", "score"])
+         pa.array(base), pa.array(lift), ids], names=["tag", "rid", "h", "n", "known", "base", "lift", "doc_id"])
 
 
 def score_documents(docs: DataFrame, held_out_fold: int = 1, folds: int = 5, common_words: int = 1 << 20,
-                    most_states: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                    id_col: str = "doc_id", text_col: str = "text", **tree_options) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per input row.
 
     Tokens are the lower-cased words and one end per document.  A null text counts as empty: it has the end only.
-    Repeated rows are scored (and counted in training) one by one; without training documents every count is 0;
-    an empty table gives an empty result; other columns are ignored.
+    Repeated rows are scored (and counted in training) one by one; without training documents every count is 0
+    and the tree is its root; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
+    sc = spark.sparkContext
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    counts, _ = count_corpus(rows.where(held_fold("doc_id", folds) != held_out_fold))
-    totals = {r["kind"]: (r["n"], r["v"]) for r in
-              counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-    n_docs = totals.get(2, (0, 0))[0]
-    n_train = totals.get(0, (0, 0))[0] + n_docs
-    vocabulary = totals.get(0, (0, 0))[1] + (1 if n_docs else 0)
-    scale = n_train + 0.5 * (vocabulary + 1)
-    in_text = counts.where("kind = 0").select(F.col("key").alias("h"), F.col("n").alias("count"))
-
-    # the frequent words, by powers of two of their counts: at most common_words
-    steps = {r["p"]: r["v"] for r in in_text.groupBy(F.floor(F.log2("count") + 1e-9).cast("int").alias("p"))
-             .agg(F.count(F.lit(1)).alias("v")).collect()}
-    floor, taken = 64, 0
-    for p in sorted(steps, reverse=True):
-        if taken + steps[p] > common_words:
-            break
-        floor, taken = p, taken + steps[p]
-    top = in_text.where(F.floor(F.log2("count") + 1e-9) >= floor).toArrow().sort_by("h")
-    common = spark.sparkContext.broadcast((top["h"].to_numpy(), np.log10((top["count"].to_numpy() + 0.5) / scale)))
-    tree = spark.sparkContext.broadcast(fit_tree(counts.where("kind = 1"), most_states))
-
-    numbered = rows.withColumn("rid", F.monotonically_increasing_id())
-    parts = numbered.select("rid", "doc_id", "text").mapInArrow(
-        _with_ids(_score(tree, common, scale)), f"tag int, rid long, h long, n long, known long, base double, "
-        f"score double, doc_id {rows.schema['doc_id'].dataType.simpleString()}")
-    rare = in_text.where(F.floor(F.log2("count") + 1e-9) < floor).withColumn("tag", F.lit(0))
-    found = parts.join(rare, ["tag", "h"], "left")
+    train = rows.where(held_fold("doc_id", folds) != held_out_fold)
+    path = scratch_folder(spark, "word-counts")
+    train.select("text").mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).write.parquet(path)
+    counts = spark.read.parquet(path)
+    total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"),
+                       F.sum(F.when(F.col("h") == int(_END), F.col("n"))).alias("docs")).first()
+    n_train, n_docs = total["n"] or 0, total["docs"] or 0
+    scale = n_train + 0.5 * (total["v"] + 1)
+
+    in_text = counts.where(F.col("h") != int(_END)).select("h", F.col("n").alias("count"))
+    bound = _most(in_text, "count", common_words)
+    top = in_text.where(F.col("count") >= bound).toArrow().sort_by("h")
+    common = sc.broadcast((top["h"].to_numpy(), np.log10((top["count"].to_numpy() + 0.5) / scale)))
+    tree = sc.broadcast(fit_tree(train, counts, n_train, scale, **tree_options))
+
+    numbered = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+    parts = numbered.mapInArrow(_score(tree, common), "tag int, rid long, h long, n long, known long, base double, "
+                                f"lift double, doc_id {rows.schema['doc_id'].dataType.simpleString()}")
+    rare = in_text.where(F.col("count") < bound).withColumn("tag", F.lit(0))
     seen = F.coalesce("count", F.lit(0))
-    each = found.select(
-        "rid", "tag", "doc_id", "score",
-        F.when(F.col("tag") == 1, F.col("n")).otherwise(0).alias("n_tokens"),
-        F.when(F.col("tag") == 1, F.col("known")).when(seen > 0, F.col("n")).otherwise(0).alias("n_known"),
-        F.when(F.col("tag") == 1, F.col("base") + F.lit(float(np.log10((n_docs + 0.5) / scale))))
+    one = F.col("tag") == 1
+    each = parts.join(rare, ["tag", "h"], "left").select(
+        "rid", "doc_id", "lift", F.when(one, F.col("n")).otherwise(0).alias("n_tokens"),
+        F.when(one, F.col("known")).when(seen > 0, F.col("n")).otherwise(0).alias("n_known"),
+        F.when(one, F.col("base") + F.lit(float(np.log10((n_docs + 0.5) / scale))))
         .otherwise(F.col("n") * F.log10((seen + 0.5) / F.lit(float(scale)))).alias("base"))
     return (each.groupBy("rid").agg(
         F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"),
         (F.sum("n_known") + F.lit(1 if n_docs else 0)).alias("n_known"), F.sum("base").alias("base_score"),
-        F.sum("score").alias("score"))
+        F.sum("lift").alias("lift"))
         .select("doc_id", (held_fold("doc_id", folds) == held_out_fold).alias("held_out"),
                 F.col("n_tokens").cast("long"), F.col("n_known").cast("long"),
-                F.lit(int(n_train)).cast("long").alias("train_tokens"), "base_score", "score"))
-
-
-def _with_ids(score):
-    """The document ids go along with the document rows (tag 1) and are null on the word rows."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place = {r: i for i, r in enumerate(batch.column(0).to_pylist())}
-            for out in score(iter([batch])):
-                if out.column(0)[0].as_py() == 1:
-                    ids = batch.column(1).take(pa.array([place[r] for r in out.column(1).to_pylist()]))
-                else:
-                    ids = pa.nulls(out.num_rows, batch.schema.field(1).type)
-                yield pa.RecordBatch.from_arrays([*out.columns, ids], names=[*out.schema.names, "doc_id"])
-
-    return run
+                F.lit(int(n_train)).cast("long").alias("train_tokens"), "base_score",
+                (F.col("base_score") + F.col("lift")).alias("score")))

@@ -263,19 +263,34 @@ def test_base_score_matches_counts(docs, rows):
 
 
 def test_tree_is_a_distribution_and_beats_the_base(spark, docs, rows):
-    counts, _ = lm.count_corpus(docs)
-    tree = lm.fit_tree(counts.where("kind = 1"), most_states=500)
-    assert sum(len(s) for s in tree.states[1:]) > 100
-    for context in (b"\n\n\n\n\n", b" the ", b"zzzzz", b"ation"):
-        code = np.array([(int.from_bytes(context, "big") << 8) | b for b in range(256)], np.int64)
-        assert abs((10 ** tree.score(code)).sum() - 1) < 1e-9
-    for depth in range(2, lm.DEPTH + 1):        # suffixes of states are states
-        assert set((tree.states[depth] & ((1 << 8 * (depth - 1)) - 1)).tolist()) <= set(tree.states[depth - 1].tolist())
-    scorer = lm.Scorer(tree, bits=6)
-    code = np.concatenate([lm.codes(lm.symbols(t)) for _, t, _ in rows[:40]])
-    assert np.allclose(scorer(code), tree.score(code)) and np.allclose(scorer(code), tree.score(code))
-    got = [r for r in lm.score_documents(docs).collect() if r["held_out"]]
-    assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
+    from pyspark.sql import functions as F
+
+    train = docs.where("doc_id < 900")
+    counts = train.select("text").mapInArrow(lm._count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    got = counts.toArrow().sort_by("h")
+    h, n = got["h"].to_numpy(), got["n"].to_numpy()
+    scale = n.sum() + 0.5 * (len(h) + 1)
+    tree = lm.fit_tree(train, counts, int(n.sum()), scale)
+    assert len(tree.levels) == 2 and all(len(x.keys) > 5 for x in tree.levels)
+    # over every known token and the unseen one (hash 1), each state's distribution sums to one
+    every = np.append(h, 1)
+    root = np.append((n + 0.5) / scale, 0.5 / scale)
+    assert abs(root.sum() - 1) < 1e-9
+    held = lm.WordHash()
+    for context in (["de"], ["of", "the"], ["the"], ["no-such-word"], ["and", "the"]):
+        before = lm.word_hashes(held, [w.encode() for w in context]).view(np.int64)
+        total = sum(root[i] * 10 ** tree.lift(np.append(before, every[i]))[-1] for i in range(len(every)))
+        assert abs(total - 1) < 1e-6, context
+    got = lm.score_documents(docs).collect()
+    aside = [r for r in got if r["held_out"]]
+    assert sum(r["score"] for r in aside) > sum(r["base_score"] for r in aside)
+
+
+def test_contexts_of_two_words_are_found():
+    h = np.array([11, 12, 13, 12, 14], np.int64)
+    one, two = lm.contexts(h, 1), lm.contexts(h, 2)
+    assert one.tolist() == [int(lm._END), 11, 12, 13, 12]
+    assert two.tolist() == lm.pair_context(np.array([lm._END, lm._END, 11, 12, 13]), one).tolist()
 
 
 def test_scores_without_rows_or_training(spark):
