@@ -234,7 +234,8 @@ def _extract_sql(t: str) -> str:
     blank = (f"list_transform({lines}, lambda l: CASE WHEN starts_with({O.strip('l')}, '#include') "
              f"OR starts_with({O.strip('l')}, 'using namespace') THEN '' ELSE l END)")
     joined = O.strip(f"array_to_string({blank}, chr(10))")
-    return f"CASE WHEN instr({joined}, 'int main') > 0 THEN {O.strip(f'split_part({joined}, 'int main', 1)')} ELSE {joined} END"
+    before = O.strip(f"split_part({joined}, 'int main', 1)")
+    return f"CASE WHEN instr({joined}, 'int main') > 0 THEN {before} ELSE {joined} END"
 
 
 @register("extract_code", f"SELECT conv_id, turn, {_extract_sql('text')} AS code FROM completions", ("completions",))
