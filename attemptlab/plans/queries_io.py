@@ -70,7 +70,7 @@ def scan_scenario(spark, sf):
     f = Flow(spark, sf)
     files.write_table(f.s3, f"{root}/Scenario3_full_data", fmt="csv")
     back = files.read_table(spark, f"{root}/Scenario3_full_data", f.s3.schema, fmt="csv")
-    return back.select("submission_id", "student_id", "question_unittest_id", "pass", F.unix_micros("ts").alias("ts_us"), "response")
+    return back.select("submission_id", "student_id", "question_unittest_id", "pass", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "response")
 
 
 @register("scan_cached", _SCEN + "SELECT submission_id, question_id, topic FROM merged", SV)

@@ -52,6 +52,7 @@ _STATE = T.StructType([
 STATES_DOC = T.StructType([T.StructField("request_states", T.ArrayType(_STATE))])
 STATES_LIST = T.ArrayType(_STATE)
 TIMESTAMP = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]"
+PLAIN_TIMESTAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"      # for columns without a time zone
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv", multi_line: bool = True) -> DataFrame:
@@ -67,7 +68,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
         df = reader.option("timestampFormat", TIMESTAMP).json(path)
     else:
         df = (reader.option("header", True).option("multiLine", multi_line).option("timestampFormat", TIMESTAMP)
-              .option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path))
+              .option("timestampNTZFormat", PLAIN_TIMESTAMP).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path))
     return normalise_na(df)
 
 
@@ -127,9 +128,9 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
         w.option("header", True).option("quote", '"').option("escape", '"').option("timestampFormat", TIMESTAMP) \
-            .option("quoteAll", True).csv(path)
+            .option("timestampNTZFormat", PLAIN_TIMESTAMP).option("quoteAll", True).csv(path)
     elif fmt == "json":
-        w.option("timestampFormat", TIMESTAMP).json(path)
+        w.option("timestampFormat", TIMESTAMP).option("timestampNTZFormat", PLAIN_TIMESTAMP).json(path)
     else:
         w.parquet(path)
 
