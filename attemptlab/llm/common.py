@@ -10,6 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attemptlab.session import scratch_folder
+
 #: ASCII white space as every contract of this package defines it: space and the code points 9 to 13.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -33,7 +35,7 @@ def words(text: str | None, lower: bool = False) -> list[bytes]:
 
 
 def word_hashes(held: WordHash, items: list[bytes]) -> np.ndarray:
-    return np.fromiter((held[w] for w in items), np.uint64, len(items))
+    return np.fromiter(map(held.__getitem__, items), np.uint64, len(items))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -62,6 +64,13 @@ def held_fold(id_col: str | Column, folds: int = 5) -> Column:
     return F.pmod(F.crc32(F.encode(F.coalesce(c.cast("string"), F.lit("")), "UTF-8")), F.lit(folds))
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: made once however often it is used, safe from lost executors."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def map_rows(df: DataFrame, fn: Callable[..., Iterator[dict[str, list]]], schema: str, rows: int = 2000) -> DataFrame:
     """``mapInArrow`` with ``fn(columns...)`` called on at most ``rows`` rows; ``fn`` yields dicts of columns."""
     from pyspark.sql.types import StructType

@@ -68,7 +68,7 @@ def _signed(docs: DataFrame, size: int, bands: int, rows: int, signature: int) -
 
     def sign(rids: pa.Array, ids: pa.Array, texts: pa.Array) -> Iterator[dict[str, list]]:
         if not state:
-            state.update(held=WordHash(), family=Family(bands * rows),
+            state.update(held=WordHash(), family=Family(max(bands * rows, signature)),
                          salt=mix(np.arange(1, bands + 1, dtype=np.uint64)))
         out: dict[str, list] = {k: [] for k in ("n_shingles", "set_a", "set_b", "bands", "signature")}
         for text in texts:
@@ -82,7 +82,7 @@ def _signed(docs: DataFrame, size: int, bands: int, rows: int, signature: int) -
                 out["signature"].append(b"")
                 continue
             minima = state["family"].minima(items)
-            grid = minima.reshape(bands, rows).astype(np.uint64)
+            grid = minima[:bands * rows].reshape(bands, rows).astype(np.uint64)
             key = state["salt"].copy()
             for c in range(rows):
                 key = mix(key + grid[:, c] * np.uint64(0x9E3779B97F4A7C15))
@@ -109,13 +109,11 @@ def _agreement(a: Column, b: Column) -> Column:
     return share(a, b)
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) of representatives whose full shingle sets reach ``percent``.
 
-    Only the texts of documents that occur in a pair are moved; a pair's two texts meet in one row.
+    ``texts`` (doc_id, text) holds the representatives that occur in buckets; a pair's two texts meet in one row.
     """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text")
     both = (pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
             .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b"))
     kind = pairs.schema["a"].dataType.simpleString()
@@ -187,16 +185,17 @@ def _rooted(df: DataFrame, roots: DataFrame, col: str, name: str) -> DataFrame:
     return df.join(r, col, "left").withColumn(name, F.coalesce("__root", col)).drop("__root")
 
 
-def near_duplicate_groups(docs: DataFrame, size: int = 4, percent: int = 80, bands: int = 45, rows: int = 6,
-                          signature: int = 128, least_agreement: float = 0.55, block: int = 64,
+def near_duplicate_groups(docs: DataFrame, size: int = 4, percent: int = 80, bands: int = 32, rows: int = 5,
+                          signature: int = 256, least_agreement: float = 0.72, block: int = 512,
                           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row.
 
     Words are runs without ASCII white space, A-Z lower-cased; a document's set holds its distinct ``size``-word
     shingles, or its whole word sequence when shorter; a null text or one without words has an empty set and no
     links.  Documents are linked when 100 * intersection >= ``percent`` * union; component_id is the smallest id
-    reachable.  With the default bands a pair at 0.8 fails to meet with a probability of about 1e-6; the
-    signature (mean agreement 0.8, deviation 0.035) drops pairs far below.  Repeated rows of one id get one row
+    reachable.  With the default bands a pair at 0.8 fails to meet with a probability of about 3e-6; its
+    signature agrees in 0.8 of the bytes (deviation 0.025), and the bound lies more than three deviations below.
+    Repeated rows of one id get one row
     each and belong to the same component; a null id is a group of its own.  Other columns are ignored.
     """
     whole = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -204,14 +203,20 @@ def near_duplicate_groups(docs: DataFrame, size: int = 4, percent: int = 80, ban
     full = signed.where("n_shingles > 0 and doc_id is not null")
 
     classes = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    reps = full.join(classes.select(F.col("rep").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"])
-    lone = reps.select("doc_id", "n_shingles", "signature", F.explode("bands").alias("band"))
-    # buckets with one member never go on; rows are counted per task before the shuffle
-    leaders = (lone.groupBy("band").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last"))
-               .where("leader <> last").select("band", "leader"))
-    members = _cut(lone.select("band", "doc_id", "n_shingles").join(leaders, "band"))
-
-    sizes = reps.select("doc_id", "n_shingles", "signature").dropDuplicates(["doc_id"])
+    reps = _cut(full.join(classes.select(F.col("rep").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"])
+                .select("doc_id", "n_shingles", "signature", "bands"))
+    lone = reps.select("doc_id", F.posexplode("bands").alias("slot", "band"))
+    # buckets with one member never go on; rows are combined in the tasks before the shuffle
+    leaders = (lone.groupBy("slot", "band").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last"))
+               .where("leader <> last").select("slot", "band", "leader"))
+    members = _cut(lone.join(leaders, ["slot", "band"]))
+
+    stars = _cut(members.where("doc_id <> leader").groupBy(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
+                 .agg(F.count(F.lit(1)).alias("shared")))
+    ends = stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    # only documents that share a bucket are moved, once, with what all later comparisons need
+    texts = _cut(whole.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    sizes = _cut(reps.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
     def promising(pairs: DataFrame) -> DataFrame:
         """Pairs that the sizes and the signatures allow."""
@@ -222,30 +227,27 @@ def near_duplicate_groups(docs: DataFrame, size: int = 4, percent: int = 80, ban
             .where(F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b"))
         return s.where(_agreement(F.col("sig_a"), F.col("sig_b")) >= least_agreement).select("a", "b")
 
-    stars = members.where("doc_id <> leader").groupBy(F.col("leader").alias("a"), F.col("doc_id").alias("b")) \
-        .agg(F.count(F.lit(1)).alias("shared"))
-    stars = _cut(stars)
     best = stars.groupBy("b").agg(F.max(F.struct("shared", "a"))["a"].alias("a")).select("a", "b")
-    linked = _cut(_confirm(promising(best), whole, size, percent))
+    linked = _cut(_confirm(promising(best), texts, size, percent))
     roots = star_components(linked)
 
     others = _rooted(_rooted(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), roots, "a", "root_a"),
                      roots, "b", "root_b").where("root_a <> root_b").select("a", "b")
-    more = _cut(_confirm(promising(others), whole, size, percent))
+    more = _cut(_confirm(promising(others), texts, size, percent))
     linked = linked.union(more)
     if not more.isEmpty():
         roots = star_components(linked)
 
     # buckets with several components: compare across components, in blocks
-    placed = _rooted(members.select("band", "doc_id", "n_shingles"), roots, "doc_id", "root")
-    mixed = (placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
-                                        F.count(F.lit(1)).alias("n"))
-             .where("lo <> hi").select("band", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks")))
-    rest = placed.join(mixed, "band").join(sizes.select("doc_id", "signature"), "doc_id")
-    pairs = _cut(_across(rest, percent, least_agreement))
+    placed = _rooted(members.select("slot", "band", "doc_id"), roots, "doc_id", "root")
+    mixed = (placed.groupBy("slot", "band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
+                                                F.count(F.lit(1)).alias("n"))
+             .where("lo <> hi").select("slot", "band", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks")))
+    rest = placed.join(mixed, ["slot", "band"]).join(sizes, "doc_id")
+    pairs = _across(rest, percent, least_agreement)
     known = linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    tried = best.union(others).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    last = _cut(_confirm(pairs.join(tried, ["a", "b"], "left_anti"), whole, size, percent))
+    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    last = _cut(_confirm(pairs.join(tried, ["a", "b"], "left_anti"), texts, size, percent))
     if not last.isEmpty():
         roots = star_components(known.union(last))
 
@@ -264,31 +266,35 @@ def _across(rest: DataFrame, percent: int, least_agreement: float) -> DataFrame:
     """Promising pairs (a < b) of different components within each mixed bucket.
 
     The members of a bucket are dealt into blocks; every pair of blocks is one group of at most two blocks'
-    members, compared by a matrix of signatures that leaves only promising pairs.
+    members, compared by their signatures.  A pair is given once, by the first bucket that holds both.
     """
     part = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     dealt = rest.withColumn("own", part).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "doc_id", "root",
-                "n_shingles", "signature")
+        .select("slot", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own",
+                "doc_id", "root", "n_shingles", "signature", F.transform("bands", lambda b: b.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands"))
     kind = rest.schema["doc_id"].dataType.simpleString()
 
     def compare(group: pa.Table) -> pa.Table:
-        ids, roots = group["doc_id"].to_numpy(), group["root"].to_numpy()
-        sizes = group["n_shingles"].to_numpy()
+        ids, roots, own = (group[c].to_numpy() for c in ("doc_id", "root", "own"))
+        sizes, slot = group["n_shingles"].to_numpy(), group["slot"][0].as_py()
+        within = group["lo"][0].as_py() == group["hi"][0].as_py()
         sig = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint8).reshape(len(ids), -1)
+        bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[:, :slot]
         left, right = [], []
         for i in range(len(ids) - 1):
             j = np.arange(i + 1, len(ids))
-            j = j[(roots[j] != roots[i]) & (100 * np.minimum(sizes[j], sizes[i]) >= percent * np.maximum(sizes[j], sizes[i]))]
+            j = j[(roots[j] != roots[i]) & (within | (own[j] != own[i]))
+                  & (100 * np.minimum(sizes[j], sizes[i]) >= percent * np.maximum(sizes[j], sizes[i]))]
             if len(j):
                 j = j[(sig[j] == sig[i]).mean(1) >= least_agreement]
-                left += [min(ids[i], x) for x in ids[j]]
-                right += [max(ids[i], x) for x in ids[j]]
+                j = j[~(bands[j] == bands[i]).any(1)]
+                left += np.minimum(ids[j], ids[i]).tolist()
+                right += np.maximum(ids[j], ids[i]).tolist()
         t = group.schema.field("doc_id").type
         return pa.table({"a": pa.array(left, t), "b": pa.array(right, t)})
 
-    return dealt.groupBy("band", "lo", "hi").applyInArrow(compare, f"a {kind}, b {kind}").where("a <> b").distinct()
+    return dealt.groupBy("slot", "band", "lo", "hi").applyInArrow(compare, f"a {kind}, b {kind}").where("a <> b").distinct()
 
 
 def keep_smallest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
