@@ -196,14 +196,15 @@ def roc_auc(spark, sf):
     return a.select(r6("auc").alias("auc"), "n_pos", "n_neg")
 
 
-# the curve's thresholds are the scores rounded to 9 places: engines differ in the last bits of exp()
+# the curve's thresholds are the scores rounded to 9 places: engines differ in the last bits of exp() (and in how they
+# would round such a value again, so it is given as it is)
 @register("roc_curve", _ROC.replace("SELECT p_hat AS score", "SELECT round(p_hat, 9) AS score").replace("GROUP BY p_hat", "GROUP BY round(p_hat, 9)")
-          + """SELECT round(score, 6) AS threshold, round(fp / (SELECT sum(neg) FROM sc), 6) AS fpr,
+          + """SELECT score AS threshold, round(fp / (SELECT sum(neg) FROM sc), 6) AS fpr,
   round(tp / (SELECT sum(pos) FROM sc), 6) AS tpr FROM cum""", EV)
 def roc_curve(spark, sf):
     pred = TFlow(spark, sf).pred.withColumn("score", F.round("p_hat", 9))
     c = ST.roc_curve(pred, "score", Y)
-    return c.select(r6("threshold").alias("threshold"), r6("fpr").alias("fpr"), r6("tpr").alias("tpr"))
+    return c.select("threshold", r6("fpr").alias("fpr"), r6("tpr").alias("tpr"))
 
 
 @register("testlet_correctness", W + "SELECT Testlet_ID, round(avg(ItemScore), 6) AS correctness FROM first GROUP BY Testlet_ID", RV)
