@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attemptlab.llm.common import WordHash, gram_hashes, map_rows, mix, word_hashes, words
+from attemptlab.llm.common import WordHash, gram_hashes, map_rows, mix, stored, word_hashes, words
 
 GRAM = 8
 _SECOND = np.uint64(0x5851F42D4C957F2D)
@@ -41,14 +41,14 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(hashes: np.ndarray, window: int, hot: set | frozenset = frozenset()):
-    """(starts, ends, minimiser, route): segments of consecutive windows with one route, as window numbers.
+    """(starts, ends, minimiser, route, run hashes): segments of consecutive windows with one route, as window numbers.
 
     The route is the minimiser, or for a minimiser in ``hot`` a mix with a second one.
     """
     gram = min(GRAM, window)
     if len(hashes) < window:
         none = np.zeros(0, np.int64)
-        return none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none.view(np.uint64), none.view(np.uint64), none.view(np.uint64)
     g = gram_hashes(hashes, gram)
     width = window - gram + 1
     least = sliding_min(g, width)
@@ -60,17 +60,17 @@ def runs(hashes: np.ndarray, window: int, hot: set | frozenset = frozenset()):
     cut = np.flatnonzero(route[1:] != route[:-1]) + 1
     starts = np.concatenate([[0], cut])
     ends = np.concatenate([cut, [len(route)]])
-    return starts, ends, least[starts], route[starts]
+    return starts, ends, least[starts], route[starts], g
 
 
-def _weights(hashes: np.ndarray, window: int, starts, ends, least) -> np.ndarray:
+def _weights(g: np.ndarray, window: int, starts, ends, least) -> np.ndarray:
     """1 per segment, or 2 if its minimiser stands in it more than once (then it may repeat a window itself)."""
-    gram = min(GRAM, window)
-    g = gram_hashes(hashes, gram)
     out = np.ones(len(starts), np.int64)
-    if len(np.unique(g)) < len(g):
+    in_order = np.sort(g)
+    if (in_order[1:] == in_order[:-1]).any():
+        reach = window - min(GRAM, window)
         for i, (s, e, h) in enumerate(zip(starts.tolist(), ends.tolist(), least, strict=True)):
-            if (g[s:e + window - gram] == h).sum() > 1:
+            if (g[s:e + reach] == h).sum() > 1:
                 out[i] = 2
     return out
 
@@ -103,24 +103,25 @@ class WaveletMatrix:
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted by their first ``depth`` symbols at least (prefix doubling)."""
+    """Suffixes sorted by their first ``depth`` symbols at least: prefix doubling from packed leading symbols."""
     n = len(text)
-    _, rank = np.unique(text, return_inverse=True)
-    rank = rank.astype(np.int64)
-    reach = 1
-    order = np.argsort(rank, kind="stable")
-    while reach < depth:
-        later = np.zeros(n, np.int64)
-        later[:n - reach] = rank[reach:] + 1 if reach < n else 0
-        key = rank * (n + 2) + later
-        order = np.argsort(key, kind="stable")
-        fresh = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
+    bits = max(1, int(text.max()).bit_length())
+    reach = max(1, min(62 // bits, depth))
+    key = np.zeros(n, np.int64)
+    for i in range(reach):
+        key <<= bits
+        key[:n - i] |= text[i:]
+    while True:
+        order = np.argsort(key)
+        in_order = key[order]
+        fresh = np.concatenate([[0], np.cumsum(in_order[1:] != in_order[:-1])])
+        if reach >= depth or fresh[-1] == n - 1:
+            return order
         rank = np.empty(n, np.int64)
         rank[order] = fresh
+        key = rank * (n + 2)
+        key[:n - reach] += rank[reach:] + 1
         reach *= 2
-        if fresh[-1] == n - 1:
-            break
-    return order
 
 
 class FMIndex:
@@ -136,7 +137,7 @@ class FMIndex:
         counts = np.bincount(self.text, minlength=symbols)
         self.first = np.cumsum(counts) - counts
         self.weight = np.concatenate([[0], np.cumsum(np.repeat(copies, sizes)[order])])
-        self.sizes = sizes - 1
+        self.sizes, self.copies = sizes - 1, copies
 
     def extend(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffix range of the pattern with ``c`` put before it."""
@@ -149,10 +150,12 @@ class FMIndex:
         Every repeated window of ``least`` words lies in one of them.
         """
         n = len(self.text)
-        lane = np.flatnonzero(self.sizes >= least)
+        long = self.sizes >= least
+        twice = np.flatnonzero(long & (self.copies > 1))        # these occur twice as a whole
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(twice, np.zeros(len(twice), np.int64), self.sizes[twice])]
+        lane = np.flatnonzero(long & (self.copies == 1))
         end = self.sizes[lane].copy()
         at, lo, hi = end.copy(), np.zeros(len(lane), np.int64), np.full(len(lane), n)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while len(lane):
             new_lo, new_hi = self.extend(self.text[self.base[lane] + at - 1], lo, hi)
             ok = self.weight[new_hi] - self.weight[new_lo] >= 2
@@ -170,9 +173,6 @@ class FMIndex:
                 at, lo, hi = np.where(stop, end, at), np.where(stop, 0, lo), np.where(stop, n, hi)
                 left = end >= least
                 lane, end, at, lo, hi = lane[left], end[left], at[left], lo[left], hi[left]
-        if not out:
-            none = np.zeros(0, np.int64)
-            return none, none, none
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -220,14 +220,14 @@ def repeated_spans(docs: DataFrame, window: int = 35, hot: int = 20_000, most_wo
         parts: list[tuple] = []
         for a, b, t in zip(k1.to_pylist(), k2.to_pylist(), texts, strict=True):
             h = hashed(t.as_py())
-            starts, ends, least, _ = runs(h, window)
+            starts, ends, least, _, g = runs(h, window)
             if len(starts):
                 parts.append((np.full(len(starts), a), np.full(len(starts), b), least.view(np.int64),
-                              _weights(h, window, starts, ends, least)))
+                              _weights(g, window, starts, ends, least)))
         cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 4
         yield dict(zip(("k1", "k2", "h", "weight"), cols, strict=True))
 
-    small = map_rows(docs, minimisers, "k1 long, k2 long, h long, weight long")
+    small = stored(map_rows(docs, minimisers, "k1 long, k2 long, h long, weight long"), "minimisers")
     twice = small.groupBy("h").agg(F.sum("weight").alias("n")).where("n >= 2") \
         .select("h", (F.col("n") > hot).alias("hot"))
     hits = (small.select("k1", "k2", "h").join(twice, "h").groupBy("k1", "k2")
@@ -239,7 +239,7 @@ def repeated_spans(docs: DataFrame, window: int = 35, hot: int = 20_000, most_wo
             own = words(t.as_py())
             h = word_hashes(state.setdefault("held", WordHash()), own)
             mask = (1 << 64) - 1
-            starts, ends, least, route = runs(h, window, {x["h"] & mask for x in hit if x["hot"]})
+            starts, ends, least, route, _ = runs(h, window, {x["h"] & mask for x in hit if x["hot"]})
             keep = np.isin(least, np.array([x["h"] for x in hit], np.int64).view(np.uint64))
             for s, e, r in zip(starts[keep].tolist(), ends[keep].tolist(), route[keep].view(np.int64).tolist(), strict=True):
                 out["k1"].append(a)
