@@ -137,10 +137,18 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return map_rows(both.select("a", "b", "text_a", "text_b"), check, f"a {kind}, b {kind}", rows=500)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Write to the shared checkpoint folder and go on from there."""
+_ROWS_PER_TASK = 250_000
+
+
+def _cut(df: DataFrame, thin: bool = False) -> DataFrame:
+    """Write to the shared checkpoint folder and go on from there.
+
+    A ``thin`` table (a few numbers per row) is read by as many tasks as its counted rows ask for, so that small
+    tables don't cost one small file per partition in every later exchange.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    return out.coalesce(max(1, -(-out.count() // _ROWS_PER_TASK))) if thin else out
 
 
 def star_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -150,7 +158,7 @@ def star_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     smaller neighbours to the smallest) until the links no longer change.  Minima are aggregated before the
     shuffle, so a hub with any number of neighbours costs one row per task.
     """
-    links = _cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    links = _cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), thin=True)
 
     def summary(df: DataFrame):
         return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -168,7 +176,7 @@ def star_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
                  .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
                                            F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
                  .select("e.u", "e.v").where("u <> v").distinct())
-        links = _cut(small)
+        links = _cut(small, thin=True)
         after = summary(links)
         if after == state:
             break
@@ -209,10 +217,10 @@ def near_duplicate_groups(docs: DataFrame, size: int = 4, percent: int = 80, ban
     # buckets with one member never go on; rows are combined in the tasks before the shuffle
     leaders = (lone.groupBy("slot", "band").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last"))
                .where("leader <> last").select("slot", "band", "leader"))
-    members = _cut(lone.join(leaders, ["slot", "band"]))
+    members = _cut(lone.join(leaders, ["slot", "band"]), thin=True)
 
     stars = _cut(members.where("doc_id <> leader").groupBy(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
-                 .agg(F.count(F.lit(1)).alias("shared")))
+                 .agg(F.count(F.lit(1)).alias("shared")), thin=True)
     ends = stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     # only documents that share a bucket are moved, once, with what all later comparisons need
     texts = _cut(whole.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
@@ -228,12 +236,12 @@ def near_duplicate_groups(docs: DataFrame, size: int = 4, percent: int = 80, ban
         return s.where(_agreement(F.col("sig_a"), F.col("sig_b")) >= least_agreement).select("a", "b")
 
     best = stars.groupBy("b").agg(F.max(F.struct("shared", "a"))["a"].alias("a")).select("a", "b")
-    linked = _cut(_confirm(promising(best), texts, size, percent))
+    linked = _cut(_confirm(promising(best), texts, size, percent), thin=True)
     roots = star_components(linked)
 
     others = _rooted(_rooted(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), roots, "a", "root_a"),
                      roots, "b", "root_b").where("root_a <> root_b").select("a", "b")
-    more = _cut(_confirm(promising(others), texts, size, percent))
+    more = _cut(_confirm(promising(others), texts, size, percent), thin=True)
     linked = linked.union(more)
     if not more.isEmpty():
         roots = star_components(linked)
@@ -247,7 +255,7 @@ def near_duplicate_groups(docs: DataFrame, size: int = 4, percent: int = 80, ban
     pairs = _across(rest, percent, least_agreement)
     known = linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    last = _cut(_confirm(pairs.join(tried, ["a", "b"], "left_anti"), texts, size, percent))
+    last = _cut(_confirm(pairs.join(tried, ["a", "b"], "left_anti"), texts, size, percent), thin=True)
     if not last.isEmpty():
         roots = star_components(known.union(last))
 
