@@ -1,17 +1,18 @@
 """Language-model scores by a probabilistic suffix tree, next to a word unigram score.
 
 Symbols are tokens: the lower-cased words of a text and one end.  The root of the tree is the unigram
-distribution (unseen words are one symbol).  A context of one or two preceding words becomes a state when it is
-frequent enough and its next-token distribution diverges from that of the context without its oldest word
-(log-likelihood gain against a penalty per stored symbol); the shorter suffix of a state is a state too.
-Distributions are smoothed by absolute discounting: what is taken from the stored symbols goes to all others in
-proportion to the shorter state.  Each token is scored by the longest state that is a suffix of its history.
-
-Word counts are taken over all training documents and stay distributed: at most ``common_words`` frequent words
-are broadcast, every other word of a text is joined with its count by hash.  The next-token counts of each
-candidate context come from one more pass per context length, combined in the tasks before one aggregation.
-Only the model reaches the driver: at most ``most_contexts`` contexts per length and ``most_entries`` stored
-symbols, the most frequent ones (the counting itself covers all data).
+distribution (unseen words are one symbol).  A context of one or two preceding words becomes a state when symbols
+follow it ``least_count`` times or more and its next-token distribution diverges from that of the context without
+its oldest word (log-likelihood gain against a penalty per stored symbol); the shorter suffix of a state is a state
+too.  Distributions are smoothed by absolute discounting: what is taken from the stored symbols goes to all others
+in proportion to the shorter state.  Each token is scored by the longest state that is a suffix of its history.
+
+All counts are taken over all training documents, no context or symbol is left out for its rank, and the tables
+stay distributed: words, (word, word) and (two words, word), combined in the tasks before one aggregation each.
+Bitmaps of fixed size say which words, pairs and states can matter; they may let too much through, never too
+little.  At most ``common_words`` frequent words and the head of the tree (the most frequent states, at most
+``most_contexts`` of them with ``most_entries`` stored symbols) are broadcast; every other word or state that a text
+asks for is joined with its row by hash.
 """
 
 from __future__ import annotations
@@ -25,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attemptlab.llm.common import WordHash, held_fold, mix, word_hashes, words
+from attemptlab.llm.common import WordHash, held_fold, mix, stored, word_hashes, words
 from attemptlab.session import scratch_folder
 
 _END = np.int64(-0x61C8864680B583EB)      # hash of the end token and, as a context, of the start of a text
 _CHUNK = 1_000_000
-_SHIFT = 20                               # packed (context number, symbol number)
+_BITS = 26                                # a bitmap has 2 ** _BITS bits
 DISCOUNT = 0.75
 
 
@@ -83,9 +84,37 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([int(_END)]), pa.array([n_docs])], names=["h", "n"])
 
 
+def _slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit word of a bitmap and the bit in it, from the leading bits of each key."""
+    slot = keys.view(np.uint64) >> np.uint64(64 - _BITS)
+    return (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63))
+
+
+def _bitmap(df: DataFrame, col: str) -> np.ndarray:
+    """Bitmap of the hashes in a column: a key whose bit is 0 is not among them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << (_BITS - 6), np.uint64)
+        for batch in batches:
+            np.bitwise_or.at(bits, *_slots(batch.column(0).to_numpy()))
+        at = np.flatnonzero(bits)
+        for s in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[s:s + 100_000]), pa.array(bits[at[s:s + 100_000]].view(np.int64))],
+                                             names=["at", "bits"])
+
+    got = df.select(col).mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (_BITS - 6), np.uint64)
+    out[got["at"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def maybe(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    word, bit = _slots(keys)
+    return (bitmap[word] & bit) != 0
+
+
 @dataclass
 class Level:
-    """States of one context length: context hashes, back-off weights, stored (context, symbol) with log10 lift over the root."""
+    """States of one context length: context hashes, back-off weights, keys of stored symbols with log10 lift over the root."""
     keys: np.ndarray
     weight: np.ndarray
     entries: np.ndarray
@@ -94,42 +123,71 @@ class Level:
 
 @dataclass
 class Tree:
-    symbols: np.ndarray            # sorted hashes of the symbols that states may store
+    """The head of the tree; ``states`` are bitmaps of all states per context length, in the head or not."""
     levels: list[Level]            # by context length, from one word on
-
-    def lift(self, hashes: np.ndarray, symbol: np.ndarray | None = None) -> np.ndarray:
-        """log10 of each token's probability after its longest state, less that of the root."""
-        symbol = find(self.symbols, hashes) if symbol is None else symbol
-        out = np.zeros(len(hashes))
-        for depth, level in enumerate(self.levels, 1):      # a longer state overrides, or passes on what is below
-            state = find(level.keys, contexts(hashes, depth))
-            at = np.flatnonzero(state >= 0)
-            if not len(at):
-                continue
-            place = find(level.entries, (state[at] << _SHIFT) | symbol[at])
-            place[symbol[at] < 0] = -1
-            out[at] = np.where(place >= 0, level.lift[place] if len(level.lift) else 0.0, out[at] + level.weight[state[at]])
-        return out
-
-
-def _count_next(tree, keys, depth: int):
-    """(packed context and symbol, n): tokens after each candidate context; symbol 0 stands for all untracked ones."""
+    states: list[np.ndarray]
+
+    def search(self, hashes: np.ndarray):
+        """Per token its keys (context of one word, symbol after it, context of two, symbol after it), the log10
+        lift by the head, and whether a state of one or of two words may be missing from the head.
+
+        Texts may stand one after the other: their ends are the starts of the next.
+        """
+        before = np.append(_END, hashes[:-1])
+        after = pair_context(before, hashes)
+        two = np.append(_END, after[:-1])
+        whole = pair_context(two, after)
+        out, open_ = np.zeros(len(hashes)), []
+        for level, bitmap, context, entry in zip(self.levels, self.states, (before, two), (after, whole), strict=True):
+            can = maybe(bitmap, context)
+            if context is two:
+                can &= before != _END              # the first token of a text has the start alone before it
+            at = np.flatnonzero(can)
+            state = find(level.keys, context[at])
+            missing = np.zeros(len(hashes), bool)
+            missing[at[state < 0]] = True
+            open_.append(missing)
+            at, state = at[state >= 0], state[state >= 0]
+            place = find(level.entries, entry[at])
+            if len(at):
+                out[at] = np.where(place >= 0, level.lift[place] if len(level.lift) else 0.0, out[at] + level.weight[state])
+            if context is two:                     # a head state has its suffix and all its symbols in the head
+                open_[0][at] = False
+        return (before, after, two, whole), out, open_[0], open_[1]
+
+    def lift(self, hashes: np.ndarray) -> np.ndarray:
+        """log10 of each token's probability after its longest state in the head, less that of the root."""
+        return self.search(hashes)[1]
+
+
+def _count_next(known, wanted):
+    """(c, s, n): pairs of known words; with ``wanted`` the known pairs ``s`` after a wanted context ``c`` of two words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, parts, size = WordHash(), [], 0
-        symbols, wanted = tree.value.symbols, keys.value
 
         def rows() -> pa.RecordBatch:
-            key, n = np.unique(np.concatenate(parts), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
+            h = np.concatenate(parts)
+            c, s = np.append(_END, h[:-1]), h
+            good = maybe(known.value, h)
+            if wanted is None:
+                good &= np.append(True, good[:-1]) if len(good) else good
+            else:
+                first = c == _END
+                s = pair_context(c, h)
+                c = np.append(_END, s[:-1])
+                good = maybe(known.value, s) & maybe(wanted.value, c) & ~first
+            c, s = c[good], s[good]
+            _, at, n = np.unique(pair_context(c, s), return_index=True, return_counts=True)
+            order = np.argsort(c[at], kind="stable")          # equal contexts side by side compress better
+            at, n = at[order], n[order]
+            return pa.RecordBatch.from_arrays([pa.array(c[at]), pa.array(s[at]), pa.array(n)], names=["c", "s", "n"])
 
         for batch in batches:
             for text in batch.column(0):
                 h = tokens(held, text.as_py())
-                state = find(wanted, contexts(h, depth))
-                at = np.flatnonzero(state >= 0)
-                parts.append((state[at] << _SHIFT) | (find(symbols, h[at]) + 1))
-                size += len(at)
-                if size >= _CHUNK:
+                parts.append(h)
+                size += len(h)
+                if size >= 2 * _CHUNK:
                     yield rows()
                     parts, size = [], 0
         if size:
@@ -150,80 +208,117 @@ def _most(df: DataFrame, col: str, most: int, least: int = 1) -> int:
     return max(bound, least)
 
 
-def _level(tree: Tree, keys: np.ndarray, entries: np.ndarray, counts: np.ndarray, totals: np.ndarray, parent: np.ndarray,
-           log_root: np.ndarray, per_symbol: float, least: float) -> Level:
-    """States among candidate contexts: discounted distributions and the divergence test.
+def _keyed(df: DataFrame, a: str, b: str) -> DataFrame:
+    """``df`` with the hash ``e`` of two columns in this order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = pair_context(batch[a].to_numpy(), batch[b].to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key)], names=[*batch.schema.names, "e"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInArrow(run, f"{schema}, e long")
+
+
+def _states(rows: DataFrame, per_symbol: float, least: float, name: str) -> tuple[DataFrame, DataFrame]:
+    """(c, total, kinds, weight) and (c, s, e, n, root, lift): contexts that pass the divergence test, their stored symbols.
 
-    ``entries`` are packed (context, symbol + 1) by context; ``parent`` is each candidate's state one level up
-    (-1 is the root); ``log_root`` the symbols' natural log probability at the root.
+    ``rows`` has c, s, e, n, total (of the context), root and below: the symbol's natural log probability at the root
+    and in the state one level up.
     """
-    owner, symbol = entries >> _SHIFT, (entries & ((1 << _SHIFT) - 1)) - 1
-    below = log_root[symbol]
-    if tree.levels:
-        up = tree.levels[-1]
-        place = find(up.entries, (parent[owner] << _SHIFT) | symbol)
-        lifted = np.where(place >= 0, up.lift[place] if len(up.lift) else 0.0, up.weight[np.maximum(parent[owner], 0)])
-        below = below + np.where(parent[owner] >= 0, lifted, 0.0) * np.log(10)
-    own = np.log((counts - DISCOUNT) / totals[owner])
-    kinds = np.bincount(owner, minlength=len(keys))
-    held = np.bincount(owner, counts, len(keys))
-    free = 1 - (held - DISCOUNT * kinds) / np.maximum(totals, 1)
-    rest = 1 - np.bincount(owner, np.exp(below), len(keys))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        weight = np.log(free) - np.log(np.maximum(rest, 1e-12))
-    gain = np.bincount(owner, counts * (own - below), len(keys)) + (totals - held) * weight
-    keep = (kinds > 0) & (totals > 0) & np.isfinite(gain) & (gain >= per_symbol * kinds + least)
-    number = np.cumsum(keep) - 1
-    mine = keep[owner]
-    return Level(keys[keep], weight[keep] / np.log(10), (number[owner[mine]] << _SHIFT) | symbol[mine],
-                 (own[mine] - log_root[symbol[mine]]) / np.log(10))
-
-
-def fit_tree(train: DataFrame, counts: DataFrame, n_train: int, scale: float, depth: int = 2, least_share: float = 1e-5,
-             most_contexts: int = 1 << 13, most_symbols: int = 1 << 16, most_entries: int = 1 << 19, least_count: int = 4,
-             per_symbol: float = 1.0, least: float = 8.0) -> Tree:
-    """Tree over contexts of up to ``depth`` words that occur in ``least_share`` of the training tokens or more.
-
-    ``counts`` has h, n (words and the end); the root gives a token the probability (n + 0.5) / ``scale``.  The
-    numbers of contexts per length, of symbols and of stored entries are bounded, the most frequent ones are kept.
+    own = F.log((F.col("n") - F.lit(DISCOUNT)) / F.col("total"))
+    sums = rows.groupBy("c").agg(
+        F.max("total").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("held"),
+        F.sum(F.exp("below")).alias("covered"), F.sum(F.col("n") * (own - F.col("below"))).alias("gain"))
+    free = 1 - (F.col("held") - F.lit(DISCOUNT) * F.col("kinds")) / F.col("total")
+    weight = F.log(free) - F.log(F.greatest(1 - F.col("covered"), F.lit(1e-12)))
+    kept = sums.withColumn("weight", weight).where(
+        F.col("gain") + (F.col("total") - F.col("held")) * F.col("weight") >= F.lit(per_symbol) * F.col("kinds") + F.lit(least))
+    states = stored(kept.select("c", "total", "kinds", (F.col("weight") / np.log(10)).alias("weight")), f"{name}-states")
+    entries = rows.join(states.select("c"), "c").select(
+        "c", "s", "e", "n", "total", "root", ((own - F.col("root")) / np.log(10)).alias("lift"))
+    return states, stored(entries, f"{name}-symbols")
+
+
+@dataclass
+class Model:
+    """The whole tree as tables (states and stored symbols by context length), its head, and the head's least total."""
+    tables: list[tuple[DataFrame, DataFrame]]
+    tree: Tree
+    bound: int
+
+
+def fit_model(train: DataFrame, counts: DataFrame, scale: float, most_contexts: int = 1 << 19, most_entries: int = 1 << 21,
+              common_words: int = 1 << 20, least_count: int = 4, per_symbol: float = 1.0, least: float = 8.0) -> Model:
+    """Tree over all contexts of one and two words; symbols are stored that follow ``least_count`` times or more.
+
+    ``counts`` has h, n (words and the end); the root gives a token the probability (n + 0.5) / ``scale``.  A symbol
+    that follows so often is itself that frequent, as is its pair with the newer word: rarer words and pairs are not
+    counted further.  ``most_contexts`` and ``most_entries`` bound the head that is broadcast, not the tree.
     """
     sc = train.sparkSession.sparkContext
-    floor = max(least_count, int(least_share * n_train))
-    table = counts.where(F.col("n") >= _most(counts, "n", most_symbols, least_count)).toArrow().sort_by("h")
-    symbols, times = table["h"].to_numpy(), table["n"].to_numpy()
-    tree = Tree(symbols, [])
-    log_root = np.log((times + 0.5) / scale)
-    frequent = np.sort(np.argsort(-times, kind="stable")[:most_contexts])
-    keys, parent = symbols[frequent[times[frequent] >= floor]], None
-    for length in range(1, depth + 1):
-        if not len(keys):
+    text, enough = train.select("text"), counts.where(F.col("n") >= least_count)
+    known = sc.broadcast(_bitmap(enough, "h"))
+    pairs = (text.mapInArrow(_count_next(known, None), "c long, s long, n long").groupBy("c", "s")
+             .agg(F.sum("n").alias("n")).where(F.col("n") >= least_count))
+    least_common = _most(enough, "n", common_words, least_count)
+    top = enough.where(F.col("n") >= least_common).toArrow().sort_by("h")
+    common = sc.broadcast((top["h"].to_numpy(), top["n"].to_numpy()))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds the hash of the pair and the counts of its words (null if not common)."""
+        words_, times = common.value
+        for batch in batches:
+            c, s = batch["c"].to_numpy(), batch["s"].to_numpy()
+            n = []
+            for x in (c, s):
+                at = find(words_, x)
+                n.append(pa.array(times[at] if len(times) else at, mask=at < 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pair_context(c, s)), *n],
+                                             names=["c", "s", "n", "e", "total", "times"])
+
+    full = stored(pairs.mapInArrow(fill, "c long, s long, n long, e long, total long, times long"), "pairs")
+    rare = enough.where(F.col("n") < least_common)
+    for col, of in (("total", "c"), ("times", "s")):
+        if full.where(F.col(col).isNull()).isEmpty():
+            continue
+        other = full.where(F.col(col).isNull()).drop(col).join(rare.select(F.col("h").alias(of), F.col("n").alias(col)), of)
+        full = full.where(F.col(col).isNotNull()).unionByName(other)
+    root = F.log((F.col("times") + 0.5) / F.lit(float(scale)))
+    one = _states(full.select("c", "s", "e", "n", "total", root.alias("root"), root.alias("below")), per_symbol, least, "one")
+
+    # contexts of two words: pairs whose newer word is a state; a pair occurs as often as it is followed by something
+    wanted = stored(full.where(F.col("s") != int(_END)).join(one[0].select(F.col("c").alias("s")), "s", "left_semi")
+                    .select(F.col("e").alias("c"), F.col("n").alias("total")), "contexts")
+    followed, asked = sc.broadcast(_bitmap(one[1], "e")), sc.broadcast(_bitmap(wanted, "c"))
+    triples = (text.mapInArrow(_count_next(followed, asked), "c long, s long, n long").groupBy("c", "s")
+               .agg(F.sum("n").alias("n")).where(F.col("n") >= least_count))
+    below = one[1].select(F.col("e").alias("s"), "root", (F.col("root") + F.col("lift") * np.log(10)).alias("below"))
+    tried = triples.join(wanted, "c").join(below, "s").select("c", "s", "n", "total", "root", "below")
+    two = _states(stored(_keyed(tried, "c", "s"), "triples"), per_symbol, least, "two")
+
+    # the head: states of both lengths from one total on, so that it holds the suffixes of its states
+    totals = one[0].select("total", "kinds").union(two[0].select("total", "kinds"))
+    step = F.when(F.col("total") < 4096, F.col("total")).otherwise(
+        F.pow(F.lit(2.0), F.floor(F.log2("total") + 1e-9)).cast("long"))
+    steps = totals.groupBy(step.alias("least")).agg(
+        F.count(F.lit(1)).alias("states"), F.sum("kinds").alias("kinds")).collect()
+    bound, n, kinds = 1 << 62, 0, 0
+    for s in sorted(steps, reverse=True):
+        n, kinds = n + s["states"], kinds + s["kinds"]
+        if n > most_contexts or kinds > most_entries:
             break
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        parent = parent[order] if parent is not None else np.full(len(keys), -1)
-        shared, wanted = sc.broadcast(tree), sc.broadcast(keys)
-        path = scratch_folder(train.sparkSession, "next-counts")
-        (train.select("text").mapInArrow(_count_next(shared, wanted, length), "key long, n long")
-         .groupBy("key").agg(F.sum("n").alias("n")).write.parquet(path))
-        found = train.sparkSession.read.parquet(path)
-        sums = found.groupBy(F.shiftright("key", _SHIFT).alias("c")).agg(F.sum("n").alias("n")).toArrow()
-        totals = np.zeros(len(keys))
-        totals[sums["c"].to_numpy()] = sums["n"].to_numpy()
-        stored = found.where(F.col("key").bitwiseAND(F.lit((1 << _SHIFT) - 1)) > 0)
-        stored = stored.where(F.col("n") >= _most(stored, "n", most_entries, least_count)).toArrow().sort_by("key")
-        entries, n = stored["key"].to_numpy(), stored["n"].to_numpy().astype(float)
-        level = _level(tree, keys, entries, n, totals, parent, log_root, per_symbol, least)
-        # longer candidates: (older, newer) where the newer word is a state and the pair is frequent enough
-        kept = find(level.keys, keys)
-        older, newer = keys[entries >> _SHIFT], symbols[(entries & ((1 << _SHIFT) - 1)) - 1]
-        ahead = find(level.keys, newer)
-        good = np.flatnonzero((n >= floor) & (ahead >= 0) & (kept[entries >> _SHIFT] >= 0))
-        good = good[np.argsort(-n[good], kind="stable")[:most_contexts]]
-        keys, parent = pair_context(older[good], newer[good]), ahead[good]
-        tree.levels.append(level)
-        if length == 1 and depth > 2:
-            raise ValueError("contexts of more than two words are not supported")
-    return tree
+        bound = s["least"]
+    levels = []
+    for states, entries in (one, two):
+        s = states.where(F.col("total") >= bound).select("c", "weight").toArrow().sort_by("c")
+        e = entries.where(F.col("total") >= bound).select("e", "lift").toArrow().sort_by("e")
+        levels.append(Level(s["c"].to_numpy(), s["weight"].to_numpy(), e["e"].to_numpy(), e["lift"].to_numpy()))
+    return Model([one, two], Tree(levels, [_bitmap(one[0], "c"), _bitmap(two[0], "c")]), bound)
+
+
+def fit_tree(train: DataFrame, counts: DataFrame, n_train: int, scale: float, **options) -> Tree:
+    """The head of the tree; all of it where it fits the bounds."""
+    return fit_model(train, counts, scale, **options).tree
 
 
 def _score(tree, common):
@@ -234,22 +329,28 @@ def _score(tree, common):
             rids = batch.column(0).to_numpy()
             at = 0
             while at < batch.num_rows:
-                first, parts, lifts, size = at, [], [], 0
+                first, parts, size = at, [], 0
                 while at < batch.num_rows and size < _CHUNK // 4:
-                    h = tokens(held, batch.column(2)[at].as_py())
-                    lifts.append(float(tree.value.lift(h).sum()))
-                    parts.append(h[:-1])
-                    size += len(h)
+                    parts.append(tokens(held, batch.column(2)[at].as_py()))
+                    size += len(parts[-1])
                     at += 1
                 rows = at - first
-                n_words = np.fromiter(map(len, parts), np.int64, rows)
-                flat, owner = np.concatenate(parts), np.repeat(np.arange(rows), n_words)
+                n_tokens = np.fromiter(map(len, parts), np.int64, rows)
+                flat, owner = np.concatenate(parts), np.repeat(np.arange(rows), n_tokens)
+                context, lift, low, high = tree.value.search(flat)
+                ask = low | high
+                lifts = np.bincount(owner[~ask], lift[~ask], rows)
+                own = rids[first:at]
+                kind = batch.schema.field(1).type
+                if ask.any():
+                    yield _asked(own[owner[ask]], [x[ask] for x in context], lift[ask], low[ask], high[ask], kind)
+                inner = flat != _END
+                flat, owner = flat[inner], owner[inner]
                 spot = find(keys, flat)
                 hit = spot >= 0
                 known = np.bincount(owner[hit], minlength=rows).astype(np.int64)
                 base = np.bincount(owner[hit], logs[spot[hit]], rows) if hit.any() else np.zeros(rows)
-                own = rids[first:at]
-                yield _rows(1, own, own, n_words + 1, known, base, np.array(lifts), batch.column(1).slice(first, rows))
+                yield _rows(1, own, own, n_tokens, known, base, lifts, batch.column(1).slice(first, rows))
                 rare_owner, rare = owner[~hit], flat[~hit]
                 if len(rare):
                     order = np.lexsort((rare, rare_owner))
@@ -258,16 +359,56 @@ def _score(tree, common):
                     times = np.diff(np.append(np.flatnonzero(new), len(a)))
                     k = len(times)
                     yield _rows(0, own[a[new]], b[new], times, np.zeros(k, np.int64), np.zeros(k), np.zeros(k),
-                                pa.nulls(k, batch.schema.field(1).type))
+                                pa.nulls(k, kind))
 
     return run
 
 
+def _asked(rid, context, lift, low, high, kind) -> pa.RecordBatch:
+    """Tag 2 (a context of two words may be a state outside the head) or 3 (one word only): tokens of a document,
+    counted; h is the symbol after one word, and lift what the head says below (null if it may lack that state).
+    Hashes that the later joins don't need are null."""
+    before, after, two, whole = context
+    order = np.lexsort((whole, rid))
+    a, b = rid[order], whole[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+    at, k = order[new], int(new.sum())
+    times = np.diff(np.append(np.flatnonzero(new), len(a)))
+    low, high = low[at], high[at]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.where(high, 2, 3).astype(np.int32)), pa.array(rid[at]), pa.array(after[at], mask=~low), pa.array(times),
+         pa.array(np.zeros(k, np.int64)), pa.array(np.zeros(k)), pa.array(lift[at], mask=low), pa.nulls(k, kind),
+         pa.array(before[at], mask=~low), pa.array(two[at], mask=~high), pa.array(whole[at], mask=~high)], names=_PARTS)
+
+
+def _joined(parts: DataFrame, model: Model) -> DataFrame:
+    """rid, lift: what the states outside the head add, by the hashes of contexts and stored symbols."""
+    (states1, symbols1), (states2, symbols2) = [
+        (s.where(F.col("total") < model.bound).select("c", "weight"), e.where(F.col("total") < model.bound).select("e", "lift"))
+        for s, e in model.tables]
+    deep = (parts.where("tag = 2").select("rid", "n", "h", "before", "two", "whole", F.col("lift").alias("low"))
+            .join(symbols2.select(F.col("e").alias("whole"), F.col("lift").alias("own")), "whole", "left")
+            .join(states2.select(F.col("c").alias("two"), F.col("weight").alias("up")), "two", "left")
+            .select("rid", "n", "h", "before", "low", "own", F.coalesce("up", F.lit(0.0)).alias("up")))
+    done = deep.where("own is not null or low is not null") \
+        .select("rid", (F.col("n") * F.coalesce("own", F.col("up") + F.col("low"))).alias("lift"))
+    rest = deep.where("own is null and low is null").select("rid", "n", "h", "before", "up") \
+        .union(parts.where("tag = 3").select("rid", "n", "h", "before", F.lit(0.0)))
+    last = (rest.join(symbols1.select(F.col("e").alias("h"), F.col("lift").alias("own")), "h", "left")
+            .join(states1.select(F.col("c").alias("before"), F.col("weight").alias("low")), "before", "left")
+            .select("rid", (F.col("n") * (F.col("up") + F.coalesce("own", "low", F.lit(0.0)))).alias("lift")))
+    return done.union(last)
+
+
+_PARTS = ["tag", "rid", "h", "n", "known", "base", "lift", "doc_id", "before", "two", "whole"]
+
+
 def _rows(tag: int, rid, h, n, known, base, lift, ids) -> pa.RecordBatch:
     """Tag 1 is a document, tag 0 one of its words outside the broadcast table (without the document's id)."""
+    none = pa.nulls(len(rid), pa.int64())
     return pa.RecordBatch.from_arrays(
         [pa.array(np.full(len(rid), tag, np.int32)), pa.array(rid), pa.array(h), pa.array(n), pa.array(known),
-         pa.array(base), pa.array(lift), ids], names=["tag", "rid", "h", "n", "known", "base", "lift", "doc_id"])
+         pa.array(base), pa.array(lift), ids, none, none, none], names=_PARTS)
 
 
 def score_documents(docs: DataFrame, held_out_fold: int = 1, folds: int = 5, common_words: int = 1 << 20,
@@ -294,11 +435,13 @@ def score_documents(docs: DataFrame, held_out_fold: int = 1, folds: int = 5, com
     bound = _most(in_text, "count", common_words)
     top = in_text.where(F.col("count") >= bound).toArrow().sort_by("h")
     common = sc.broadcast((top["h"].to_numpy(), np.log10((top["count"].to_numpy() + 0.5) / scale)))
-    tree = sc.broadcast(fit_tree(train, counts, n_train, scale, **tree_options))
+    model = fit_model(train, counts, scale, common_words=common_words, **tree_options)
 
     numbered = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    parts = numbered.mapInArrow(_score(tree, common), "tag int, rid long, h long, n long, known long, base double, "
-                                f"lift double, doc_id {rows.schema['doc_id'].dataType.simpleString()}")
+    everything = stored(numbered.mapInArrow(
+        _score(sc.broadcast(model.tree), common), "tag int, rid long, h long, n long, known long, base double, lift double, "
+        f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, before long, two long, whole long"), "parts")
+    parts = everything.where("tag < 2").drop("before", "two", "whole")
     rare = in_text.where(F.col("count") < bound).withColumn("tag", F.lit(0))
     seen = F.coalesce("count", F.lit(0))
     one = F.col("tag") == 1
@@ -307,6 +450,9 @@ def score_documents(docs: DataFrame, held_out_fold: int = 1, folds: int = 5, com
         F.when(one, F.col("known")).when(seen > 0, F.col("n")).otherwise(0).alias("n_known"),
         F.when(one, F.col("base") + F.lit(float(np.log10((n_docs + 0.5) / scale))))
         .otherwise(F.col("n") * F.log10((seen + 0.5) / F.lit(float(scale)))).alias("base"))
+    added = _joined(everything, model).select("rid", F.lit(None).cast(rows.schema["doc_id"].dataType).alias("doc_id"), "lift",
+                                              F.lit(0).alias("n_tokens"), F.lit(0).alias("n_known"), F.lit(0.0).alias("base"))
+    each = each.unionByName(added)
     return (each.groupBy("rid").agg(
         F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"),
         (F.sum("n_known") + F.lit(1 if n_docs else 0)).alias("n_known"), F.sum("base").alias("base_score"),

@@ -286,6 +286,15 @@ def test_tree_is_a_distribution_and_beats_the_base(spark, docs, rows):
     assert sum(r["score"] for r in aside) > sum(r["base_score"] for r in aside)
 
 
+def test_states_outside_the_head_count_too(spark, docs):
+    whole = {r["doc_id"]: r["score"] for r in lm.score_documents(docs).collect()}
+    for contexts, entries in ((16, 1 << 21), (1 << 19, 60), (0, 0)):
+        got = lm.score_documents(docs, most_contexts=contexts, most_entries=entries).collect()
+        assert all(abs(r["score"] - whole[r["doc_id"]]) < 1e-6 * max(1, abs(r["score"])) for r in got)
+    base = lm.score_documents(docs, common_words=0, most_contexts=16).collect()
+    assert all(abs(r["score"] - whole[r["doc_id"]]) < 1e-6 * max(1, abs(r["score"])) for r in base)
+
+
 def test_contexts_of_two_words_are_found():
     h = np.array([11, 12, 13, 12, 14], np.int64)
     one, two = lm.contexts(h, 1), lm.contexts(h, 2)
