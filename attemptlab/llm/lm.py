@@ -26,12 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attemptlab.llm.common import WordHash, held_fold, mix, stored, word_hashes, words
+from attemptlab.llm.common import WordHash, bitmap_of, held_fold, maybe, mix, stored, word_hashes, words
 from attemptlab.session import scratch_folder
 
 _END = np.int64(-0x61C8864680B583EB)      # hash of the end token and, as a context, of the start of a text
 _CHUNK = 1_000_000
-_BITS = 26                                # a bitmap has 2 ** _BITS bits
 DISCOUNT = 0.75
 
 
@@ -84,34 +83,6 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([int(_END)]), pa.array([n_docs])], names=["h", "n"])
 
 
-def _slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit word of a bitmap and the bit in it, from the leading bits of each key."""
-    slot = keys.view(np.uint64) >> np.uint64(64 - _BITS)
-    return (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63))
-
-
-def _bitmap(df: DataFrame, col: str) -> np.ndarray:
-    """Bitmap of the hashes in a column: a key whose bit is 0 is not among them."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << (_BITS - 6), np.uint64)
-        for batch in batches:
-            np.bitwise_or.at(bits, *_slots(batch.column(0).to_numpy()))
-        at = np.flatnonzero(bits)
-        for s in range(0, len(at), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[s:s + 100_000]), pa.array(bits[at[s:s + 100_000]].view(np.int64))],
-                                             names=["at", "bits"])
-
-    got = df.select(col).mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(1 << (_BITS - 6), np.uint64)
-    out[got["at"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
-    return out
-
-
-def maybe(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    word, bit = _slots(keys)
-    return (bitmap[word] & bit) != 0
-
-
 @dataclass
 class Level:
     """States of one context length: context hashes, back-off weights, keys of stored symbols with log10 lift over the root."""
@@ -257,7 +228,7 @@ def fit_model(train: DataFrame, counts: DataFrame, scale: float, most_contexts:
     """
     sc = train.sparkSession.sparkContext
     text, enough = train.select("text"), counts.where(F.col("n") >= least_count)
-    known = sc.broadcast(_bitmap(enough, "h"))
+    known = sc.broadcast(bitmap_of(enough, "h"))
     pairs = (text.mapInArrow(_count_next(known, None), "c long, s long, n long").groupBy("c", "s")
              .agg(F.sum("n").alias("n")).where(F.col("n") >= least_count))
     least_common = _most(enough, "n", common_words, least_count)
@@ -289,7 +260,7 @@ def fit_model(train: DataFrame, counts: DataFrame, scale: float, most_contexts:
     # contexts of two words: pairs whose newer word is a state; a pair occurs as often as it is followed by something
     wanted = stored(full.where(F.col("s") != int(_END)).join(one[0].select(F.col("c").alias("s")), "s", "left_semi")
                     .select(F.col("e").alias("c"), F.col("n").alias("total")), "contexts")
-    followed, asked = sc.broadcast(_bitmap(one[1], "e")), sc.broadcast(_bitmap(wanted, "c"))
+    followed, asked = sc.broadcast(bitmap_of(one[1], "e")), sc.broadcast(bitmap_of(wanted, "c"))
     triples = (text.mapInArrow(_count_next(followed, asked), "c long, s long, n long").groupBy("c", "s")
                .agg(F.sum("n").alias("n")).where(F.col("n") >= least_count))
     below = one[1].select(F.col("e").alias("s"), "root", (F.col("root") + F.col("lift") * np.log(10)).alias("below"))
@@ -313,7 +284,7 @@ def fit_model(train: DataFrame, counts: DataFrame, scale: float, most_contexts:
         s = states.where(F.col("total") >= bound).select("c", "weight").toArrow().sort_by("c")
         e = entries.where(F.col("total") >= bound).select("e", "lift").toArrow().sort_by("e")
         levels.append(Level(s["c"].to_numpy(), s["weight"].to_numpy(), e["e"].to_numpy(), e["lift"].to_numpy()))
-    return Model([one, two], Tree(levels, [_bitmap(one[0], "c"), _bitmap(two[0], "c")]), bound)
+    return Model([one, two], Tree(levels, [bitmap_of(one[0], "c"), bitmap_of(two[0], "c")]), bound)
 
 
 def fit_tree(train: DataFrame, counts: DataFrame, n_train: int, scale: float, **options) -> Tree:

@@ -3,7 +3,7 @@
 A shard is a set of segments that must be compared with each other.  Every window belongs to the smallest hash
 of its inner word runs (its minimiser), so equal windows always meet; consecutive windows with one minimiser
 form a segment.  Only segments whose minimiser occurs at least twice in the corpus leave their document, and
-equal segments are counted together, so a passage in a third of all documents is indexed once.
+equal segments are counted together.
 
 Per shard a compressed FM-index is built over the distinct segments: suffix array, Burrows-Wheeler transform, a
 wavelet matrix of packed bit vectors with counts per 64 bits.  The segments are then streamed against it:
@@ -11,8 +11,14 @@ backward search, one word to the left at a time for all segments in step, yields
 maximal intervals that occur at least twice (copies weigh as often as they occur); intervals of at least a
 window go back to the documents.
 
-All exchanges are keyed by minimiser, segment or document; nothing is collected.  Minimisers that occur more
-than ``hot`` times are split once more by a second, independent minimiser.
+A segment carries words of its document's own context on either side of the words that its minimiser stands for,
+so a passage that many documents share would bring one distinct segment per document under one route.  Windows
+whose minimiser occurs more than ``hot`` times are therefore segments of their own, routed by their whole hash:
+those that occur once stay in their document, equal ones are counted in the tasks before the shuffle, and the
+count alone says that they repeat.  So an index holds at most ``hot`` segments of one route.
+
+All exchanges are keyed by minimiser, segment, window or document; the driver gets two bitmaps of fixed size (hot
+minimisers, and windows among theirs that occur twice), which may let too much through, never too little.
 """
 
 from __future__ import annotations
@@ -24,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attemptlab.llm.common import WordHash, gram_hashes, map_rows, mix, stored, word_hashes, words
+from attemptlab.llm.common import WordHash, bitmap_of, gram_hashes, map_rows, maybe, mix, stored, word_hashes, words
 
 GRAM = 8
-_SECOND = np.uint64(0x5851F42D4C957F2D)
+_SINGLE = np.uint64(0x5851F42D4C957F2D)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -40,27 +46,26 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(best[:len(best) - rest], best[rest:]) if rest else best
 
 
-def runs(hashes: np.ndarray, window: int, hot: set | frozenset = frozenset()):
-    """(starts, ends, minimiser, route, run hashes): segments of consecutive windows with one route, as window numbers.
+def runs(hashes: np.ndarray, window: int, hot: np.ndarray | None = None):
+    """(starts, ends, minimiser, route, single, run hashes): segments of consecutive windows with one route, as window numbers.
 
-    The route is the minimiser, or for a minimiser in ``hot`` a mix with a second one.
+    The route is the minimiser; a window with a minimiser in the bitmap ``hot`` is a single, routed by its own hash.
     """
     gram = min(GRAM, window)
     if len(hashes) < window:
         none = np.zeros(0, np.int64)
-        return none, none, none.view(np.uint64), none.view(np.uint64), none.view(np.uint64)
+        return none, none, none.view(np.uint64), none.view(np.uint64), none.astype(bool), none.view(np.uint64)
     g = gram_hashes(hashes, gram)
-    width = window - gram + 1
-    least = sliding_min(g, width)
-    route = least
-    if hot:
-        busy = np.isin(least, np.fromiter(hot, np.uint64, len(hot)))
+    least = sliding_min(g, window - gram + 1)
+    route, busy = least, np.zeros(len(least), bool)
+    if hot is not None:
+        busy = maybe(hot, least)
         if busy.any():
-            route = np.where(busy, mix(least * _SECOND + sliding_min(mix(g ^ _SECOND), width)), least)
-    cut = np.flatnonzero(route[1:] != route[:-1]) + 1
+            route = np.where(busy, mix(gram_hashes(hashes, window) ^ _SINGLE), least)
+    cut = np.flatnonzero((route[1:] != route[:-1]) | busy[1:] | busy[:-1]) + 1
     starts = np.concatenate([[0], cut])
     ends = np.concatenate([cut, [len(route)]])
-    return starts, ends, least[starts], route[starts], g
+    return starts, ends, least[starts], route[starts], busy[starts], g
 
 
 def _weights(g: np.ndarray, window: int, starts, ends, least) -> np.ndarray:
@@ -206,7 +211,7 @@ def _shards(window: int, most_words: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = 35, hot: int = 20_000, most_words: int = 400_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 35, hot: int = 2_000, most_words: int = 400_000) -> DataFrame:
     """(k1, k2, spans): per document (keyed by its id and text) the word intervals covered by repeated windows.
 
     ``docs`` has k1, k2, doc_id and text, as ``_keyed`` makes them.
@@ -220,7 +225,7 @@ def repeated_spans(docs: DataFrame, window: int = 35, hot: int = 20_000, most_wo
         parts: list[tuple] = []
         for a, b, t in zip(k1.to_pylist(), k2.to_pylist(), texts, strict=True):
             h = hashed(t.as_py())
-            starts, ends, least, _, g = runs(h, window)
+            starts, ends, least, _, _, g = runs(h, window)
             if len(starts):
                 parts.append((np.full(len(starts), a), np.full(len(starts), b), least.view(np.int64),
                               _weights(g, window, starts, ends, least)))
@@ -228,20 +233,38 @@ def repeated_spans(docs: DataFrame, window: int = 35, hot: int = 20_000, most_wo
         yield dict(zip(("k1", "k2", "h", "weight"), cols, strict=True))
 
     small = stored(map_rows(docs, minimisers, "k1 long, k2 long, h long, weight long"), "minimisers")
-    twice = small.groupBy("h").agg(F.sum("weight").alias("n")).where("n >= 2") \
-        .select("h", (F.col("n") > hot).alias("hot"))
-    hits = (small.select("k1", "k2", "h").join(twice, "h").groupBy("k1", "k2")
-            .agg(F.collect_set(F.struct("h", "hot")).alias("hits")))      # per document: no longer than its text
+    twice = stored(small.groupBy("h").agg(F.sum("weight").alias("n")).where("n >= 2"), "repeated-minimisers")
+    hits = (small.select("k1", "k2", "h").join(twice.select("h"), "h").groupBy("k1", "k2")
+            .agg(F.collect_set("h").alias("hits")))      # per document: no longer than its text
+    sc = docs.sparkSession.sparkContext
+    frequent = twice.where(F.col("n") > hot)
+    busy = again = None
+    if not frequent.isEmpty():
+        busy = sc.broadcast(bitmap_of(frequent, "h"))
+
+        def singles(texts: pa.Array) -> Iterator[dict[str, list]]:
+            parts = [np.zeros(0, np.uint64)]
+            for t in texts:
+                _, _, _, route, single, _ = runs(hashed(t.as_py()), window, busy.value)
+                parts.append(route[single])
+            key, n = np.unique(np.concatenate(parts), return_counts=True)
+            yield {"route": key.view(np.int64), "n": n}
+
+        counted = map_rows(docs.select("text"), singles, "route long, n long", rows=10_000)
+        again = sc.broadcast(bitmap_of(counted.groupBy("route").agg(F.sum("n").alias("n")).where("n >= 2"), "route"))
 
     def segments(k1: pa.Array, k2: pa.Array, ids: pa.Array, texts: pa.Array, wanted: pa.Array) -> Iterator[dict[str, list]]:
-        out: dict[str, list] = {k: [] for k in ("k1", "k2", "start", "route", "words")}
+        out: dict[str, list] = {k: [] for k in ("k1", "k2", "start", "route", "single", "words")}
         for a, b, t, hit in zip(k1.to_pylist(), k2.to_pylist(), texts, wanted.to_pylist(), strict=True):
             own = words(t.as_py())
             h = word_hashes(state.setdefault("held", WordHash()), own)
-            mask = (1 << 64) - 1
-            starts, ends, least, route, _ = runs(h, window, {x["h"] & mask for x in hit if x["hot"]})
-            keep = np.isin(least, np.array([x["h"] for x in hit], np.int64).view(np.uint64))
-            for s, e, r in zip(starts[keep].tolist(), ends[keep].tolist(), route[keep].view(np.int64).tolist(), strict=True):
+            starts, ends, least, route, single, _ = runs(h, window, busy and busy.value)
+            keep = np.isin(least, np.array(hit, np.int64).view(np.uint64))
+            if single.any():
+                keep &= ~single | maybe(again.value, route)
+            for s, e, r, o in zip(starts[keep].tolist(), ends[keep].tolist(), route[keep].view(np.int64).tolist(),
+                                  single[keep].tolist(), strict=True):
+                out["single"].append(o)
                 out["k1"].append(a)
                 out["k2"].append(b)
                 out["start"].append(s)
@@ -250,12 +273,15 @@ def repeated_spans(docs: DataFrame, window: int = 35, hot: int = 20_000, most_wo
         yield out
 
     found = map_rows(docs.join(hits, ["k1", "k2"]).select("k1", "k2", "doc_id", "text", "hits"), segments,
-                     "k1 long, k2 long, start int, route long, words string", rows=500)
-    distinct = (found.groupBy("route", "words").agg(F.count(F.lit(1)).alias("copies"))
+                     "k1 long, k2 long, start int, route long, single boolean, words string", rows=500)
+    distinct = (found.groupBy("route", "words", "single").agg(F.count(F.lit(1)).alias("copies"))
                 .select("route", F.xxhash64("route", "words").alias("s1"), F.xxhash64(F.lit(1), "words", "route").alias("s2"),
-                        "words", "copies"))
-    intervals = (distinct.repartition("route").sortWithinPartitions("route")
+                        "words", "copies", "single"))
+    intervals = (distinct.where("not single").drop("single").repartition("route").sortWithinPartitions("route")
                  .mapInArrow(_shards(window, most_words), "s1 long, s2 long, lo int, hi int"))
+    if busy is not None:
+        intervals = intervals.union(distinct.where("single and copies > 1").select(
+            "s1", "s2", F.lit(0).alias("lo"), F.lit(window).alias("hi")))
     placed = found.select("k1", "k2", "start", F.xxhash64("route", "words").alias("s1"),
                           F.xxhash64(F.lit(1), "words", "route").alias("s2"))
     return (placed.join(intervals, ["s1", "s2"])

@@ -152,6 +152,35 @@ def test_substring_matches_plain_windows(spark, corpus, window, hot, most):
     assert sorted(map(tuple, got)) == want
 
 
+def test_shared_passage_is_not_one_group(spark, monkeypatch):
+    rng = random.Random(11)
+    passage = prose(rng, 50, 10 ** 6)
+    texts = [f"{prose(rng, 40, 10 ** 6)} {passage} {prose(rng, 40, 10 ** 6)}" for _ in range(300)]
+    rows = list(enumerate(texts))
+    docs = substring._keyed(table(spark, rows), "doc_id", "text")
+    seen = spark.sparkContext.accumulator(0)
+    shards = substring._shards
+
+    def counting(window, most_words):
+        run = shards(window, most_words)
+
+        def counted(batches):
+            def tallied():
+                for batch in batches:
+                    seen.add(batch.num_rows)
+                    yield batch
+            yield from run(tallied())
+
+        return counted
+
+    monkeypatch.setattr(substring, "_shards", counting)
+    spans = {r["k1"]: r["spans"] for r in substring.repeated_spans(docs, hot=100).collect()}
+    assert seen.value < 100          # before, one segment per document under one route
+    assert len(spans) == 300
+    got = {r["doc_id"]: r["n_removed"] for r in substring.remove_repeats(table(spark, rows), hot=100).collect()}
+    assert set(got.values()) == {50}
+
+
 def test_substring_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert substring.digest(substring.remove_repeats(empty)).count() == 0
