@@ -366,6 +366,23 @@ def test_base_spans_stay(spark):
         assert own == sorted(own, key=lambda s: (pii.KINDS.index(s.split(":")[0]), int(s.split(":")[1]), int(s.split(":")[2])))
 
 
+def test_other_formats_are_added_and_look_alikes_are_not(spark):
+    good = {1: "ask bob.smith (at) shop dot example dot org today", 2: "call (415) 555-2671 or come", 3: "tel 303-555-0142, daily",
+            4: "card 4012.8888.8888.1881 was used", 5: "mail ann [at] host [dot] net now"}
+    bad = {11: "on 2023-07-04 18 it rained", 12: "id 9174408213 is taken", 13: "we sat at lunch. Then we left at ten dot",
+           14: "card 4012.8888.8888.1882 was used", 15: "steps 20 40 60 80 10 30"}
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    docs = spark.createDataFrame([(i + 100, t) for i, t in rows] + [*good.items(), *bad.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.find_spans(docs).collect()}
+    want = {1: "bob.smith (at) shop dot example dot org", 2: "(415) 555-2671", 3: "303-555-0142", 4: "4012.8888.8888.1881",
+            5: "ann [at] host [dot] net"}
+    for i, text in good.items():
+        assert [(text[s["start"]:s["end"]], s["origin"]) for s in got[i]] == [(want[i], "model")], (i, got[i])
+    assert all(not got[i] for i in bad), {i: got[i] for i in bad}
+    added = [s for i in got if i > 100 for s in got[i] if s["origin"] == "model"]
+    assert len(added) <= 2, added
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "mail a.b@c.org or +1 (394) 555-4006"), (2, None)], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
