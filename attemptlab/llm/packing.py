@@ -42,21 +42,27 @@ def _byte_of_char() -> dict[str, int]:
 
 
 def build_encoder(vocabulary_json: str, pattern: str):
-    """Byte-level BPE encoder with the ids of a ``tokenizers`` file (special strings are ordinary text)."""
+    """Byte-level BPE encoder with the ids of a ``tokenizers`` file, added tokens included."""
     import tiktoken
 
     spec = json.loads(vocabulary_json)
-    special = {t["content"] for t in spec.get("added_tokens", [])}
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
     to_byte = _byte_of_char()
     ranks = {bytes(to_byte[c] for c in token): i
              for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
 def encode(encoder, text: str) -> np.ndarray:
+    """Ids of ordinary text."""
     return encoder.encode_to_numpy(text, disallowed_special=())
 
 
+def encode_document(encoder, text: str) -> np.ndarray:
+    """Ids of a text in which an added token is one id, as ``tokenizers`` gives them by default."""
+    return encoder.encode_to_numpy(text, allowed_special="all")
+
+
 def difference(sizes: np.ndarray, windows: int) -> np.ndarray:
     """Window number of each piece by multiway Karmarkar-Karp differencing."""
     n = len(sizes)
@@ -148,7 +154,7 @@ def _packer(vocabulary, pattern: str, capacity: int, piece: int, batch_windows:
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(encode(encoder, text.as_py() or ""), np.uint32(end_id)).astype("<u4")
+                ids = np.append(encode_document(encoder, text.as_py() or ""), np.uint32(end_id)).astype("<u4")
                 n = len(ids)
                 whole, rest = cut(n, capacity, piece)
                 for k in range(whole):

@@ -145,6 +145,22 @@ def test_special_strings_are_text_and_empty_table(spark):
     assert "vocab" in json.dumps(list(json.loads(open(path, encoding="utf-8").read())["model"]))
 
 
+def test_added_tokens_have_the_library_ids(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", " <|endoftext|x|> <|endoftext|>\n"]
+    docs = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")
+    library = Tokenizer.from_file(path)
+    want = {}
+    for i, t in enumerate(text):
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        want[i] = (len(ids), zlib.crc32(ids.tobytes()))
+    got = packing.pack_documents(docs, path, public_tokenizers.PATTERN).collect()
+    assert {r["doc_id"]: (r["doc_tokens"], r["ids_crc32"]) for r in got} == want
+
+
 # ---- language
 
 def test_kernel_counts_common_grams():
