@@ -194,7 +194,7 @@ def _rooted(df: DataFrame, roots: DataFrame, col: str, name: str) -> DataFrame:
 
 
 def near_duplicate_groups(docs: DataFrame, size: int = 4, percent: int = 80, bands: int = 32, rows: int = 5,
-                          signature: int = 256, least_agreement: float = 0.72, block: int = 512,
+                          signature: int = 256, least_agreement: float = 0.66, block: int = 512,
                           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row.
 
@@ -202,9 +202,8 @@ def near_duplicate_groups(docs: DataFrame, size: int = 4, percent: int = 80, ban
     shingles, or its whole word sequence when shorter; a null text or one without words has an empty set and no
     links.  Documents are linked when 100 * intersection >= ``percent`` * union; component_id is the smallest id
     reachable.  With the default bands a pair at 0.8 fails to meet with a probability of about 3e-6; its
-    signature agrees in 0.8 of the bytes (deviation 0.025), and the bound lies more than three deviations below.
-    Repeated rows of one id get one row
-    each and belong to the same component; a null id is a group of its own.  Other columns are ignored.
+    signature agrees in 0.8 of the bytes (deviation 0.025), and the bound lies more than five deviations below.
+    Repeated rows of one id get one row each and belong to the same component; a null id is a group of its own.  Other columns are ignored.
     """
     whole = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     signed = _cut(_signed(whole, size, bands, rows, signature))

@@ -113,6 +113,13 @@ def test_near_duplicates_match_all_pairs(spark, corpus, size, percent, block):
         assert r["kept"] == (r["doc_id"] == r["component_id"])
 
 
+def test_pair_at_the_threshold_with_a_poor_signature(spark):
+    # 80 of 100 words in common; the signatures agree in 0.715 of their bytes
+    texts = [" ".join([f"s16c{i}" for i in range(80)] + [f"s16{x}{i}" for i in range(10)]) for x in "ab"]
+    got = minhash.near_duplicate_groups(table(spark, list(enumerate(texts))), 1, 80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {0: 0, 1: 0}
+
+
 def test_near_duplicates_without_rows_or_ids(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.near_duplicate_groups(empty).count() == 0
