@@ -305,8 +305,12 @@ def _across(rest: DataFrame, percent: int, least_agreement: float) -> DataFrame:
 
 
 def keep_smallest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that lead their group, with all their columns; repeated rows become one."""
+    """The rows of ``docs`` that lead their group, with all their columns; repeated rows of an id and text become one.
+
+    Different texts under one id, or without an id, stay apart.
+    """
     kept = near_duplicate_groups(docs, id_col=id_col, text_col=text_col, **options).where("kept") \
         .select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi").dropDuplicates([id_col])
+    own = docs.withColumn("__sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    return own.join(kept, own[id_col].eqNullSafe(kept["__kept"]), "left_semi").dropDuplicates([id_col, "__sha"]).drop("__sha")
 

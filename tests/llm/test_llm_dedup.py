@@ -81,6 +81,15 @@ def test_exact_null_id_and_empty_table(spark):
     assert exact_dedup.exact_groups(empty).count() == 0
 
 
+@pytest.mark.parametrize("keep", [exact_dedup.keep_first_copies, minhash.keep_smallest])
+def test_different_texts_under_a_null_or_repeated_id_stay(spark, keep):
+    rng = random.Random(7)
+    a, b, c, d = (prose(rng, 40, 10 ** 6) for _ in range(4))
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, d), (1, d), (2, c)]
+    got = [(r["doc_id"], r["text"]) for r in keep(table(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(None, a), (None, b), (1, c), (1, d)], key=str)
+
+
 def plain_components(rows, size, percent):
     sets = {}
     for i, t in rows:
