@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attemptlab.llm import (decontaminate, exact_dedup, language, lm, minhash, packing, pii, substring, toxicity,
-                            url_filter)
+from attemptlab.llm import (decontaminate, exact_dedup, language, lm, merkle, minhash, packing, pii, substring,
+                            toxicity, url_filter)
 from attemptlab.llm.common import held_fold
 from attemptlab.session import ensure_checkpoint_dir
 
@@ -65,6 +65,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_spans(_table(spark, sf_dir, "documents")))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = [merkle.lowered(F.col(c)) if c == "text" else F.col(c) for c in columns]
+    claims = F.when(held_fold("doc_id", 3) == 0, merkle.leaf_digest(changed))
+    return merkle.verified_leaves(_table(spark, sf_dir, "documents"), columns, claims)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_decontamination": op2_decontamination,
@@ -76,8 +83,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_pii": op10_pii,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
 }
