@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attemptlab.llm import (decontaminate, exact_dedup, language, lm, merkle, minhash, packing, pii, substring,
-                            toxicity, url_filter)
+from attemptlab.llm import (decontaminate, exact_dedup, language, lm, merkle, minhash, packing, periodic, pii,
+                            substring, toxicity, url_filter)
 from attemptlab.llm.common import held_fold
 from attemptlab.session import ensure_checkpoint_dir
 
@@ -72,6 +72,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified_leaves(_table(spark, sf_dir, "documents"), columns, claims)
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.periodic_runs(periodic.planted_repeats(_table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_decontamination": op2_decontamination,
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_pii": op10_pii,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
