@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attemptlab.llm import (decontaminate, exact_dedup, language, lm, merkle, minhash, packing, periodic, pii,
-                            substring, toxicity, url_filter)
+from attemptlab.llm import (decontaminate, exact_dedup, jaccard_join, language, lm, merkle, minhash, packing,
+                            periodic, pii, substring, toxicity, url_filter)
 from attemptlab.llm.common import held_fold
 from attemptlab.session import ensure_checkpoint_dir
 
@@ -76,6 +76,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(periodic.periodic_runs(periodic.planted_repeats(_table(spark, sf_dir, "documents"))))
 
 
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_components(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_decontamination": op2_decontamination,
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_ngram_jaccard_join": op13_ngram_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {
