@@ -9,7 +9,7 @@ is right, this one keeps buckets small).  Sets that reach the similarity share a
 3. Group pairs that meet under a shingle are filtered by size and by position: with the shingle as their first common
    one, the rest of the two sets must still reach the overlap that the similarity asks for.
 4. The pairs that are left are expanded to the groups' members and verified on the full sets.  First each group is
-   compared with the most central group of its buckets, and the components of these links are contracted.  Then every
+   compared with the most central group of each of its buckets, and the components of these links are contracted.  Then every
    bucket that still holds several components is settled: its groups are collapsed to profiles of equal component,
    size and position, and all profile pairs of different components that pass the filter are expanded and verified.
    So all links between components are tried, but a group of near copies isn't expanded into all its pairs.
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attemptlab.llm.common import WordHash, map_rows, stored
+from attemptlab.llm.common import WordHash, bitmap_of, map_rows, maybe, stored
 from attemptlab.llm.minhash import shingle_set, star_components
 
 _SLOTS = 19               # the sketch counts in 2 ** _SLOTS slots
@@ -90,29 +90,35 @@ def _signed(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """(rid, items): the full sets of ``classes`` (rid, doc_id, set_a, set_b), made from the texts."""
+    """(rid, items): the full sets of ``classes`` (rid, doc_id, set_a, set_b), made from the texts.
+
+    A bitmap of the ids keeps the other texts from being hashed and moved; what it lets through by chance drops out
+    in the join.
+    """
+    ids = bitmap_of(classes.select(F.xxhash64("doc_id").alias("h")), "h")
     state: dict = {}
 
-    def make(texts: pa.Array) -> Iterator[dict[str, list]]:
+    def make(keys: pa.Array, texts: pa.Array) -> Iterator[dict[str, list]]:
         held = state.setdefault("held", WordHash())
-        data = [shingle_set(t.as_py(), size, held).tobytes() for t in texts]
+        near = np.flatnonzero(maybe(ids, keys.to_numpy()))
+        data = [shingle_set(t.as_py(), size, held).tobytes() for t in texts.take(pa.array(near))]
         both = [np.frombuffer(xxhash.xxh128_digest(d), np.int64).tolist() for d in data]
         yield {"set_a": [a for a, _ in both], "set_b": [b for _, b in both], "items": data}
 
-    ids = classes.select(F.col("doc_id").alias("__id")).distinct()
-    near = docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi").select("text")
-    return (map_rows(near, make, "set_a long, set_b long, items binary", rows=500)
-            .join(classes.select("rid", "set_a", "set_b"), ["set_a", "set_b"]).select("rid", "items")
-            .dropDuplicates(["rid"]))
+    made = map_rows(docs.select(F.xxhash64("doc_id").alias("h"), "text"), make,
+                    "set_a long, set_b long, items binary", rows=500)
+    return made.join(classes.select("rid", "set_a", "set_b"), ["set_a", "set_b"]).select("rid", "items").dropDuplicates(["rid"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach ``percent``.
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of ``classes`` whose full sets reach ``percent``.
 
     The partners of one ``a`` are dealt into blocks of about ``_VERIFY_ROWS``; its set is sent once to each block.
     """
     blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(_VERIFY_ROWS)).cast("long").alias("blocks"))
     dealt = stored(pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block")), "join-dealt")
+    ends = dealt.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+    sets = stored(_sets(docs, stored(classes.join(ends, "rid", "left_semi"), "join-ends"), size), "join-sets")
     members = dealt.join(sets.withColumnRenamed("rid", "b"), "b").select("a", "block", "b", "items")
     leaders = (dealt.select("a", "block").distinct().join(sets.withColumnRenamed("rid", "a"), "a")
                .select("a", "block", F.col("a").alias("b"), "items"))
@@ -120,10 +126,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def check(group: pa.Table) -> pa.Table:
         a = group["a"][0].as_py()
         ids = group["b"].to_pylist()
-        sets_ = [np.frombuffer(x, np.uint64) for x in group["items"].to_pylist()]
-        left = sets_[ids.index(a)]
+        items = [np.frombuffer(x, np.uint64) for x in group["items"].to_pylist()]
+        left = items[ids.index(a)]
         ok = []
-        for i, right in zip(ids, sets_, strict=True):
+        for i, right in zip(ids, items, strict=True):
             if i != a:
                 common = np.intersect1d(left, right, assume_unique=True).size
                 if 100 * common >= percent * (len(left) + len(right) - common):
@@ -148,7 +154,8 @@ def _rooted(df: DataFrame, roots: DataFrame, col: str, name: str) -> DataFrame:
 def _profile_pairs(profiles: DataFrame, percent: int) -> DataFrame:
     """Pairs of profiles (token, root, n, r) of one bucket, of different components, that pass the filter.
 
-    A bucket's profiles are dealt into blocks of bounded size; each pair of blocks is one group.
+    A bucket's profiles are dealt into blocks of bounded size, and each pair of blocks has a join key of its own, so
+    that a large bucket is spread over many tasks.
     """
     blocks = profiles.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
                                            F.ceil(F.count(F.lit(1)) / F.lit(_PROFILES)).cast("int").alias("blocks")) \
@@ -157,30 +164,12 @@ def _profile_pairs(profiles: DataFrame, percent: int) -> DataFrame:
     dealt = (profiles.join(blocks, "token").withColumn("own", part)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "root", "n", "r"))
-
-    def compare(group: pa.Table) -> pa.Table:
-        root, n, r, own = (group[c].to_numpy() for c in ("root", "n", "r", "own"))
-        within = group["lo"][0].as_py() == group["hi"][0].as_py()
-        order = np.argsort(n, kind="stable")
-        root, n, r, own = root[order], n[order], r[order], own[order]
-        # by size: partners of a profile are the following ones up to the largest size that it allows
-        last = np.searchsorted(n, 100 * n // percent, "right")
-        left, right = [], []
-        for i in range(len(n)):
-            j = np.arange(i + 1, last[i])
-            if len(j):
-                j = j[(root[j] != root[i]) & (within | (own[j] != own[i]))
-                      & ((100 + percent) * np.minimum(r[j], r[i]) >= percent * (n[j] + n[i]))]
-                left += [i] * len(j)
-                right += j.tolist()
-        token = group["token"][0].as_py()
-        cols = {"token": pa.array([token] * len(left), pa.int64())}
-        for k, at in (("1", left), ("2", right)):
-            cols |= {f"{c}{k}": pa.array(v[at]) for c, v in (("root", root), ("n", n), ("r", r))}
-        return pa.table(cols)
-
-    return dealt.groupBy("token", "lo", "hi").applyInArrow(
-        compare, "token long, root1 long, n1 long, r1 long, root2 long, n2 long, r2 long")
+    dealt = stored(dealt, "join-blocks")
+    one, two = (dealt.withColumnsRenamed({c: f"{c}{k}" for c in ("own", "root", "n", "r")}) for k in (1, 2))
+    return (one.join(two, ["token", "lo", "hi"])
+            .where(((F.col("lo") == F.col("hi")) | (F.col("own1") != F.col("own2"))) & (F.col("root1") < F.col("root2"))
+                   & _passes("n1", "r1", "n2", "r2", percent))
+            .select("token", "root1", "n1", "r1", "root2", "n2", "r2"))
 
 
 def linked_classes(docs: DataFrame, signed: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -202,28 +191,14 @@ def linked_classes(docs: DataFrame, signed: DataFrame, size: int, percent: int)
                                          F.col("best.r").alias("s")))
     members = stored(index.join(leaders, "token"), "join-members")
 
-    stars = stored(members.where(F.col("gid") != F.col("leader")).where(_passes("n", "r", "m", "s", percent))
-                   .groupBy(F.col("leader").alias("a"), "gid").agg(F.count(F.lit(1)).alias("shared")), "join-stars")
-    of_group = named.select("gid", F.col("rid").alias("b"))
-
-    def expanded(pairs: DataFrame) -> DataFrame:
-        """The leader's first member with every member of the other group."""
-        return pairs.join(of_group, "gid").select("a", "b")
-
-    best = stars.groupBy("gid").agg(F.max(F.struct("shared", "a"))["a"].alias("a"))
+    stars = (members.where(F.col("gid") != F.col("leader")).where(_passes("n", "r", "m", "s", percent))
+             .select(F.col("leader").alias("a"), "gid").distinct())
+    of_group, keyed = named.select("gid", F.col("rid").alias("b")), named.select("rid", "doc_id", "set_a", "set_b")
+    # every group with the central groups of its buckets, and the members of a group with its first
     inner = named.where("rid <> gid").select(F.col("gid").alias("a"), F.col("rid").alias("b"))
-    # only classes that share a bucket or a group are made into sets, once
-    ends = members.select(F.col("gid").alias("gid")).union(inner.select("a")).distinct()
-    sets = stored(_sets(docs, named.join(ends, "gid", "left_semi"), size), "join-sets")
-
-    links = stored(_verified(expanded(best).unionByName(inner), sets, percent), "join-links")
+    tried = stored(stars.join(of_group, "gid").select("a", "b").unionByName(inner), "join-tried")
+    links = stored(_verified(tried, docs, keyed, size, percent), "join-links")
     roots = star_components(links)
-    others = _rooted(_rooted(expanded(stars.join(best, ["a", "gid"], "left_anti")), roots, "a", "root_a"), roots, "b", "root_b") \
-        .where("root_a <> root_b").select("a", "b")
-    more = stored(_verified(others, sets, percent), "join-more")
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        roots = star_components(links)
 
     # buckets that still hold several components, and groups likewise, under their own number from position 0 on
     placed = _rooted(members.select("token", "gid", "n", "r").join(of_group.withColumnRenamed("b", "rid"), "gid"), roots, "rid", "root")
@@ -239,7 +214,8 @@ def linked_classes(docs: DataFrame, signed: DataFrame, size: int, percent: int)
 
     last = (hits.join(side("1", "a"), ["token", "root1", "n1", "r1"]).join(side("2", "b"), ["token", "root2", "n2", "r2"])
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    final = stored(_verified(last, sets, percent), "join-last")
+    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    final = stored(_verified(last.join(done, ["a", "b"], "left_anti"), docs, keyed, size, percent), "join-last")
     if not final.isEmpty():
         roots = star_components(links.unionByName(final))
     return classes, roots
