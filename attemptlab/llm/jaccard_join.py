@@ -1,13 +1,14 @@
 """Exact Jaccard join of word n-gram sets with grouped prefixes, and the components of its links.
 
-A document's set is put into one global order, rare shingles first (by a count sketch over all documents; any order
-is right, this one keeps buckets small).  Sets that reach the similarity share a shingle among the first
+A document's set is put into one global order, rare shingles first (estimated from count sketches over all documents;
+any order is right, this one keeps buckets small).  Sets that reach the similarity share a shingle among the first
 ``n - ceil(t * n) + 1`` of each: the prefix.
 
 1. Documents with the same set are one class; copies cost nothing from here on.
 2. Classes with the same size and the same prefix are one group.  Only groups enter the index of prefix shingles.
 3. Group pairs that meet under a shingle are filtered by size and by position: with the shingle as their first common
-   one, the rest of the two sets must still reach the overlap that the similarity asks for.
+   one, the rest of the two sets must still reach the overlap that the similarity asks for.  Groups without such a
+   partner leave the bucket at once.
 4. The pairs that are left are expanded to the groups' members and verified on the full sets.  First each group is
    compared with the most central group of each of its buckets, and the components of these links are contracted.  Then every
    bucket that still holds several components is settled: its groups are collapsed to profiles of equal component,
@@ -28,10 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attemptlab.llm.common import WordHash, bitmap_of, map_rows, maybe, stored
+from attemptlab.llm.common import WordHash, bitmap_of, gram_hashes, map_rows, maybe, stored, word_hashes, words
 from attemptlab.llm.minhash import shingle_set, star_components
 
-_SLOTS = 19               # the sketch counts in 2 ** _SLOTS slots
+_SLOTS = 18               # each sketch counts in 2 ** _SLOTS slots
+_HOT = 50_000             # shingles that so many documents hold are indexed in a way that splits their buckets
 _VERIFY_ROWS = 128        # members that meet one leader in a task at a time
 _PROFILES = 2048          # profiles of a bucket that meet in a task at a time
 
@@ -40,22 +42,50 @@ def _slot(items: np.ndarray) -> np.ndarray:
     return (items >> np.uint64(64 - _SLOTS)).astype(np.int64)
 
 
-def sketch(texts: DataFrame, size: int) -> np.ndarray:
-    """Number of documents per slot of the shingle hashes, over all rows of the one column of ``texts``."""
+def sketches(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences per slot of the word hashes and documents per slot of the shingle hashes, over all rows of ``texts``."""
+    slots = 1 << _SLOTS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, counts = WordHash(), np.zeros(1 << _SLOTS, np.int64)
+        held, counts, none = WordHash(), np.zeros(2 * slots, np.int64), np.zeros(0, np.uint64)
         for batch in batches:
-            sets = [shingle_set(t.as_py(), size, held) for t in batch.column(0)]
-            counts += np.bincount(_slot(np.concatenate([*sets, np.zeros(0, np.uint64)])), minlength=1 << _SLOTS)
+            split = [word_hashes(held, words(t.as_py(), lower=True)) for t in batch.column(0)]
+            sets = [np.unique(gram_hashes(h, min(size, len(h)))) for h in split if len(h)]
+            counts[:slots] += np.bincount(_slot(np.concatenate([*split, none])), minlength=slots)
+            counts[slots:] += np.bincount(_slot(np.concatenate([*sets, none])), minlength=slots)
         at = np.flatnonzero(counts)
         for s in range(0, len(at), 100_000):
             part = at[s:s + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], names=["slot", "n"])
 
     got = texts.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << _SLOTS, np.int64)
+    out = np.zeros(2 * slots, np.int64)
     out[got["slot"].to_numpy()] = got["n"].to_numpy()
-    return out
+    return out[:slots], out[slots:]
+
+
+class Order:
+    """The global order of shingles: those of clusters after all others, then by the frequencies of their words.
+
+    A shingle that many documents hold lifts its slot of the sketch above the even filling by chance (mean and
+    deviation of the counts); its level is the logarithm of the excess.  Within a level, the sum of the words'
+    logarithmic frequencies puts shingles of rare words, which few documents share, first.
+    """
+
+    def __init__(self, of_words: np.ndarray, of_shingles: np.ndarray):
+        self.word = np.rint(4 * np.log2(1 + of_words)).astype(np.int32)
+        base = np.median(of_shingles)
+        excess = (of_shingles - base) / (5 * np.sqrt(base) + 1)
+        self.level = np.floor(np.log2(np.maximum(excess, 0.5))).astype(np.int32) + 1
+        self.hot = of_shingles - base >= _HOT
+
+    def ordered(self, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct shingles of a word sequence sorted by hash, and their order (ties by hash)."""
+        k = min(size, len(hashes))
+        items, at = np.unique(gram_hashes(hashes, k), return_index=True)
+        own = self.word[_slot(hashes)]
+        sums = np.convolve(own, np.ones(k, np.int32), "valid")
+        return items, np.argsort(self.level[_slot(items)] * 4096 + sums[at], kind="stable")
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -63,29 +93,34 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _signed(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """A row per document: running number, id, size and digest of its set, digest and shingles of the prefix."""
+    """A row per document: running number, id, size and digest of its set, digest and shingles of the prefix.
+
+    ``cold`` is the number of shingles at the head of the prefix before the first hot one.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    counts = sketch(docs.select("text"), size)
+    order = Order(*sketches(docs.select("text"), size))
     state: dict = {}
 
     def sign(rids: pa.Array, ids: pa.Array, texts: pa.Array) -> Iterator[dict[str, list]]:
         held = state.setdefault("held", WordHash())
-        out: dict[str, list] = {k: [] for k in ("n", "set_a", "set_b", "pre_a", "pre_b", "prefix")}
+        out: dict[str, list] = {k: [] for k in ("n", "set_a", "set_b", "pre_a", "pre_b", "prefix", "cold")}
         for text in texts:
-            items = shingle_set(text.as_py(), size, held)
+            hashes = word_hashes(held, words(text.as_py(), lower=True))
+            items, ranked = order.ordered(hashes, size) if len(hashes) else (hashes, np.zeros(0, np.int64))
             n = len(items)
-            # the items are sorted, so a stable sort by count orders by (count, hash)
-            prefix = items[np.argsort(counts[_slot(items)], kind="stable")[:prefix_length(n, percent)]] if n else items
+            prefix = items[ranked[:prefix_length(n, percent)]]
+            hot = np.flatnonzero(order.hot[_slot(prefix)])
             for k, part in (("set", items), ("pre", prefix)):
                 a, b = np.frombuffer(xxhash.xxh128_digest(part.tobytes()), np.int64).tolist()
                 out[f"{k}_a"].append(a)
                 out[f"{k}_b"].append(b)
             out["n"].append(n)
             out["prefix"].append(prefix.view(np.int64))
+            out["cold"].append(int(hot[0]) if len(hot) else len(prefix))
         yield {"rid": rids, "doc_id": ids, **out}
 
     return map_rows(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), sign,
-                    f"rid long, doc_id {kind}, n long, set_a long, set_b long, pre_a long, pre_b long, prefix array<long>",
+                    f"rid long, doc_id {kind}, n int, set_a long, set_b long, pre_a long, pre_b long, prefix array<long>, cold int",
                     rows=500)
 
 
@@ -172,6 +207,18 @@ def _profile_pairs(profiles: DataFrame, percent: int) -> DataFrame:
             .select("token", "root1", "n1", "r1", "root2", "n2", "r2"))
 
 
+def _with_partner(index: DataFrame, percent: int) -> DataFrame:
+    """Rows (token, gid, n, r) that have another group in their bucket with which they pass the filter.
+
+    Rows are compared with the distinct (n, r) of their bucket, of which there are few however large it is.
+    """
+    shapes = index.groupBy("token", F.col("n").alias("m"), F.col("r").alias("s")).agg(F.count(F.lit(1)).alias("rows"))
+    same = (F.col("m") == F.col("n")) & (F.col("s") == F.col("r"))
+    other = shapes.withColumnRenamed("token", "__token")
+    return index.join(other, (F.col("token") == F.col("__token")) & _passes("n", "r", "m", "s", percent)
+                      & (~same | (F.col("rows") > 1)), "left_semi")
+
+
 def linked_classes(docs: DataFrame, signed: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets (set_a, set_b, rid, least) and the components (node, root) of their rids."""
     full = signed.where("n > 0")
@@ -179,19 +226,18 @@ def linked_classes(docs: DataFrame, signed: DataFrame, size: int, percent: int)
     reps = full.join(classes.select("rid"), "rid", "left_semi")
     groups = reps.groupBy("n", "pre_a", "pre_b").agg(F.min("rid").alias("gid"))
     named = stored(reps.join(groups, ["n", "pre_a", "pre_b"])
-                   .select("rid", "gid", "n", "doc_id", "set_a", "set_b",
+                   .select("rid", "gid", "n", "doc_id", "set_a", "set_b", "cold",
                            F.when(F.col("rid") == F.col("gid"), F.col("prefix")).alias("prefix")), "join-groups")
-    index = named.where("rid = gid").select("gid", "n", F.posexplode("prefix").alias("i", "token")) \
-        .select("token", "gid", "n", (F.col("n") - F.col("i")).alias("r"))
-    # buckets with one group never go on; the leader is the group with the fewest shingles before the common one
-    leaders = (index.groupBy("token").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi"),
-                                          F.max(F.struct((F.col("r") * 1000 / F.col("n")).cast("int").alias("share"),
-                                                         (-F.col("gid")).alias("first"), "n", "r")).alias("best"))
-               .where("lo <> hi").select("token", (-F.col("best.first")).alias("leader"), F.col("best.n").alias("m"),
-                                         F.col("best.r").alias("s")))
-    members = stored(index.join(leaders, "token"), "join-members")
-
-    stars = (members.where(F.col("gid") != F.col("leader")).where(_passes("n", "r", "m", "s", percent))
+    index = named.where("rid = gid").select("gid", "n", "cold", F.posexplode("prefix").alias("i", "token")) \
+        .select("token", "gid", "n", (F.col("n") - F.col("i")).alias("r"), (F.col("i") >= F.col("cold")).alias("hot"))
+    # hot buckets are combined in the tasks and can be split by the planner; all others are moved once
+    members = stored(_with_partner(index.where("not hot").drop("hot").repartition("token"), percent)
+                     .unionByName(_with_partner(index.where("hot").drop("hot"), percent)), "join-members")
+    # the leader of a bucket is the group with the fewest shingles before the common one
+    leaders = (members.groupBy("token").agg(F.max(F.struct((F.col("r") * F.lit(1000.0) / F.col("n")).cast("int").alias("share"),
+                                                           (-F.col("gid")).alias("first"), "n", "r")).alias("best"))
+               .select("token", (-F.col("best.first")).alias("leader"), F.col("best.n").alias("m"), F.col("best.r").alias("s")))
+    stars = (members.join(leaders, "token").where(F.col("gid") != F.col("leader")).where(_passes("n", "r", "m", "s", percent))
              .select(F.col("leader").alias("a"), "gid").distinct())
     of_group, keyed = named.select("gid", F.col("rid").alias("b")), named.select("rid", "doc_id", "set_a", "set_b")
     # every group with the central groups of its buckets, and the members of a group with its first
@@ -239,6 +285,6 @@ def similar_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
     rooted = _rooted(classes, roots, "rid", "root")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("set_a", "set_b", "component_id")
-    linked = signed.where("n > 0").select("doc_id", F.col("n").alias("n_shingles"), "set_a", "set_b") \
+    linked = signed.where("n > 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "set_a", "set_b") \
         .join(named, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component_id")
-    return linked.unionByName(signed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return linked.unionByName(signed.where("n = 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))

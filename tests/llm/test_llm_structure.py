@@ -318,7 +318,8 @@ def test_join_matches_all_pairs(spark, seed):
 
 
 def test_join_in_blocks(spark, monkeypatch):
-    """Blocks of two: every bucket and every leader is spread over many groups."""
+    """Blocks of two and hot from five on: every bucket and every leader is spread over many groups."""
+    monkeypatch.setattr(jaccard_join, "_HOT", 5)
     monkeypatch.setattr(jaccard_join, "_PROFILES", 2)
     monkeypatch.setattr(jaccard_join, "_VERIFY_ROWS", 2)
     rows = join_rows(5)
