@@ -68,15 +68,35 @@ def label_characters(common: Column, missing: str) -> Column:
     return F.concat(F.array(F.lit(missing)), each)
 
 
-def _encode(labels: Column, common: Column, characters: Column) -> Column:
-    return F.array_join(F.transform(labels, lambda t: F.element_at(characters, (F.array_position(common, t) + 1).cast("int"))), "")
+def _encode(labels: Column, listed: Column, characters: Column) -> Column:
+    """Labels as characters; ``listed`` is the comma-separated list of common labels (labels hold no comma)."""
+    return F.array_join(F.transform(labels, lambda t: F.element_at(characters, F.find_in_set(t, listed) + 1)), "")
 
 
-def _tree_edit(la: Column, lb: Column, ea: Column, eb: Column, most: Column) -> Column:
-    """Unit-cost edit distance of two flat token trees; null stands for more than ``most``."""
+def unmatched(encoded: Column, missing: str) -> Column:
+    """Positions of an encoded text whose label the other side does not have."""
+    return F.length(encoded) - F.length(F.replace(encoded, F.lit(missing), F.lit("")))
+
+
+def edit_bound(ea: Column, eb: Column) -> Column:
+    """Lower bound of the edit distance of two encoded label sequences, without comparing them.
+
+    At most as many positions match as the side with fewer common labels has of them; each other position of the
+    longer side costs an edit.
+    """
+    na, nb = F.length(ea), F.length(eb)
+    matches = F.least(na - unmatched(ea, _ONLY_LEFT), nb - unmatched(eb, _ONLY_RIGHT))
+    return F.greatest(na, nb) - matches
+
+
+def _tree_edit(la: Column, lb: Column, ea: Column, eb: Column, bound: Column, most: Column) -> Column:
+    """Unit-cost edit distance of two flat token trees; null stands for more than ``most``.
+
+    Pairs whose ``bound`` is already over ``most`` are not compared.
+    """
     na, nb = F.size(la), F.size(lb)
     vs_empty = lambda n, other: F.when(F.array_contains(other, EMPTY_TREE), n).otherwise(n + 1)
-    within = F.call_function("levenshtein", ea, eb, most)
+    within = F.when(bound <= most, F.call_function("levenshtein", ea, eb, most))
     return (F.when((na == 0) & (nb == 0), F.lit(0))
             .when(na == 0, vs_empty(nb, lb))
             .when(nb == 0, vs_empty(na, la))
@@ -87,23 +107,25 @@ def add_tree_distance(df: DataFrame, a: str, b: str, out: str = "ast_edit_distan
     """Tree edit distance / mean word count, capped at 1.
 
     Each text is cleaned and scanned once; labels, common labels and their characters are columns (a lambda body
-    is evaluated per element, so it must only read columns).  Because the result is capped at 1, the edit distance
-    is only followed up to the mean word count.
+    is evaluated per element, so it must only read columns).  Because the result is capped at 1, pairs are only
+    compared while the bound leaves less than the mean word count, and only followed up to it.
     """
     staged = (df.withColumn("_ca", X.clean_code(F.col(a))).withColumn("_cb", X.clean_code(F.col(b)))
               .withColumn("_la", tree_labels(F.col("_ca"))).withColumn("_lb", tree_labels(F.col("_cb")))
               .withColumn("_avg", (X.word_count(F.col("_ca")) + X.word_count(F.col("_cb"))).cast("double") / 2.0)
               .drop("_ca", "_cb")
               .withColumn("_both", F.array_intersect("_la", "_lb"))
+              .withColumn("_list", F.array_join("_both", ","))
               .withColumn("_xa", label_characters(F.col("_both"), _ONLY_LEFT))
               .withColumn("_xb", label_characters(F.col("_both"), _ONLY_RIGHT))
-              .withColumn("_ea", _encode(F.col("_la"), F.col("_both"), F.col("_xa")))
-              .withColumn("_eb", _encode(F.col("_lb"), F.col("_both"), F.col("_xb"))))
+              .withColumn("_ea", _encode(F.col("_la"), F.col("_list"), F.col("_xa")))
+              .withColumn("_eb", _encode(F.col("_lb"), F.col("_list"), F.col("_xb")))
+              .withColumn("_bound", edit_bound(F.col("_ea"), F.col("_eb"))))
     scale = F.greatest(F.col("_avg"), F.lit(1.0))
-    dist = _tree_edit(F.col("_la"), F.col("_lb"), F.col("_ea"), F.col("_eb"), F.floor(scale).cast("int"))
+    dist = _tree_edit(F.col("_la"), F.col("_lb"), F.col("_ea"), F.col("_eb"), F.col("_bound"), F.floor(scale).cast("int"))
     value = F.when(F.col("_avg") == 0, F.lit(0.0)).otherwise(
         F.coalesce(F.least(F.lit(1.0), dist.cast("double") / scale), F.lit(1.0)))
-    return staged.withColumn(out, value).drop("_la", "_lb", "_avg", "_both", "_xa", "_xb", "_ea", "_eb")
+    return staged.withColumn(out, value).drop("_la", "_lb", "_avg", "_both", "_list", "_xa", "_xb", "_ea", "_eb", "_bound")
 
 
 def char_levenshtein(a, b) -> Column:
