@@ -121,9 +121,24 @@ def explode_states(df: DataFrame, extra: list[str] = (), scenario: int | None =
             .filter(F.col("student_id").isNotNull() & F.col("question_id").isNotNull()))
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
-    """Overwrite a table; ``partition_by`` gives one folder per (model, scenario) like the reference's files."""
-    w = df.write.mode("overwrite")
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None,
+                replace: str = "table", max_rows_per_file: int = 5_000_000) -> None:
+    """Write a table; ``partition_by`` gives one folder per (model, scenario) like the reference's files.
+
+    ``replace="table"`` overwrites everything; ``"partitions"`` only the folders that ``df`` has rows for, all others
+    stay as they are.  Rows of a partition are brought together before they are written, so that its files are few,
+    and a large partition is cut into files of at most ``max_rows_per_file`` rows by the rebalancing of large
+    shuffle partitions and by the writer.  A failed write leaves the folders of ``"partitions"`` untouched: new files
+    are moved in only when all of them are complete.
+    """
+    if replace not in ("table", "partitions"):
+        raise ValueError(f"replace is 'table' or 'partitions', not {replace!r}")
+    if replace == "partitions" and not partition_by:
+        raise ValueError("partition-wise replacement needs partition_by")
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
+    w = df.write.mode("overwrite").option("maxRecordsPerFile", max_rows_per_file) \
+        .option("partitionOverwriteMode", "dynamic" if replace == "partitions" else "static")
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
