@@ -9,7 +9,8 @@ any order is right, this one keeps buckets small).  Sets that reach the similari
 3. Group pairs that meet under a shingle are filtered by size and by position: with the shingle as their first common
    one, the rest of the two sets must still reach the overlap that the similarity asks for.  Groups without such a
    partner leave the bucket at once.
-4. The pairs that are left are expanded to the groups' members and verified on the full sets.  First each group is
+4. The pairs that are left are expanded to the groups' members, compared by somewhat longer prefixes that must have
+   several shingles in common, and verified on the full sets.  First each group is
    compared with the most central group of each of its buckets, and the components of these links are contracted.  Then every
    bucket that still holds several components is settled: its groups are collapsed to profiles of equal component,
    size and position, and all profile pairs of different components that pass the filter are expanded and verified.
@@ -34,6 +35,7 @@ from attemptlab.llm.minhash import shingle_set, star_components
 
 _SLOTS = 18               # each sketch counts in 2 ** _SLOTS slots
 _HOT = 50_000             # shingles that so many documents hold are indexed in a way that splits their buckets
+_MORE = 8                 # shingles after the prefix that are kept to compare pairs before they are verified
 _VERIFY_ROWS = 128        # members that meet one leader in a task at a time
 _PROFILES = 2048          # profiles of a bucket that meet in a task at a time
 
@@ -93,9 +95,9 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _signed(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """A row per document: running number, id, size and digest of its set, digest and shingles of the prefix.
+    """A row per document: running number, id, size and digest of its set, digest of the prefix, the prefix.
 
-    ``cold`` is the number of shingles at the head of the prefix before the first hot one.
+    ``prefix`` goes on for ``_MORE`` shingles beyond its length ``p``.  ``cold`` is the number of shingles at the head of the prefix before the first hot one.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     order = Order(*sketches(docs.select("text"), size))
@@ -103,24 +105,27 @@ def _signed(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     def sign(rids: pa.Array, ids: pa.Array, texts: pa.Array) -> Iterator[dict[str, list]]:
         held = state.setdefault("held", WordHash())
-        out: dict[str, list] = {k: [] for k in ("n", "set_a", "set_b", "pre_a", "pre_b", "prefix", "cold")}
+        out: dict[str, list] = {k: [] for k in ("n", "set_a", "set_b", "pre_a", "pre_b", "prefix", "p", "cold")}
         for text in texts:
             hashes = word_hashes(held, words(text.as_py(), lower=True))
             items, ranked = order.ordered(hashes, size) if len(hashes) else (hashes, np.zeros(0, np.int64))
             n = len(items)
-            prefix = items[ranked[:prefix_length(n, percent)]]
+            p = prefix_length(n, percent) if n else 0
+            longer = items[ranked[:p + _MORE]]
+            prefix = longer[:p]
             hot = np.flatnonzero(order.hot[_slot(prefix)])
             for k, part in (("set", items), ("pre", prefix)):
                 a, b = np.frombuffer(xxhash.xxh128_digest(part.tobytes()), np.int64).tolist()
                 out[f"{k}_a"].append(a)
                 out[f"{k}_b"].append(b)
             out["n"].append(n)
-            out["prefix"].append(prefix.view(np.int64))
+            out["prefix"].append(longer.view(np.int64))
+            out["p"].append(p)
             out["cold"].append(int(hot[0]) if len(hot) else len(prefix))
         yield {"rid": rids, "doc_id": ids, **out}
 
     return map_rows(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), sign,
-                    f"rid long, doc_id {kind}, n int, set_a long, set_b long, pre_a long, pre_b long, prefix array<long>, cold int",
+                    f"rid long, doc_id {kind}, n int, set_a long, set_b long, pre_a long, pre_b long, prefix array<long>, p int, cold int",
                     rows=500)
 
 
@@ -148,8 +153,15 @@ def _sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ``classes`` whose full sets reach ``percent``.
 
-    The partners of one ``a`` are dealt into blocks of about ``_VERIFY_ROWS``; its set is sent once to each block.
+    Linked sets of overlap o share k shingles in the first ``n - o + k`` of each, so pairs whose longer prefixes have
+    fewer in common than their lengths and the least overlap of their sizes ask for drop out before any set is made.  The partners of one ``a`` are dealt into blocks of about
+    ``_VERIFY_ROWS``; its set is sent once to each block.
     """
+    one, two = (classes.select(F.col("rid").alias(c), F.col("prefix").alias(f"p_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
+    overlap = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
+    least = overlap + F.least(*[F.size(f"p_{c}") - F.col(f"n_{c}") for c in "ab"])
+    pairs = stored(pairs.join(one, "a").join(two, "b").where(F.size(F.array_intersect("p_a", "p_b")) >= least)
+                   .select("a", "b"), "join-near")
     blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(_VERIFY_ROWS)).cast("long").alias("blocks"))
     dealt = stored(pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block")), "join-dealt")
     ends = dealt.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
@@ -226,9 +238,9 @@ def linked_classes(docs: DataFrame, signed: DataFrame, size: int, percent: int)
     reps = full.join(classes.select("rid"), "rid", "left_semi")
     groups = reps.groupBy("n", "pre_a", "pre_b").agg(F.min("rid").alias("gid"))
     named = stored(reps.join(groups, ["n", "pre_a", "pre_b"])
-                   .select("rid", "gid", "n", "doc_id", "set_a", "set_b", "cold",
-                           F.when(F.col("rid") == F.col("gid"), F.col("prefix")).alias("prefix")), "join-groups")
-    index = named.where("rid = gid").select("gid", "n", "cold", F.posexplode("prefix").alias("i", "token")) \
+                   .select("rid", "gid", "n", "doc_id", "set_a", "set_b", "cold", "p", "prefix"), "join-groups")
+    head = F.slice("prefix", F.lit(1), F.col("p"))
+    index = named.where("rid = gid").select("gid", "n", "cold", F.posexplode(head).alias("i", "token")) \
         .select("token", "gid", "n", (F.col("n") - F.col("i")).alias("r"), (F.col("i") >= F.col("cold")).alias("hot"))
     # hot buckets are combined in the tasks and can be split by the planner; all others are moved once
     members = stored(_with_partner(index.where("not hot").drop("hot").repartition("token"), percent)
@@ -239,7 +251,7 @@ def linked_classes(docs: DataFrame, signed: DataFrame, size: int, percent: int)
                .select("token", (-F.col("best.first")).alias("leader"), F.col("best.n").alias("m"), F.col("best.r").alias("s")))
     stars = (members.join(leaders, "token").where(F.col("gid") != F.col("leader")).where(_passes("n", "r", "m", "s", percent))
              .select(F.col("leader").alias("a"), "gid").distinct())
-    of_group, keyed = named.select("gid", F.col("rid").alias("b")), named.select("rid", "doc_id", "set_a", "set_b")
+    of_group, keyed = named.select("gid", F.col("rid").alias("b")), named.select("rid", "n", "doc_id", "set_a", "set_b", "prefix")
     # every group with the central groups of its buckets, and the members of a group with its first
     inner = named.where("rid <> gid").select(F.col("gid").alias("a"), F.col("rid").alias("b"))
     tried = stored(stars.join(of_group, "gid").select("a", "b").unionByName(inner), "join-tried")
