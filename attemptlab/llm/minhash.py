@@ -9,8 +9,9 @@ Plan, all of it in Spark jobs over thin rows:
    best-shared leader first; pairs must pass the signature, then the comparison of the full shingle sets.
 4. Components are contracted with alternating large-star and small-star steps.  The other leaders are compared
    only where they are in another component.
-5. Buckets that still hold several components are settled: their members are compared across components, in
-   blocks of bounded size, so that no link is lost and no bucket is capped.
+5. Buckets that still hold several components are settled: members outside the largest component are compared
+   with all of other components, in blocks of bounded size, so that no link is lost and no bucket is capped.  Only
+   confirmed links that join two components leave a group.
 
 Pairs are never expanded within a group of copies, nothing about single documents reaches the driver, and tables
 that are used twice are written to the shared checkpoint folder.
@@ -246,17 +247,12 @@ def near_duplicate_groups(docs: DataFrame, size: int = 4, percent: int = 80, ban
         roots = star_components(linked)
 
     # buckets with several components: compare across components, in blocks
-    placed = _rooted(members.select("slot", "band", "doc_id"), roots, "doc_id", "root")
-    mixed = (placed.groupBy("slot", "band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
-                                                F.count(F.lit(1)).alias("n"))
-             .where("lo <> hi").select("slot", "band", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks")))
-    rest = placed.join(mixed, ["slot", "band"]).join(sizes, "doc_id")
-    pairs = _across(rest, percent, least_agreement)
-    known = linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    last = _cut(_confirm(pairs.join(tried, ["a", "b"], "left_anti"), texts, size, percent), thin=True)
+    placed = _rooted(members.select("slot", "band", "doc_id"), roots, "doc_id", "root") \
+        .join(sizes.select("doc_id", "n_shingles"), "doc_id")
+    last = _cut(_settled(placed, sizes.select("doc_id", "signature", "bands"), texts, size, percent, least_agreement, block),
+                thin=True)
     if not last.isEmpty():
-        roots = star_components(known.union(last))
+        roots = star_components(linked.union(last))
 
     named = _rooted(classes.select("set_a", "set_b", F.col("rep").alias("doc_id")), roots, "doc_id", "component_id") \
         .select("set_a", "set_b", "component_id")
@@ -269,39 +265,96 @@ def near_duplicate_groups(docs: DataFrame, size: int = 4, percent: int = 80, ban
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
-def _across(rest: DataFrame, percent: int, least_agreement: float) -> DataFrame:
-    """Promising pairs (a < b) of different components within each mixed bucket.
+_BLOCK_SHINGLES = 1_000_000     # shingles of the members of a block, on average
 
-    The members of a bucket are dealt into blocks; every pair of blocks is one group of at most two blocks'
-    members, compared by their signatures.  A pair is given once, by the first bucket that holds both.
+
+def _settled(placed: DataFrame, signs: DataFrame, texts: DataFrame, size: int, percent: int, least_agreement: float,
+             block: int) -> DataFrame:
+    """Confirmed links (a, b) that join the components of each bucket, at most one per component and group.
+
+    In a bucket with several components, the members outside its largest one meet all members: both sides are dealt
+    into blocks of bounded size, and each pair of blocks is one group.  The first pass over the groups looks at the
+    signatures alone and keeps the members that have a promising partner in another component, the second brings
+    their texts and compares full sets; a pair whose components have been joined in the group needs no comparison.
+    A pair is looked at in the first bucket that holds both.
     """
-    part = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    dealt = rest.withColumn("own", part).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .select("slot", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own",
-                "doc_id", "root", "n_shingles", "signature", F.transform("bands", lambda b: b.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands"))
-    kind = rest.schema["doc_id"].dataType.simpleString()
-
-    def compare(group: pa.Table) -> pa.Table:
-        ids, roots, own = (group[c].to_numpy() for c in ("doc_id", "root", "own"))
-        sizes, slot = group["n_shingles"].to_numpy(), group["slot"][0].as_py()
-        within = group["lo"][0].as_py() == group["hi"][0].as_py()
+    parts = placed.groupBy("slot", "band", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
+    blocks = F.greatest(F.ceil(F.col("n") / F.lit(block)), F.ceil(F.col("w") / F.lit(_BLOCK_SHINGLES)), F.lit(1)).cast("int")
+    mixed = (parts.groupBy("slot", "band").agg(F.max(F.struct("n", "w", "root")).alias("main"), F.sum("n").alias("n"),
+                                               F.sum("w").alias("w"), F.count(F.lit(1)).alias("roots"))
+             .where("roots > 1").withColumn("all_blocks", blocks)
+             .withColumn("n", F.col("n") - F.col("main.n")).withColumn("w", F.col("w") - F.col("main.w"))
+             .select("slot", "band", F.col("main.root").alias("main"), "all_blocks", blocks.alias("few_blocks")))
+    rest = (placed.join(mixed, ["slot", "band"]).join(signs, "doc_id")
+            .withColumn("few", F.col("root") != F.col("main"))
+            .withColumn("bands", F.transform("bands", lambda b: b.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))))
+    own = F.xxhash64("doc_id")
+    cols = ["slot", "band", "lo", "hi", "left", "few", "doc_id", "root", "n_shingles", "signature", "bands"]
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    dealt = rest.where("few").withColumn("lo", F.pmod(own, F.col("few_blocks")).cast("int")).withColumn("hi", every("all_blocks")) \
+        .withColumn("left", F.lit(True)).select(cols) \
+        .unionByName(rest.withColumn("hi", F.pmod(own, F.col("all_blocks")).cast("int")).withColumn("lo", every("few_blocks"))
+                     .withColumn("left", F.lit(False)).select(cols))
+    key = ["slot", "band", "lo", "hi"]
+    kind = placed.schema["doc_id"].dataType.simpleString()
+
+    def partners(group: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Each row of the left side with its promising rows of the right side, and their agreement."""
+        ids, roots, few = (group[c].to_numpy() for c in ("doc_id", "root", "few"))
+        n, slot, left = group["n_shingles"].to_numpy(), group["slot"][0].as_py(), group["left"].to_numpy()
         sig = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint8).reshape(len(ids), -1)
         bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[:, :slot]
-        left, right = [], []
-        for i in range(len(ids) - 1):
-            j = np.arange(i + 1, len(ids))
-            j = j[(roots[j] != roots[i]) & (within | (own[j] != own[i]))
-                  & (100 * np.minimum(sizes[j], sizes[i]) >= percent * np.maximum(sizes[j], sizes[i]))]
+        right = np.flatnonzero(~left)
+        for i in np.flatnonzero(left).tolist():
+            j = right[(roots[right] != roots[i]) & (~few[right] | (ids[right] > ids[i]))
+                      & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
             if len(j):
-                j = j[(sig[j] == sig[i]).mean(1) >= least_agreement]
-                j = j[~(bands[j] == bands[i]).any(1)]
-                left += np.minimum(ids[j], ids[i]).tolist()
-                right += np.maximum(ids[j], ids[i]).tolist()
+                share = (sig[j] == sig[i]).mean(1)
+                at = (share >= least_agreement) & ~(bands[j] == bands[i]).any(1)
+                if at.any():
+                    yield i, j[at], share[at]
+
+    def promising(group: pa.Table) -> pa.Table:
+        keep = np.zeros(group.num_rows, bool)
+        for i, j, _ in partners(group):
+            keep[i] = keep[j] = True
+        return group.filter(pa.array(keep))
+
+    def settle(group: pa.Table) -> pa.Table:
+        ids, roots, texts = (group[c].to_pylist() for c in ("doc_id", "root", "text"))
+        held, sets, parent = WordHash(), {}, {r: r for r in roots}
+        a, b = [], []
+
+        def top(r):
+            while parent[r] != r:
+                parent[r] = r = parent[parent[r]]
+            return r
+
+        def items(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingle_set(texts[i], size, held)
+            return sets[i]
+
+        for i, near, share in partners(group):
+            for j in near[np.argsort(-share, kind="stable")].tolist():
+                if top(roots[i]) == top(roots[j]):
+                    continue
+                x, y = items(i), items(j)
+                common = np.intersect1d(x, y, assume_unique=True).size
+                if 100 * common >= percent * (len(x) + len(y) - common):
+                    parent[top(roots[i])] = top(roots[j])
+                    a.append(ids[i])
+                    b.append(ids[j])
         t = group.schema.field("doc_id").type
-        return pa.table({"a": pa.array(left, t), "b": pa.array(right, t)})
+        return pa.table({"a": pa.array(a, t), "b": pa.array(b, t)})
 
-    return dealt.groupBy("slot", "band", "lo", "hi").applyInArrow(compare, f"a {kind}, b {kind}").where("a <> b").distinct()
+    # ids and texts of one document meet once per group that has a promising pair for it
+    dealt = dealt.select(cols)
+    near = dealt.groupBy(key).applyInArrow(promising, dealt.schema)
+    return near.join(texts, "doc_id").groupBy(key).applyInArrow(settle, f"a {kind}, b {kind}").distinct()
 
 
 def keep_smallest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
