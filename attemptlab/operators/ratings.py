@@ -192,12 +192,30 @@ def model_correlations(long: DataFrame, id_col: str, param: str, truth_model: st
     return out
 
 
+def _truth_pairs(long: DataFrame, id_col: str, param: str, truth_model: str) -> DataFrame:
+    """(param, model, _truth, _est): each model's value of an id with the truth's, from one grouping by id."""
+    value, own = F.col(param).cast("double"), F.col("model") == F.lit(truth_model)
+    ids = (long.where(F.col("model").isNotNull() & F.col(id_col).isNotNull() & F.col(param).isNotNull()).groupBy(id_col)
+           .agg(F.max(F.when(own, value)).alias("_truth"),
+                F.collect_list(F.when(~own, F.struct("model", value.alias("_est")))).alias("_all")))
+    return (ids.where(F.col("_truth").isNotNull()).select(F.lit(param).alias("param"), "_truth", F.explode("_all").alias("_e"))
+            .select("param", F.col("_e.model").alias("model"), "_truth", F.col("_e._est").alias("_est")))
+
+
 def correlation_report(ability: DataFrame, difficulty: DataFrame, truth_student: str = "student",
                        truth_item: str = "item") -> DataFrame:
-    """ability Pearson + difficulty Pearson/Spearman per model, one row per model."""
-    a = model_correlations(ability, "student_id", "ability", truth_student)
-    d = model_correlations(difficulty, "item_id", "difficulty", truth_item, spearman=True)
-    return a.join(d, "model", "full_outer")
+    """ability Pearson + difficulty Pearson/Spearman per model, one row per model.
+
+    Both tables hold one row per model and id.  They are stacked, grouped by id once, and the pairs of a model's value
+    with the truth's are stored, so that neither the ratings nor what they are made of is computed again per statistic.
+    """
+    pairs = cut_lineage(_truth_pairs(ability, "student_id", "ability", truth_student)
+                        .unionByName(_truth_pairs(difficulty, "item_id", "difficulty", truth_item)))
+    params = ("ability", "difficulty")
+    split = pairs.select("model", *[F.when(F.col("param") == p, F.col(c)).alias(f"{p}{c}") for p in params for c in ("_truth", "_est")])
+    linear = split.groupBy("model").agg(*[ST.pearson(f"{p}_truth", f"{p}_est").alias(f"{p}_pearson") for p in params])
+    ranked = ST.spearman_by(pairs.where("param = 'difficulty'"), ["model"], "_truth", "_est", "difficulty_spearman")
+    return linear.join(ranked, "model", "left")
 
 
 def union_scenarios(tables: dict[int, DataFrame], order_cols: list[str]) -> DataFrame:

@@ -23,23 +23,28 @@ def _parts(df: DataFrame, n: int | None) -> int:
 
 
 def ordered_sums(df: DataFrame, group: list[str], value: str, measures: dict[str, Column],
-                 partitions: int | None = None) -> DataFrame:
-    """Per distinct (group, value): ``<m>`` at the value and ``<m>_before`` over strictly smaller values."""
+                 partitions: int | None = None, totals: bool = False) -> DataFrame:
+    """Per distinct (group, value): ``<m>`` at the value and ``<m>_before`` over strictly smaller values.
+
+    With ``totals``, ``<m>_total`` over the group as well, from the per-slice sums.
+    """
     names = list(measures)
     agg = df.groupBy(*group, value).agg(*[F.sum(c).alias(n) for n, c in measures.items()])
     # slice ids come from sampled range bounds: materialise them once so that the
     # totals and the running sums below see the same slices (also after a lost executor)
     ranged = cut_lineage(agg.repartitionByRange(_parts(df, partitions), *group, value)
                          .withColumn("_slice", F.spark_partition_id()))
-    totals = ranged.groupBy("_slice", *group).agg(*[F.sum(n).alias(f"_tot_{n}") for n in names])
+    sliced = ranged.groupBy("_slice", *group).agg(*[F.sum(n).alias(f"_tot_{n}") for n in names])
     earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_slice", *group, *[F.coalesce(F.sum(f"_tot_{n}").over(earlier), F.lit(0)).alias(f"_off_{n}")
-                                                 for n in names])
+    whole = [F.sum(f"_tot_{n}").over(Window.partitionBy(*group)).alias(f"{n}_total") for n in names if totals]
+    offsets = sliced.select("_slice", *group, *[F.coalesce(F.sum(f"_tot_{n}").over(earlier), F.lit(0)).alias(f"_off_{n}")
+                                                 for n in names], *whole)
     inside = Window.partitionBy("_slice", *group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.select("_slice", *group, value, *names,
                           *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"_in_{n}") for n in names])
     out = local.join(offsets, ["_slice", *group], "inner")
-    return out.select(*group, value, *names, *[(F.col(f"_in_{n}") + F.col(f"_off_{n}")).alias(f"{n}_before") for n in names])
+    return out.select(*group, value, *names, *[(F.col(f"_in_{n}") + F.col(f"_off_{n}")).alias(f"{n}_before") for n in names],
+                      *[f"{n}_total" for n in names if totals])
 
 
 def value_ranks(df: DataFrame, group: list[str], value: str, partitions: int | None = None) -> DataFrame:
@@ -59,21 +64,26 @@ def pearson_by(df: DataFrame, group: list[str], x: str, y: str, out: str) -> Dat
 
 
 def spearman_by(df: DataFrame, group: list[str], x: str, y: str, out: str, partitions: int | None = None) -> DataFrame:
-    """Pearson of tie-averaged ranks per group.
+    """Pearson of tie-averaged ranks per group, over the rows that have both values.
 
-    Rows are first combined to distinct value pairs with their counts, so a frequent value is no hot key.
+    Rows are first combined to distinct value pairs with their counts, so a frequent value is no hot key.  The values
+    of both columns are ranked in one pass (the column is one more group key).  Tie-averaged ranks of N rows have the
+    mean (N + 1) / 2, so the moments need no pass for it.
     """
-    pairs = df.groupBy(*group, x, y).agg(F.count(F.lit(1)).alias("_n"))
-    rx = value_ranks(df, group, x, partitions).withColumnRenamed("avg_rank", "_rx")
-    ry = value_ranks(df, group, y, partitions).withColumnRenamed("avg_rank", "_ry")
-    ranked = pairs.join(rx, [*group, x]).join(ry, [*group, y])
-    n, sx, sy = F.sum("_n"), F.sum(F.col("_n") * F.col("_rx")), F.sum(F.col("_n") * F.col("_ry"))
-    sums = ranked.groupBy(*group).agg(n.alias("n"), (sx / n).alias("mx"), (sy / n).alias("my"))
-    around = ranked.join(sums, group) if group else ranked.withColumns(
-        {c: sums.select(c).scalar() for c in ("mx", "my")})
-    dx, dy = F.col("_rx") - F.col("mx"), F.col("_ry") - F.col("my")
-    moments = around.groupBy(*group).agg(F.sum(F.col("_n") * dx * dx).alias("xx"), F.sum(F.col("_n") * dy * dy).alias("yy"),
-                                         F.sum(F.col("_n") * dx * dy).alias("xy"))
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*group, x, y).agg(F.count(F.lit(1)).alias("_n"))
+    kinds = {df.schema[c].dataType.simpleString() for c in (x, y)}
+    kind = kinds.pop() if len(kinds) == 1 else "double"
+    values = pairs.select(*group, x, y, "_n", F.explode(F.array(*[
+        F.struct(F.lit(axis).alias("_axis"), F.col(c).cast(kind).alias("_value")) for axis, c in (("x", x), ("y", y))])).alias("_v")) \
+        .select(*group, x, y, "_n", "_v.*")
+    key = [*group, "_axis"]
+    s = ordered_sums(values, key, "_value", {"_m": F.col("_n")}, partitions, totals=True)
+    # distance of the rank from the mean rank; both of a pair meet in one join and one aggregation
+    ranks = s.select(*key, "_value", (F.col("_m_before") + (F.col("_m") - F.col("_m_total")) / 2.0).alias("_d"))
+    ranked = values.join(ranks, [*key, "_value"]).groupBy(*group, x, y).agg(
+        F.max("_n").alias("_n"), *[F.max(F.when(F.col("_axis") == a, F.col("_d"))).alias(f"_d{a}") for a in "xy"])
+    moments = ranked.groupBy(*group).agg(*[F.sum(F.col("_n") * F.col(f"_d{a}") * F.col(f"_d{b}")).alias(a + b)
+                                           for a, b in (("x", "x"), ("y", "y"), ("x", "y"))])
     return moments.select(*group, F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.try_divide(
         F.col("xy"), F.sqrt("xx") * F.sqrt("yy"))).alias(out))
 
