@@ -297,3 +297,24 @@ def test_queries_read_whole_tables(spark):
     plain = {(d, i) for d, t in docs for i, u in items if t and u in t}
     assert plain <= pairs
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_mixed_bucket_gives_joining_links_only(spark):
+    # one bucket: a component of 40 texts, 6 single texts that are near all of them, 2 that only look near
+    base = [f"w{i}" for i in range(100)]
+    texts = {i: " ".join([*base, f"x{i}"]) for i in range(46)}
+    texts |= {i: " ".join(base[:60] + [f"y{i}_{k}" for k in range(40)]) for i in (46, 47)}
+    root = {i: 0 if i < 40 else i for i in texts}
+    placed = spark.createDataFrame([(0, 1, i, root[i], 101 if i < 46 else 100) for i in texts],
+                                   "slot int, band long, doc_id long, root long, n_shingles long")
+    signs = spark.createDataFrame([(i, b"\1" * 256, [i]) for i in texts], "doc_id long, signature binary, bands array<long>")
+    for block in (512, 7):
+        links = minhash._settled(placed, signs, table(spark, list(texts.items())), 1, 80, 0.66, block).collect()
+        groups = 2 * 7 if block == 7 else 1
+        assert len(links) <= groups * (len(set(root.values())) - 1)
+        top = dict(root)
+        for r in links:
+            one, two = top[r["a"]], top[r["b"]]
+            assert r["a"] < 46 and r["b"] < 46
+            top = {i: min(one, two) if t in (one, two) else t for i, t in top.items()}
+        assert {top[i] for i in range(46)} == {0} and top[46] == 46 and top[47] == 47
