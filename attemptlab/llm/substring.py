@@ -17,8 +17,9 @@ whose minimiser occurs more than ``hot`` times are therefore segments of their o
 those that occur once stay in their document, equal ones are counted in the tasks before the shuffle, and the
 count alone says that they repeat.  So an index holds at most ``hot`` segments of one route.
 
-All exchanges are keyed by minimiser, segment, window or document; the driver gets two bitmaps of fixed size (hot
-minimisers, and windows among theirs that occur twice), which may let too much through, never too little.
+All exchanges are keyed by minimiser, segment, window or document; the driver gets three bitmaps of fixed size (hot
+minimisers, documents that hold one, and windows among theirs that occur twice), which may let too much through,
+never too little.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -181,30 +183,50 @@ class FMIndex:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _names(routes: list[int], segments: list[bytes]) -> np.ndarray:
+    """128-bit hash of each segment and its route, as two columns."""
+    both = b"".join(xxhash.xxh3_128_digest(s, r & 0xFFFFFFFFFFFFFFFF) for r, s in zip(routes, segments, strict=True))
+    return np.frombuffer(both, np.int64).reshape(-1, 2)
+
+
 def _shards(window: int, most_words: int):
+    """(s1, s2, lo, hi): repeated intervals of distinct segments, which come in order of their routes.
+
+    A single that comes here occurs twice: it is its own interval and stays out of the index.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        alone: list[tuple] = []
         n_words, last = 0, None
 
+        def rows(names: np.ndarray, lo, hi) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())],
+                names=["s1", "s2", "lo", "hi"])
+
         def search() -> pa.RecordBatch:
             symbol: dict[bytes, int] = {}
-            segments = [np.fromiter((symbol.setdefault(w, len(symbol) + 1) for w in text.encode().split(b" ")), np.int64)
-                        for _, _, text, _ in held]
-            index = FMIndex(segments, np.array([h[3] for h in held], np.int64), len(symbol) + 1)
+            segments = [np.fromiter((symbol.setdefault(w, len(symbol) + 1) for w in text.split(b" ")), np.int64)
+                        for _, text, _ in held]
+            index = FMIndex(segments, np.array([h[2] for h in held], np.int64), len(symbol) + 1)
             lane, start, end = index.repeated(window)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([held[i][0] for i in lane.tolist()], pa.int64()),
-                 pa.array([held[i][1] for i in lane.tolist()], pa.int64()), pa.array(start, pa.int32()),
-                 pa.array(end, pa.int32())], names=["s1", "s2", "lo", "hi"])
+            hit = [held[i] for i in lane.tolist()]
+            return rows(_names([h[0] for h in hit], [h[1] for h in hit]), start, end)
 
         for batch in batches:
-            for route, s1, s2, text, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for route, text, copies, single in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if single:
+                    alone.append((route, text.encode()))
+                    continue
                 if route != last and n_words >= most_words:       # a route is never divided
                     yield search()
                     held, n_words = [], 0
                 last = route
-                held.append((s1, s2, text, copies))
+                held.append((route, text.encode(), copies))
                 n_words += text.count(" ") + 1
+            if alone:
+                yield rows(_names(*map(list, zip(*alone, strict=True))), np.zeros(len(alone)), np.full(len(alone), window))
+                alone = []
         if held:
             yield search()
 
@@ -242,19 +264,24 @@ def repeated_spans(docs: DataFrame, window: int = 35, hot: int = 2_000, most_wor
     if not frequent.isEmpty():
         busy = sc.broadcast(bitmap_of(frequent, "h"))
 
-        def singles(texts: pa.Array) -> Iterator[dict[str, list]]:
+        def holding(k1: pa.Array, h: pa.Array) -> Iterator[dict[str, list]]:
+            yield {"k1": k1.to_numpy()[maybe(busy.value, h.to_numpy())]}
+
+        holders = sc.broadcast(bitmap_of(map_rows(small.select("k1", "h"), holding, "k1 long", rows=100_000), "k1"))
+
+        def singles(k1: pa.Array, texts: pa.Array) -> Iterator[dict[str, list]]:
             parts = [np.zeros(0, np.uint64)]
-            for t in texts:
-                _, _, _, route, single, _ = runs(hashed(t.as_py()), window, busy.value)
+            for i in np.flatnonzero(maybe(holders.value, k1.to_numpy())).tolist():
+                _, _, _, route, single, _ = runs(hashed(texts[i].as_py()), window, busy.value)
                 parts.append(route[single])
             key, n = np.unique(np.concatenate(parts), return_counts=True)
             yield {"route": key.view(np.int64), "n": n}
 
-        counted = map_rows(docs.select("text"), singles, "route long, n long", rows=10_000)
+        counted = map_rows(docs.select("k1", "text"), singles, "route long, n long", rows=10_000)
         again = sc.broadcast(bitmap_of(counted.groupBy("route").agg(F.sum("n").alias("n")).where("n >= 2"), "route"))
 
-    def segments(k1: pa.Array, k2: pa.Array, ids: pa.Array, texts: pa.Array, wanted: pa.Array) -> Iterator[dict[str, list]]:
-        out: dict[str, list] = {k: [] for k in ("k1", "k2", "start", "route", "single", "words")}
+    def segments(k1: pa.Array, k2: pa.Array, texts: pa.Array, wanted: pa.Array):
+        """Per document with segments to compare: key, starts, routes, whether single, words."""
         for a, b, t, hit in zip(k1.to_pylist(), k2.to_pylist(), texts, wanted.to_pylist(), strict=True):
             own = words(t.as_py())
             h = word_hashes(state.setdefault("held", WordHash()), own)
@@ -262,28 +289,35 @@ def repeated_spans(docs: DataFrame, window: int = 35, hot: int = 2_000, most_wor
             keep = np.isin(least, np.array(hit, np.int64).view(np.uint64))
             if single.any():
                 keep &= ~single | maybe(again.value, route)
-            for s, e, r, o in zip(starts[keep].tolist(), ends[keep].tolist(), route[keep].view(np.int64).tolist(),
-                                  single[keep].tolist(), strict=True):
-                out["single"].append(o)
-                out["k1"].append(a)
-                out["k2"].append(b)
-                out["start"].append(s)
-                out["route"].append(r)
-                out["words"].append(b" ".join(own[s:e + window - 1]).decode("utf-8", "surrogatepass"))
+            if keep.any():
+                starts, ends = starts[keep].tolist(), ends[keep].tolist()
+                yield (a, b, starts, route[keep].view(np.int64).tolist(), single[keep].tolist(),
+                       [b" ".join(own[s:e + window - 1]) for s, e in zip(starts, ends, strict=True)])
+
+    def contents(k1: pa.Array, k2: pa.Array, ids: pa.Array, texts: pa.Array, wanted: pa.Array) -> Iterator[dict[str, list]]:
+        out: dict[str, list] = {k: [] for k in ("route", "single", "words")}
+        for _, _, _, routes, single, parts in segments(k1, k2, texts, wanted):
+            out["route"] += routes
+            out["single"] += single
+            out["words"] += [p.decode("utf-8", "surrogatepass") for p in parts]
+        yield out
+
+    def places(k1: pa.Array, k2: pa.Array, ids: pa.Array, texts: pa.Array, wanted: pa.Array) -> Iterator[dict[str, list]]:
+        out: dict[str, list] = {k: [] for k in ("k1", "k2", "start", "s1", "s2")}
+        for a, b, starts, routes, _, parts in segments(k1, k2, texts, wanted):
+            names = _names(routes, parts)
+            for col, values in zip(out, ([a] * len(starts), [b] * len(starts), starts, names[:, 0], names[:, 1]), strict=True):
+                out[col].extend(values)
         yield out
 
-    found = map_rows(docs.join(hits, ["k1", "k2"]).select("k1", "k2", "doc_id", "text", "hits"), segments,
-                     "k1 long, k2 long, start int, route long, single boolean, words string", rows=500)
-    distinct = (found.groupBy("route", "words", "single").agg(F.count(F.lit(1)).alias("copies"))
-                .select("route", F.xxhash64("route", "words").alias("s1"), F.xxhash64(F.lit(1), "words", "route").alias("s2"),
-                        "words", "copies", "single"))
-    intervals = (distinct.where("not single").drop("single").repartition("route").sortWithinPartitions("route")
+    # doc_id goes along so that this exchange of the texts is the one that the last join reads
+    marked = docs.join(hits, ["k1", "k2"]).select("k1", "k2", "doc_id", "text", "hits")
+    found = map_rows(marked, contents, "route long, single boolean, words string", rows=500)
+    intervals = (found.groupBy("route", "words", "single").agg(F.count(F.lit(1)).alias("copies"))
+                 .where("copies > 1 or not single").select("route", "words", "copies", "single")
+                 .repartition("route").sortWithinPartitions("route")
                  .mapInArrow(_shards(window, most_words), "s1 long, s2 long, lo int, hi int"))
-    if busy is not None:
-        intervals = intervals.union(distinct.where("single and copies > 1").select(
-            "s1", "s2", F.lit(0).alias("lo"), F.lit(window).alias("hi")))
-    placed = found.select("k1", "k2", "start", F.xxhash64("route", "words").alias("s1"),
-                          F.xxhash64(F.lit(1), "words", "route").alias("s2"))
+    placed = map_rows(marked, places, "k1 long, k2 long, start int, s1 long, s2 long", rows=500)
     return (placed.join(intervals, ["s1", "s2"])
             .groupBy("k1", "k2").agg(F.collect_list(F.struct((F.col("start") + F.col("lo")).alias("lo"),
                                                              (F.col("start") + F.col("hi")).alias("hi"))).alias("spans")))
