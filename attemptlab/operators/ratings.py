@@ -17,7 +17,7 @@ import math
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,14 +47,69 @@ def rating_stream(graded: DataFrame) -> DataFrame:
         F.col("correctness").alias("y"))
 
 
+def _running_level(rows: DataFrame, keys: list[str], order: list[str], slices: int) -> DataFrame:
+    """``level`` raised so that it grows by one at least from row to row of each key, in this order.
+
+    Rows are cut into ``slices`` ranges of (key, order), so the rows of a hot key are spread over tasks; a key that
+    reaches over several slices takes count and level of the earlier ones from a table of one row per slice and key.
+    """
+    cut = cut_lineage(rows.repartitionByRange(slices, *keys, *order).withColumn("_slice", F.spark_partition_id()))
+    own = Window.partitionBy("_slice", *keys).orderBy(*order)
+    ranked = (cut.withColumn("_j", F.row_number().over(own))
+              .withColumn("_m", F.max(F.col("level") - F.col("_j")).over(own.rowsBetween(Window.unboundedPreceding, 0))))
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    ends = (ranked.groupBy(*keys, "_slice").agg(F.max("_j").alias("_n"), F.max("_m").alias("_top"))
+            .withColumn("_off", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+            .withColumn("_carry", F.max(F.col("_top") - F.col("_off")).over(earlier)))
+    carried = ends.where("_off > 0").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                                            F.col("_slice").alias("_s"), "_off", "_carry")
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    off = F.coalesce("_off", F.lit(0))
+    return (ranked.join(carried, reduce(lambda a, b: a & b, same, F.col("_slice") == F.col("_s")), "left")
+            .withColumn("level", (off + F.col("_j") + F.greatest(F.col("_m") - off, "_carry")).cast("long"))
+            .select(*rows.columns))
+
+
+def wave_batches(stream: DataFrame, order_cols: list[str], batches: int | None, group=("model",), rounds: int = 2,
+                 slices: int | None = None) -> DataFrame:
+    """``stream`` with a ``batch`` (0 to ``batches`` - 1) that follows the ordered fold, so that ids rarely repeat in one.
+
+    The level of a row is the number of rows that must come before it: one more than that of the row before it of
+    its student and of its item, in the order of ``order_cols`` (ties by student, item and outcome).  Rows of one
+    level share no id, hence a batch per level is the ordered fold itself.  Levels are found by running maxima over
+    students and items in turn, ``rounds`` times; too few rounds leave levels too low (an id may then repeat in a
+    level), never out of order within an item.  ``batches`` joins neighbouring levels into batches of equal width
+    per group; None keeps each level as a batch.  Rows with a null id form a chain of their own; an empty stream gives
+    an empty result; columns named ``batch`` or ``level`` are refused.
+    """
+    clash = {"batch", "level", "_slice", "_j", "_m"} & set(stream.columns)
+    if clash:
+        raise ValueError(f"columns of the stream in the way: {sorted(clash)}")
+    group = list(group)
+    order = list(dict.fromkeys([*order_cols, "student_id", "item_id", "y", "level"]))
+    slices = slices or int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = stream.withColumn("level", F.lit(0).cast("long"))
+    for _ in range(rounds):
+        for id_col in ("student_id", "item_id"):
+            rows = _running_level(rows, [*group, id_col], order, slices)
+    if batches is None:
+        return rows.withColumnRenamed("level", "batch")
+    rows = cut_lineage(rows)
+    ends = rows.groupBy(*group).agg((F.max("level") + 1).alias("_levels")) \
+        .select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], "_levels")
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)], F.lit(True))
+    width = F.floor(F.col("level") * F.lit(batches) / F.col("_levels"))
+    return rows.join(ends, same).withColumn("batch", F.least(width, F.lit(batches - 1)).cast("int")).select(*stream.columns, "batch")
+
+
 def elo_minibatch(stream: DataFrame, batch_col: str, batches: list, group=("model",), K: float = K_DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Batch-synchronous rating fold over ``batches`` in the given order; returns (ability, difficulty) tables.
 
     Every row of a batch reads the ratings at the start of the batch.  An id with n rows in the batch moves by
     K * sum(y - p) / (1 + K * sum(p (1 - p)) (n - 1) / n): its single steps for n = 1, and for many rows a
     step that is damped by the curvature, as the steps of an ordered fold damp each other; it cannot overshoot
-    however many rows a batch holds.  Choose the batches along the order of the fold (scenario, then time): more
-    of them come closer to it.  Rows of other batches than the listed ones are refused.
+    however many rows a batch holds.  Choose the batches along the order of the fold (scenario, then time), as
+    ``wave_batches`` does: more of them come closer to it.  Rows of other batches than the listed ones are refused.
     """
     spark = stream.sparkSession
     group = list(group)

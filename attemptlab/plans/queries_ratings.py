@@ -79,8 +79,21 @@ def default_rating(spark, sf):
     return j.select("model", "student_id", "item_id", "batch", r6(R.default_rating(F.col("ability"))).alias("theta"))
 
 
-def _elo_sql(n_batches: int) -> str:
-    parts = [_ROWS,
+def _waves_sql(batches: int, rounds: int) -> str:
+    """CTE ``waves``: the rows with a batch of neighbouring levels (running maxima over students and items in turn)."""
+    parts = ["l0 AS (SELECT model, student_id, item_id, y, question_id, 0 AS level FROM rows)"]
+    for k, id_col in enumerate(["student_id", "item_id"] * rounds):
+        order = f"PARTITION BY model, {id_col} ORDER BY question_id, student_id, item_id, y, level"
+        parts.append(f"""l{k + 1} AS MATERIALIZED (SELECT * EXCLUDE (level, j), j + max(level - j) OVER
+  (PARTITION BY model, {id_col} ORDER BY j ROWS UNBOUNDED PRECEDING) AS level
+  FROM (SELECT *, row_number() OVER ({order}) AS j FROM l{k}))""")
+    parts.append(f"""waves AS MATERIALIZED (SELECT *, CAST(least(floor(level * {batches} / (max(level) OVER (PARTITION BY model) + 1)),
+  {batches - 1}) AS INTEGER) AS batch FROM l{2 * rounds})""")
+    return ",\n".join(parts)
+
+
+def _elo_sql(n_batches: int, source: str = "rows", more: str = "") -> str:
+    parts = [_ROWS, *([more] if more else []),
              "ab0 AS (SELECT NULL::VARCHAR AS model, NULL::VARCHAR AS student_id, NULL::DOUBLE AS ability WHERE false)",
              "di0 AS (SELECT NULL::VARCHAR AS model, NULL::VARCHAR AS item_id, NULL::DOUBLE AS difficulty WHERE false)"]
     step = "0.4 * sum(e) / (1 + 0.4 * sum(p * (1 - p)) * (count(*) - 1) / count(*))"
@@ -88,7 +101,7 @@ def _elo_sql(n_batches: int) -> str:
         parts.append(f"""j{b} AS (SELECT r.model, r.student_id, r.item_id,
   r.y - 1 / (1 + exp(-(coalesce(a.ability, 0.0) - coalesce(d.difficulty, 0.0)))) AS e,
   1 / (1 + exp(-(coalesce(a.ability, 0.0) - coalesce(d.difficulty, 0.0)))) AS p
-  FROM rows r LEFT JOIN ab{b} a USING (model, student_id) LEFT JOIN di{b} d USING (model, item_id) WHERE r.batch = {b})""")
+  FROM {source} r LEFT JOIN ab{b} a USING (model, student_id) LEFT JOIN di{b} d USING (model, item_id) WHERE r.batch = {b})""")
         parts.append(f"""ab{b + 1} AS (SELECT model, student_id, coalesce(a.ability, 0.0) + coalesce(s.d, 0.0) AS ability
   FROM ab{b} a FULL OUTER JOIN (SELECT model, student_id, {step} AS d FROM j{b} GROUP BY model, student_id) s USING (model, student_id))""")
         parts.append(f"""di{b + 1} AS (SELECT model, item_id, coalesce(a.difficulty, 0.0) - coalesce(s.d, 0.0) AS difficulty
@@ -110,6 +123,23 @@ def elo_minibatch(spark, sf):
     return _ratings_long(ab, di)
 
 
+def _wave_stream(spark, sf, batches):
+    return R.wave_batches(_stream(spark, sf).drop("batch"), ["question_id"], batches)
+
+
+@register("wave_batches", "WITH " + _ROWS + ",\n" + _waves_sql(8, 2) + """
+SELECT model, student_id, item_id, y, batch FROM waves""", EV)
+def wave_batches(spark, sf):
+    return _wave_stream(spark, sf, 8).select("model", "student_id", "item_id", "y", "batch")
+
+
+@register("elo_waves", _elo_sql(8, "waves", _waves_sql(8, 2)), EV)
+def elo_waves(spark, sf):
+    """The rating fold over eight batches along the order of the rows."""
+    ab, di = R.elo_minibatch(_wave_stream(spark, sf, 8), "batch", list(range(8)))
+    return _ratings_long(ab, di)
+
+
 @register("union_scenarios", """SELECT scenario, model, student_id, question_id, test_case_id
 FROM (SELECT unnest([2, 3, 4]) AS scenario, * FROM executions)""", EV)
 def union_scenarios(spark, sf):

@@ -68,3 +68,47 @@ def test_minibatch_follows_the_ordered_fold(spark):
         assert min(want.values()) <= min(got.values()) and max(got.values()) <= max(want.values())
     keys = sorted(want_ab)
     assert np.corrcoef([got_ab[k] for k in keys], [want_ab[k] for k in keys])[0, 1] >= 0.85
+
+
+def test_a_batch_per_level_is_the_ordered_fold(spark):
+    """Levels share no id, and the fold over them equals the plain one, a hot student and slices cut within ids included."""
+    rows, df = stream(spark, n=14, seed=5)
+    hot = [("a", "hot", f"q{k % 9}", k % 2, 100 + k) for k in range(8)]
+    df = df.unionByName(spark.createDataFrame(hot, df.schema))
+    waves = R.wave_batches(df, ["seq"], None, rounds=6, slices=5).cache()
+    levels = waves.agg({"batch": "max"}).first()[0] + 1
+    for id_col in ("student_id", "item_id"):
+        assert waves.groupBy("model", "batch", id_col).count().where("count > 1").count() == 0
+    ab, di = R.elo_minibatch(waves, "batch", list(range(levels)))
+    order = sorted(rows + hot, key=lambda r: (r[4], r[1], r[2], r[3]))
+    want_ab, want_di = python_fold([(m, s, i, y) for m, s, i, y, _ in order])
+    got_ab = {(r.model, r.student_id): r.ability for r in ab.collect()}
+    got_di = {(r.model, r.item_id): r.difficulty for r in di.collect()}
+    assert got_ab.keys() == want_ab.keys() and all(abs(got_ab[k] - v) < 1e-9 for k, v in want_ab.items())
+    assert got_di.keys() == want_di.keys() and all(abs(got_di[k] - v) < 1e-9 for k, v in want_di.items())
+    waves.unpersist()
+
+
+def test_wave_batches_follow_the_ordered_fold(spark):
+    """Eight batches on the fixture: abilities and items in nearly the order of the plain fold."""
+    from attemptlab.plans import queries_ratings as Q
+
+    rows = Q._stream(spark, "/root/testdata/sf0.01").drop("batch")
+    plain = sorted((r.question_id, r.student_id, r.item_id, r.y, r.model) for r in rows.collect())
+    want_ab, want_di = python_fold([(m, s, i, y) for _, s, i, y, m in plain])
+    ab, di = R.elo_minibatch(R.wave_batches(rows, ["question_id"], 8), "batch", list(range(8)))
+    got_ab = {(r.model, r.student_id): r.ability for r in ab.collect()}
+    got_di = {(r.model, r.item_id): r.difficulty for r in di.collect()}
+    for got, want in ((got_ab, want_ab), (got_di, want_di)):
+        keys = sorted(want)
+        assert got.keys() == want.keys()
+        assert np.corrcoef([got[k] for k in keys], [want[k] for k in keys])[0, 1] >= 0.8
+
+
+def test_wave_batches_edges(spark):
+    _, df = stream(spark, n=3)
+    assert R.wave_batches(df.limit(0), ["seq"], 4).count() == 0
+    nulls = spark.createDataFrame([("a", None, "q", 1, 1), ("a", None, "q", 1, 1), (None, "s", None, 0, 2)], df.schema)
+    assert sorted(r.batch for r in R.wave_batches(nulls, ["seq"], None).collect()) == [0, 0, 1]
+    with pytest.raises(ValueError, match="in the way"):
+        R.wave_batches(df.withColumnRenamed("seq", "batch"), ["batch"], 4)
