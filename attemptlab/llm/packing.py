@@ -12,7 +12,8 @@ only its own tokens, and a lost task is repeated with the same result.  Memory p
 the pieces of one packing batch.
 
 Defined cases: a null text counts as empty; a document without tokens is the end id alone; repeated rows are
-packed once each; an empty table gives an empty result; other columns of the input are ignored.
+packed once each; ids may have any type that Arrow carries, nulls included (integers come back as long); an empty
+table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
+NUMBERS = ("start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "offset long, sequence_tokens long")
 
 _ENCODERS: dict = {}
@@ -130,7 +132,7 @@ def _packer(vocabulary, pattern: str, capacity: int, piece: int, batch_windows:
         sequence = TaskContext.get().partitionId() << 36
         out: list[tuple] = []
         waiting: list[tuple] = []
-        load = 0
+        load, kind = 0, pa.int64()
 
         def flush() -> None:
             nonlocal sequence, load
@@ -147,12 +149,13 @@ def _packer(vocabulary, pattern: str, capacity: int, piece: int, batch_windows:
             load = 0
 
         def emit() -> pa.RecordBatch:
-            cols = list(zip(*out, strict=True))
+            docs, *numbers = zip(*out, strict=True)
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],
-                                              names=[x.split()[0] for x in SCHEMA.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array(docs, kind), *(pa.array(c, pa.int64()) for c in numbers)],
+                                              names=["doc_id", *(x.split()[0] for x in NUMBERS.split(", "))])
 
         for batch in batches:
+            kind = batch.schema.field(0).type
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.append(encode_document(encoder, text.as_py() or ""), np.uint32(end_id)).astype("<u4")
                 n = len(ids)
@@ -183,9 +186,12 @@ def pack_documents(docs: DataFrame, vocabulary_path: str, pattern: str, capacity
 
     ``vocabulary_path`` is read on the driver and sent to the tasks (the size of one vocabulary file), so
     executors need no copy of it.  ``piece`` bounds the pieces that are differenced, ``batch_windows`` the
-    windows that are differenced together.
+    windows that are differenced together.  A null text packs as its end id alone, repeated rows are packed once
+    each, an empty table gives an empty result; the id keeps its type, but integers become long.
     """
     with open(vocabulary_path, encoding="utf-8") as f:
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col))
-    return rows.mapInArrow(_packer(vocabulary, pattern, capacity, piece, batch_windows, end_id), SCHEMA)
+    own = docs.schema[id_col].dataType
+    kind = "long" if isinstance(own, T.IntegralType) else own.simpleString()
+    rows = docs.select(F.col(id_col).cast(kind).alias("doc_id"), F.col(text_col))
+    return rows.mapInArrow(_packer(vocabulary, pattern, capacity, piece, batch_windows, end_id), f"doc_id {kind}, {NUMBERS}")

@@ -445,3 +445,18 @@ def test_pipeline_runs_end_to_end(spark):
         empty = stage(spark, empty, SF)
         assert empty.count() == 0
     assert minhash.near_duplicate_groups is not None
+
+
+def test_packing_keeps_text_and_null_ids(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["one two three", None, "", "word " * 3000, "one two three"]
+    plain = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    named = spark.createDataFrame([("a-1", texts[0]), (None, texts[1]), ("b", texts[2]), ("long", texts[3]), ("a-1", texts[4])],
+                                  "key string, text string")
+    want = packing.pack_documents(plain.coalesce(1), path, public_tokenizers.PATTERN)
+    got = packing.pack_documents(named.coalesce(1), path, public_tokenizers.PATTERN, id_col="key")
+    assert dict(want.dtypes)["doc_id"] == "bigint" and dict(got.dtypes)["doc_id"] == "string"
+    names = {0: "a-1", 1: None, 2: "b", 3: "long", 4: "a-1"}
+    assert sorted((str(r[0]), *r[1:]) for r in got.collect()) == sorted((str(names[r[0]]), *r[1:]) for r in want.collect())
