@@ -72,6 +72,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores put before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def map_rows(df: DataFrame, fn: Callable[..., Iterator[dict[str, list]]], schema: str, rows: int = 2000) -> DataFrame:
     """``mapInArrow`` with ``fn(columns...)`` called on at most ``rows`` rows; ``fn`` yields dicts of columns."""
     from pyspark.sql.types import StructType

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attemptlab.llm.common import BLANKS
+from attemptlab.llm.common import BLANKS, free_name
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
@@ -42,14 +42,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; repeated rows of a kept id and text become one.
 
-    Rows go back by id and text digest, so that different texts under one id, or without an id, all stay.
+    Rows go back by id and text digest, so that different texts under one id, or without an id, all stay.  Columns of any
+    name are kept as they are.
     """
     kept = exact_groups(docs, id_col, text_col, salts).where("kept") \
         .select(F.col("doc_id").alias("__kept"), F.col("text_sha256").alias("__kept_sha")).distinct()
     digest = F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), BLANKS, ""), 256)
-    own = docs.withColumn("__sha", digest)
-    same = own[id_col].eqNullSafe(kept["__kept"]) & (own["__sha"] == kept["__kept_sha"])
-    return own.join(kept, same, "left_semi").dropDuplicates([id_col, "__sha"]).drop("__sha")
+    sha = free_name(docs, "__sha")
+    own = docs.withColumn(sha, digest)
+    same = own[id_col].eqNullSafe(kept["__kept"]) & (own[sha] == kept["__kept_sha"])
+    return own.join(kept, same, "left_semi").dropDuplicates([id_col, sha]).drop(sha)
 
 
 ORACLE = r"""

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attemptlab.llm.common import WordHash, gram_hashes, map_rows, mix, word_hashes, words
+from attemptlab.llm.common import WordHash, free_name, gram_hashes, map_rows, mix, word_hashes, words
 from attemptlab.session import ensure_checkpoint_dir
 
 SIGNED = ("rid long, doc_id {id}, n_shingles long, set_a long, set_b long, bands array<long>, signature binary")
@@ -360,10 +360,11 @@ def _settled(placed: DataFrame, signs: DataFrame, texts: DataFrame, size: int, p
 def keep_smallest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that lead their group, with all their columns; repeated rows of an id and text become one.
 
-    Different texts under one id, or without an id, stay apart.
+    Different texts under one id, or without an id, stay apart; columns of any name are kept as they are.
     """
     kept = near_duplicate_groups(docs, id_col=id_col, text_col=text_col, **options).where("kept") \
         .select(F.col("doc_id").alias("__kept")).distinct()
-    own = docs.withColumn("__sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    return own.join(kept, own[id_col].eqNullSafe(kept["__kept"]), "left_semi").dropDuplicates([id_col, "__sha"]).drop("__sha")
+    sha = free_name(docs, "__sha")
+    own = docs.withColumn(sha, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    return own.join(kept, own[id_col].eqNullSafe(kept["__kept"]), "left_semi").dropDuplicates([id_col, sha]).drop(sha)
 

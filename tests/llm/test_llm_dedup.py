@@ -318,3 +318,12 @@ def test_mixed_bucket_gives_joining_links_only(spark):
             assert r["a"] < 46 and r["b"] < 46
             top = {i: min(one, two) if t in (one, two) else t for i, t in top.items()}
         assert {top[i] for i in range(46)} == {0} and top[46] == 46 and top[47] == 47
+
+
+@pytest.mark.parametrize("keep", [exact_dedup.keep_first_copies, minhash.keep_smallest])
+def test_columns_of_any_name_are_kept(spark, keep):
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, text, "x", "p"), (2, text, "y", "q"), (3, "other words altogether", "z", "r")],
+                                 "doc_id long, text string, __sha string, ___SHA string")
+    got = sorted(tuple(r) for r in keep(docs).select("doc_id", "__sha", "___SHA").collect())
+    assert got == [(1, "x", "p"), (3, "z", "r")]
