@@ -34,10 +34,6 @@ def _folder(spark) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/sink-{uuid.uuid4().hex}"
 
 
-def _scenarios(f: Flow) -> dict:
-    return {"Scenario1": f.s1, "Scenario2": f.latest, "Scenario3": f.s3, "Scenario4": f.s4, "Questions": f.qs}
-
-
 # every table with its row count and the sums of its numbers and text lengths
 _CONTENT = "SELECT '{name}' AS name, count(*) AS n, CAST(sum({id}) AS BIGINT) AS id_sum, CAST(sum(length({text})) AS BIGINT) AS chars FROM {src}"
 
@@ -49,7 +45,7 @@ _CONTENT = "SELECT '{name}' AS name, count(*) AS n, CAST(sum({id}) AS BIGINT) AS
     ("Questions", "question_id", "question_template || question_unittests", "qs"))), SV)
 def sink_scenarios(spark, sf):
     root = _folder(spark)
-    tables = _scenarios(Flow(spark, sf))
+    tables = Flow(spark, sf).rows.tables()
     files.sink_scenarios(tables, root)
     text = {"Scenario3": ("submission_id", F.concat("response", "response_mistake")),
             "Scenario4": ("submission_id", F.concat("response", "response_correct")),
@@ -68,8 +64,8 @@ def sink_scenarios(spark, sf):
 def scan_scenario(spark, sf):
     root = _folder(spark)
     f = Flow(spark, sf)
-    files.write_table(f.s3, f"{root}/Scenario3_full_data", fmt="csv")
-    back = files.read_table(spark, f"{root}/Scenario3_full_data", f.s3.schema, fmt="csv")
+    files.write_table(f.rows.s3, f"{root}/Scenario3_full_data", fmt="csv")
+    back = files.read_table(spark, f"{root}/Scenario3_full_data", f.rows.s3.schema, fmt="csv")
     return back.select("submission_id", "student_id", "question_unittest_id", "pass", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "response")
 
 
@@ -135,7 +131,7 @@ WHERE response = response_correct AND EXISTS (SELECT 1 FROM executions e WHERE e
 def semi_join_evaluated(spark, sf):
     f = MetricFlow(spark, sf)
     keys = fixtures(spark, sf).executions.select("student_id", "question_id")
-    return f.s4.join(keys, ["student_id", "question_id"], "left_semi").select("submission_id", "student_id", "question_id")
+    return f.rows.s4_keys.join(keys, ["student_id", "question_id"], "left_semi").select("submission_id", "student_id", "question_id")
 
 
 @register("sort_by_time", _SCEN + "SELECT submission_id, pass FROM clean ORDER BY ts, submission_id", SV)

@@ -35,3 +35,42 @@ def test_repartition_invariance(spark):
     a = sorted(tuple(r) for r in A.derive_scenarios(subs, qs)["Scenario3"].drop("ts").collect())
     b = sorted(tuple(r) for r in A.derive_scenarios(subs.repartition(5), qs)["Scenario3"].drop("ts").collect())
     assert a == b
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_carry_their_texts(spark):
+    sc = A.derive_scenarios(*frames(spark))
+    assert {(r.submission_id, r.response, r.response_mistake, r.response_correct) for r in sc["Scenario3"].collect()} == {
+        (1, "a", "a", "b"), (3, "a", "a", "b")}
+    assert {(r.submission_id, r.response, r.response_mistake, r.response_correct) for r in sc["Scenario4"].collect()} == {(2, "b", "a", "b")}
+    assert {(r.submission_id, r.response, r.week) for r in sc["Scenario2"].collect()} == {(3, "a", 1), (6, "e", 1), (8, "g", 1)}
+
+
+def test_rows_are_chosen_without_texts_and_catalogue_broadcast(spark):
+    subs, qs = frames(spark)
+    rows = A.ScenarioRows(A.clean_submissions(subs), qs)
+    for keys in (rows.latest_keys, rows.s3_keys, rows.s4_keys):
+        assert "response" not in keys.columns and "BroadcastHashJoin" not in plan(keys)
+    for table in A.derive_scenarios(subs, qs).values():
+        assert all("question_unittests" not in line for line in plan(table).splitlines() if "BroadcastExchange" in line)
+
+
+def test_catalogue_rows_that_come_twice(spark):
+    subs, qs = frames(spark)
+    sc = A.derive_scenarios(subs, qs.unionByName(qs))
+    assert sorted(r.submission_id for r in sc["Scenario2"].collect()) == [3, 6, 8]       # one row per pair
+    assert sorted(r.submission_id for r in sc["Scenario3"].collect()) == [1, 1, 3, 3]    # one per catalogue row
+
+
+def test_held_tables_equal_and_are_released(spark):
+    subs, qs = frames(spark)
+    rows = A.ScenarioRows(A.clean_submissions(subs), qs)
+    held = rows.held()
+    for name, table in held.tables().items():
+        assert sorted(map(tuple, table.collect())) == sorted(map(tuple, rows.tables()[name].collect()))
+    assert held.keys.is_cached and held.texts.is_cached
+    held.release()
+    assert not spark._jsparkSession.sharedState().cacheManager().lookupCachedData(held.keys._jdf).isDefined()
