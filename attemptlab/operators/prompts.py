@@ -7,6 +7,8 @@ targets are exploded, so no group grows with the data.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,23 +151,37 @@ def scenario1_prompts(s1: DataFrame) -> DataFrame:
             .filter(F.size("test_cases") > 0))
 
 
-def leave_one_out_examples(table: DataFrame, k: int = 4) -> DataFrame:
-    """(student, target attempt, the other k-1 attempts in order) for students with >= k rows."""
-    cols = ["attempt_no", "question_unittest_id", "week", "topic", "question_name", "question_text",
-            "question_template", "question_unittests", "response"] + \
-        (["response_mistake"] if "response_mistake" in table.columns else [])
+def student_attempts(table: DataFrame, k: int = 4, attach: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """student_id -> its first k attempts in order, for students with >= k rows.
+
+    ``attach`` adds the texts to the chosen rows of a table without them.
+    """
     first = A.first_four_attempts(A.min_attempts_filter(table, k), k)
-    per_student = first.groupBy("student_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("attempts"))
-    return (per_student.select("student_id", F.explode("attempts").alias("target"), "attempts")
+    first = attach(first) if attach else first
+    cols = ["attempt_no", "question_unittest_id", "week", "topic", "question_name", "question_text",
+            "question_template", "question_unittests"] + [c for c in ("response", "response_mistake") if c in first.columns]
+    return first.groupBy("student_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("attempts"))
+
+
+def _leave_one_out(per_student: DataFrame, *keep: str) -> DataFrame:
+    return (per_student.select("student_id", F.explode("attempts").alias("target"), "attempts", *keep)
             .select("student_id", "target",
-                    F.filter("attempts", lambda a: a["attempt_no"] != F.col("target")["attempt_no"]).alias("examples")))
+                    F.filter("attempts", lambda a: a["attempt_no"] != F.col("target")["attempt_no"]).alias("examples"), *keep))
+
+
+def leave_one_out_examples(table: DataFrame, k: int = 4) -> DataFrame:
+    """(student, target attempt, the other k-1 attempts in order) for students with >= k rows."""
+    return _leave_one_out(student_attempts(table, k))
+
 
+def scenario234_prompts(table: DataFrame, profile: DataFrame, scenario: int, k: int = 4,
+                        attach: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Per student with >= k attempts: one prompt per target among the first k attempts.
 
-def scenario234_prompts(table: DataFrame, profile: DataFrame, scenario: int, k: int = 4) -> DataFrame:
-    """Per student with >= k attempts: one prompt per target among the first k attempts."""
-    loo = leave_one_out_examples(table, k)
+    The profile joins one row per student, before the targets are exploded with their examples.
+    """
     prof = lookup_student_profile(profile)
-    j = loo.join(prof, "student_id", "left")
+    j = _leave_one_out(student_attempts(table, k, attach).join(prof, "student_id", "left"), "profile")
     profile_text = profile_prompt(F.col("student_id"), F.coalesce(F.col("profile"), F.array().cast(prof.schema["profile"].dataType)))
     build = PROMPT_BUILDERS[scenario]
     return (j.select("student_id", F.col("target")["question_unittest_id"].alias("question_id"),

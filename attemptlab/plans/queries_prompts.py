@@ -84,9 +84,11 @@ _TABLES = {2: "latest", 3: "(SELECT * FROM final WHERE response = response_mista
 
 def _prompts(spark, sf, scenario: int):
     f = Flow(spark, sf)
-    table = {2: f.latest, 3: f.s3, 4: f.s4}[scenario]
+    r = f.rows
+    table = {2: r.latest_keys, 3: r.s3_keys, 4: r.s4_keys}[scenario]
+    name = "response_mistake" if scenario == 3 else "response"      # a scenario 3 response is the first mistake
     profile = A.student_topic_profile(f.merged)
-    p = P.scenario234_prompts(table, profile, scenario)
+    p = P.scenario234_prompts(table, profile, scenario, attach=lambda rows: A.add_text(rows, r.texts, name=name))
     return p.select("student_id", "question_id", "attempt_no", "prompt", F.size("test_cases").alias("n_tests"))
 
 
