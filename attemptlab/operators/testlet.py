@@ -79,9 +79,10 @@ def id_subset_groups(df: DataFrame, id_col: str, n_groups: int, seed: int = SEED
     """Keep the rows whose id falls in the first of ``n_groups`` equal-width groups of a shuffled id order.
 
     The shuffle is the md5 order of (id, seed); positions come from the
-    range-partitioned rank helper, so no window sees all ids at once.
+    range-partitioned rank helper, so no window sees all ids at once.  The ids are read off the rows once: ranks,
+    count and selection use the stored list.
     """
-    ids = df.select(F.col(id_col).alias("_id")).distinct().withColumn("_h", _hash_key(F.col("_id"), seed))
+    ids = cut_lineage(df.select(F.col(id_col).alias("_id")).distinct().withColumn("_h", _hash_key(F.col("_id"), seed)))
     ranks = ST.value_ranks(ids, [], "_h")
     total = ids.agg(F.count(F.lit(1)).alias("_n")).scalar()
     # cut(seq_along(ids), breaks = n_groups) splits [1, N] into equal-width, right-closed intervals

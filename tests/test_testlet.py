@@ -46,3 +46,10 @@ def test_train_test_stable(spark):
     assert a == b
     frac = sum(1 for r in a if r[3] == "test") / len(a)
     assert 0.12 < frac < 0.28
+
+
+def test_subset_reads_the_rows_once_for_its_ids(spark):
+    df = spark.range(300).selectExpr("id % 30 as StudentID_SF", "id")
+    sub = TL.id_subset_groups(df, "StudentID_SF", 3)
+    assert sub._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    assert sub.select("StudentID_SF").distinct().count() == 10
