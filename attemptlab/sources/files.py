@@ -122,7 +122,7 @@ def explode_states(df: DataFrame, extra: list[str] = (), scenario: int | None =
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None,
-                replace: str = "table", max_rows_per_file: int = 5_000_000) -> None:
+                replace: str = "table", max_rows_per_file: int = 5_000_000, compression: str | None = None) -> None:
     """Write a table; ``partition_by`` gives one folder per (model, scenario) like the reference's files.
 
     ``replace="table"`` overwrites everything; ``"partitions"`` only the folders that ``df`` has rows for, all others
@@ -139,6 +139,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
         df = df.hint("rebalance", *partition_by)
     w = df.write.mode("overwrite").option("maxRecordsPerFile", max_rows_per_file) \
         .option("partitionOverwriteMode", "dynamic" if replace == "partitions" else "static")
+    if compression:
+        w = w.option("compression", compression)        # gzip keeps a CSV or JSON file from being split: bound its rows
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
@@ -152,7 +154,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
 
 def sink_scenarios(tables: dict[str, DataFrame], root: str, fmt: str = "parquet") -> None:
     for name, df in tables.items():
-        write_table(df, f"{root}/{name}_full_data", fmt)
+        write_table(df, f"{root}/{name}_full_data", fmt, compression="zstd" if fmt == "parquet" else None)
 
 
 def sink_metrics_json(long: DataFrame, path: str) -> None:

@@ -63,3 +63,14 @@ def test_replacement_needs_partitions(spark, tmp_path):
         FS.write_table(results(spark, OLD), str(tmp_path / "x"), replace="partitions")
     with pytest.raises(ValueError):
         FS.write_table(results(spark, OLD), str(tmp_path / "x"), partition_by=KEYS, replace="some")
+
+
+def test_text_files_can_be_compressed(spark, tmp_path):
+    many = results(spark, OLD)
+    for fmt in ("csv", "json"):
+        path = str(tmp_path / fmt)
+        FS.write_table(many, path, fmt=fmt, compression="gzip", max_rows_per_file=1)
+        assert glob.glob(f"{path}/*.{fmt}.gz") and not glob.glob(f"{path}/*.{fmt}")
+        back = spark.read.schema(many.schema)
+        back = back.option("header", True).csv(path) if fmt == "csv" else back.json(path)
+        assert {tuple(r) for r in back.collect()} == set(OLD)
