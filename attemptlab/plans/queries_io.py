@@ -64,7 +64,7 @@ def sink_scenarios(spark, sf):
 def scan_scenario(spark, sf):
     root = _folder(spark)
     f = Flow(spark, sf)
-    files.write_table(f.rows.s3, f"{root}/Scenario3_full_data", fmt="csv")
+    files.write_table(f.rows.s3, f"{root}/Scenario3_full_data", fmt="csv", compression="gzip", max_rows_per_file=100_000)
     back = files.read_table(spark, f"{root}/Scenario3_full_data", f.rows.s3.schema, fmt="csv")
     return back.select("submission_id", "student_id", "question_unittest_id", "pass", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "response")
 
