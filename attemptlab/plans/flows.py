@@ -31,10 +31,14 @@ def scenario_tables(spark: SparkSession, submissions_path: str, questions_path:
                     fmt: str = "csv") -> dict[str, DataFrame]:
     subs = files.read_submissions(spark, submissions_path, fmt)
     qs = files.read_questions(spark, questions_path, fmt)
-    tables = A.derive_scenarios(subs, qs)
+    rows = A.ScenarioRows(A.clean_submissions(subs), qs)
     if out_root:
-        files.sink_scenarios(tables, out_root, fmt)
-    return tables
+        held = rows.held()
+        try:
+            files.sink_scenarios(held.tables(), out_root, fmt)
+        finally:
+            held.release()
+    return rows.tables()
 
 
 def topic_profile(tables: dict[str, DataFrame], clean: DataFrame) -> DataFrame:

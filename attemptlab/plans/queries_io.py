@@ -45,8 +45,12 @@ _CONTENT = "SELECT '{name}' AS name, count(*) AS n, CAST(sum({id}) AS BIGINT) AS
     ("Questions", "question_id", "question_template || question_unittests", "qs"))), SV)
 def sink_scenarios(spark, sf):
     root = _folder(spark)
-    tables = Flow(spark, sf).rows.tables()
-    files.sink_scenarios(tables, root)
+    rows = Flow(spark, sf).rows.held()
+    tables = rows.tables()
+    try:
+        files.sink_scenarios(tables, root)
+    finally:
+        rows.release()
     text = {"Scenario3": ("submission_id", F.concat("response", "response_mistake")),
             "Scenario4": ("submission_id", F.concat("response", "response_correct")),
             "Questions": ("question_id", F.concat("question_template", "question_unittests"))}
