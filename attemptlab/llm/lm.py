@@ -10,9 +10,13 @@ in proportion to the shorter state.  Each token is scored by the longest state t
 All counts are taken over all training documents, no context or symbol is left out for its rank, and the tables
 stay distributed: words, (word, word) and (two words, word), combined in the tasks before one aggregation each.
 Bitmaps of fixed size say which words, pairs and states can matter; they may let too much through, never too
-little.  At most ``common_words`` frequent words and the head of the tree (the most frequent states, at most
-``most_contexts`` of them with ``most_entries`` stored symbols) are broadcast; every other word or state that a text
-asks for is joined with its row by hash.
+little.
+
+The log probability of a text is a sum of one number per word, pair and triple of words in it: a state adds its
+back-off weight to the token after it, and a stored symbol adds what it has over the sum of the shorter ones and its
+state's weight.  At most ``common_words`` frequent words and the head of the tree (its most frequent rows, at most
+``most_contexts`` states and ``most_entries`` stored symbols) are broadcast; every other word, pair or triple that a
+text asks for is joined with its number by hash, in one join for all.
 """
 
 from __future__ import annotations
@@ -26,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attemptlab.llm.common import WordHash, bitmap_of, held_fold, maybe, mix, stored, word_hashes, words
-from attemptlab.session import scratch_folder
+from attemptlab.llm.common import WordHash, bitmap, bitmap_of, held_fold, maybe, mix, stored, word_hashes, words
 
 _END = np.int64(-0x61C8864680B583EB)      # hash of the end token and, as a context, of the start of a text
 _CHUNK = 1_000_000
 DISCOUNT = 0.75
+_WORD, _DOC, _PAIR, _TRIPLE = range(4)      # what a row of the scoring join is about
 
 
 def tokens(held: WordHash, text: str | None) -> np.ndarray:
@@ -58,8 +62,12 @@ def find(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Place of each value in the sorted keys, -1 if it is not there."""
     if not len(keys):
         return np.full(len(values), -1)
-    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
-    return np.where(keys[at] == values, at, -1)
+    order = np.argsort(values)                 # neighbours are then searched in the same stretch of keys
+    sought = values[order]
+    spot = np.minimum(np.searchsorted(keys, sought), len(keys) - 1)
+    at = np.empty(len(values), np.int64)
+    at[order] = np.where(keys[spot] == sought, spot, -1)
+    return at
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,50 +93,83 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Level:
-    """States of one context length: context hashes, back-off weights, keys of stored symbols with log10 lift over the root."""
+    """Words, pairs or triples of the head by hash: what each adds to the score of its last token as a stored symbol,
+    and what it adds to the token after it as a state (log10)."""
     keys: np.ndarray
+    symbol: np.ndarray
     weight: np.ndarray
-    entries: np.ndarray
-    lift: np.ndarray
+
+    @classmethod
+    def of(cls, symbols: pa.Table | None, states: pa.Table | None) -> Level:
+        """From tables of (key, number); a key may be in both."""
+        sides = [(np.zeros(0, np.int64), np.zeros(0)) if t is None else (t[0].to_numpy(), t[1].to_numpy()) for t in (symbols, states)]
+        keys = np.unique(np.concatenate([k for k, _ in sides]))
+        out = cls(keys, np.zeros(len(keys)), np.zeros(len(keys)))
+        for (k, v), to in zip(sides, (out.symbol, out.weight), strict=True):
+            to[np.searchsorted(keys, k)] = v
+        return out
 
 
 @dataclass
 class Tree:
-    """The head of the tree; ``states`` are bitmaps of all states per context length, in the head or not."""
-    levels: list[Level]            # by context length, from one word on
-    states: list[np.ndarray]
+    """The head of the tree.  ``can`` are bitmaps of all its pairs and triples, ``tail`` of those outside the head."""
+    words: Level                   # states of one word, the start of a text among them
+    levels: list[Level]            # pairs (symbols after one word, states of two words), triples (symbols after two)
+    can: list[np.ndarray]
+    tail: list[np.ndarray]
 
     def search(self, hashes: np.ndarray):
-        """Per token its keys (context of one word, symbol after it, context of two, symbol after it), the log10
-        lift by the head, and whether a state of one or of two words may be missing from the head.
+        """log10 lift of each token over the root by the head, and the keys and places of pairs and of triples that may
+        be outside the head.
 
         Texts may stand one after the other: their ends are the starts of the next.
         """
         before = np.append(_END, hashes[:-1])
-        after = pair_context(before, hashes)
-        two = np.append(_END, after[:-1])
-        whole = pair_context(two, after)
-        out, open_ = np.zeros(len(hashes)), []
-        for level, bitmap, context, entry in zip(self.levels, self.states, (before, two), (after, whole), strict=True):
-            can = maybe(bitmap, context)
-            if context is two:
-                can &= before != _END              # the first token of a text has the start alone before it
-            at = np.flatnonzero(can)
-            state = find(level.keys, context[at])
-            missing = np.zeros(len(hashes), bool)
-            missing[at[state < 0]] = True
-            open_.append(missing)
-            at, state = at[state >= 0], state[state >= 0]
-            place = find(level.entries, entry[at])
-            if len(at):
-                out[at] = np.where(place >= 0, level.lift[place] if len(level.lift) else 0.0, out[at] + level.weight[state])
-            if context is two:                     # a head state has its suffix and all its symbols in the head
-                open_[0][at] = False
-        return (before, after, two, whole), out, open_[0], open_[1]
+        pair = pair_context(before, hashes)
+        out = np.zeros(len(hashes))
+        place = find(self.words.keys, before)
+        at = np.flatnonzero(place >= 0)
+        out[at] += self.words.weight[place[at]]
+        pairs, triples = self.levels
+        at = np.flatnonzero(maybe(self.can[0], pair))
+        place = find(pairs.keys, pair[at])
+        hit, place = at[place >= 0], place[place >= 0]
+        out[hit] += pairs.symbol[place]
+        after = hit + 1
+        inner = after < len(out)                   # no pair with an end is a state
+        out[after[inner]] += pairs.weight[place[inner]]
+        known = np.zeros(len(hashes), bool)
+        known[hit] = True
+        ask = ~known[at] & maybe(self.tail[0], pair[at])
+        asked = at[ask]
+        known[asked] = True
+        # a stored triple is made of a state and of a symbol after its newer word
+        at = np.flatnonzero(known & np.append(False, known[:-1]) & (before != _END))
+        triple = pair_context(pair[at - 1], pair[at])
+        can = maybe(self.can[1], triple)
+        at, triple = at[can], triple[can]
+        place = find(triples.keys, triple)
+        hit = place >= 0
+        out[at[hit]] += triples.symbol[place[hit]]
+        ask = ~hit & maybe(self.tail[1], triple)
+        return out, (pair[asked], asked), (triple[ask], at[ask])
 
     def lift(self, hashes: np.ndarray) -> np.ndarray:
         """log10 of each token's probability after its longest state in the head, less that of the root."""
-        return self.search(hashes)[1]
+        return self.search(hashes)[0]
+
+
+def _tally(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different pairs and how often each is there, equal hashes ``a`` near each other (compresses better).
+
+    A pair may come out in two rows where hashes collide; their counts add up.
+    """
+    key = a.view(np.uint64) & np.uint64(0xFFFFF00000000000) | pair_context(a, b).view(np.uint64) >> np.uint64(20)
+    order = np.argsort(key)
+    a, b = a[order], b[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[:len(a)]
+    at = np.flatnonzero(new)
+    return a[at], b[at], np.diff(np.append(at, len(a)))
 
 
 def _count_next(known, wanted):
@@ -147,11 +188,8 @@ def _count_next(known, wanted):
                 s = pair_context(c, h)
                 c = np.append(_END, s[:-1])
                 good = maybe(known.value, s) & maybe(wanted.value, c) & ~first
-            c, s = c[good], s[good]
-            _, at, n = np.unique(pair_context(c, s), return_index=True, return_counts=True)
-            order = np.argsort(c[at], kind="stable")          # equal contexts side by side compress better
-            at, n = at[order], n[order]
-            return pa.RecordBatch.from_arrays([pa.array(c[at]), pa.array(s[at]), pa.array(n)], names=["c", "s", "n"])
+            c, s, n = _tally(c[good], s[good])
+            return pa.RecordBatch.from_arrays([pa.array(c), pa.array(s), pa.array(n)], names=["c", "s", "n"])
 
         for batch in batches:
             for text in batch.column(0):
@@ -191,10 +229,10 @@ def _keyed(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def _states(rows: DataFrame, per_symbol: float, least: float, name: str) -> tuple[DataFrame, DataFrame]:
-    """(c, total, kinds, weight) and (c, s, e, n, root, lift): contexts that pass the divergence test, their stored symbols.
+    """(c, total, weight) and (e, n, root, lift, more): contexts that pass the divergence test, their stored symbols.
 
     ``rows`` has c, s, e, n, total (of the context), root and below: the symbol's natural log probability at the root
-    and in the state one level up.
+    and in the state one level up.  ``more`` is the symbol's lift less the state's weight and the lift one level up.
     """
     own = F.log((F.col("n") - F.lit(DISCOUNT)) / F.col("total"))
     sums = rows.groupBy("c").agg(
@@ -204,18 +242,18 @@ def _states(rows: DataFrame, per_symbol: float, least: float, name: str) -> tupl
     weight = F.log(free) - F.log(F.greatest(1 - F.col("covered"), F.lit(1e-12)))
     kept = sums.withColumn("weight", weight).where(
         F.col("gain") + (F.col("total") - F.col("held")) * F.col("weight") >= F.lit(per_symbol) * F.col("kinds") + F.lit(least))
-    states = stored(kept.select("c", "total", "kinds", (F.col("weight") / np.log(10)).alias("weight")), f"{name}-states")
-    entries = rows.join(states.select("c"), "c").select(
-        "c", "s", "e", "n", "total", "root", ((own - F.col("root")) / np.log(10)).alias("lift"))
+    states = stored(kept.select("c", "total", (F.col("weight") / np.log(10)).alias("weight")), f"{name}-states")
+    entries = rows.join(states.select("c", "weight"), "c").select(
+        "e", "n", "root", ((own - F.col("root")) / np.log(10)).alias("lift"),
+        ((own - F.col("below")) / np.log(10) - F.col("weight")).alias("more"))
     return states, stored(entries, f"{name}-symbols")
 
 
 @dataclass
 class Model:
-    """The whole tree as tables (states and stored symbols by context length), its head, and the head's least total."""
-    tables: list[tuple[DataFrame, DataFrame]]
+    """The head of the tree, and the numbers of all other words, pairs and triples: (tag, h, lift)."""
     tree: Tree
-    bound: int
+    rest: DataFrame
 
 
 def fit_model(train: DataFrame, counts: DataFrame, scale: float, most_contexts: int = 1 << 19, most_entries: int = 1 << 21,
@@ -224,14 +262,15 @@ def fit_model(train: DataFrame, counts: DataFrame, scale: float, most_contexts:
 
     ``counts`` has h, n (words and the end); the root gives a token the probability (n + 0.5) / ``scale``.  A symbol
     that follows so often is itself that frequent, as is its pair with the newer word: rarer words and pairs are not
-    counted further.  ``most_contexts`` and ``most_entries`` bound the head that is broadcast, not the tree.
+    counted further.  ``most_contexts`` and ``most_entries`` bound the head that is broadcast, not the tree;
+    ``common_words`` bounds the states of one word in it.
     """
     sc = train.sparkSession.sparkContext
     text, enough = train.select("text"), counts.where(F.col("n") >= least_count)
     known = sc.broadcast(bitmap_of(enough, "h"))
     pairs = (text.mapInArrow(_count_next(known, None), "c long, s long, n long").groupBy("c", "s")
              .agg(F.sum("n").alias("n")).where(F.col("n") >= least_count))
-    least_common = _most(enough, "n", common_words, least_count)
+    least_common = _most(enough.where(F.col("h") != int(_END)), "n", common_words, least_count)
     top = enough.where(F.col("n") >= least_common).toArrow().sort_by("h")
     common = sc.broadcast((top["h"].to_numpy(), top["n"].to_numpy()))
 
@@ -267,24 +306,40 @@ def fit_model(train: DataFrame, counts: DataFrame, scale: float, most_contexts:
     tried = triples.join(wanted, "c").join(below, "s").select("c", "s", "n", "total", "root", "below")
     two = _states(stored(_keyed(tried, "c", "s"), "triples"), per_symbol, least, "two")
 
-    # the head: states of both lengths from one total on, so that it holds the suffixes of its states
-    totals = one[0].select("total", "kinds").union(two[0].select("total", "kinds"))
-    step = F.when(F.col("total") < 4096, F.col("total")).otherwise(
-        F.pow(F.lit(2.0), F.floor(F.log2("total") + 1e-9)).cast("long"))
-    steps = totals.groupBy(step.alias("least")).agg(
-        F.count(F.lit(1)).alias("states"), F.sum("kinds").alias("kinds")).collect()
-    bound, n, kinds = 1 << 62, 0, 0
+    # the head: pairs and triples that occur often enough; a pair has its symbol and its state on the same side
+    pair_symbols, pair_states, triple_symbols = (
+        one[1].select(F.col("e").alias("h"), "n", F.col("more").alias("lift")),
+        two[0].select(F.col("c").alias("h"), F.col("total").alias("n"), F.col("weight").alias("lift")),
+        two[1].select(F.col("e").alias("h"), "n", F.col("more").alias("lift")))
+    step = F.when(F.col("n") < 4096, F.col("n")).otherwise(
+        F.pow(F.lit(2.0), F.floor(F.log2("n") + 1e-9)).cast("long"))
+    steps: dict[int, list[int]] = {}
+    for is_state, table in ((1, pair_states), (0, pair_symbols), (0, triple_symbols)):
+        for r in table.groupBy(step.alias("least")).agg(F.count(F.lit(1)).alias("v")).collect():
+            steps.setdefault(r["least"], [0, 0])[is_state] += r["v"]
+    bound, kinds, n = 1 << 62, 0, 0
     for s in sorted(steps, reverse=True):
-        n, kinds = n + s["states"], kinds + s["kinds"]
+        kinds, n = kinds + steps[s][0], n + steps[s][1]
         if n > most_contexts or kinds > most_entries:
             break
-        bound = s["least"]
-    levels = []
-    for states, entries in (one, two):
-        s = states.where(F.col("total") >= bound).select("c", "weight").toArrow().sort_by("c")
-        e = entries.where(F.col("total") >= bound).select("e", "lift").toArrow().sort_by("e")
-        levels.append(Level(s["c"].to_numpy(), s["weight"].to_numpy(), e["e"].to_numpy(), e["lift"].to_numpy()))
-    return Model([one, two], Tree(levels, [bitmap_of(one[0], "c"), bitmap_of(two[0], "c")]), bound)
+        bound = s
+
+    def head(table: DataFrame) -> pa.Table:
+        return table.where(F.col("n") >= bound).select("h", "lift").toArrow()
+
+    def tail(table: DataFrame) -> DataFrame:
+        return table.where(F.col("n") < bound)
+
+    one_word = (F.col("total") >= least_common) | (F.col("c") == int(_END))
+    levels = [Level.of(head(pair_symbols), head(pair_states)), Level.of(head(triple_symbols), None)]
+    outside = [bitmap_of(tail(pair_symbols).select("h").union(tail(pair_states).select("h")), "h"),
+               bitmap_of(tail(triple_symbols), "h")]
+    tree = Tree(Level.of(None, one[0].where(one_word).select("c", "weight").toArrow()), levels,
+                [t | bitmap(x.keys) for t, x in zip(outside, levels, strict=True)], outside)
+    rest = one[0].where(~one_word).select(F.lit(_WORD).alias("tag"), F.col("c").alias("h"), F.col("weight").alias("lift"))
+    for tag, table in ((_PAIR, pair_symbols), (_PAIR, pair_states), (_TRIPLE, triple_symbols)):
+        rest = rest.union(tail(table).select(F.lit(tag).alias("tag"), "h", "lift"))
+    return Model(tree, rest)
 
 
 def fit_tree(train: DataFrame, counts: DataFrame, n_train: int, scale: float, **options) -> Tree:
@@ -292,12 +347,19 @@ def fit_tree(train: DataFrame, counts: DataFrame, n_train: int, scale: float, **
     return fit_model(train, counts, scale, **options).tree
 
 
-def _score(tree, common):
+_ROW = ["tag", "h", "rid", "n", "doc"]
+
+
+def _score(tree, common, unseen: float, end: float):
+    """A row for each document with what the broadcast tables say, and one for each of its words, pairs and triples
+    that is asked from the tables outside; ``unseen`` and ``end`` are the base of an unseen word and of the end."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = WordHash()
         keys, logs = common.value
         for batch in batches:
             rids = batch.column(0).to_numpy()
+            kind = pa.struct([("doc_id", batch.schema.field(1).type), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+                              ("base", pa.float64()), ("lift", pa.float64())])
             at = 0
             while at < batch.num_rows:
                 first, parts, size = at, [], 0
@@ -305,83 +367,32 @@ def _score(tree, common):
                     parts.append(tokens(held, batch.column(2)[at].as_py()))
                     size += len(parts[-1])
                     at += 1
-                rows = at - first
+                rows, own = at - first, rids[first:at]
                 n_tokens = np.fromiter(map(len, parts), np.int64, rows)
                 flat, owner = np.concatenate(parts), np.repeat(np.arange(rows), n_tokens)
-                context, lift, low, high = tree.value.search(flat)
-                ask = low | high
-                lifts = np.bincount(owner[~ask], lift[~ask], rows)
-                own = rids[first:at]
-                kind = batch.schema.field(1).type
-                if ask.any():
-                    yield _asked(own[owner[ask]], [x[ask] for x in context], lift[ask], low[ask], high[ask], kind)
-                inner = flat != _END
-                flat, owner = flat[inner], owner[inner]
-                spot = find(keys, flat)
-                hit = spot >= 0
-                known = np.bincount(owner[hit], minlength=rows).astype(np.int64)
-                base = np.bincount(owner[hit], logs[spot[hit]], rows) if hit.any() else np.zeros(rows)
-                yield _rows(1, own, own, n_tokens, known, base, lifts, batch.column(1).slice(first, rows))
-                rare_owner, rare = owner[~hit], flat[~hit]
-                if len(rare):
-                    order = np.lexsort((rare, rare_owner))
-                    a, b = rare_owner[order], rare[order]
-                    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-                    times = np.diff(np.append(np.flatnonzero(new), len(a)))
-                    k = len(times)
-                    yield _rows(0, own[a[new]], b[new], times, np.zeros(k, np.int64), np.zeros(k), np.zeros(k),
-                                pa.nulls(k, kind))
+                lift, pairs, triples = tree.value.search(flat)
+                inner = np.flatnonzero(flat != _END)
+                spot = find(keys, flat[inner])
+                rare, known = inner[spot < 0], inner[spot >= 0]
+                base = np.bincount(owner[rare], minlength=rows) * unseen + end
+                if len(known):
+                    base += np.bincount(owner[known], logs[spot[spot >= 0]], rows)
+                doc = [batch.column(1).slice(first, rows), pa.array(n_tokens),
+                       pa.array(np.bincount(owner[known], minlength=rows).astype(np.int64)), pa.array(base),
+                       pa.array(np.bincount(owner, lift, rows))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(rows, _DOC, np.int32)), pa.array(own), pa.array(own), pa.nulls(rows, pa.int64()),
+                     pa.StructArray.from_arrays(doc, fields=list(kind))], names=_ROW)
+                for tag, (key, place) in ((_WORD, (flat[rare], rare)), (_PAIR, pairs), (_TRIPLE, triples)):
+                    rid, h, n = _tally(own[owner[place]], key)
+                    if len(h):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(h), tag, np.int32)), pa.array(h), pa.array(rid), pa.array(n),
+                             pa.nulls(len(h), kind)], names=_ROW)
 
     return run
 
 
-def _asked(rid, context, lift, low, high, kind) -> pa.RecordBatch:
-    """Tag 2 (a context of two words may be a state outside the head) or 3 (one word only): tokens of a document,
-    counted; h is the symbol after one word, and lift what the head says below (null if it may lack that state).
-    Hashes that the later joins don't need are null."""
-    before, after, two, whole = context
-    order = np.lexsort((whole, rid))
-    a, b = rid[order], whole[order]
-    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-    at, k = order[new], int(new.sum())
-    times = np.diff(np.append(np.flatnonzero(new), len(a)))
-    low, high = low[at], high[at]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.where(high, 2, 3).astype(np.int32)), pa.array(rid[at]), pa.array(after[at], mask=~low), pa.array(times),
-         pa.array(np.zeros(k, np.int64)), pa.array(np.zeros(k)), pa.array(lift[at], mask=low), pa.nulls(k, kind),
-         pa.array(before[at], mask=~low), pa.array(two[at], mask=~high), pa.array(whole[at], mask=~high)], names=_PARTS)
-
-
-def _joined(parts: DataFrame, model: Model) -> DataFrame:
-    """rid, lift: what the states outside the head add, by the hashes of contexts and stored symbols."""
-    (states1, symbols1), (states2, symbols2) = [
-        (s.where(F.col("total") < model.bound).select("c", "weight"), e.where(F.col("total") < model.bound).select("e", "lift"))
-        for s, e in model.tables]
-    deep = (parts.where("tag = 2").select("rid", "n", "h", "before", "two", "whole", F.col("lift").alias("low"))
-            .join(symbols2.select(F.col("e").alias("whole"), F.col("lift").alias("own")), "whole", "left")
-            .join(states2.select(F.col("c").alias("two"), F.col("weight").alias("up")), "two", "left")
-            .select("rid", "n", "h", "before", "low", "own", F.coalesce("up", F.lit(0.0)).alias("up")))
-    done = deep.where("own is not null or low is not null") \
-        .select("rid", (F.col("n") * F.coalesce("own", F.col("up") + F.col("low"))).alias("lift"))
-    rest = deep.where("own is null and low is null").select("rid", "n", "h", "before", "up") \
-        .union(parts.where("tag = 3").select("rid", "n", "h", "before", F.lit(0.0)))
-    last = (rest.join(symbols1.select(F.col("e").alias("h"), F.col("lift").alias("own")), "h", "left")
-            .join(states1.select(F.col("c").alias("before"), F.col("weight").alias("low")), "before", "left")
-            .select("rid", (F.col("n") * (F.col("up") + F.coalesce("own", "low", F.lit(0.0)))).alias("lift")))
-    return done.union(last)
-
-
-_PARTS = ["tag", "rid", "h", "n", "known", "base", "lift", "doc_id", "before", "two", "whole"]
-
-
-def _rows(tag: int, rid, h, n, known, base, lift, ids) -> pa.RecordBatch:
-    """Tag 1 is a document, tag 0 one of its words outside the broadcast table (without the document's id)."""
-    none = pa.nulls(len(rid), pa.int64())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(rid), tag, np.int32)), pa.array(rid), pa.array(h), pa.array(n), pa.array(known),
-         pa.array(base), pa.array(lift), ids, none, none, none], names=_PARTS)
-
-
 def score_documents(docs: DataFrame, held_out_fold: int = 1, folds: int = 5, common_words: int = 1 << 20,
                     id_col: str = "doc_id", text_col: str = "text", **tree_options) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per input row.
@@ -394,9 +405,8 @@ def score_documents(docs: DataFrame, held_out_fold: int = 1, folds: int = 5, com
     sc = spark.sparkContext
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     train = rows.where(held_fold("doc_id", folds) != held_out_fold)
-    path = scratch_folder(spark, "word-counts")
-    train.select("text").mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).write.parquet(path)
-    counts = spark.read.parquet(path)
+    counts = stored(train.select("text").mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")),
+                    "word-counts")
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"),
                        F.sum(F.when(F.col("h") == int(_END), F.col("n"))).alias("docs")).first()
     n_train, n_docs = total["n"] or 0, total["docs"] or 0
@@ -408,26 +418,23 @@ def score_documents(docs: DataFrame, held_out_fold: int = 1, folds: int = 5, com
     common = sc.broadcast((top["h"].to_numpy(), np.log10((top["count"].to_numpy() + 0.5) / scale)))
     model = fit_model(train, counts, scale, common_words=common_words, **tree_options)
 
+    unseen, end = float(np.log10(0.5 / scale)), float(np.log10((n_docs + 0.5) / scale))
     numbered = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    everything = stored(numbered.mapInArrow(
-        _score(sc.broadcast(model.tree), common), "tag int, rid long, h long, n long, known long, base double, lift double, "
-        f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, before long, two long, whole long"), "parts")
-    parts = everything.where("tag < 2").drop("before", "two", "whole")
-    rare = in_text.where(F.col("count") < bound).withColumn("tag", F.lit(0))
-    seen = F.coalesce("count", F.lit(0))
-    one = F.col("tag") == 1
-    each = parts.join(rare, ["tag", "h"], "left").select(
-        "rid", "doc_id", "lift", F.when(one, F.col("n")).otherwise(0).alias("n_tokens"),
-        F.when(one, F.col("known")).when(seen > 0, F.col("n")).otherwise(0).alias("n_known"),
-        F.when(one, F.col("base") + F.lit(float(np.log10((n_docs + 0.5) / scale))))
-        .otherwise(F.col("n") * F.log10((seen + 0.5) / F.lit(float(scale)))).alias("base"))
-    added = _joined(everything, model).select("rid", F.lit(None).cast(rows.schema["doc_id"].dataType).alias("doc_id"), "lift",
-                                              F.lit(0).alias("n_tokens"), F.lit(0).alias("n_known"), F.lit(0.0).alias("base"))
-    each = each.unionByName(added)
-    return (each.groupBy("rid").agg(
-        F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"),
-        (F.sum("n_known") + F.lit(1 if n_docs else 0)).alias("n_known"), F.sum("base").alias("base_score"),
-        F.sum("lift").alias("lift"))
+    asked = numbered.mapInArrow(
+        _score(sc.broadcast(model.tree), common, unseen, end), "tag int, h long, rid long, n long, doc struct<doc_id: "
+        f"{rows.schema['doc_id'].dataType.simpleString()}, n_tokens: long, n_known: long, base: double, lift: double>")
+    rare = in_text.where(F.col("count") < bound).select(
+        F.lit(_WORD).alias("tag"), "h", F.lit(1).alias("is_word"),
+        (F.log10((F.col("count") + 0.5) / F.lit(float(scale))) - F.lit(unseen)).alias("base"), F.lit(0.0).alias("lift"))
+    table = rare.unionByName(model.rest.withColumns({"is_word": F.lit(0), "base": F.lit(0.0)}))
+
+    def both(of_doc: str, of_row: str):
+        return F.sum(F.coalesce(F.col(f"doc.{of_doc}"), F.col("n") * F.col(of_row)))
+
+    return (asked.join(table, ["h", "tag"], "left").groupBy("rid").agg(
+        F.max("doc.doc_id").alias("doc_id"), F.sum("doc.n_tokens").alias("n_tokens"),
+        (both("n_known", "is_word") + F.lit(1 if n_docs else 0)).alias("n_known"),
+        both("base", "base").alias("base_score"), both("lift", "lift").alias("lift"))
         .select("doc_id", (held_fold("doc_id", folds) == held_out_fold).alias("held_out"),
                 F.col("n_tokens").cast("long"), F.col("n_known").cast("long"),
                 F.lit(int(n_train)).cast("long").alias("train_tokens"), "base_score",

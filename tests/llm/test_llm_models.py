@@ -318,6 +318,39 @@ def test_contexts_of_two_words_are_found():
     assert two.tolist() == lm.pair_context(np.array([lm._END, lm._END, 11, 12, 13]), one).tolist()
 
 
+def test_scratch_tables_hold_the_model_only(spark, rows):
+    """What scoring stores does not grow with the texts to score, asked from outside the head or not."""
+    import glob
+    import os
+
+    from attemptlab.session import ensure_checkpoint_dir
+
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    train = [(i, t, "x") for i, t, _ in rows if fold(i) != 1][:60]
+    held = [i for i in range(400) if fold(i) == 1]
+    sizes = []
+    for texts in (held[:1], held):
+        before = set(glob.glob(f"{folder}/**/*.parquet", recursive=True))
+        docs = spark.createDataFrame(train + [(i, " ".join(t for _, t, _ in train[:10] if t), "x") for i in texts], DOCS)
+        got = lm.score_documents(docs.coalesce(2), most_contexts=0, most_entries=0, common_words=0)
+        assert got.count() == len(train) + len(texts)
+        new = set(glob.glob(f"{folder}/**/*.parquet", recursive=True)) - before
+        assert new
+        sizes.append(sum(os.path.getsize(f) for f in new))
+    assert sizes[1] <= 1.1 * sizes[0]
+
+
+def test_pairs_are_counted_and_keys_found():
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(-2**62, 2**62, 40)[rng.integers(0, 40, 3000)], rng.integers(0, 9, 3000)
+    x, y, n = lm._tally(a, b)
+    assert Counter(dict(zip(zip(x.tolist(), y.tolist()), n.tolist()))) == Counter(zip(a.tolist(), b.tolist()))
+    assert [len(z) for z in lm._tally(a[:0], b[:0])] == [0, 0, 0]
+    keys = np.unique(a[:500])
+    assert lm.find(keys, a).tolist() == [{k: i for i, k in enumerate(keys.tolist())}.get(v, -1) for v in a.tolist()]
+    assert lm.find(keys[:0], a).tolist() == [-1] * len(a) and lm.find(keys, a[:0]).tolist() == []
+
+
 def test_scores_without_rows_or_training(spark):
     assert lm.score_documents(spark.createDataFrame([], DOCS)).count() == 0
     alone = next(i for i in range(50) if fold(i) == 1)
