@@ -21,7 +21,6 @@ text asks for is joined with its number by hash, in one join for all.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,17 +29,71 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attemptlab.llm.common import WordHash, bitmap, bitmap_of, held_fold, maybe, mix, stored, word_hashes, words
+from attemptlab.llm.common import BLANKS, bitmap, bitmap_of, held_fold, maybe, mix, stored
 
 _END = np.int64(-0x61C8864680B583EB)      # hash of the end token and, as a context, of the start of a text
 _CHUNK = 1_000_000
 DISCOUNT = 0.75
+_LEAST_WORD, _LEAST_HEAD = 4, 8      # rarer words, or pairs and triples, are joined at any size of the corpus
 _WORD, _DOC, _PAIR, _TRIPLE = range(4)      # what a row of the scoring join is about
 
 
-def tokens(held: WordHash, text: str | None) -> np.ndarray:
-    """Hashes of the lower-cased words and of the end."""
-    return np.append(word_hashes(held, words(text, lower=True)).view(np.int64), _END)
+class WordHash:
+    """64-bit hashes of all words of some bytes at once, A-Z as a-z: polynomials in numbers of the bytes."""
+
+    def __init__(self):
+        self.number = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        self.number[ord("A"):ord("Z") + 1] = self.number[ord("a"):ord("z") + 1]
+        self.blank = np.isin(np.arange(256), [ord(c) for c in BLANKS])
+        self.number[self.blank] = 0
+        step = np.uint64(0x9E3779B97F4A7C15)
+        self.low = np.cumprod(np.append(np.uint64(1), np.full(0xFFFF, step)), dtype=np.uint64)
+        self.high = np.cumprod(np.append(np.uint64(1), np.repeat(self.low[-1:] * step, 0xFFFF)), dtype=np.uint64)
+
+    def of(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and first byte of each word."""
+        raw = np.frombuffer(data, np.uint8)
+        gap = self.blank[raw]
+        first = ~gap
+        first[1:] &= gap[:-1]
+        start = np.flatnonzero(first)
+        if not len(start):
+            return np.zeros(0, np.int64), start
+        raw, at = raw[start[0]:], start - start[0]
+        place = np.arange(len(raw)) - np.repeat(at, np.diff(np.append(at, len(raw))))
+        value = self.number[raw] * self.low[place & 0xFFFF]
+        if len(raw) > 0xFFFF and place.max() > 0xFFFF:
+            value *= self.high[place >> 16 & 0xFFFF]
+        return mix(np.add.reduceat(value, at)).view(np.int64), start
+
+
+def word_hashes(held: WordHash, items: list[bytes]) -> np.ndarray:
+    return held.of(b" ".join(items))[0]
+
+
+def tokens(held: WordHash, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of each text and of its end, text after text, and the number of each text."""
+    data = [(text or "").encode("utf-8", "surrogatepass") for text in texts]
+    h, start = held.of(b"\n".join(data))
+    upto = np.cumsum(np.fromiter((len(d) + 1 for d in data), np.int64, len(data)))
+    n = np.diff(np.append(0, np.searchsorted(start, upto))) + 1
+    out, inner = np.full(len(h) + len(data), _END), np.ones(len(h) + len(data), bool)
+    inner[np.cumsum(n) - 1] = False
+    out[inner] = h
+    return out, n
+
+
+def _parts(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """The texts of a batch in runs of bounded size, with the row of the first."""
+    first, run, size = 0, [], 0
+    for row, text in enumerate(column):
+        run.append(text.as_py())
+        size += len(run[-1] or "")
+        if size >= _CHUNK:
+            yield first, run
+            first, run, size = row + 1, [], 0
+    if run:
+        yield first, run
 
 
 def contexts(hashes: np.ndarray, depth: int) -> np.ndarray:
@@ -71,24 +124,21 @@ def find(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, tally, n_docs = WordHash(), Counter(), 0
+    held, parts, size = WordHash(), [], 0
 
     def rows() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(word_hashes(held, list(tally)).view(np.int64)),
-                                          pa.array(np.fromiter(tally.values(), np.int64, len(tally)))], names=["h", "n"])
-        tally.clear()
-        return out
+        h, n = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["h", "n"])
 
     for batch in batches:
-        for text in batch.column(0):
-            tally.update(words(text.as_py(), lower=True))
-            n_docs += 1
-            if len(tally) >= 400_000:
+        for _, texts in _parts(batch.column(0)):
+            parts.append(tokens(held, texts)[0])
+            size += len(parts[-1])
+            if size >= 4 * _CHUNK:
                 yield rows()
-    if tally:
+                parts, size = [], 0
+    if size:
         yield rows()
-    if n_docs:
-        yield pa.RecordBatch.from_arrays([pa.array([int(_END)]), pa.array([n_docs])], names=["h", "n"])
 
 
 @dataclass
@@ -192,10 +242,9 @@ def _count_next(known, wanted):
             return pa.RecordBatch.from_arrays([pa.array(c), pa.array(s), pa.array(n)], names=["c", "s", "n"])
 
         for batch in batches:
-            for text in batch.column(0):
-                h = tokens(held, text.as_py())
-                parts.append(h)
-                size += len(h)
+            for _, texts in _parts(batch.column(0)):
+                parts.append(tokens(held, texts)[0])
+                size += len(parts[-1])
                 if size >= 2 * _CHUNK:
                     yield rows()
                     parts, size = [], 0
@@ -257,13 +306,15 @@ class Model:
 
 
 def fit_model(train: DataFrame, counts: DataFrame, scale: float, most_contexts: int = 1 << 19, most_entries: int = 1 << 21,
-              common_words: int = 1 << 20, least_count: int = 4, per_symbol: float = 1.0, least: float = 8.0) -> Model:
+              common_words: int = 1 << 20, least_count: int = 4, per_symbol: float = 1.0, least: float = 8.0,
+              least_head: int = 1) -> Model:
     """Tree over all contexts of one and two words; symbols are stored that follow ``least_count`` times or more.
 
     ``counts`` has h, n (words and the end); the root gives a token the probability (n + 0.5) / ``scale``.  A symbol
     that follows so often is itself that frequent, as is its pair with the newer word: rarer words and pairs are not
     counted further.  ``most_contexts`` and ``most_entries`` bound the head that is broadcast, not the tree;
-    ``common_words`` bounds the states of one word in it.
+    ``common_words`` bounds the states of one word in it.  Pairs and triples that occur less than ``least_head`` times
+    are never in the head.
     """
     sc = train.sparkSession.sparkContext
     text, enough = train.select("text"), counts.where(F.col("n") >= least_count)
@@ -320,7 +371,7 @@ def fit_model(train: DataFrame, counts: DataFrame, scale: float, most_contexts:
     bound, kinds, n = 1 << 62, 0, 0
     for s in sorted(steps, reverse=True):
         kinds, n = kinds + steps[s][0], n + steps[s][1]
-        if n > most_contexts or kinds > most_entries:
+        if n > most_contexts or kinds > most_entries or s < least_head:
             break
         bound = s
 
@@ -360,16 +411,11 @@ def _score(tree, common, unseen: float, end: float):
             rids = batch.column(0).to_numpy()
             kind = pa.struct([("doc_id", batch.schema.field(1).type), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                               ("base", pa.float64()), ("lift", pa.float64())])
-            at = 0
-            while at < batch.num_rows:
-                first, parts, size = at, [], 0
-                while at < batch.num_rows and size < _CHUNK // 4:
-                    parts.append(tokens(held, batch.column(2)[at].as_py()))
-                    size += len(parts[-1])
-                    at += 1
-                rows, own = at - first, rids[first:at]
-                n_tokens = np.fromiter(map(len, parts), np.int64, rows)
-                flat, owner = np.concatenate(parts), np.repeat(np.arange(rows), n_tokens)
+            for first, texts in _parts(batch.column(2)):
+                rows = len(texts)
+                own = rids[first:first + rows]
+                flat, n_tokens = tokens(held, texts)
+                owner = np.repeat(np.arange(rows), n_tokens)
                 lift, pairs, triples = tree.value.search(flat)
                 inner = np.flatnonzero(flat != _END)
                 spot = find(keys, flat[inner])
@@ -413,10 +459,10 @@ def score_documents(docs: DataFrame, held_out_fold: int = 1, folds: int = 5, com
     scale = n_train + 0.5 * (total["v"] + 1)
 
     in_text = counts.where(F.col("h") != int(_END)).select("h", F.col("n").alias("count"))
-    bound = _most(in_text, "count", common_words)
+    bound = _most(in_text, "count", common_words, _LEAST_WORD)
     top = in_text.where(F.col("count") >= bound).toArrow().sort_by("h")
     common = sc.broadcast((top["h"].to_numpy(), np.log10((top["count"].to_numpy() + 0.5) / scale)))
-    model = fit_model(train, counts, scale, common_words=common_words, **tree_options)
+    model = fit_model(train, counts, scale, common_words=common_words, **({"least_head": _LEAST_HEAD} | tree_options))
 
     unseen, end = float(np.log10(0.5 / scale)), float(np.log10((n_docs + 0.5) / scale))
     numbered = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
@@ -431,7 +477,7 @@ def score_documents(docs: DataFrame, held_out_fold: int = 1, folds: int = 5, com
     def both(of_doc: str, of_row: str):
         return F.sum(F.coalesce(F.col(f"doc.{of_doc}"), F.col("n") * F.col(of_row)))
 
-    return (asked.join(table, ["h", "tag"], "left").groupBy("rid").agg(
+    return (asked.join(table.hint("shuffle_hash"), ["h", "tag"], "left").groupBy("rid").agg(
         F.max("doc.doc_id").alias("doc_id"), F.sum("doc.n_tokens").alias("n_tokens"),
         (both("n_known", "is_word") + F.lit(1 if n_docs else 0)).alias("n_known"),
         both("base", "base").alias("base_score"), both("lift", "lift").alias("lift"))

@@ -351,6 +351,22 @@ def test_pairs_are_counted_and_keys_found():
     assert lm.find(keys[:0], a).tolist() == [-1] * len(a) and lm.find(keys, a[:0]).tolist() == []
 
 
+def test_words_of_many_texts_are_hashed_at_once():
+    held = lm.WordHash()
+    long = "x" * 70_000
+    texts = [None, "", " a\tB\x0bé \n", "b", "  ", f"{long} {long}y {long[1:]}", "É ab ba \x00 \x00\x00", "\ud800 a\x1cb\xa0c"]
+    flat, n = lm.tokens(held, texts)
+    want = [[*words(t, lower=True), None] for t in texts]
+    assert n.tolist() == [len(w) for w in want]
+    code = {}
+    for h, w in zip(flat.tolist(), itertools.chain(*want), strict=True):
+        assert code.setdefault(w, h) == h
+    assert len(set(code.values())) == len(code) and code[None] == int(lm._END)
+    assert lm.word_hashes(held, [b"A", b"b"]).tolist() == [code[b"a"], code[b"b"]]
+    many = [str(i) for i in range(200_000)]
+    assert len(np.unique(lm.tokens(held, [" ".join(many)])[0])) == 200_001
+
+
 def test_scores_without_rows_or_training(spark):
     assert lm.score_documents(spark.createDataFrame([], DOCS)).count() == 0
     alone = next(i for i in range(50) if fold(i) == 1)
