@@ -6,7 +6,7 @@ form a segment.  Only segments whose minimiser occurs at least twice in the corp
 equal segments are counted together.
 
 Per shard a compressed FM-index is built over the distinct segments: suffix array, Burrows-Wheeler transform, a
-wavelet matrix of packed bit vectors with counts per 64 bits.  The segments are then streamed against it:
+wavelet matrix with the counts of ones before every place.  The segments are then streamed against it:
 backward search, one word to the left at a time for all segments in step, yields their matching statistics as
 maximal intervals that occur at least twice (copies weigh as often as they occur); intervals of at least a
 window go back to the documents.
@@ -24,7 +24,10 @@ never too little.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,7 @@ from attemptlab.llm.common import WordHash, bitmap_of, gram_hashes, map_rows, ma
 
 GRAM = 8
 _SINGLE = np.uint64(0x5851F42D4C957F2D)
+_PART = 1 << 16           # words searched at once
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -48,86 +52,125 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(best[:len(best) - rest], best[rest:]) if rest else best
 
 
-def runs(hashes: np.ndarray, window: int, hot: np.ndarray | None = None):
-    """(starts, ends, minimiser, route, single, run hashes): segments of consecutive windows with one route, as window numbers.
+@dataclass
+class Segments:
+    """Consecutive windows of a text with one route; places are words counted over all the texts."""
+    text: np.ndarray         # number of the text
+    start: np.ndarray        # first and last window (exclusive)
+    end: np.ndarray
+    least: np.ndarray        # minimiser
+    route: np.ndarray
+    single: np.ndarray
+    grams: np.ndarray        # hashes of the word runs from every place on
+
+
+def runs(hashes: np.ndarray, sizes: np.ndarray, window: int, hot: np.ndarray | None = None) -> Segments:
+    """Segments of texts that stand one after the other, with ``sizes`` words each.
 
     The route is the minimiser; a window with a minimiser in the bitmap ``hot`` is a single, routed by its own hash.
     """
     gram = min(GRAM, window)
-    if len(hashes) < window:
-        none = np.zeros(0, np.int64)
-        return none, none, none.view(np.uint64), none.view(np.uint64), none.astype(bool), none.view(np.uint64)
+    n = np.maximum(sizes - window + 1, 0)                  # windows of each text
     g = gram_hashes(hashes, gram)
-    least = sliding_min(g, window - gram + 1)
+    if not n.any():
+        none = np.zeros(0, np.int64)
+        return Segments(none, none, none, none.view(np.uint64), none.view(np.uint64), none.astype(bool), g)
+    text = np.repeat(np.arange(len(sizes)), n)
+    at = np.arange(len(text)) + np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(n) - n), n)
+    least = sliding_min(g, window - gram + 1)[at]
     route, busy = least, np.zeros(len(least), bool)
     if hot is not None:
         busy = maybe(hot, least)
         if busy.any():
-            route = np.where(busy, mix(gram_hashes(hashes, window) ^ _SINGLE), least)
-    cut = np.flatnonzero((route[1:] != route[:-1]) | busy[1:] | busy[:-1]) + 1
-    starts = np.concatenate([[0], cut])
-    ends = np.concatenate([cut, [len(route)]])
-    return starts, ends, least[starts], route[starts], busy[starts], g
+            route = np.where(busy, mix(gram_hashes(hashes, window)[at] ^ _SINGLE), least)
+    cut = np.flatnonzero((route[1:] != route[:-1]) | busy[1:] | busy[:-1] | (text[1:] != text[:-1])) + 1
+    first = np.concatenate([[0], cut])
+    last = np.concatenate([cut, [len(route)]]) - 1
+    return Segments(text[first], at[first], at[last] + 1, least[first], route[first], busy[first], g)
 
 
-def _weights(g: np.ndarray, window: int, starts, ends, least) -> np.ndarray:
+def _weights(found: Segments, window: int) -> np.ndarray:
     """1 per segment, or 2 if its minimiser stands in it more than once (then it may repeat a window itself)."""
-    out = np.ones(len(starts), np.int64)
-    in_order = np.sort(g)
-    if (in_order[1:] == in_order[:-1]).any():
-        reach = window - min(GRAM, window)
-        for i, (s, e, h) in enumerate(zip(starts.tolist(), ends.tolist(), least, strict=True)):
-            if (g[s:e + reach] == h).sum() > 1:
-                out[i] = 2
+    out = np.ones(len(found.start), np.int64)
+    for i in range(0, len(out), _PART):                    # bounds the places held at once
+        start, least = found.start[i:i + _PART], found.least[i:i + _PART]
+        n = found.end[i:i + _PART] - start + window - min(GRAM, window)
+        first = np.cumsum(n) - n
+        at = np.arange(n.sum()) + np.repeat(start - first, n)
+        same = found.grams[at] == np.repeat(least, n)
+        out[i:i + _PART][np.add.reduceat(same, first, dtype=np.int64) > 1] = 2
     return out
 
 
+def _parts(texts: pa.Array, rows=None) -> Iterator[tuple[list[int], list[list[bytes]]]]:
+    """(rows, their words): the texts in parts of a bounded number of words, or one longer text."""
+    some, lists, size = [], [], 0
+    for row in range(len(texts)) if rows is None else rows:
+        own = words(texts[row].as_py())
+        if some and size + len(own) > _PART:
+            yield some, lists
+            some, lists, size = [], [], 0
+        some.append(row)
+        lists.append(own)
+        size += len(own)
+    if some:
+        yield some, lists
+
+
 class WaveletMatrix:
-    """Rank of symbols in a sequence, from one packed bit vector per binary digit."""
+    """Rank of symbols in a sequence: per binary digit, the number of ones before every place."""
 
     def __init__(self, seq: np.ndarray, symbols: int):
-        self.levels, self.n = [], len(seq)
+        self.levels = []
+        seq = seq.astype(np.int32)
         for b in range(max(1, int(symbols - 1).bit_length()) - 1, -1, -1):
             bit = (seq >> b) & 1
-            packed = np.packbits(np.append(bit, np.zeros(-len(bit) % 64 + 64, bit.dtype)).astype(np.uint8),
-                                 bitorder="little").view(np.uint64)
-            before = np.concatenate([[0], np.cumsum(np.bitwise_count(packed))[:-1]]).astype(np.int32)
-            self.levels.append((b, packed, before, int(len(bit) - bit.sum())))
+            ones = np.zeros(len(seq) + 1, np.int32)
+            np.cumsum(bit, out=ones[1:])
+            self.levels.append((b, ones, len(seq) - int(ones[-1])))
             seq = np.concatenate([seq[bit == 0], seq[bit == 1]])
         self.start = self._walk(np.arange(symbols), np.zeros(symbols, np.int64))
 
     def _walk(self, c: np.ndarray, at: np.ndarray) -> np.ndarray:
-        for b, packed, before, zeros in self.levels:
-            word = at >> 6
-            low = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-            ones = before[word] + np.bitwise_count(packed[word] & low)
-            at = np.where((c >> b) & 1, zeros + ones, at - ones)
+        for b, before, zeros in self.levels:
+            ones = before.take(at)
+            at = np.where((c & (1 << b)) != 0, ones + zeros, at - ones)
         return at
 
     def rank(self, c: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Occurrences of ``c`` before ``at``, elementwise."""
+        """Occurrences of ``c`` before ``at``, elementwise; ``at`` may have several rows."""
         return self._walk(c, at) - self.start[c]
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted by their first ``depth`` symbols at least: prefix doubling from packed leading symbols."""
+    """Suffixes sorted by their symbols up to the first 0, ``depth`` at most: prefix doubling from packed leading symbols.
+
+    A suffix is sorted again only while others share all its leading symbols and none of these is 0.
+    """
     n = len(text)
     bits = max(1, int(text.max()).bit_length())
     reach = max(1, min(62 // bits, depth))
-    key = np.zeros(n, np.int64)
+    key, open_ = np.zeros(n, np.int64), np.ones(n, bool)
     for i in range(reach):
         key <<= bits
         key[:n - i] |= text[i:]
+        open_[:n - i] &= text[i:] > 0
+        open_[n - i:] = False
+    order = np.argsort(key)
+    rank, slots, group = np.empty(n, np.int64), np.arange(n), key[order]
     while True:
-        order = np.argsort(key)
-        in_order = key[order]
-        fresh = np.concatenate([[0], np.cumsum(in_order[1:] != in_order[:-1])])
-        if reach >= depth or fresh[-1] == n - 1:
+        # slots of one group are neighbours; the rank of a group is its first slot
+        new = np.concatenate([[True], (group[1:] != group[:-1])])
+        rank[order[slots]] = slots[np.maximum.accumulate(np.where(new, np.arange(len(slots)), 0))]
+        again = ~(new & np.append(new[1:], True)) & open_[order[slots]]
+        slots = slots[again]
+        if reach >= depth or not len(slots):
             return order
-        rank = np.empty(n, np.int64)
-        rank[order] = fresh
-        key = rank * (n + 2)
-        key[:n - reach] += rank[reach:] + 1
+        left = order[slots]
+        key = rank[left] * (n + 1) + rank[left + reach]
+        by = np.argsort(key)
+        order[slots], group = left[by], key[by]
+        open_[left] = open_[left + reach]
         reach *= 2
 
 
@@ -148,8 +191,8 @@ class FMIndex:
 
     def extend(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffix range of the pattern with ``c`` put before it."""
-        both = self.first[np.concatenate([c, c])] + self.bwt.rank(np.concatenate([c, c]), np.concatenate([lo, hi]))
-        return both[:len(c)], both[len(c):]
+        lo, hi = self.first[c] + self.bwt.rank(c, np.stack([lo, hi]))
+        return lo, hi
 
     def repeated(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(segment, start, end): intervals of ``least`` words or more that occur at least twice, maximal to the left.
@@ -205,9 +248,8 @@ def _shards(window: int, most_words: int):
                 names=["s1", "s2", "lo", "hi"])
 
         def search() -> pa.RecordBatch:
-            symbol: dict[bytes, int] = {}
-            segments = [np.fromiter((symbol.setdefault(w, len(symbol) + 1) for w in text.split(b" ")), np.int64)
-                        for _, text, _ in held]
+            symbol: dict[bytes, int] = defaultdict(count(1).__next__)
+            segments = [np.fromiter(map(symbol.__getitem__, text.split(b" ")), np.int64) for _, text, _ in held]
             index = FMIndex(segments, np.array([h[2] for h in held], np.int64), len(symbol) + 1)
             lane, start, end = index.repeated(window)
             hit = [held[i] for i in lane.tolist()]
@@ -240,19 +282,19 @@ def repeated_spans(docs: DataFrame, window: int = 35, hot: int = 2_000, most_wor
     """
     state: dict = {}
 
-    def hashed(text) -> np.ndarray:
-        return word_hashes(state.setdefault("held", WordHash()), words(text))
+    def segmented(lists: list[list[bytes]], hot: np.ndarray | None = None) -> tuple[Segments, np.ndarray]:
+        """Segments of some texts, and the place of the first word of each text."""
+        held = state.setdefault("held", WordHash())
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        return (runs(np.concatenate([word_hashes(held, own) for own in lists]), sizes, window, hot),
+                np.cumsum(sizes) - sizes)
 
     def minimisers(k1: pa.Array, k2: pa.Array, ids: pa.Array, texts: pa.Array) -> Iterator[dict[str, list]]:
-        parts: list[tuple] = []
-        for a, b, t in zip(k1.to_pylist(), k2.to_pylist(), texts, strict=True):
-            h = hashed(t.as_py())
-            starts, ends, least, _, _, g = runs(h, window)
-            if len(starts):
-                parts.append((np.full(len(starts), a), np.full(len(starts), b), least.view(np.int64),
-                              _weights(g, window, starts, ends, least)))
-        cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 4
-        yield dict(zip(("k1", "k2", "h", "weight"), cols, strict=True))
+        a, b = k1.to_numpy(), k2.to_numpy()
+        for rows, lists in _parts(texts):
+            found, _ = segmented(lists)
+            row = np.array(rows)[found.text]
+            yield {"k1": a[row], "k2": b[row], "h": found.least.view(np.int64), "weight": _weights(found, window)}
 
     small = stored(map_rows(docs, minimisers, "k1 long, k2 long, h long, weight long"), "minimisers")
     twice = stored(small.groupBy("h").agg(F.sum("weight").alias("n")).where("n >= 2"), "repeated-minimisers")
@@ -271,44 +313,39 @@ def repeated_spans(docs: DataFrame, window: int = 35, hot: int = 2_000, most_wor
 
         def singles(k1: pa.Array, texts: pa.Array) -> Iterator[dict[str, list]]:
             parts = [np.zeros(0, np.uint64)]
-            for i in np.flatnonzero(maybe(holders.value, k1.to_numpy())).tolist():
-                _, _, _, route, single, _ = runs(hashed(texts[i].as_py()), window, busy.value)
-                parts.append(route[single])
+            for _, lists in _parts(texts, np.flatnonzero(maybe(holders.value, k1.to_numpy())).tolist()):
+                found, _ = segmented(lists, busy.value)
+                parts.append(found.route[found.single])
             key, n = np.unique(np.concatenate(parts), return_counts=True)
             yield {"route": key.view(np.int64), "n": n}
 
         counted = map_rows(docs.select("k1", "text"), singles, "route long, n long", rows=10_000)
         again = sc.broadcast(bitmap_of(counted.groupBy("route").agg(F.sum("n").alias("n")).where("n >= 2"), "route"))
 
-    def segments(k1: pa.Array, k2: pa.Array, texts: pa.Array, wanted: pa.Array):
-        """Per document with segments to compare: key, starts, routes, whether single, words."""
-        for a, b, t, hit in zip(k1.to_pylist(), k2.to_pylist(), texts, wanted.to_pylist(), strict=True):
-            own = words(t.as_py())
-            h = word_hashes(state.setdefault("held", WordHash()), own)
-            starts, ends, least, route, single, _ = runs(h, window, busy and busy.value)
-            keep = np.isin(least, np.array(hit, np.int64).view(np.uint64))
-            if single.any():
-                keep &= ~single | maybe(again.value, route)
-            if keep.any():
-                starts, ends = starts[keep].tolist(), ends[keep].tolist()
-                yield (a, b, starts, route[keep].view(np.int64).tolist(), single[keep].tolist(),
-                       [b" ".join(own[s:e + window - 1]) for s, e in zip(starts, ends, strict=True)])
+    def segments(texts: pa.Array, wanted: pa.Array):
+        """Segments to compare, part by part: row, start in its text, route, whether single, words."""
+        for rows, lists in _parts(texts):
+            found, first = segmented(lists, busy and busy.value)
+            # what one text of the part wants is wanted wherever it stands
+            some = wanted.take(pa.array(rows)).flatten().to_numpy().view(np.uint64)
+            keep = np.isin(found.least, some)
+            if found.single.any():
+                keep &= ~found.single | maybe(again.value, found.route)
+            text, start = found.text[keep], found.start[keep]
+            size = found.end[keep] - start + window - 1
+            start = start - first[text]
+            yield (np.array(rows)[text], start, found.route[keep].view(np.int64), found.single[keep],
+                   [b" ".join(lists[i][s:s + n]) for i, s, n in zip(text.tolist(), start.tolist(), size.tolist(), strict=True)])
 
     def contents(k1: pa.Array, k2: pa.Array, ids: pa.Array, texts: pa.Array, wanted: pa.Array) -> Iterator[dict[str, list]]:
-        out: dict[str, list] = {k: [] for k in ("route", "single", "words")}
-        for _, _, _, routes, single, parts in segments(k1, k2, texts, wanted):
-            out["route"] += routes
-            out["single"] += single
-            out["words"] += [p.decode("utf-8", "surrogatepass") for p in parts]
-        yield out
+        for _, _, route, single, parts in segments(texts, wanted):
+            yield {"route": route, "single": single, "words": [p.decode("utf-8", "surrogatepass") for p in parts]}
 
     def places(k1: pa.Array, k2: pa.Array, ids: pa.Array, texts: pa.Array, wanted: pa.Array) -> Iterator[dict[str, list]]:
-        out: dict[str, list] = {k: [] for k in ("k1", "k2", "start", "s1", "s2")}
-        for a, b, starts, routes, _, parts in segments(k1, k2, texts, wanted):
-            names = _names(routes, parts)
-            for col, values in zip(out, ([a] * len(starts), [b] * len(starts), starts, names[:, 0], names[:, 1]), strict=True):
-                out[col].extend(values)
-        yield out
+        a, b = k1.to_numpy(), k2.to_numpy()
+        for row, start, route, _, parts in segments(texts, wanted):
+            names = _names(route.tolist(), parts)
+            yield {"k1": a[row], "k2": b[row], "start": start, "s1": names[:, 0], "s2": names[:, 1]}
 
     # doc_id goes along so that this exchange of the texts is the one that the last join reads
     marked = docs.join(hits, ["k1", "k2"]).select("k1", "k2", "doc_id", "text", "hits")

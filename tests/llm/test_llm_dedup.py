@@ -197,6 +197,67 @@ def test_shared_passage_is_not_one_group(spark, monkeypatch):
     assert set(got.values()) == {50}
 
 
+def test_segments_of_many_texts_at_once():
+    rng = random.Random(7)
+    lists = [[rng.randint(1, 4) for _ in range(rng.choice([0, 1, 4, 5, 9, 40]))] for _ in range(60)]
+    hashes = [np.array(x, np.uint64) * np.uint64(0x9E3779B97F4A7C15) for x in lists]
+    sizes = np.array([len(x) for x in lists])
+    for window in (3, 5, 12):
+        every = substring.runs(np.concatenate(hashes), sizes, window)
+        for chosen in (None, np.zeros(1 << 20, np.uint64)):          # no minimiser is hot
+            at, weight, first = 0, substring._weights(every, window), np.cumsum(sizes) - sizes
+            for i, h in enumerate(hashes):
+                one = substring.runs(h, sizes[i:i + 1], window, chosen)
+                mine = every.text == i
+                assert one.start.tolist() == (every.start[mine] - first[i]).tolist()
+                assert one.end.tolist() == (every.end[mine] - first[i]).tolist()
+                assert one.route.tolist() == every.route[mine].tolist()
+                assert substring._weights(one, window).tolist() == weight[mine].tolist()
+                at += int(mine.sum())
+                gram = min(substring.GRAM, window)
+                for s, e, least, n in zip(one.start, one.end, one.least, weight[mine], strict=True):
+                    assert n == 1 + ((one.grams[s:e + window - gram] == least).sum() > 1)
+            assert at == len(every.text)
+
+
+def test_texts_are_searched_together(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = [prose(rng, 60, 50) for _ in range(150)]
+    rows = list(enumerate(texts + texts))
+    calls = spark.sparkContext.accumulator(0)
+    runs = substring.runs
+
+    def counted(*args):
+        calls.add(1)
+        return runs(*args)
+
+    monkeypatch.setattr(substring, "runs", counted)
+    got = substring.remove_repeats(table(spark, rows).coalesce(2)).collect()
+    assert {r["n_removed"] for r in got} == {60}
+    assert 0 < calls.value < 300          # before, three calls per text
+
+
+def test_settled_suffixes_are_not_sorted_again(monkeypatch):
+    rng = random.Random(13)
+    segments = [[rng.randint(1, 50_000) for _ in range(60)] for _ in range(400)]
+    segments += [s[:40] for s in segments[:40]]          # 40 words twice: their suffixes alone stay equal for long
+    text = np.array([x for s in segments for x in (*s, 0)])
+    argsort, done = np.argsort, []
+
+    def counted(keys):
+        done.append(len(keys))
+        return argsort(keys)
+
+    monkeypatch.setattr(np, "argsort", counted)
+    order = substring.suffix_array(text, 61)
+    assert sum(done) < 2 * len(text)                     # before, all in each of five rounds
+    upto = [text[i:].tolist() for i in range(len(text))]
+    upto = [x[:x.index(0) + 1] for x in upto]
+    assert sorted(order.tolist()) == list(range(len(text)))
+    in_order = [upto[i] for i in order.tolist()]
+    assert in_order == sorted(in_order)
+
+
 def test_substring_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert substring.digest(substring.remove_repeats(empty)).count() == 0
