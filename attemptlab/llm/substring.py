@@ -27,7 +27,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +35,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attemptlab.llm.common import WordHash, bitmap_of, gram_hashes, map_rows, maybe, mix, stored, word_hashes, words
+from attemptlab.llm.common import bitmap_of, gram_hashes, map_rows, maybe, mix, stored, words
 
 GRAM = 8
 _SINGLE = np.uint64(0x5851F42D4C957F2D)
-_PART = 1 << 16           # words searched at once
+_PART = 1 << 14           # words searched at once
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -280,14 +280,11 @@ def repeated_spans(docs: DataFrame, window: int = 35, hot: int = 2_000, most_wor
 
     ``docs`` has k1, k2, doc_id and text, as ``_keyed`` makes them.
     """
-    state: dict = {}
-
     def segmented(lists: list[list[bytes]], hot: np.ndarray | None = None) -> tuple[Segments, np.ndarray]:
         """Segments of some texts, and the place of the first word of each text."""
-        held = state.setdefault("held", WordHash())
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        return (runs(np.concatenate([word_hashes(held, own) for own in lists]), sizes, window, hot),
-                np.cumsum(sizes) - sizes)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(lists)), np.uint64, sizes.sum())
+        return runs(hashes, sizes, window, hot), np.cumsum(sizes) - sizes
 
     def minimisers(k1: pa.Array, k2: pa.Array, ids: pa.Array, texts: pa.Array) -> Iterator[dict[str, list]]:
         a, b = k1.to_numpy(), k2.to_numpy()
