@@ -169,9 +169,13 @@ def _leave_one_out(per_student: DataFrame, *keep: str) -> DataFrame:
                     F.filter("attempts", lambda a: a["attempt_no"] != F.col("target")["attempt_no"]).alias("examples"), *keep))
 
 
-def leave_one_out_examples(table: DataFrame, k: int = 4) -> DataFrame:
-    """(student, target attempt, the other k-1 attempts in order) for students with >= k rows."""
-    return _leave_one_out(student_attempts(table, k))
+def leave_one_out_examples(table: DataFrame, k: int = 4,
+                           attach: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(student, target attempt, the other k-1 attempts in order) for students with >= k rows.
+
+    ``attach`` adds the texts to the chosen rows of a table without them.
+    """
+    return _leave_one_out(student_attempts(table, k, attach))
 
 
 def scenario234_prompts(table: DataFrame, profile: DataFrame, scenario: int, k: int = 4,
