@@ -74,3 +74,38 @@ def test_text_files_can_be_compressed(spark, tmp_path):
         back = spark.read.schema(many.schema)
         back = back.option("header", True).csv(path) if fmt == "csv" else back.json(path)
         assert {tuple(r) for r in back.collect()} == set(OLD)
+
+
+@pytest.fixture(scope="module")
+def metric_rows(spark):
+    """Metrics over rows that are not stored."""
+    from attemptlab.operators import metrics as M
+    from attemptlab.plans.queries_grading import MetricFlow
+    from attemptlab.plans.queries_similarity import pair_metrics
+    from tests.conftest import SF_SMALL
+
+    f = MetricFlow(spark, SF_SMALL)
+    long = M.scenario_metrics(f.graded, f.student, pair_metrics=pair_metrics(f), student_results=f.student_results)
+    return sorted((r.scenario, r.model, r.metric, round(r.value, 6)) for r in long.collect())
+
+
+@pytest.mark.parametrize("name", ["scenario_metrics", "union_models", "sink_metrics_json", "metrics_matrix"])
+def test_metrics_read_stored_rows(spark, metric_rows, name, monkeypatch):
+    from attemptlab import registry
+    from attemptlab.sources import files
+    from tests.conftest import SF_SMALL
+
+    seen = []
+    write = files.sink_metrics_json
+    monkeypatch.setattr(files, "sink_metrics_json", lambda long, path: (seen.append(long), write(long, path)))
+    df = registry.all_queries()[name](spark, SF_SMALL)
+    plan = (seen or [df])[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_quantity" not in plan and "WindowGroupLimit" not in plan      # graded rows and attempts are made once, not per metric
+    got = [r.asDict() for r in df.collect()]
+    if name == "union_models":
+        assert {r["model"]: r["n_metrics"] for r in got} == {m: sum(r[1] == m for r in metric_rows) for m in {r[1] for r in metric_rows}}
+    elif name == "metrics_matrix":
+        assert sorted((r["scenario"], r["model"], m, v) for r in got for m, v in r.items()
+                      if m not in KEYS and v is not None) == metric_rows
+    else:
+        assert sorted((r["scenario"], r["model"], r["metric"], r["value"]) for r in got) == metric_rows
