@@ -448,6 +448,44 @@ def test_other_formats_are_added_and_look_alikes_are_not(spark):
     assert len(added) <= 2, added
 
 
+def test_candidates_have_no_bounds():
+    def found(text, kind):
+        return {text[a:b] for k, a, b in pii.candidates(text) if k == kind}
+
+    digits = "4.1.1.1.1.1.1.1.1.1.1.1.1.1.1.1"
+    assert digits in found(f"no {digits} here", 2)                                  # more than six groups of digits
+    assert "1 2 3 4 5 6 7 8 9" in found("tel 1 2 3 4 5 6 7 8 9.", 3)
+    name, host = "n" * 70, "h" * 70
+    for text in (f"{name} (at) {host} dot org", "ann (at) a1 dot b1 dot c1 dot d1 dot e1 dot f1", f"{name} at {host}.org",
+                 "jo at host.org", "jo at host[dot]org", "jo at host(dot)org"):
+        assert text in found(f"ask {text}", 0), text
+    assert {"bob at host.org", "al at other.net"} <= found("ask bob at host.org. al at other.net", 0)      # overlapping
+    for text in ("192.0.2.17", "192[.]0[.]2[.]17", "192.0.2[.]17", "192 dot 0 dot 2 dot 17", "192(.)0(.)2(.)17"):
+        assert text in found(f"from {text}, today", 1), text
+
+
+def test_written_octets_are_added(spark):
+    good = {1: "from 198[.]51[.]100[.]7 it came", 2: "host 198.51.100[.]23 is down", 3: "it is 10 dot 11 dot 2 dot 30 now"}
+    bad = {11: "from 398[.]51[.]100[.]7 it came", 12: "at 256 . 100 . 3 . 2 it ends", 13: "in 2001 dot 2002 dot 2003 dot 2004"}
+    docs = spark.createDataFrame([*good.items(), *bad.items()], "doc_id long, text string")
+    got = {r["doc_id"]: [(r["kind"], r["origin"]) for r in r["spans"]] for r in pii.find_spans(docs).collect()}
+    assert got == {**{i: [("ip", "model")] for i in good}, **{i: [] for i in bad}}
+    assert set(pii.fit(docs)) == set(range(len(pii.KINDS)))
+
+
+def test_hits_of_all_documents_are_learned_from(spark, monkeypatch):
+    seen = {}
+    examples = pii._examples
+    monkeypatch.setattr(pii, "_examples", lambda kind, hits: (seen.update({kind: hits}), examples(kind, hits))[1])
+    long = "x" * 150 + "@example.org"
+    rows = [(i, "plain words") for i in range(5000)] + [(6000 + i, f"mail u{i}@example.org") for i in range(30)] + [(7000, long), (7001, long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    pii.fit(docs)
+    assert {v for _, v, _ in seen[0]} == {f"u{i}@example.org" for i in range(30)} | {long} and len(seen[0]) == 31
+    pii.fit(docs, sample_hits=5)
+    assert len(seen[0]) == 5
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "mail a.b@c.org or +1 (394) 555-4006"), (2, None)], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
